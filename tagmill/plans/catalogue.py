@@ -1,0 +1,6 @@
+"""The registered queries and the SQL that says what each returns."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
