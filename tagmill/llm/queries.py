@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagmill.llm import mixing, ngram_join, pieces, pii, quality_rules
+from tagmill.llm import html_main, mixing, ngram_join, pieces, pii, quality_ordinal, quality_rules, topk
 from tagmill.llm.common import table
 
 QUERIES = {
+    "op1_ordinal": lambda spark, d: quality_ordinal.op1_ordinal(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_mixing": lambda spark, d: mixing.op2_mixing(table(spark, d, "documents")),
     "op3_pii": lambda spark, d: pii.op3_pii(table(spark, d, "documents")),
     "op4_pieces": lambda spark, d: pieces.op4_pieces(table(spark, d, "documents"), pieces.model_bytes()),
+    "op5_html_main": lambda spark, d: html_main.op5_html_main(table(spark, d, "pages")),
     "op7_quality_rules": lambda spark, d: quality_rules.op7_quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_ngram_join": lambda spark, d: ngram_join.op8_ngram_join(table(spark, d, "documents")),
+    "op9_topk": lambda spark, d: topk.op9_topk(table(spark, d, "embeddings")),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_html_main": html_main.ORACLE, "op9_topk": topk.ORACLE}
