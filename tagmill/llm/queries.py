@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagmill.llm import html_main, lm_trie, mixing, ngram_join, pieces, pii, quality_ordinal, quality_rules, topk
+from tagmill.llm import html_main, lm_trie, mixing, ngram_join, pieces, pii, quality_ordinal, quality_rules, suffix_dedup, topk
 from tagmill.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_pii": lambda spark, d: pii.op3_pii(table(spark, d, "documents")),
     "op4_pieces": lambda spark, d: pieces.op4_pieces(table(spark, d, "documents"), pieces.model_bytes()),
     "op5_html_main": lambda spark, d: html_main.op5_html_main(table(spark, d, "pages")),
+    "op6_suffix_dedup": lambda spark, d: suffix_dedup.op6_suffix_dedup(table(spark, d, "documents")),
     "op7_quality_rules": lambda spark, d: quality_rules.op7_quality_rules(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_ngram_join": lambda spark, d: ngram_join.op8_ngram_join(table(spark, d, "documents")),
     "op10_lm_trie": lambda spark, d: lm_trie.op10_lm_trie(table(spark, d, "documents")),
