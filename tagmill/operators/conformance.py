@@ -1,0 +1,85 @@
+"""Roll-ups of the issues bag: doc_id, checkpoint, severity, description, fixable, page. Duplicates stay; nothing here is distinct."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: The 31 groups of checkpoints of the Matterhorn Protocol.
+GROUPS = ["Real content tagged", "Role mapping", "Flickering", "Color and contrast", "Sound", "Metadata", "Dictionary", "OCR validation", "Appropriate tags", "Character mappings", "Declared natural language", "Stretchable characters", "Graphics", "Headings", "Tables", "Lists", "Mathematical expressions", "Page headers and footers", "Notes and references", "Optional content", "Embedded files", "Article threads", "Digital signatures", "Non-interactive forms", "XFA", "Security", "Navigation", "Annotations", "Actions", "XObjects", "Fonts"]
+#: Groups whose failures are recommended for repair first, in order.
+CRITICAL = ["01", "06", "11", "13", "14", "15", "28"]
+
+
+def groups(spark) -> DataFrame:
+    return spark.createDataFrame([(f"{k:02d}", name) for k, name in enumerate(GROUPS, 1)], "category string, name string")
+
+
+def category(checkpoint: Column) -> Column:
+    return F.when(F.instr(checkpoint, "-") > 0, F.split_part(checkpoint, F.lit("-"), F.lit(1))).otherwise("00")
+
+
+def severity_counts() -> list[Column]:
+    s = F.col("severity")
+    return [F.count("*").alias("total"), F.count_if(s == "error").alias("errors"), F.count_if(s == "warning").alias("warnings"), F.count_if(~s.isin("error", "warning")).alias("infos")]
+
+
+def matching(issues: DataFrame, severity: str | None = None, checkpoint: str | None = None, fixable: bool | None = None, text: str = "") -> DataFrame:
+    out = issues
+    if severity:
+        out = out.where(F.col("severity") == severity)
+    if checkpoint:
+        out = out.where(F.col("checkpoint") == checkpoint)
+    if fixable is not None:
+        out = out.where(F.col("fixable") == fixable)
+    return out.where(F.contains(F.lower("description"), F.lit(text.lower()))) if text else out
+
+
+def by_checkpoint(issues: DataFrame) -> DataFrame:
+    out = issues.groupBy("checkpoint").agg(*severity_counts())
+    return out.withColumn("overall", F.when(F.col("errors") > 0, "error").when(F.col("warnings") > 0, "warning").otherwise("info"))
+
+
+def status(issues: DataFrame) -> DataFrame:
+    """Per document: conformant if it has no error, and the checkpoints that block it."""
+    return issues.groupBy("doc_id").agg((F.count_if(F.col("severity") == "error") == 0).alias("conformant"), F.countDistinct(F.when(F.col("severity") == "error", F.col("checkpoint"))).alias("blocking"), F.count("*").alias("issues_count"))
+
+
+def rollup(issues: DataFrame) -> DataFrame:
+    """All 31 categories, and others that occur, with their counts; zero where there is nothing."""
+    found = issues.groupBy(category(F.col("checkpoint")).alias("category")).agg(*severity_counts())
+    dim = groups(issues.sparkSession)
+    return found.join(dim, "category", "full").select("category", F.coalesce("name", F.lit("other")).alias("name"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "errors", "warnings", "infos")])
+
+
+def maturity(issues: DataFrame) -> DataFrame:
+    """Per document the whole part of 100 (1 - failing categories / 31), 0 at least."""
+    failing = F.countDistinct(F.when(F.col("severity") == "error", category(F.col("checkpoint"))))
+    return issues.groupBy("doc_id").agg(failing.alias("failing")).withColumn("maturity", F.greatest(F.floor(100 * (1 - F.col("failing") / len(GROUPS))), F.lit(0)).cast("long"))
+
+
+def two_levels(issues: DataFrame) -> DataFrame:
+    """Counts by category and checkpoint with subtotals; null stands for all."""
+    one = issues.select(category(F.col("checkpoint")).alias("category"), "checkpoint", "severity")
+    return one.rollup("category", "checkpoint").agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "error").alias("errors"))
+
+
+def top_categories(issues: DataFrame, k: int = 10) -> DataFrame:
+    return rollup(issues).where("total > 0").orderBy(F.desc("total"), "category").limit(k)
+
+
+def examples(issues: DataFrame, k: int = 3) -> DataFrame:
+    """The first k issues of each checkpoint by document and description."""
+    w = Window.partitionBy("checkpoint").orderBy("doc_id", "description")
+    return issues.withColumn("n", F.row_number().over(w)).where(f"n <= {k}").select("checkpoint", "n", "doc_id", "description")
+
+
+def recommendations(issues: DataFrame, most: int = 5) -> DataFrame:
+    """Failing critical categories in their order, then the other failing ones by errors."""
+    out = rollup(issues).where("errors > 0").withColumn("first", F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CRITICAL]), F.col("category")), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("first") > 0, F.col("first")).otherwise(99), F.desc("errors"), "category"))
+    return out.withColumn("place", rank).where(f"place <= {most}").select("place", "category", "name", "errors")
+
+
+def overview(issues: DataFrame) -> DataFrame:
+    return issues.agg(*severity_counts(), F.count_if("fixable").alias("fixable"), F.bround(100.0 * F.count_if("fixable") / F.greatest(F.count("*"), F.lit(1)), 2).alias("fixable_percent"))

@@ -1,0 +1,50 @@
+"""Rules over metadata rows: doc_id, filename, title, language, author, subject, keywords, display_title."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tagmill.functions import text as t
+
+
+def title_problems(rows: DataFrame) -> DataFrame:
+    title = F.coalesce("title", F.lit(""))
+    found = F.array(
+        F.when(F.trim(title) == "", "blank"),
+        F.when(F.lower(title) == F.lower("filename"), "file name"),
+        F.when(F.lower(F.trim(title)).isin(t.GENERIC_TITLES), "generic"),
+        F.when((F.length(title) < 3) | (F.length(title) > 200), "length"),
+        F.when(title.rlike(r"[<>{}\[\]\\|]"), "characters"),
+    )
+    return rows.select("doc_id", F.explode(F.array_compact(found)).alias("problem"))
+
+
+def issues(rows: DataFrame) -> DataFrame:
+    """Checkpoint and severity of what is wrong with title, display and language."""
+    lang = F.coalesce("language", F.lit(""))
+    found = F.array(
+        F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.struct(F.lit("06-003").alias("checkpoint"), F.lit("error").alias("severity"))),
+        F.when(F.col("display_title").isNull(), F.struct(F.lit("07-001"), F.lit("error"))).when(~F.col("display_title"), F.struct(F.lit("07-002"), F.lit("error"))),
+        F.when(lang == "", F.struct(F.lit("11-006"), F.lit("error"))).when(~t.valid_language(lang), F.struct(F.lit("11-007"), F.lit("warning"))),
+        F.when(F.coalesce("author", F.lit("")) == "", F.struct(F.lit("metadata-quality"), F.lit("info"))),
+    )
+    return rows.select("doc_id", F.explode(F.array_compact(found)).alias("i")).select("doc_id", "i.*")
+
+
+def completeness(rows: DataFrame) -> DataFrame:
+    fields = ["title", "author", "subject", "keywords", "language", "display_title"]
+    filled = sum((F.when(F.coalesce(F.col(f).cast("string"), F.lit("")).isin("", "false"), 0).otherwise(1) for f in fields), F.lit(0))
+    return rows.select("doc_id", (filled / 6 * 100).alias("completeness"))
+
+
+def recommendations(rows: DataFrame) -> DataFrame:
+    found = F.array(F.when(F.coalesce("title", F.lit("")) == "", "add a title"), F.when(F.coalesce("language", F.lit("")) == "", "declare a language"), F.when(F.coalesce("author", F.lit("")) == "", "name the author"), F.when(~F.coalesce("display_title", F.lit(False)), "display the title"))
+    return rows.select("doc_id", F.array_join(F.array_compact(found), "; ").alias("advice"))
+
+
+def suggestions(rows: DataFrame) -> DataFrame:
+    """Codes to offer for a language that isn't valid: its base, the base twice, and Spanish if there is no base."""
+    base = F.lower(F.regexp_extract(F.coalesce("language", F.lit("")), "^([A-Za-z]{2})", 1))
+    bad = ~t.valid_language(F.coalesce("language", F.lit("")))
+    return rows.where(bad).select("doc_id", F.when(base == "", "es-ES").otherwise(F.concat(base, F.lit(","), base, F.lit("-"), F.upper(base))).alias("codes"))
