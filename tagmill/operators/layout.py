@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,24 +101,39 @@ def crossings(across: DataFrame, down: DataFrame, tolerance: float = 2.0) -> Dat
 
 
 def grown_blocks(boxes: DataFrame, gap: float) -> DataFrame:
-    """Boxes with the block that they belong to: boxes nearer than gap, and what is near to those."""
+    """Boxes with the block that they belong to: boxes nearer than gap, and what is near to those; a block is named by its first box."""
 
-    def page_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y0", "x0", "elem_id"]).reset_index(drop=True)
-        label = list(range(len(frame)))
-        v = frame[["x0", "y0", "x1", "y1"]].to_numpy()
+    def page_blocks(v: np.ndarray) -> list[int]:
+        label = list(range(len(v)))
 
         def top(i: int) -> int:
             while label[i] != i:
                 i = label[i]
             return i
 
-        for i in range(len(frame)):
-            dx = (v[:i, 0] - v[i, 2]).clip(0) + (v[i, 0] - v[:i, 2]).clip(0)
-            dy = (v[:i, 1] - v[i, 3]).clip(0) + (v[i, 1] - v[:i, 3]).clip(0)
-            for j in ((dx <= gap) & (dy <= gap)).nonzero()[0].tolist():
+        for i in range(1, len(v)):
+            dx = np.maximum(v[:i, 0] - v[i, 2], 0) + np.maximum(v[i, 0] - v[:i, 2], 0)
+            dy = np.maximum(v[:i, 1] - v[i, 3], 0) + np.maximum(v[i, 1] - v[:i, 3], 0)
+            for j in np.flatnonzero((dx <= gap) & (dy <= gap)).tolist():
                 a, b = top(i), top(j)
                 label[max(a, b)] = min(a, b)
-        return frame.assign(block=[int(frame["elem_id"][top(i)]) for i in range(len(frame))])[["doc_id", "page", "elem_id", "block"]]
-
-    return boxes.groupBy(*PAGE).applyInPandas(page_blocks, "doc_id long, page long, elem_id long, block long")
+        return [top(i) for i in range(len(v))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # rows of the last page so far, which the next batch may go on with
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            keys = frame[PAGE].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+            held = frame.iloc[starts[-1] :]
+            yield done(frame, starts)
+        if held is not None and len(held):
+            yield done(held.reset_index(drop=True), np.array([0, len(held)]))
+
+    def done(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v, ids = frame[["x0", "y0", "x1", "y1"]].to_numpy(), frame["elem_id"].to_numpy()
+        block = [ids[a + k] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for k in page_blocks(v[a:b])]
+        return frame.iloc[: starts[-1]][[*PAGE, "elem_id"]].assign(block=np.array(block, np.int64))
+
+    whole = boxes.repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0", "elem_id")
+    return whole.select(*PAGE, "elem_id", "x0", "y0", "x1", "y1").mapInPandas(run, "doc_id long, page long, elem_id long, block long")

@@ -23,11 +23,12 @@ def title_problems(rows: DataFrame) -> DataFrame:
 def issues(rows: DataFrame) -> DataFrame:
     """Checkpoint and severity of what is wrong with title, display and language."""
     lang = F.coalesce("language", F.lit(""))
+    say = lambda checkpoint, severity: F.struct(F.lit(checkpoint).alias("checkpoint"), F.lit(severity).alias("severity"))
     found = F.array(
-        F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.struct(F.lit("06-003").alias("checkpoint"), F.lit("error").alias("severity"))),
-        F.when(F.col("display_title").isNull(), F.struct(F.lit("07-001"), F.lit("error"))).when(~F.col("display_title"), F.struct(F.lit("07-002"), F.lit("error"))),
-        F.when(lang == "", F.struct(F.lit("11-006"), F.lit("error"))).when(~t.valid_language(lang), F.struct(F.lit("11-007"), F.lit("warning"))),
-        F.when(F.coalesce("author", F.lit("")) == "", F.struct(F.lit("metadata-quality"), F.lit("info"))),
+        F.when(F.trim(F.coalesce("title", F.lit(""))) == "", say("06-003", "error")),
+        F.when(F.col("display_title").isNull(), say("07-001", "error")).when(~F.col("display_title"), say("07-002", "error")),
+        F.when(lang == "", say("11-006", "error")).when(~t.valid_language(lang), say("11-007", "warning")),
+        F.when(F.coalesce("author", F.lit("")) == "", say("metadata-quality", "info")),
     )
     return rows.select("doc_id", F.explode(F.array_compact(found)).alias("i")).select("doc_id", "i.*")
 

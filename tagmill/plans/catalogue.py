@@ -2,5 +2,214 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagmill.functions import colour as c
+from tagmill.functions import geometry as g
+from tagmill.functions import text as t
+from tagmill.operators import conformance, export, layout, lists, matching, metadata, tables, tree
+from tagmill.plans import fixtures as fx
+from tagmill.plans.fixtures import frame
+from tagmill.sources import pages as pg
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+K = ", ".join(fx.ORDER)
+
+
+def over(source: str, name: str, oracle: str | None = None):
+    """Registers a query of one logical input; the oracle's {s} stands for it."""
+
+    def add(f: Callable[[DataFrame], DataFrame]):
+        QUERIES[name] = lambda spark, d: f(frame(spark, d, source))
+        if oracle:
+            ORACLES[name] = oracle.replace("{s}", f"({fx.LINES_DUCK if source is fx.LINES_SPARK else source})")
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- trees ---------------------------------------------------------------------------
+
+over(fx.HEADINGS, "heading_skip", f"select doc_id, {K}, level, expected from (select *, coalesce(max(level) over (partition by doc_id order by {K} rows between unbounded preceding and 1 preceding), 0) + 1 as expected from {{s}} h) t where level > expected")(lambda h: tree.heading_skips(h, "doc_id", fx.ORDER).select("doc_id", *fx.ORDER, "level", "expected"))
+over(fx.HEADINGS, "heading_repair", f"select doc_id, {K}, level, i + min(level - i) over (partition by doc_id order by {K} rows between unbounded preceding and current row) as fixed from (select *, row_number() over (partition by doc_id order by {K}) as i from {{s}} h) t")(lambda h: tree.repaired_levels(h, "doc_id", fx.ORDER).select("doc_id", *fx.ORDER, "level", "fixed"))
+over(fx.HEADINGS, "page_heading_jump", f"select doc_id, page, {K}, level, previous from (select *, lag(level) over (partition by doc_id, page order by {K}) as previous from {{s}} h) t where level > previous + 2")(lambda h: tree.page_jumps(h, "doc_id", "page", fx.ORDER).select("doc_id", "page", *fx.ORDER, "level", "previous"))
+
+_EDGES = ", ".join(f"('{p}', '{k}')" for p, ks in tree.CHILDREN.items() for k in ks)
+_PARENTS = ", ".join(f"'{p}'" for p in tree.CHILDREN)
+over(fx.NODES, "illegal_nesting", f"with n as (select * from {{s}} x), v(p, k) as (values {_EDGES}) select k.doc_id, k.node_id, k.parent_id, k.type, u.type as parent_type from n k join n u on u.doc_id = k.doc_id and u.node_id = k.parent_id where u.type in ({_PARENTS}) and not exists (select 1 from v where v.p = u.type and v.k = k.type)")(lambda n: tree.illegal_nesting(n).select("doc_id", "node_id", "parent_id", "type", "parent_type"))
+over(fx.NODES, "list_rules", "with n as (select * from {s} x) select l.doc_id, l.node_id, count(*) filter (where k.type = 'LI') as items, count(*) filter (where k.type <> 'LI') as others from n l left join n k on k.doc_id = l.doc_id and k.parent_id = l.node_id where l.type = 'L' group by l.doc_id, l.node_id")(tree.list_rules)
+over(fx.NODES, "max_depth", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, 0 as depth from n where parent_id is null union all select n.doc_id, n.node_id, t.depth + 1 from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select doc_id, max(depth) as max_depth from t group by doc_id")(lambda n: tree.depths(n).groupBy("doc_id").agg(F.max("depth").alias("max_depth")))
+over(fx.NODES, "tree_stats", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, 0 as depth from n where parent_id is null union all select n.doc_id, n.node_id, t.depth + 1 from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select doc_id, count(*) as nodes, max(depth) as max_depth, count(*) filter (where trim(text) <> '') as with_text, count(distinct type) as types from n join t using (doc_id, node_id) group by doc_id")(tree.statistics)
+over(fx.NODES, "lang_inheritance", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, nullif(lang, '') as eff_lang from n where parent_id is null union all select n.doc_id, n.node_id, coalesce(nullif(n.lang, ''), t.eff_lang) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select * from t")(tree.effective_languages)
+over(fx.NODES, "subtree_delete", "with recursive n as (select * from {s} x), t as (select doc_id, node_id from n where type = 'L' union all select n.doc_id, n.node_id from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select doc_id, node_id, type from n where (doc_id, node_id) not in (select doc_id, node_id from t)")(lambda n: tree.without_subtrees(n, n.where("type = 'L'").select("doc_id", "node_id")).select("doc_id", "node_id", "type"))
+over(fx.NODES, "ancestor_search", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, parent_id from n where lower(text) like '%urgent%' union select n.doc_id, n.node_id, n.parent_id from n join t on n.doc_id = t.doc_id and n.node_id = t.parent_id) select distinct doc_id, node_id from t")(lambda n: tree.ancestors(n, n.where(F.contains(F.lower("text"), F.lit("urgent"))).select("doc_id", "node_id")).select("doc_id", "node_id").distinct())
+_PAIRS = "node_id in ('c1','c2','c3','c7','c12','c30','c44','c55','c60','c71')"
+over(fx.NODES, "common_ancestor", f"with recursive n as (select * from {{s}} x), a as (select doc_id, node_id as start, node_id, parent_id, 0 as up from n where {_PAIRS} union all select n.doc_id, a.start, n.node_id, n.parent_id, a.up + 1 from n join a on n.doc_id = a.doc_id and n.node_id = a.parent_id) select p.doc_id, p.start as a, q.start as b, min_by(p.node_id, p.up) as common from a p join a q on p.doc_id = q.doc_id and p.node_id = q.node_id where p.start < q.start group by all")(
+    lambda n: tree.common_ancestors(n, n.where(_PAIRS).select("doc_id", F.col("node_id").alias("a")).join(n.where(_PAIRS).select("doc_id", F.col("node_id").alias("b")), "doc_id").where("a < b"))
+)
+_STD = ", ".join(f"'{x}'" for x in tree.STANDARD)
+over(fx.ROLES, "role_map_terminal", f"with recursive m as (select * from {{s}} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop) and t.hop not in ({_STD})) select doc_id, custom, max_by(case when list_contains(seen, hop) then 'CYCLE' else hop end, steps) as terminal from t group by doc_id, custom")(tree.terminal_types)
+over("select p_partkey, p_type from part", "type_by_name_pattern", "select p_partkey, p_type, case when regexp_matches(lower(p_type), '^(fig|im(age|g)|pict|promo)') then 'Figure' else 'P' end as type from {s} x")(lambda p: p.withColumn("type", tree.type_by_name(F.col("p_type"))))
+over("select page_id, html from pages", "tag_inventory", "select tag, count(*) as n, count(distinct page_id) as pages from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)', 1)) as tag from {s} x) t group by tag")(lambda p: pg.tags(p).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")))
+over("select page_id, html from pages", "page_nodes")(lambda p: pg.nodes(p).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("text_chars")))
+
+# ---- tables --------------------------------------------------------------------------
+
+_ROWS = "r as (select table_id, row_id, count(*) as cells, count(*) filter (where kind = 'TH') as heads from s group by table_id, row_id)"
+_SHAPE = f"with s as (select * from {{s}} x), {_ROWS}, h as (select table_id, count(*) as n_rows, max(cells) as max_cols, min(cells) as min_cols, count(*) filter (where heads > 0.5 * cells) as header_rows from r group by table_id)"
+over(fx.CELLS, "table_shape", f"{_SHAPE} select *, (n_rows > 3 and max_cols > 3) or header_rows > 1 as complex from h")(tables.shape)
+over(fx.CELLS, "ragged_tables", f"{_SHAPE} select *, (n_rows > 3 and max_cols > 3) or header_rows > 1 as complex from h where max_cols - min_cols > 1")(tables.ragged)
+over(fx.CELLS, "complex_tables", f"{_SHAPE} select table_id, n_rows, max_cols from h where (n_rows > 3 and max_cols > 3) or header_rows > 1")(lambda s: tables.shape(s).where("complex").select("table_id", "n_rows", "max_cols"))
+over(fx.CELLS, "row_mode_outliers", f"with s as (select * from {{s}} x), {_ROWS}, z as (select table_id, cells, count(*) as n, min(row_id) as first from r group by table_id, cells), m as (select *, row_number() over (partition by table_id order by n desc, first) as k from z) select r.table_id, r.row_id, r.cells, m.cells as mode from r join m on r.table_id = m.table_id and m.k = 1 where r.cells <> m.cells")(tables.row_outliers)
+over(fx.CELLS, "header_columns", "with s as (select *, greatest(coalesce(try_cast(colspan as integer), 1), 1) as w from {s} x), a as (select *, coalesce(sum(w) over (partition by table_id, row_id order by col rows between unbounded preceding and 1 preceding), 0) as st from s), o as (select table_id, kind, unnest(range(cast(st as bigint), cast(st + w as bigint))) as col_at from a), b as (select table_id, col_at, count(*) as cells, count(*) filter (where kind = 'TH') as heads from o group by table_id, col_at) select table_id, col_at as \"column\", cells, heads from b where heads > 0.5 * cells")(tables.header_columns)
+over(fx.CELLS, "header_ref_integrity", "with s as (select * from {s} x), r as (select table_id, cell_id, unnest(list_filter(string_split(headers, ' '), lambda x: x <> '')) as ref from s) select table_id, ref, cell_id from r where not exists (select 1 from s where s.table_id = r.table_id and s.cell_id = r.ref)")(tables.dangling_headers)
+over(fx.CELLS, "span_validity", f"{_SHAPE} select * from (select s.table_id, row_id, col, colspan, case when try_cast(colspan as integer) is null then 'not a number' when try_cast(colspan as integer) <= 0 then 'not positive' when try_cast(colspan as integer) > max_cols then 'too wide' end as problem from s join h using (table_id)) t where problem is not null")(lambda s: tables.bad_spans(s).select("table_id", "row_id", "col", "colspan", "problem"))
+over(fx.CELLS, "scope_suggestion", f"with s as (select * from {{s}} x), {_ROWS} select s.table_id, s.row_id, s.col, case when heads > 0.5 * cells then 'Column' when col = 1 then 'Row' else 'Both' end as suggested from s join r on s.table_id = r.table_id and s.row_id = r.row_id where kind = 'TH' and scope = ''")(lambda s: tables.missing_scopes(s).select("table_id", "row_id", "col", "suggested"))
+
+# ---- language, metadata, text --------------------------------------------------------
+
+
+def _count(p: str) -> str:
+    return f"cast((length(lo) - length(replace(lo, '{p}', ''))) / {len(p)} as bigint)"
+
+
+_SCORES = ", ".join(f"{' + '.join(_count(p) for p in ps)} as {k}" for k, ps in t.LANGUAGE_PATTERNS.items())
+over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es' when en then 'en' when fr then 'fr' when de then 'de' else 'it' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
+_VALID = f"(language in ({', '.join(repr(x) for x in t.LANGUAGE_CODES)}) or regexp_full_match(language, '[a-z]{{2,3}}(-[A-Z]{{2,3}})?'))"
+over(fx.META, "lang_code_check", f"select doc_id, language, {_VALID} as valid from {{s}} x")(lambda m: m.select("doc_id", "language", t.valid_language(F.col("language")).alias("valid")))
+over(fx.META, "lang_suggestions", f"select doc_id, case when base = '' then 'es-ES' else concat(base, ',', base, '-', upper(base)) end as codes from (select *, lower(regexp_extract(language, '^([A-Za-z]{{2}})', 1)) as base from {{s}} x) y where not {_VALID}")(metadata.suggestions)
+over(fx.META, "reading_mode", "select doc_id, 'lr-tb' as mode from {s} x")(lambda m: m.select("doc_id", t.reading_mode(F.col("language")).alias("mode")))
+_GENERIC = ", ".join(f"'{x}'" for x in t.GENERIC_TITLES)
+over(fx.META, "title_rules", f"with m as (select * from {{s}} x) select doc_id, 'blank' as problem from m where trim(title) = '' union all select doc_id, 'file name' from m where lower(title) = lower(filename) union all select doc_id, 'generic' from m where lower(trim(title)) in ({_GENERIC}) union all select doc_id, 'length' from m where length(title) < 3 or length(title) > 200 union all select doc_id, 'characters' from m where regexp_matches(title, '[<>{{}}\\[\\]\\\\|]')".replace("{{", "{").replace("}}", "}").replace("{s}", "{s}"))(metadata.title_problems)
+over(fx.META, "title_score", r"select doc_id, round(case when trim(title) = '' then 0.0 else 0.4 * case when length(title) < 5 then 0.2 when length(title) <= 100 then 1.0 else 0.6 end + 0.4 * case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0.0 end + 0.2 * case when regexp_matches(title, '^[A-ZÀ-Ý]') then 1.0 else 0.0 end end, 6) as score from (select *, list_filter(regexp_split_to_array(lower(title), '[ \t\n\r]+'), lambda v: v <> '') as w from {s} x) y")(lambda m: m.select("doc_id", F.round(t.title_score(F.col("title")), 6).alias("score")))
+over(fx.META, "filename_title", "select doc_id, array_to_string(list_transform(list_filter(string_split(translate(regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '[.][A-Za-z0-9]+$', ''), '-_', '  '), ' '), lambda v: v <> ''), lambda v: concat(upper(substring(v, 1, 1)), lower(substring(v, 2)))), ' ') as title from {s} x")(lambda m: m.select("doc_id", t.title_of_filename(F.col("filename")).alias("title")))
+over(fx.META, "metadata_completeness", "select doc_id, round((case when title <> '' then 1 else 0 end + case when author <> '' then 1 else 0 end + case when subject <> '' then 1 else 0 end + case when keywords <> '' then 1 else 0 end + case when language <> '' then 1 else 0 end + case when display_title then 1 else 0 end) / 6 * 100, 6) as completeness from {s} x")(lambda m: metadata.completeness(m).select("doc_id", F.round("completeness", 6).alias("completeness")))
+over(fx.META, "metadata_issues", f"with m as (select * from {{s}} x) select doc_id, '06-003' as checkpoint, 'error' as severity from m where trim(title) = '' union all select doc_id, case when display_title is null then '07-001' else '07-002' end, 'error' from m where display_title is null or not display_title union all select doc_id, '11-006', 'error' from m where language = '' union all select doc_id, '11-007', 'warning' from m where language <> '' and not {_VALID} union all select doc_id, 'metadata-quality', 'info' from m where author = ''")(metadata.issues)
+over(fx.META, "metadata_recommendations", "select doc_id, concat_ws('; ', case when title = '' then 'add a title' end, case when language = '' then 'declare a language' end, case when author = '' then 'name the author' end, case when not coalesce(display_title, false) then 'display the title' end) as advice from {s} x")(metadata.recommendations)
+over("select doc_id, text from documents", "normalize_text", r"select doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) as digest from {s} x")(lambda d: d.select("doc_id", F.md5(t.normalised(F.col("text"))).alias("digest")))
+over("select doc_id, text from documents", "text_quality", r"select doc_id, concat_ws(',', case when contains(text, '  ') then 'double space' end, case when length(text) > 1000 then 'long' end, case when length(text) > 0 and length(regexp_replace(text, '[A-Za-z0-9À-ÿ \n]', '', 'g')) / length(text) > 0.3 then 'special' end) as problems from {s} x")(lambda d: d.select("doc_id", t.text_problems(F.col("text")).alias("problems")))
+over("select doc_id, text from documents", "ocr_quality", r"select doc_id, round(((1 - length(regexp_replace(text, '[A-Za-z0-9À-ÿ .,;:!?\n-]', '', 'g')) / greatest(length(text), 1)) + (1 - len(list_filter(w, lambda v: length(v) = 1)) / greatest(len(w), 1)) + (1 - len(list_filter(w, lambda v: regexp_matches(v, '(aaa|eee|iii|ooo|xxx|nnn|mmm|lll)'))) / greatest(len(w), 1))) / 3 * case when length(text) < 50 then 0.8 else 1.0 end, 6) as quality from (select *, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda v: v <> '') as w from {s} x) y")(lambda d: d.select("doc_id", F.round(t.recognition_quality(F.col("text")), 6).alias("quality")))
+over("select item_id, case item_id % 4 when 0 then 'image 12' when 1 then 'Foto' else text end as alt from benchmark", "generic_alt", "select item_id, length(trim(alt)) < 10 or regexp_matches(lower(trim(alt)), '^(imagen?|image|picture|foto|photo|figura|figure|gráfico|icon|logo)[ _-]?[0-9]*$') as generic from {s} x")(lambda b: b.select("item_id", t.generic_alt(F.col("alt")).alias("generic")))
+over("select p_partkey as image_id, case when p_partkey % 3 = 0 then p_name else 'image' end as alt, concat('img/', lower(replace(p_brand, '#', '_')), '.png') as file_name, p_size as width, p_partkey % 40 as height from part", "alt_text", "select image_id, case when not gen then 'alt' when length(nm) >= 10 then 'file' else 'shape' end as source, case when not gen then trim(alt) when length(nm) >= 10 then nm else concat('image ', case when width > 1.5 * height then 'wide' when height > 1.5 * width then 'tall' else 'square' end) end as chosen from (select *, length(trim(alt)) < 10 or regexp_matches(lower(trim(alt)), '^(imagen?|image|picture|foto|photo|figura|figure|gráfico|icon|logo)[ _-]?[0-9]*$') as gen, array_to_string(list_transform(list_filter(string_split(translate(regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '[.][A-Za-z0-9]+$', ''), '-_', '  '), ' '), lambda v: v <> ''), lambda v: concat(upper(substring(v, 1, 1)), lower(substring(v, 2)))), ' ') as nm from {s} x) y")(lambda i: matching.alt_texts(i).select("image_id", "source", "chosen"))
+
+# ---- colour --------------------------------------------------------------------------
+
+
+def _lin(x: str) -> str:
+    return f"case when {x} / 255 <= 0.03928 then {x} / 255 / 12.92 else pow(({x} / 255 + 0.055) / 1.055, 2.4) end"
+
+
+def _lum(r: str, gr: str, b: str) -> str:
+    return f"(0.2126 * {_lin(r)} + 0.7152 * {_lin(gr)} + 0.0722 * {_lin(b)})"
+
+
+def _ratio(a: tuple, b: tuple) -> str:
+    return f"((greatest({_lum(*a)}, {_lum(*b)}) + 0.05) / (least({_lum(*a)}, {_lum(*b)}) + 0.05))"
+
+
+
+
+def _rgb(*names: str) -> tuple:
+    return tuple(F.col(n) for n in names)
+
+
+_R = _ratio(("r", "g", "b"), ("br", "bg", "bb"))
+_NEED = "case when size >= 18 or (bold and size >= 14) then 3.0 else 4.5 end"
+over(fx.COLOURS, "contrast_ratio", f"select doc_id, {K}, round({_R}, 6) as ratio, case when {_R} >= 7 then 'AAA' when {_R} >= 4.5 then 'AA' when {_R} >= 3 then 'AA large' else 'insufficient' end as level from {{s}} x")(lambda x: x.withColumn("q", c.contrast_ratio(_rgb("r", "g", "b"), _rgb("br", "bg", "bb"))).select("doc_id", *fx.ORDER, F.round("q", 6).alias("ratio"), c.level_description(F.col("q")).alias("level")))
+over(fx.COLOURS, "contrast_issues", f"select doc_id, {K}, round({_R}, 6) as ratio, {_NEED} as need from {{s}} x where {_R} < {_NEED}")(lambda x: x.withColumn("q", c.contrast_ratio(_rgb("r", "g", "b"), _rgb("br", "bg", "bb"))).withColumn("need", c.required_ratio(F.col("size"), F.col("bold"))).where("q < need").select("doc_id", *fx.ORDER, F.round("q", 6).alias("ratio"), "need"))
+_HEX = "concat('#', lower(lpad(printf('%x', {}), 2, '0')), lower(lpad(printf('%x', {}), 2, '0')), lower(lpad(printf('%x', {}), 2, '0')))"
+over(fx.COLOURS, "rgb_hex_visibility", f"select doc_id, {K}, {_HEX.format('r', 'g', 'b')} as hex, case when (0.299 * r + 0.587 * g + 0.114 * b) / 255 > 0.5 then 'light' else 'dark' end as visibility from {{s}} x".replace("{{s}}", "{s}"))(lambda x: x.select("doc_id", *fx.ORDER, c.hex_of(*_rgb("r", "g", "b")).alias("hex"), c.visibility(*_rgb("r", "g", "b")).alias("visibility")))
+over("select p_partkey, case p_partkey % 7 when 0 then 'Red' when 1 then '#0aF' when 2 then concat('#00ff', lpad(cast(p_size as string), 2, '0')) when 3 then concat('rgb(', cast(p_size as string), ', 2,3)') when 4 then 'rgba(1,2,3,0.5)' when 5 then 'navy' else 'none' end as txt from part", "color_parse", "select p_partkey, case p_partkey % 7 when 0 then 255 when 1 then 0 when 2 then 0 when 3 then p when 4 then 1 when 5 then 0 end as r, case p_partkey % 7 when 0 then 0 when 1 then 170 when 2 then 255 when 3 then 2 when 4 then 2 when 5 then 0 end as g from (select p_partkey, p_size as p from part) y")(lambda x: x.withColumn("v", c.parsed(F.col("txt"))).select("p_partkey", "v.r", "v.g"))
+_MAX, _MIN = "greatest(r, g, b)", "least(r, g, b)"
+over(fx.COLOURS, "rgb_hsl", f"select doc_id, {K}, cast(round_even(hh * 60, 0) as integer) as h, cast(round_even(ss * 100, 0) as integer) as s, cast(round_even(l * 100, 0) as integer) as l from (select *, (hi + lo) / 2 as l, case when hi = lo then 0 when (hi + lo) / 2 > 0.5 then (hi - lo) / (2 - hi - lo) else (hi - lo) / (hi + lo) end as ss, case when hi = lo then 0 when hi = x then (y - z) / (hi - lo) + case when y < z then 6 else 0 end when hi = y then (z - x) / (hi - lo) + 2 else (x - y) / (hi - lo) + 4 end as hh from (select *, r / 255 as x, g / 255 as y, b / 255 as z, greatest(r, g, b) / 255 as hi, least(r, g, b) / 255 as lo from {{s}} q) a) c")(lambda x: x.withColumn("v", c.to_hsl(*_rgb("r", "g", "b"))).select("doc_id", *fx.ORDER, "v.h", "v.s", "v.l"))
+_DARK = tuple(f"floor({x} * cast(0.7 as double))" for x in "rgb")
+_LIGHT = tuple(f"floor({x} + (255 - {x}) * cast(0.7 as double))" for x in ("br", "bg", "bb"))
+_BG = ("br", "bg", "bb")
+over(fx.COLOURS, "color_suggestions", f"select doc_id, {K}, case when {_ratio(_DARK, _BG)} >= {_NEED} then 'darken text' when {_ratio(('r', 'g', 'b'), _LIGHT)} >= {_NEED} then 'lighten background' when {_ratio(_DARK, _LIGHT)} >= {_NEED} then 'both' when {_ratio(('0', '0', '0'), _BG)} >= {_ratio(('255', '255', '255'), _BG)} then 'black text' else 'white text' end as suggestion from {{s}} x where {_R} < {_NEED}")(lambda x: x.withColumn("need", c.required_ratio(F.col("size"), F.col("bold"))).where(c.contrast_ratio(_rgb("r", "g", "b"), _rgb("br", "bg", "bb")) < F.col("need")).select("doc_id", *fx.ORDER, c.suggestion(_rgb("r", "g", "b"), _rgb("br", "bg", "bb"), F.col("need")).alias("suggestion")))
+over(fx.BOXES, "page_background", "select doc_id, page, min_by(color, elem_id) as color from {s} x where (x1 - x0) * (y1 - y0) > 500 group by doc_id, page")(lambda b: b.where(g.area(g.rect()) > 500).groupBy("doc_id", "page").agg(F.min_by("color", "elem_id").alias("color")))
+over(fx.BOXES, "colored_text_groups", "select page, font, size, count(*) as items, count(distinct color) as colors from {s} x group by page, font, size having count(*) >= 3 and count(distinct color) >= 3")(lambda b: b.groupBy("page", "font", "size").agg(F.count("*").alias("items"), F.countDistinct("color").alias("colors")).where("items >= 3 and colors >= 3"))
+
+# ---- geometry ------------------------------------------------------------------------
+
+_PAIR = "with s as (select * from {s} x), p as (select a.doc_id, a.elem_id as a_elem_id, b.elem_id as b_elem_id, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1, b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as o, (a.x1 - a.x0) * (a.y1 - a.y0) as aa, (b.x1 - b.x0) * (b.y1 - b.y0) as ba from s a join s b on a.doc_id = b.doc_id and a.page = b.page)"
+over(fx.BOXES, "overlap_pairs", f"{_PAIR} select doc_id, a_elem_id, b_elem_id, round(o / least(aa, ba), 6) as ratio from p where a_elem_id < b_elem_id and o / least(aa, ba) >= 0.5")(lambda b: layout.overlaps(b).select("doc_id", "a_elem_id", "b_elem_id", F.round("ratio", 6).alias("ratio")))
+over(fx.BOXES, "bbox_ops", f"{_PAIR} select doc_id, a_elem_id, b_elem_id, o as overlap, o >= 0.9 * aa as a_in_b, ax0 <= bx1 and bx0 <= ax1 and ay0 <= by1 and by0 <= ay1 as touching, case when abs((bx0 + bx1) / 2 - (ax0 + ax1) / 2) > abs((by0 + by1) / 2 - (ay0 + ay1) / 2) then case when (bx0 + bx1) / 2 > (ax0 + ax1) / 2 then 'LR' else 'RL' end else case when (by0 + by1) / 2 > (ay0 + ay1) / 2 then 'TB' else 'BT' end end as direction from p where a_elem_id < b_elem_id")(
+    lambda b: layout.paired(b).select("doc_id", "a_elem_id", "b_elem_id", g.overlap_area(g.rect("a_"), g.rect("b_")).alias("overlap"), g.contained(g.rect("a_"), g.rect("b_")).alias("a_in_b"), g.touching(g.rect("a_"), g.rect("b_")).alias("touching"), g.direction(g.rect("a_"), g.rect("b_")).alias("direction"))
+)
+over(fx.BOXES, "combined_bbox", "select doc_id, page, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from {s} x group by doc_id, page")(lambda b: b.groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))
+_LINE = "with s as (select * from {s} x), m as (select *, max(y1) over (partition by doc_id, page order by y0, x0, elem_id rows between unbounded preceding and 1 preceding) as reach from s), l as (select *, sum(case when reach is null or y0 > reach + 3 then 1 else 0 end) over (partition by doc_id, page order by y0, x0, elem_id rows between unbounded preceding and current row) as line from m)"
+over(fx.BOXES, "line_islands", f"{_LINE} select doc_id, elem_id, cast(line as bigint) as line from l")(lambda b: layout.lines(b, 3.0).select("doc_id", "elem_id", "line"))
+over(fx.BOXES, "visual_order_displacement", f"{_LINE}, v as (select *, row_number() over (partition by doc_id, page order by line, x0, elem_id) as visual, row_number() over (partition by doc_id, page order by pre_order, elem_id) as cur from l) select doc_id, elem_id, cur as current, visual, abs(cur - visual) as off, case when abs(cur - visual) > 3 then 'error' else 'warning' end as severity from v where abs(cur - visual) > 1")(lambda b: layout.displaced(b).select("doc_id", "elem_id", "current", "visual", "off", "severity"))
+over(fx.BOXES, "chained_clusters", "with s as (select distinct doc_id, page, x0, count(*) over (partition by doc_id, page, x0) as n from {s} x), g as (select *, case when x0 - lag(x0) over (partition by doc_id, page order by x0) < 10 then 0 else 1 end as nw from s), k as (select *, sum(nw) over (partition by doc_id, page order by x0) as cluster from g) select doc_id, cast(cluster as bigint) as cluster, min(x0) as low, max(x0) as high, cast(sum(n) as bigint) as members from k group by doc_id, page, cluster")(lambda b: layout.chained_clusters(b, ["doc_id", "page"], "x0", 10.0).select("doc_id", "cluster", "low", "high", "members"))
+over(fx.BOXES, "anchored_clusters", "with recursive v as (select doc_id, page, x0, row_number() over (partition by doc_id, page order by x0, elem_id) as i from {s} x), t as (select doc_id, page, x0, i, x0 as anchor, 0 as cluster from v where i = 1 union all select v.doc_id, v.page, v.x0, v.i, case when v.x0 - t.anchor < 10 then t.anchor else v.x0 end, case when v.x0 - t.anchor < 10 then t.cluster else t.cluster + 1 end from t join v on v.doc_id = t.doc_id and v.page = t.page and v.i = t.i + 1) select doc_id, cluster, anchor, round(avg(x0), 6) as mean, cast(count(*) as integer) as members from t group by doc_id, page, cluster, anchor")(lambda b: layout.anchored_clusters(b, ["doc_id", "page"], "x0", 10.0).select("doc_id", "cluster", "anchor", F.round("mean", 6).alias("mean"), "members"))
+over(fx.BOXES, "nearest_element", f"{_PAIR}, d as (select doc_id, a_elem_id as elem_id, b_elem_id, sqrt(pow(greatest(ax0 - bx1, bx0 - ax1, 0), 2) + pow(greatest(ay0 - by1, by0 - ay1, 0), 2)) as dist from p where a_elem_id <> b_elem_id), k as (select *, row_number() over (partition by doc_id, elem_id order by dist, b_elem_id) as n from d) select doc_id, elem_id, b_elem_id as near_id, round(dist, 6) as distance from k where n = 1")(lambda b: layout.nearest(b, b).select("doc_id", "elem_id", "near_id", F.round("distance", 6).alias("distance")))
+over(fx.BOXES, "hit_test", "with s as (select * from {s} x), h as (select a.doc_id, a.elem_id as point_id, b.elem_id, (b.x1 - b.x0) * (b.y1 - b.y0) as area, row_number() over (partition by a.doc_id, a.elem_id order by (b.x1 - b.x0) * (b.y1 - b.y0), b.elem_id) as n from s a join s b on a.doc_id = b.doc_id and a.page = b.page and a.x0 + 8 between b.x0 and b.x1 and a.y0 + 5 between b.y0 and b.y1) select doc_id, point_id, elem_id, area from h where n = 1")(lambda b: layout.hit(b.select("doc_id", "page", F.col("elem_id").alias("point_id"), (F.col("x0") + 8).alias("x"), (F.col("y0") + 5).alias("y")), b).select("doc_id", "point_id", "elem_id", "area"))
+over(fx.BOXES, "column_assign", "select doc_id, elem_id, k as column_no from (select *, unnest([0, 1, 2, 3, 4]) as k from {s} x) y where (x0 + x1) / 2 between k * 25 and k * 25 + 25")(lambda b: layout.columns_of(b, b.select("doc_id", "page").distinct().withColumn("column_no", F.explode(F.array(*[F.lit(i) for i in range(5)]))).withColumn("low", F.col("column_no") * 25).withColumn("high", F.col("low") + 25)).select("doc_id", "elem_id", "column_no"))
+over(fx.BOXES, "line_crossings", "with s as (select * from {s} x) select h.doc_id, h.elem_id as h_id, v.elem_id as v_id from s h join s v on h.doc_id = v.doc_id and h.page = v.page where h.elem_id % 2 = 0 and v.elem_id % 2 = 1 and v.x0 between h.x0 - 2 and h.x1 + 2 and h.y0 between v.y0 - 2 and v.y1 + 2")(lambda b: layout.crossings(b.where("elem_id % 2 = 0").select("doc_id", "page", F.col("elem_id").alias("h_id"), "x0", "x1", F.col("y0").alias("y")), b.where("elem_id % 2 = 1").select("doc_id", "page", F.col("elem_id").alias("v_id"), "y0", "y1", F.col("x0").alias("x"))).select("doc_id", "h_id", "v_id"))
+over(fx.BOXES, "font_consistency", "select font, count(*) as spans, count(distinct size) as sizes, count(distinct doc_id) as documents from {s} x group by font")(lambda b: b.groupBy("font").agg(F.count("*").alias("spans"), F.countDistinct("size").alias("sizes"), F.countDistinct("doc_id").alias("documents")))
+over(fx.BOXES, "content_blocks")(lambda b: layout.grown_blocks(b, 5.0))
+
+# ---- lists and artefacts -------------------------------------------------------------
+
+_KIND = r"case when regexp_matches(text, '^[-•*–—] ') then 'bullet' when regexp_matches(text, '^[0-9]+[.)] ') then 'numbered-decimal' when regexp_matches(text, '^[a-z][.)] ') then 'numbered-lower-alpha' when regexp_matches(text, '^[A-Z][.)] ') then 'numbered-upper-alpha' when regexp_matches(text, '^[ivxlc]+[.)] ') then 'numbered-lower-roman' when regexp_matches(text, '^[IVXLC]+[.)] ') then 'numbered-upper-roman' end"
+over(fx.LINES_SPARK, "list_marker_type", f"select doc_id, seq, {_KIND} as type from {{s}} x where {_KIND} is not null")(lambda x: x.select("doc_id", "seq", t.marker_type(F.col("text")).alias("type")).where("type is not null"))
+over(fx.LINES_SPARK, "list_runs", f"with s as (select *, {_KIND} as type from {{s}} x), g as (select *, case when type is not distinct from lag(type) over (partition by doc_id order by seq) and row_number() over (partition by doc_id order by seq) > 1 then 0 else 1 end as nw from s), r as (select *, sum(nw) over (partition by doc_id order by seq rows between unbounded preceding and current row) as run from g) select doc_id, type, min(seq) as first, count(*) as items from r where type is not null group by doc_id, run, type having count(*) >= 2")(lists.runs)
+over(fx.LINES_SPARK, "numbering_style", f"select doc_id, case when greatest(d, a, b, e, f) = 0 then 'None' when d = greatest(d, a, b, e, f) then 'decimal' when a = greatest(d, a, b, e, f) then 'lower-alpha' when b = greatest(d, a, b, e, f) then 'upper-alpha' when e = greatest(d, a, b, e, f) then 'lower-roman' else 'upper-roman' end as style, greatest(d, a, b, e, f) as items from (select doc_id, count(*) filter (where k = 'numbered-decimal') as d, count(*) filter (where k = 'numbered-lower-alpha') as a, count(*) filter (where k = 'numbered-upper-alpha') as b, count(*) filter (where k = 'numbered-lower-roman') as e, count(*) filter (where k = 'numbered-upper-roman') as f from (select doc_id, {_KIND} as k from {{s}} x) y group by doc_id) z")(lists.numbering_styles)
+over(fx.LINES_SPARK, "label_split", "select doc_id, seq, label, md5(trim(substring(text, length(label) + 1))) as body from (select *, regexp_extract(text, '^([-•*–—]|[0-9]+[.)]|[a-zA-Z][.)]|[ivxlcIVXLC]+[.)]) ', 1) as label from {s} x) y where label <> ''")(lambda x: lists.labels(x).select("doc_id", "seq", "label", F.md5("body").alias("body")))
+over(fx.LINES_SPARK, "text_table_split", r"select doc_id, seq, cast(n as integer) as cells from (select *, len(list_filter(list_transform(regexp_split_to_array(text, '\s{2,}|\t|\|'), lambda v: trim(v)), lambda v: v <> '')) as n from {s} x) y where n >= 2")(lambda x: lists.split_tables(x).select("doc_id", "seq", "cells"))
+over(fx.LINES_SPARK, "block_classify", f"select doc_id, seq, case when 8 + seq % 10 > 16 then 'H1' when 8 + seq % 10 > 14 and doc_id % 2 = 0 then 'H2' when 8 + seq % 10 > 12 and doc_id % 2 = 0 then 'H3' when {_KIND} is not null then 'list' when contains(text, '|') then 'table' else 'P' end as block from {{s}} x")(lambda x: lists.classified(x.withColumn("size", 8 + F.col("seq") % 10).withColumn("bold", F.col("doc_id") % 2 == 0)).select("doc_id", "seq", "block"))
+over("select l_orderkey as doc_id, cast(floor(l_quantity) as bigint) as n from lineitem", "page_number_sequence", "with d as (select distinct doc_id, n from {s} x), s as (select *, n - lag(n) over (partition by doc_id order by n) as step from d) select doc_id, count(*) as numbers, coalesce(max(step), 0) <= 3 as sequence from s group by doc_id")(lists.number_sequences)
+_TURNS = "select conv_id as doc_id, turn as page, text from conversations"
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \t\n\r]+'), lambda v: v <> ''))"
+over(_TURNS, "jaccard_pairs", f"with s as (select doc_id, page, {_WORDS.format('text')} as w from {{s}} x), p as (select a.doc_id, a.page as a, b.page as b, case when len(a.w) = 0 or len(b.w) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as similarity from s a join s b on a.doc_id = b.doc_id and a.page < b.page) select doc_id, a, b, round(similarity, 6) as similarity from p where similarity >= 0.1")(lambda x: lists.similar_texts(x, 0.1).select("doc_id", "a", "b", F.round("similarity", 6).alias("similarity")))
+over(_TURNS, "repeated_headers")(lambda x: lists.repeated(x, 0.1))
+
+# ---- matching ------------------------------------------------------------------------
+
+QUERIES["image_figure_match"] = lambda s, d: matching.image_figures(frame(s, d, fx.IMAGES), frame(s, d, fx.FIGURES))
+ORACLES["image_figure_match"] = f"with a as (select *, row_number() over (partition by doc_id, page order by image_id desc) as k from ({fx.IMAGES}) x), b as (select *, row_number() over (partition by doc_id, page order by figure_id desc) as k from ({fx.FIGURES}) y) select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.page, b.page) as page, image_id, figure_id from a full join b on a.doc_id = b.doc_id and a.page = b.page and a.k = b.k"
+_HOST = "concat(regexp_extract(url, '^https?://([^/]+)', 1), href)"
+_LINKS = """select page_id as doc_id, text, concat(regexp_extract(url, '^https?://([^/]+)', 1), href) as dest from (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as text from pages) l"""
+QUERIES["ambiguous_links"] = lambda s, d: matching.ambiguous_links(pg.links(table(s, d, "pages")).select("text", F.expr(_HOST).alias("dest")))
+ORACLES["ambiguous_links"] = f"select trim(text) as text, count(distinct dest) as destinations, count(*) as links from ({_LINKS}) x where trim(text) <> '' group by trim(text) having count(distinct dest) > 1"
+QUERIES["unmatched_annotations"] = lambda s, d: matching.unmatched(frame(s, d, fx.IMAGES), frame(s, d, fx.FIGURES), ["doc_id", "page"])
+ORACLES["unmatched_annotations"] = f"select * from ({fx.IMAGES}) a where not exists (select 1 from ({fx.FIGURES}) f where f.doc_id = a.doc_id and f.page = a.page)"
+QUERIES["unstructured_widgets"] = lambda s, d: matching.unmatched(frame(s, d, fx.FIELDS), frame(s, d, "select distinct l_partkey as field_id from lineitem where l_quantity > 49"), ["field_id"]).select("field_id", "name", "type")
+ORACLES["unstructured_widgets"] = f"select field_id, name, type from ({fx.FIELDS}) f where field_id not in (select l_partkey from lineitem where l_quantity > 49)"
+_READ = "array_to_string(list_transform(list_filter(string_split(replace(regexp_replace(regexp_replace(name, '^(txt|chk|rad|btn|cmb|lst|fld|opt)_?', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' '), ' '), lambda v: v <> ''), lambda v: concat(upper(substring(v, 1, 1)), substring(v, 2))), ' ')"
+over(fx.FIELDS, "readable_field_name", f"select field_id, {_READ} as readable from {{s}} x")(lambda f: f.select("field_id", t.readable_field_name(F.col("name")).alias("readable")))
+over(fx.FIELDS, "field_flags", "select field_id, case when type = 'Btn' then case when flags & 65536 <> 0 then 'push button' when flags & 32768 <> 0 then 'radio button' else 'check box' end when type = 'Ch' then 'choice' when type = 'Sig' then 'signature' else 'text field' end as kind, case when type = 'Tx' then flags | 4096 else flags end as multiline_flags from {s} x")(lambda f: matching.described_fields(f).select("field_id", "kind", "multiline_flags"))
+
+# ---- conformance ---------------------------------------------------------------------
+
+_CAT = "case when contains(checkpoint, '-') then split_part(checkpoint, '-', 1) else '00' end"
+_CNT = "count(*) as total, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity not in ('error', 'warning')) as infos"
+_DIM = ", ".join(f"('{k:02d}', '{n}')" for k, n in enumerate(conformance.GROUPS, 1))
+_ROLL = f"with f as (select {_CAT} as category, {_CNT} from {{s}} x group by 1), d(category, name) as (values {_DIM}), z as (select coalesce(f.category, d.category) as category, coalesce(name, 'other') as name, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos from f full join d on f.category = d.category)"
+over(fx.ISSUES, "issue_filter", "select doc_id, checkpoint, description from {s} x where severity = 'error' and fixable and contains(lower(description), 'heading')")(lambda i: conformance.matching(i, severity="error", fixable=True, text="Heading").select("doc_id", "checkpoint", "description"))
+over(fx.ISSUES, "checkpoint_categories", f"select *, case when errors > 0 then 'error' when warnings > 0 then 'warning' else 'info' end as overall from (select checkpoint, {_CNT} from {{s}} x group by checkpoint) y")(conformance.by_checkpoint)
+over(fx.ISSUES, "conformance_status", "select doc_id, count(*) filter (where severity = 'error') = 0 as conformant, count(distinct case when severity = 'error' then checkpoint end) as blocking, count(*) as issues_count from {s} x group by doc_id")(conformance.status)
+over(fx.ISSUES, "conformance_rollup", f"{_ROLL} select * from z")(conformance.rollup)
+over(fx.ISSUES, "maturity", f"select doc_id, failing, cast(greatest(floor(100 * (1 - failing / 31)), 0) as bigint) as maturity from (select doc_id, count(distinct case when severity = 'error' then {_CAT} end) as failing from {{s}} x group by doc_id) y")(conformance.maturity)
+over(fx.ISSUES, "two_level_counts", f"select category, checkpoint, count(*) as total, count(*) filter (where severity = 'error') as errors from (select {_CAT} as category, checkpoint, severity from {{s}} x) y group by rollup(category, checkpoint)")(conformance.two_levels)
+over(fx.ISSUES, "top_categories", f"{_ROLL} select * from z where total > 0 order by total desc, category limit 10")(conformance.top_categories)
+over(fx.ISSUES, "issue_examples", "select checkpoint, n, description from (select *, row_number() over (partition by checkpoint order by doc_id, description) as n from {s} x) y where n <= 3")(lambda i: conformance.examples(i).select("checkpoint", "n", "description"))
+_FIRST = " ".join(f"when '{x}' then {k}" for k, x in enumerate(conformance.CRITICAL, 1))
+over(fx.ISSUES, "recommendations", f"{_ROLL} select place, category, name, errors from (select *, row_number() over (order by case category {_FIRST} else 99 end, errors desc, category) as place from z where errors > 0) y where place <= 5")(conformance.recommendations)
+over(fx.ISSUES, "issue_stats", f"select {_CNT}, count(*) filter (where fixable) as fixable, round_even(100.0 * count(*) filter (where fixable) / greatest(count(*), 1), 2) as fixable_percent from {{s}} x")(conformance.overview)
+
+# ---- files ---------------------------------------------------------------------------
+
+over(fx.ISSUES, "json_roundtrip", "select doc_id, checkpoint, severity, description, fixable, page from {s} x")(lambda i: export.from_json(export.to_json(i)))
+over(fx.NODES, "structure_xml")(lambda n: export.structure_xml(n.join(tree.depths(n), ["doc_id", "node_id"])))
+over(fx.HEADINGS, "repair_patches", f"select doc_id, {K}, 'level' as \"column\", cast(level as string) as old, cast(fixed as string) as new from (select *, i + min(level - i) over (partition by doc_id order by {K} rows between unbounded preceding and current row) as fixed from (select *, row_number() over (partition by doc_id order by {K}) as i from {{s}} h) t) u where level <> fixed")(
+    lambda h: export.patches(h, tree.repaired_levels(h, "doc_id", fx.ORDER).drop("level").withColumnRenamed("fixed", "level"), ["doc_id", *fx.ORDER], ["level"])
+)

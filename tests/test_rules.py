@@ -1,0 +1,126 @@
+"""Cases worked out by hand, one for each rule that order or ties decide."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tagmill.functions import colour, geometry, text
+from tagmill.operators import conformance, export, layout, lists, matching, tables, tree
+
+
+def headings(spark, levels):
+    return spark.createDataFrame([(1, 1, i, x) for i, x in enumerate(levels)], "doc_id long, page long, seq int, level int")
+
+
+@pytest.mark.parametrize(("levels", "bad"), [([2], [2]), ([1, 3, 2, 4], [3]), ([1, 2, 3], []), ([], [])])
+def test_heading_skips(spark, levels, bad):
+    assert [r["level"] for r in tree.heading_skips(headings(spark, levels), "doc_id", ["seq"]).collect()] == bad
+
+
+@pytest.mark.parametrize(("levels", "bad"), [([1, 4], [4]), ([1, 3], [])])
+def test_page_jumps(spark, levels, bad):
+    assert [r["level"] for r in tree.page_jumps(headings(spark, levels), "doc_id", "page", ["seq"]).collect()] == bad
+
+
+def test_heading_repair(spark):
+    got = tree.repaired_levels(headings(spark, [1, 3, 5, 2]), "doc_id", ["seq"]).orderBy("seq").collect()
+    assert [r["fixed"] for r in got] == [1, 2, 3, 2]
+
+
+NODES = [(1, 0, None, "Document", "", "es"), (1, 1, 0, "L", "", ""), (1, 2, 1, "P", "x", ""), (1, 3, 1, "LI", "y", "fr"), (1, 4, 3, "LBody", "z", "")]
+
+
+@pytest.fixture
+def nodes(spark):
+    return spark.createDataFrame(NODES, "doc_id long, node_id long, parent_id long, type string, text string, lang string")
+
+
+def test_trees(spark, nodes):
+    assert [(r["parent_type"], r["type"]) for r in tree.illegal_nesting(nodes).collect()] == [("L", "P")]
+    assert tree.list_rules(nodes).first()[2:] == (1, 1)
+    assert {r["node_id"]: r["depth"] for r in tree.depths(nodes).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 3}
+    assert {r["node_id"]: r["eff_lang"] for r in tree.effective_languages(nodes).collect()} == {0: "es", 1: "es", 2: "es", 3: "fr", 4: "fr"}
+    root = spark.createDataFrame([(1, 3)], "doc_id long, node_id long")
+    assert sorted(r["node_id"] for r in tree.without_subtrees(nodes, root).collect()) == [0, 1, 2]
+    pair = spark.createDataFrame([(1, 2, 4)], "doc_id long, a long, b long")
+    assert tree.common_ancestors(nodes, pair).first()["common"] == 1
+    assert tree.statistics(nodes).first()["max_depth"] == 3
+
+
+def test_role_map(spark):
+    rows = [(1, "A", "B"), (1, "B", "P"), (1, "X", "Y"), (1, "Y", "X"), (1, "Z", "Other")]
+    got = tree.terminal_types(spark.createDataFrame(rows, "doc_id int, custom string, mapped string"))
+    assert {r["custom"]: r["terminal"] for r in got.collect()} == {"A": "P", "B": "P", "X": "CYCLE", "Y": "CYCLE", "Z": "Other"}
+
+
+def test_tables(spark):
+    rows = [(1, 1, 1, "TH", "2", "", "a", ""), (1, 1, 2, "TD", "x", "", "b", "a z"), (1, 2, 1, "TD", "9", "", "c", ""), (1, 2, 2, "TD", "1", "", "d", ""), (1, 3, 1, "TD", "1", "", "e", "")]
+    cells = spark.createDataFrame(rows, "table_id int, row_id int, col int, kind string, colspan string, scope string, cell_id string, headers string")
+    assert [(r["cell_id"], r["ref"]) for r in tables.dangling_headers(cells).collect()] == [("b", "z")]
+    assert sorted(r["problem"] for r in tables.bad_spans(cells).collect()) == ["not a number", "too wide"]
+    assert tables.ragged(cells).count() == 0
+    assert [(r["row_id"], r["mode"]) for r in tables.row_outliers(cells).collect()] == [(3, 2)]
+    assert tables.missing_scopes(cells).first()["suggested"] == "Row"
+
+
+def test_colour(spark):
+    row = spark.range(1)
+    lit = lambda *x: tuple(F.lit(v) for v in x)
+    assert row.select(colour.contrast_ratio(lit(0, 0, 0), lit(255, 255, 255))).first()[0] == pytest.approx(21.0)
+    assert row.select(colour.required_ratio(F.lit(18.0), F.lit(False))).first()[0] == 3.0
+    assert row.select(colour.parsed(F.lit("#0aF"))).first()[0].asDict() == {"r": 0, "g": 170, "b": 255}
+    assert row.select(colour.parsed(F.lit("rgb(1, 2,3)"))).first()[0].asDict() == {"r": 1, "g": 2, "b": 3}
+    assert row.select(colour.parsed(F.lit("nothing"))).first()[0] is None
+
+
+def test_geometry_and_clusters(spark):
+    row = spark.range(1)
+    box = lambda *v: tuple(F.lit(float(x)) for x in v)
+    assert row.select(geometry.overlap_ratio(box(0, 0, 10, 10), box(5, 0, 15, 10))).first()[0] == 0.5
+    assert row.select(geometry.distance(box(0, 0, 1, 1), box(4, 5, 6, 6))).first()[0] == 5.0
+    assert row.select(geometry.direction(box(0, 0, 1, 1), box(5, 5, 6, 6))).first()[0] == "TB"
+    values = spark.createDataFrame([(1, v) for v in (0.0, 8.0, 16.0)], "doc_id int, v double")
+    assert [(r["mean"], r["members"]) for r in layout.anchored_clusters(values, ["doc_id"], "v", 10.0).orderBy("cluster").collect()] == [(4.0, 2), (16.0, 1)]
+    assert [(r["low"], r["members"]) for r in layout.chained_clusters(values, ["doc_id"], "v", 10.0).collect()] == [(0.0, 3)]
+    boxes = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 1.0, 1.0), (1, 0, 2, 3.0, 0.0, 4.0, 1.0), (1, 0, 3, 90.0, 90.0, 91.0, 91.0), (2, 0, 4, 0.0, 0.0, 1.0, 1.0)], "doc_id long, page long, elem_id long, x0 double, y0 double, x1 double, y1 double")
+    assert {r["elem_id"]: r["block"] for r in layout.grown_blocks(boxes, 5.0).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_text(spark):
+    row = spark.range(1)
+    one = lambda c: row.select(c).first()[0]
+    assert one(text.jaccard(F.lit("a b c"), F.lit("A b d"))) == 0.5
+    assert one(text.readable_field_name(F.lit("txtFirstName"))) == "First Name"
+    assert one(text.marker_type(F.lit("i) x"))) == "numbered-lower-alpha"
+    assert one(text.marker_type(F.lit("12. x"))) == "numbered-decimal"
+    assert one(text.marker_type(F.lit("plain"))) is None
+    assert one(text.normalised(F.lit(" a\x01 \n b "))) == "a b"
+
+
+def test_lists_and_matching(spark):
+    lines = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(["a) x", "b) y", "plain", "1. z"])], "doc_id long, page long, seq long, text string")
+    assert [(r["type"], r["items"]) for r in lists.runs(lines).collect()] == [("numbered-lower-alpha", 2)]
+    images = spark.createDataFrame([(1, 1, 10), (1, 1, 11)], "doc_id int, page int, image_id int")
+    figures = spark.createDataFrame([(1, 1, 7)], "doc_id int, page int, figure_id int")
+    assert {(r["image_id"], r["figure_id"]) for r in matching.image_figures(images, figures).collect()} == {(11, 7), (10, None)}
+
+
+def test_conformance(spark):
+    rows = [(1, "14-003", "error", "x", True, 1), (1, "15-003", "error", "y", False, None), (1, "table-structure", "warning", "z", True, None), (1, "general", "other", "w", False, None)]
+    issues = spark.createDataFrame(rows, export.ISSUE)
+    assert conformance.maturity(issues).first()["maturity"] == 93
+    rolled = {r["category"]: r for r in conformance.rollup(issues).collect()}
+    assert len(rolled) == 33 and rolled["table"]["warnings"] == 1 and rolled["00"]["infos"] == 1 and rolled["05"]["total"] == 0
+    assert conformance.status(issues).first()[1:] == (False, 2, 4)
+    assert sorted(export.from_json(export.to_json(issues)).collect(), key=str) == sorted(issues.collect(), key=str)
+    assert conformance.maturity(issues.where("false")).count() == 0
+
+
+def test_export(spark, nodes, tmp_path):
+    from tagmill.operators.tree import depths
+
+    xml = export.structure_xml(nodes.join(depths(nodes), ["doc_id", "node_id"])).first()["xml"]
+    assert xml.split("\n") == ["<Document>", "  <L>", "    <P>", "    <LI>", "      <LBody>"]
+    issues = spark.createDataFrame([(1, "14-003", "error", "x", True, 1)], export.ISSUE)
+    for form in ("json", "csv", "text"):
+        export.write_issues(issues, str(tmp_path / form), form)
+    assert spark.read.text(str(tmp_path / "text")).first()[0] == "[14-003] error x"
