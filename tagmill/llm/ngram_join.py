@@ -101,7 +101,8 @@ def _nodes(docs: DataFrame) -> DataFrame:
 def candidate_groups(texts: DataFrame) -> DataFrame:
     """texts (node, text) -> (node, comp) for those that share a bucket with another."""
     rows = texts.select("node", "text").mapInArrow(_bands, "band long, node binary")
-    stars = rows.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("band", "b")
+    # written out, so that the join below shuffles both sides itself and its hot buckets can be split
+    stars = cut(rows.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("band", "b"))
     edges = rows.join(stars, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     return connected_components(edges)
 
