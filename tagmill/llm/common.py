@@ -42,11 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, comp), comp the least node of its component.
 
-    Each round takes the least label of the neighbours and then the label of the
+    First every node keeps the edge to its least neighbour below it, and its other such
+    neighbours take an edge to that one; hubs in common then leave a few edges where
+    there was one for each node and hub. Each round takes the least label of the neighbours and then the label of the
     label, so paths halve; every step is a join or an aggregate with partial sums,
     and hot nodes only meet in partial minima or joins that adaptive execution splits.
     """
-    edges = edges.where("a <> b")
+    down = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    edges = least.select("a", F.col("m").alias("b")).union(down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.lit(True).alias("moved")))
     while not labels.where("moved").isEmpty():
