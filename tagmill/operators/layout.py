@@ -72,6 +72,21 @@ def anchored_clusters(values: DataFrame, by: list[str], value: str, gap: float)
     return ordered.select(*by, F.posexplode(runs).alias("cluster", "r")).select(*by, "cluster", F.col("r.anchor").alias("anchor"), (F.col("r.total") / F.col("r.n")).alias("mean"), F.col("r.n").alias("members"))
 
 
+def mean_lines(boxes: DataFrame, factor: float = 1.2) -> DataFrame:
+    """Lines folded from the top: a box joins while its centre lies within factor mean heights of the page of the mean centre so far."""
+    box = F.struct("y0", "elem_id", ((F.col("y0") + F.col("y1")) / 2).alias("centre"))
+    pages = boxes.groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list(box)), lambda x: x["centre"]).alias("v"), (F.avg(F.col("y1") - F.col("y0")) * factor).alias("reach"))
+    line = lambda total, n: F.struct(total.alias("total"), n.alias("n"))
+
+    def fold(done, x):
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(line(last["total"] + x, last["n"] + 1)))
+        return F.when(F.abs(x - last["total"] / last["n"]) <= F.col("reach"), joined).otherwise(F.concat(done, F.array(line(x, F.lit(1)))))
+
+    found = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.array(line(F.element_at("v", 1), F.lit(1))), fold)
+    return pages.select(*PAGE, F.posexplode(found).alias("line", "r")).select(*PAGE, "line", (F.col("r.total") / F.col("r.n")).alias("mean"), F.col("r.n").alias("members"))
+
+
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """For each box of points the nearest of targets on its page; the smaller id wins a tie."""
     names = ["elem_id", "x0", "y0", "x1", "y1"]

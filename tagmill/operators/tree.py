@@ -117,6 +117,14 @@ def terminal_types(role_map: DataFrame) -> DataFrame:
         select doc_id, custom, max_by(case when array_contains(seen, at) then 'CYCLE' else at end, steps) as terminal from t group by doc_id, custom""", m=role_map)
 
 
+def map_cycles(role_map: DataFrame) -> DataFrame:
+    """doc_id, custom, length: the names from which following the map comes back to them, and in how many steps."""
+    return role_map.sparkSession.sql("""with recursive t as (select doc_id, custom, mapped as at, array(custom) as seen, 1 as steps from {m}
+        union all select t.doc_id, t.custom, m.mapped, concat(t.seen, array(t.at)), t.steps + 1 from t join {m} m on m.doc_id = t.doc_id and m.custom = t.at
+        where not array_contains(t.seen, t.at))
+        select doc_id, custom, steps as length from t where at = custom""", m=role_map)
+
+
 def type_by_name(name: Column) -> Column:
     """A standard type for a custom name by its beginning; P if nothing fits."""
     low = F.lower(name)

@@ -57,6 +57,7 @@ over(fx.NODES, "common_ancestor", f"with recursive n as (select * from {{s}} x),
 )
 _STD = ", ".join(f"'{x}'" for x in tree.STANDARD)
 over(fx.ROLES, "role_map_terminal", f"with recursive m as (select * from {{s}} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop) and t.hop not in ({_STD})) select doc_id, custom, max_by(case when list_contains(seen, hop) then 'CYCLE' else hop end, steps) as terminal from t group by doc_id, custom")(tree.terminal_types)
+over(fx.ROLES, "role_map_cycles", "with recursive m as (select * from {s} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop)) select doc_id, custom, steps as length from t where hop = custom")(tree.map_cycles)
 over("select p_partkey, p_type from part", "type_by_name_pattern", "select p_partkey, p_type, case when regexp_matches(lower(p_type), '^(fig|im(age|g)|pict|promo)') then 'Figure' else 'P' end as type from {s} x")(lambda p: p.withColumn("type", tree.type_by_name(F.col("p_type"))))
 over("select page_id, html from pages", "tag_inventory", "select tag, count(*) as n, count(distinct page_id) as pages from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)', 1)) as tag from {s} x) t group by tag")(lambda p: pg.tags(p).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")))
 over("select page_id, html from pages", "page_nodes")(lambda p: pg.nodes(p).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("text_chars")))
@@ -150,6 +151,7 @@ over(fx.BOXES, "line_islands", f"{_LINE} select doc_id, elem_id, cast(line as bi
 over(fx.BOXES, "visual_order_displacement", f"{_LINE}, v as (select *, row_number() over (partition by doc_id, page order by line, x0, elem_id) as visual, row_number() over (partition by doc_id, page order by pre_order, elem_id) as cur from l) select doc_id, elem_id, cur as current, visual, abs(cur - visual) as off, case when abs(cur - visual) > 3 then 'error' else 'warning' end as severity from v where abs(cur - visual) > 1")(lambda b: layout.displaced(b).select("doc_id", "elem_id", "current", "visual", "off", "severity"))
 over(fx.BOXES, "chained_clusters", "with s as (select distinct doc_id, page, x0, count(*) over (partition by doc_id, page, x0) as n from {s} x), g as (select *, case when x0 - lag(x0) over (partition by doc_id, page order by x0) < 10 then 0 else 1 end as nw from s), k as (select *, sum(nw) over (partition by doc_id, page order by x0) as cluster from g) select doc_id, cast(cluster as bigint) as cluster, min(x0) as low, max(x0) as high, cast(sum(n) as bigint) as members from k group by doc_id, page, cluster")(lambda b: layout.chained_clusters(b, ["doc_id", "page"], "x0", 10.0).select("doc_id", "cluster", "low", "high", "members"))
 over(fx.BOXES, "anchored_clusters", "with recursive v as (select doc_id, page, x0, row_number() over (partition by doc_id, page order by x0, elem_id) as i from {s} x), t as (select doc_id, page, x0, i, x0 as anchor, 0 as cluster from v where i = 1 union all select v.doc_id, v.page, v.x0, v.i, case when v.x0 - t.anchor < 10 then t.anchor else v.x0 end, case when v.x0 - t.anchor < 10 then t.cluster else t.cluster + 1 end from t join v on v.doc_id = t.doc_id and v.page = t.page and v.i = t.i + 1) select doc_id, cluster, anchor, round(avg(x0), 6) as mean, cast(count(*) as integer) as members from t group by doc_id, page, cluster, anchor")(lambda b: layout.anchored_clusters(b, ["doc_id", "page"], "x0", 10.0).select("doc_id", "cluster", "anchor", F.round("mean", 6).alias("mean"), "members"))
+over(fx.BOXES, "line_groups_by_mean", "with recursive s as (select *, (y0 + y1) / 2 as c, 1.2 * avg(y1 - y0) over (partition by doc_id, page) as reach, row_number() over (partition by doc_id, page order by y0, elem_id) as i from {s} x), t as (select doc_id, page, i, 0 as line, c as total, 1 as n from s where i = 1 union all select s.doc_id, s.page, s.i, case when abs(s.c - t.total / t.n) <= s.reach then t.line else t.line + 1 end, case when abs(s.c - t.total / t.n) <= s.reach then t.total + s.c else s.c end, case when abs(s.c - t.total / t.n) <= s.reach then t.n + 1 else 1 end from t join s on s.doc_id = t.doc_id and s.page = t.page and s.i = t.i + 1) select doc_id, line, round(max_by(total, i) / max(n), 6) as mean, cast(max(n) as integer) as members from t group by doc_id, page, line")(lambda b: layout.mean_lines(b).select("doc_id", "line", F.round("mean", 6).alias("mean"), "members"))
 over(fx.BOXES, "nearest_element", f"{_PAIR}, d as (select doc_id, a_elem_id as elem_id, b_elem_id, sqrt(pow(greatest(ax0 - bx1, bx0 - ax1, 0), 2) + pow(greatest(ay0 - by1, by0 - ay1, 0), 2)) as dist from p where a_elem_id <> b_elem_id), k as (select *, row_number() over (partition by doc_id, elem_id order by dist, b_elem_id) as n from d) select doc_id, elem_id, b_elem_id as near_id, round(dist, 6) as distance from k where n = 1")(lambda b: layout.nearest(b, b).select("doc_id", "elem_id", "near_id", F.round("distance", 6).alias("distance")))
 over(fx.BOXES, "hit_test", "with s as (select * from {s} x), h as (select a.doc_id, a.elem_id as point_id, b.elem_id, (b.x1 - b.x0) * (b.y1 - b.y0) as area, row_number() over (partition by a.doc_id, a.elem_id order by (b.x1 - b.x0) * (b.y1 - b.y0), b.elem_id) as n from s a join s b on a.doc_id = b.doc_id and a.page = b.page and a.x0 + 8 between b.x0 and b.x1 and a.y0 + 5 between b.y0 and b.y1) select doc_id, point_id, elem_id, area from h where n = 1")(lambda b: layout.hit(b.select("doc_id", "page", F.col("elem_id").alias("point_id"), (F.col("x0") + 8).alias("x"), (F.col("y0") + 5).alias("y")), b).select("doc_id", "point_id", "elem_id", "area"))
 over(fx.BOXES, "column_assign", "select doc_id, elem_id, k as column_no from (select *, unnest([0, 1, 2, 3, 4]) as k from {s} x) y where (x0 + x1) / 2 between k * 25 and k * 25 + 25")(lambda b: layout.columns_of(b, b.select("doc_id", "page").distinct().withColumn("column_no", F.explode(F.array(*[F.lit(i) for i in range(5)]))).withColumn("low", F.col("column_no") * 25).withColumn("high", F.col("low") + 25)).select("doc_id", "elem_id", "column_no"))

@@ -124,3 +124,15 @@ def test_export(spark, nodes, tmp_path):
     for form in ("json", "csv", "text"):
         export.write_issues(issues, str(tmp_path / form), form)
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "[14-003] error x"
+
+
+def test_map_cycles(spark):
+    rows = [(1, "A", "B"), (1, "B", "P"), (1, "X", "Y"), (1, "Y", "X"), (1, "W", "X"), (1, "Z", "Z")]
+    got = tree.map_cycles(spark.createDataFrame(rows, "doc_id long, custom string, mapped string")).collect()
+    assert {r["custom"]: r["length"] for r in got} == {"X": 2, "Y": 2, "Z": 1}
+
+
+def test_mean_lines(spark):
+    rows = [(1, 0, k, 0.0, y, 5.0, y + 10) for k, y in enumerate([0.0, 10.0, 20.0, 40.0])]
+    got = layout.mean_lines(spark.createDataFrame(rows, "doc_id long, page long, elem_id long, x0 double, y0 double, x1 double, y1 double")).orderBy("line").collect()
+    assert [(r["mean"], r["members"]) for r in got] == [(10.0, 2), (25.0, 1), (45.0, 1)]
