@@ -87,6 +87,30 @@ def mean_lines(boxes: DataFrame, factor: float = 1.2) -> DataFrame:
     return pages.select(*PAGE, F.posexplode(found).alias("line", "r")).select(*PAGE, "line", (F.col("r.total") / F.col("r.n")).alias("mean"), F.col("r.n").alias("members"))
 
 
+def color_legends(elements: DataFrame, reach: float = 100.0, near: float = 30.0, least: int = 3) -> DataFrame:
+    """Groups of coloured boxes that may be a legend without words.
+
+    elements are boxes with kind and color. In order of elem_id a box joins the first
+    leader with a centre less than reach away, or leads a group of its own. A group
+    counts if it has least boxes and colours and no text's centre lies less than near
+    from any of theirs. A page folds to its leaders only; its boxes find theirs by row.
+    """
+    c = F.col
+    placed = elements.select(*PAGE, "elem_id", "kind", "color", "x0", "y0", "x1", "y1", ((c("x0") + c("x1")) / 2).alias("x"), ((c("y0") + c("y1")) / 2).alias("y"))
+    boxes = placed.where("kind <> 'text' and color is not null")
+    square = lambda a, b: (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])
+    close = lambda a: lambda b: square(a, b) < reach * reach
+    point = F.struct("elem_id", "x", "y")
+    pages = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(point)).alias("v"))
+    leaders = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.array(F.element_at("v", 1)), lambda found, p: F.when(F.exists(found, close(p)), found).otherwise(F.concat(found, F.array(p))))
+    led = boxes.withColumn("p", point).join(pages.select(*PAGE, leaders.alias("found")), PAGE)
+    led = led.withColumn("legend", F.element_at(F.filter("found", close(c("p"))), 1)["elem_id"]).drop("found")
+    groups = led.groupBy(*PAGE, "legend").agg(F.count("*").alias("members"), F.count_distinct("color").alias("colours"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    texts = placed.where("kind = 'text'").select(*PAGE, F.struct("x", "y").alias("q"))
+    told = led.select(*PAGE, "legend", "p").join(texts, PAGE).where(square(c("p"), c("q")) < near * near).select(*PAGE, "legend").distinct()
+    return groups.where((c("members") >= least) & (c("colours") >= least)).join(told, [*PAGE, "legend"], "left_anti")
+
+
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """For each box of points the nearest of targets on its page; the smaller id wins a tie."""
     names = ["elem_id", "x0", "y0", "x1", "y1"]

@@ -64,3 +64,22 @@ def missing_scopes(cells: DataFrame) -> DataFrame:
     rows = rows_of(cells).withColumn("header_row", F.col("heads") > 0.5 * F.col("cells")).select("table_id", "row_id", "header_row")
     th = cells.where("kind = 'TH'").where(~F.coalesce("scope", F.lit("")).isin("Row", "Column", "Both", "row", "col", "both"))
     return th.join(rows, ["table_id", "row_id"]).withColumn("suggested", F.when(F.col("header_row"), "Column").when(F.col("col") == 1, "Row").otherwise("Both"))
+
+
+#: Places of the sections; rows outside of them count as body.
+SECTION_RANK = {"THead": 0, "TBody": 1, "TFoot": 2}
+
+
+def row_order(rows: DataFrame) -> DataFrame:
+    """Rows (table_id, row_id, pre_order, section, y0, y1) whose place in the tree differs from that by section and height, both from 0.
+
+    Rows without a position have a place in the tree, but none is expected of them.
+    """
+    rank = F.lit(1)
+    for section, place in SECTION_RANK.items():
+        rank = F.when(F.col("section") == section, place).otherwise(rank)
+    centre = (F.col("y0") + F.col("y1")) / 2
+    current = F.row_number().over(Window.partitionBy("table_id").orderBy("pre_order", "row_id")) - 1
+    placed = rows.withColumn("current", current).withColumn("_centre", centre).where("_centre is not null")
+    expected = F.row_number().over(Window.partitionBy("table_id").orderBy(rank, "_centre", "current")) - 1
+    return placed.withColumn("expected", expected).where("current <> expected").drop("_centre")

@@ -83,6 +83,9 @@ def _count(p: str) -> str:
 
 
 _SCORES = ", ".join(f"{' + '.join(_count(p) for p in ps)} as {k}" for k, ps in t.LANGUAGE_PATTERNS.items())
+_COVERED = ", ".join(f"({' + '.join(f'{_count(p)} * {len(p)}' for p in ps)}) / {len(ps)} as {k}" for k, ps in t.RECOGNISED_PATTERNS.items())
+_CODES = list(t.RECOGNISED_PATTERNS)
+over("select doc_id, text from documents", "ocr_language", f"select doc_id, case when text is null or length(text) < 20 then 'eng' else case greatest({', '.join(_CODES)}) {' '.join(f"when {k} then '{k}'" for k in _CODES)} end end as detected from (select doc_id, text, {_COVERED} from (select doc_id, text, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.recognised_language(F.col("text")).alias("detected")))
 over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es' when en then 'en' when fr then 'fr' when de then 'de' else 'it' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
 _VALID = f"(language in ({', '.join(repr(x) for x in t.LANGUAGE_CODES)}) or regexp_full_match(language, '[a-z]{{2,3}}(-[A-Z]{{2,3}})?'))"
 over(fx.META, "lang_code_check", f"select doc_id, language, {_VALID} as valid from {{s}} x")(lambda m: m.select("doc_id", "language", t.valid_language(F.col("language")).alias("valid")))
@@ -149,6 +152,14 @@ over(fx.BOXES, "combined_bbox", "select doc_id, page, min(x0) as x0, min(y0) as
 _LINE = "with s as (select * from {s} x), m as (select *, max(y1) over (partition by doc_id, page order by y0, x0, elem_id rows between unbounded preceding and 1 preceding) as reach from s), l as (select *, sum(case when reach is null or y0 > reach + 3 then 1 else 0 end) over (partition by doc_id, page order by y0, x0, elem_id rows between unbounded preceding and current row) as line from m)"
 over(fx.BOXES, "line_islands", f"{_LINE} select doc_id, elem_id, cast(line as bigint) as line from l")(lambda b: layout.lines(b, 3.0).select("doc_id", "elem_id", "line"))
 over(fx.BOXES, "visual_order_displacement", f"{_LINE}, v as (select *, row_number() over (partition by doc_id, page order by line, x0, elem_id) as visual, row_number() over (partition by doc_id, page order by pre_order, elem_id) as cur from l) select doc_id, elem_id, cur as current, visual, abs(cur - visual) as off, case when abs(cur - visual) > 3 then 'error' else 'warning' end as severity from v where abs(cur - visual) > 1")(lambda b: layout.displaced(b).select("doc_id", "elem_id", "current", "visual", "off", "severity"))
+over(fx.SWATCHES, "color_legends", """with recursive e as (select *, (x0 + x1) / 2 as x, (y0 + y1) / 2 as y from {s} x), b as (select *, row_number() over (partition by doc_id, page order by elem_id) as i from e where kind <> 'text' and color is not null),
+  t as (select doc_id, page, i, [{'id': elem_id, 'x': x, 'y': y}] as found, elem_id as legend from b where i = 1
+    union all select b.doc_id, b.page, b.i, case when len(list_filter(t.found, lambda f: (f.x - b.x) * (f.x - b.x) + (f.y - b.y) * (f.y - b.y) < 10000)) > 0 then t.found else list_append(t.found, {'id': b.elem_id, 'x': b.x, 'y': b.y}) end,
+      coalesce(list_filter(t.found, lambda f: (f.x - b.x) * (f.x - b.x) + (f.y - b.y) * (f.y - b.y) < 10000)[1].id, b.elem_id) from b join t on b.doc_id = t.doc_id and b.page = t.page and b.i = t.i + 1),
+  m as (select b.*, t.legend from b join t on b.doc_id = t.doc_id and b.page = t.page and b.i = t.i)
+  select doc_id, page, legend, count(*) as members, count(distinct color) as colours, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from m group by doc_id, page, legend having count(*) >= 3 and count(distinct color) >= 3
+  and not bool_or(exists (select 1 from e q where q.kind = 'text' and q.doc_id = m.doc_id and q.page = m.page and (q.x - m.x) * (q.x - m.x) + (q.y - m.y) * (q.y - m.y) < 900))""")(layout.color_legends)
+over(fx.ROWS, "table_row_order", "with c as (select *, row_number() over (partition by table_id order by pre_order, row_id) - 1 as current from {s} x), e as (select *, row_number() over (partition by table_id order by case section when 'THead' then 0 when 'TFoot' then 2 else 1 end, (y0 + y1) / 2, current) - 1 as expected from c where y0 + y1 is not null) select table_id, row_id, current, expected from e where current <> expected")(lambda r: tables.row_order(r).select("table_id", "row_id", "current", "expected"))
 over(fx.BOXES, "chained_clusters", "with s as (select distinct doc_id, page, x0, count(*) over (partition by doc_id, page, x0) as n from {s} x), g as (select *, case when x0 - lag(x0) over (partition by doc_id, page order by x0) < 10 then 0 else 1 end as nw from s), k as (select *, sum(nw) over (partition by doc_id, page order by x0) as cluster from g) select doc_id, cast(cluster as bigint) as cluster, min(x0) as low, max(x0) as high, cast(sum(n) as bigint) as members from k group by doc_id, page, cluster")(lambda b: layout.chained_clusters(b, ["doc_id", "page"], "x0", 10.0).select("doc_id", "cluster", "low", "high", "members"))
 over(fx.BOXES, "anchored_clusters", "with recursive v as (select doc_id, page, x0, row_number() over (partition by doc_id, page order by x0, elem_id) as i from {s} x), t as (select doc_id, page, x0, i, x0 as anchor, 0 as cluster from v where i = 1 union all select v.doc_id, v.page, v.x0, v.i, case when v.x0 - t.anchor < 10 then t.anchor else v.x0 end, case when v.x0 - t.anchor < 10 then t.cluster else t.cluster + 1 end from t join v on v.doc_id = t.doc_id and v.page = t.page and v.i = t.i + 1) select doc_id, cluster, anchor, round(avg(x0), 6) as mean, cast(count(*) as integer) as members from t group by doc_id, page, cluster, anchor")(lambda b: layout.anchored_clusters(b, ["doc_id", "page"], "x0", 10.0).select("doc_id", "cluster", "anchor", F.round("mean", 6).alias("mean"), "members"))
 over(fx.BOXES, "line_groups_by_mean", "with recursive s as (select *, (y0 + y1) / 2 as c, 1.2 * avg(y1 - y0) over (partition by doc_id, page) as reach, row_number() over (partition by doc_id, page order by y0, elem_id) as i from {s} x), t as (select doc_id, page, i, 0 as line, c as total, 1 as n from s where i = 1 union all select s.doc_id, s.page, s.i, case when abs(s.c - t.total / t.n) <= s.reach then t.line else t.line + 1 end, case when abs(s.c - t.total / t.n) <= s.reach then t.total + s.c else s.c end, case when abs(s.c - t.total / t.n) <= s.reach then t.n + 1 else 1 end from t join s on s.doc_id = t.doc_id and s.page = t.page and s.i = t.i + 1) select doc_id, line, round(max_by(total, i) / max(n), 6) as mean, cast(max(n) as integer) as members from t group by doc_id, page, line")(lambda b: layout.mean_lines(b).select("doc_id", "line", F.round("mean", 6).alias("mean"), "members"))

@@ -35,6 +35,14 @@ select doc_id, cast(0 as bigint) as page, cast(row_number() over (partition by d
 from (select l_orderkey as doc_id, {KEY}, l_returnflag, cast((l_partkey * 7) % 60 as double) as x0, cast((l_suppkey * 13) % 40 as double) as y0, cast(floor(l_quantity) as double) as q from lineitem) t
 """
 
+ROWS = f"select doc_id as table_id, elem_id as row_id, elem_id as pre_order, case color when 0 then 'THead' when 1 then 'TBody' when 2 then 'TBody' when 3 then 'TFoot' else null end as section, case when size = 9 then null else y0 end as y0, y1 from ({BOXES}) b"
+
+SWATCHES = f"""
+select doc_id, cast(0 as bigint) as page, cast(row_number() over (partition by doc_id order by l_orderkey, {KEY}) as bigint) as elem_id,
+  case when l_partkey % 9 = 0 then 'text' when l_partkey % 2 = 0 then 'rect' else 'path' end as kind, cast(case when l_partkey % 10 = 7 then null else l_partkey % 5 end as bigint) as color, x0, y0, x0 + 8 as x1, y0 + 8 as y1
+from (select cast(floor(l_orderkey / 16) as bigint) as doc_id, l_orderkey, {KEY}, cast((l_partkey * 37) % 600 as double) as x0, cast((l_suppkey * 53 + l_linenumber * 17) % 800 as double) as y0 from lineitem) t
+"""
+
 COLOURS = f"""
 select l_orderkey as doc_id, {KEY}, cast(l_partkey % 256 as int) as r, cast((l_suppkey * 7) % 256 as int) as g, cast((l_linenumber * 37) % 256 as int) as b,
   cast((l_orderkey * 11) % 256 as int) as br, cast((l_partkey * 5) % 256 as int) as bg, cast((l_suppkey * 3) % 256 as int) as bb,

@@ -136,3 +136,23 @@ def test_mean_lines(spark):
     rows = [(1, 0, k, 0.0, y, 5.0, y + 10) for k, y in enumerate([0.0, 10.0, 20.0, 40.0])]
     got = layout.mean_lines(spark.createDataFrame(rows, "doc_id long, page long, elem_id long, x0 double, y0 double, x1 double, y1 double")).orderBy("line").collect()
     assert [(r["mean"], r["members"]) for r in got] == [(10.0, 2), (25.0, 1), (45.0, 1)]
+
+
+def test_color_legends(spark):
+    form = "doc_id long, page long, elem_id long, kind string, color long, x0 double, y0 double, x1 double, y1 double"
+    box = lambda doc, k, kind, color, x: (doc, 0, k, kind, color, x, 0.0, x + 10, 10.0)
+    rows = [box(d, k, "rect", k, 40.0 * k) for d in (1, 2) for k in range(6)] + [box(2, 9, "text", None, 29.0), box(3, 0, "rect", 1, 0.0), box(3, 1, "rect", 1, 1.0), box(3, 2, "path", 2, 2.0)]
+    got = layout.color_legends(spark.createDataFrame(rows, form)).collect()
+    assert sorted((r["doc_id"], r["legend"], r["members"], r["x0"], r["x1"]) for r in got) == [(1, 0, 3, 0.0, 90.0), (1, 3, 3, 120.0, 210.0), (2, 3, 3, 120.0, 210.0)]
+
+
+def test_table_row_order(spark):
+    rows = [(1, 1, 1, "TBody", 0.0, 10.0), (1, 2, 2, "THead", 20.0, 30.0), (1, 3, 3, None, 10.0, 20.0), (1, 4, 4, "TFoot", None, None), (2, 1, 1, None, 5.0, 6.0), (2, 2, 2, None, 5.0, 6.0)]
+    got = tables.row_order(spark.createDataFrame(rows, "table_id long, row_id long, pre_order long, section string, y0 double, y1 double")).collect()
+    assert sorted((r["row_id"], r["current"], r["expected"]) for r in got) == [(1, 0, 1), (2, 1, 0)]
+
+
+def test_recognised_language(spark):
+    texts = ["la casa de la que habla con el niño para siempre", "the house that is with the other of them", "der Hund und die Katze mit dem Ball", "el niño", None]
+    got = spark.createDataFrame(enumerate(texts), "i int, t string").orderBy("i").select(text.recognised_language(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["spa", "eng", "deu", "eng", "eng"]
