@@ -42,24 +42,21 @@ def language_scores(t: Column) -> dict[str, Column]:
     return {lang: sum((occurrences(low, p) for p in patterns), F.lit(0).cast("long")) for lang, patterns in LANGUAGE_PATTERNS.items()}
 
 
+def _leading(scores: dict[str, Column]) -> Column:
+    """The name of the highest score, the first of equals; each score is worked out once, which keeps generated code small."""
+    ranked = F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, (name, s) in enumerate(scores.items())])
+    return F.array_max(ranked)["name"]
+
+
 def detected_language(t: Column) -> Column:
-    scores = language_scores(t)
-    top = F.greatest(*scores.values())
-    out = None
-    for lang, s in scores.items():
-        out = F.when(s == top, lang) if out is None else out.when(s == top, lang)
-    return out
+    return _leading(language_scores(F.coalesce(t, F.lit(""))))
 
 
 def recognised_language(t: Column) -> Column:
     """The language whose patterns cover most characters on average; English for texts of less than 20 characters and for null."""
     low = F.lower(t)
-    scores = {lang: sum((occurrences(low, p) * len(p) for p in patterns), F.lit(0).cast("long")) / len(patterns) for lang, patterns in RECOGNISED_PATTERNS.items()}
-    top = F.greatest(*scores.values())
-    out = F.when(t.isNull() | (F.length(t) < 20), "eng")
-    for lang, s in scores.items():
-        out = out.when(s == top, lang)
-    return out
+    covered = {lang: sum((occurrences(low, p) * len(p) for p in patterns), F.lit(0).cast("long")) / len(patterns) for lang, patterns in RECOGNISED_PATTERNS.items()}
+    return F.when(t.isNull() | (F.length(t) < 20), "eng").otherwise(_leading(covered))
 
 
 def valid_language(code: Column) -> Column:

@@ -86,7 +86,7 @@ _SCORES = ", ".join(f"{' + '.join(_count(p) for p in ps)} as {k}" for k, ps in t
 _COVERED = ", ".join(f"({' + '.join(f'{_count(p)} * {len(p)}' for p in ps)}) / {len(ps)} as {k}" for k, ps in t.RECOGNISED_PATTERNS.items())
 _CODES = list(t.RECOGNISED_PATTERNS)
 over("select doc_id, text from documents", "ocr_language", f"select doc_id, case when text is null or length(text) < 20 then 'eng' else case greatest({', '.join(_CODES)}) {' '.join(f"when {k} then '{k}'" for k in _CODES)} end end as detected from (select doc_id, text, {_COVERED} from (select doc_id, text, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.recognised_language(F.col("text")).alias("detected")))
-over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es' when en then 'en' when fr then 'fr' when de then 'de' else 'it' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
+over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es' when en then 'en' when fr then 'fr' when de then 'de' else 'it' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(coalesce(text, '')) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
 _VALID = f"(language in ({', '.join(repr(x) for x in t.LANGUAGE_CODES)}) or regexp_full_match(language, '[a-z]{{2,3}}(-[A-Z]{{2,3}})?'))"
 over(fx.META, "lang_code_check", f"select doc_id, language, {_VALID} as valid from {{s}} x")(lambda m: m.select("doc_id", "language", t.valid_language(F.col("language")).alias("valid")))
 over(fx.META, "lang_suggestions", f"select doc_id, case when base = '' then 'es-ES' else concat(base, ',', base, '-', upper(base)) end as codes from (select *, lower(regexp_extract(language, '^([A-Za-z]{{2}})', 1)) as base from {{s}} x) y where not {_VALID}")(metadata.suggestions)
