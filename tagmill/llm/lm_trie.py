@@ -10,7 +10,7 @@ of the model is held by the driver, broadcast or collected.
 
 A pair's probability is discounted, (c(a, b) - D) / c(a), and what its context has left
 goes to the unigram estimate, so the model sums to 1 over the words and one unknown.
-Pairs seen fewer than `least` times give all their mass to the back-off.
+Every pair that was seen counts; with a `least` above 1, rarer ones give all their mass to the back-off.
 
 Edge cases: a null text is an empty one with the end alone; a null id counts as the empty text where it
 picks the part that is held out; repeated rows count and are scored each; without training rows
@@ -426,7 +426,7 @@ class Opened:
         return np.diff(np.append(first, len(stream))), np.add.reduceat((counts > 0)[place].astype(np.int64), first), np.add.reduceat(np.log10(single)[place], first), np.add.reduceat(p[where], first)
 
 
-def train(texts: DataFrame, least: int = 2, parts: int | None = None) -> Model:
+def train(texts: DataFrame, least: int = 1, parts: int | None = None) -> Model:
     """The model of a column text, its files in the shared folder."""
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -458,7 +458,7 @@ def _scorer(model: Model):
     return run
 
 
-def op10_lm_trie(docs: DataFrame, least: int = 2) -> DataFrame:
+def op10_lm_trie(docs: DataFrame, least: int = 1) -> DataFrame:
     fifth = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
     source = narrow(docs, "doc_id", "text").withColumn("held_out", fifth == 1)
     model = train(source.where("not held_out"), least)

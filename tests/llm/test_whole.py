@@ -1,0 +1,19 @@
+"""The text operators do the whole job: nothing that was observed is left out."""
+
+import numpy as np
+import pytest
+
+from tagmill.llm import lm_trie
+
+
+def test_lm_keeps_pairs_seen_once(spark):
+    model = lm_trie.train(spark.createDataFrame([("a b c d",), ("a b e",)], "text string"), parts=2)
+    data = np.frombuffer(b"a b c d e", np.uint8)
+    stream, _ = lm_trie.tokens(data, np.array([0, len(data)]))
+    opened = model.opened()
+    a, b, c, d, e = opened.words.look_up(np.sort(stream[:5]))[0][np.argsort(np.argsort(stream[:5]))].astype(np.uint64)
+    pairs = {(a, b): 1.25 / 2, (b, c): 0.25 / 2, (c, d): 0.25, (b, e): 0.25 / 2, (a, c): 0.0}
+    keys = sorted((p, (int(p[0]) << 32) | int(p[1])) for p in pairs)
+    kept = opened.kept(np.sort(np.array([k for _, k in keys], np.uint64)))
+    want = [pairs[p] for p, _ in sorted(keys, key=lambda x: x[1])]
+    assert kept.tolist() == pytest.approx(want, rel=1e-5)
