@@ -12,12 +12,15 @@ docs pass through sampled() whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import GAP, cut
 
 DIMENSIONS = ("source", "lang", "topic")
+POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 #: Rows of the cell table that one task rakes, and that a join may broadcast; beyond, both are spread.
 FEW_CELLS = 50_000
 
@@ -42,13 +45,13 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.select("source", "lang", topic().alias("topic"), n_words().alias("words")).groupBy(*DIMENSIONS).agg(F.sum("words").alias("words"), F.count("*").alias("docs"))
 
 
-def rake(counts: DataFrame, powers: dict[str, float], largest: float, rounds: int = 60) -> DataFrame:
+def rake(counts: DataFrame, powers: dict[str, float], largest: float = math.inf, rounds: int = 60) -> DataFrame:
     """counts (DIMENSIONS, words, docs) with weight: the factor by which a cell's words count so that the marginals meet their targets.
 
     A value's target is its share of words, raised to its dimension's power and made to
     sum to 1. Iterative proportional fitting: each step scales the cells of one
-    dimension's values by target over sum; weights are trimmed to largest after each
-    step, so that they can be drawn as probabilities.
+    dimension's values by target over sum. Weights above largest would be trimmed after
+    each step, and the targets then missed; without it nothing is trimmed.
     """
     counts = cut(counts)
     few = counts.limit(FEW_CELLS + 1).count() <= FEW_CELLS
@@ -154,15 +157,33 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def probabilities(docs: DataFrame, keep: float, powers: dict[str, float]) -> DataFrame:
-    """Cells with weight and probability, where keep is the share of all words to expect in the sample."""
-    return rake(cells(docs), powers, 1.0 / keep).select(*DIMENSIONS, "words", "docs", "weight", (F.col("weight") * keep).alias("probability"))
+    """Cells with weight and probability, where keep is the share of all words to expect in the sample.
+
+    The share is lowered to 1 over the largest weight of a cell with words, so that each
+    probability is at most 1 and the words expected meet the targets.
+    """
+    fitted = cut(rake(cells(docs), powers))
+    top = fitted.where("words > 0").agg(F.max("weight")).first()[0]
+    share = min(keep, 1.0 / top) if top else keep
+    return fitted.select(*DIMENSIONS, "words", "docs", "weight", F.least(F.col("weight") * share, F.lit(1.0)).alias("probability"))
+
+
+def residuals(table: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """dimension, value, target and reached: shares of the words expected by the probabilities of a table of cells."""
+    out = None
+    for d in DIMENSIONS:
+        by = table.groupBy(F.col(d).alias("value")).agg(F.sum("words").cast("double").alias("own"), F.sum(F.col("words") * F.col("probability")).alias("drawn"))
+        by = by.withColumn("raised", F.when(F.col("own") > 0, F.pow("own", F.lit(powers[d]))).otherwise(0.0))
+        sums = F.broadcast(by.agg(F.sum("raised").alias("all_raised"), F.sum("drawn").alias("all_drawn")))
+        one = by.join(sums, F.lit(True)).select(F.lit(d).alias("dimension"), "value", (F.col("raised") / F.col("all_raised")).alias("target"), (F.col("drawn") / F.col("all_drawn")).alias("reached"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def marked(docs: DataFrame, keep: float = 0.75, powers: dict[str, float] | None = None, seed: int = 11) -> DataFrame:
     """row (the whole row of docs), text, topic, weight, probability and drawn."""
     one = docs.select(F.struct("*").alias("row"), "doc_id", "source", "lang", "text").withColumn("topic", topic())
-    table = probabilities(one, keep, powers or {"source": 0.7, "lang": 0.8, "topic": 0.9})
-    table = cut(table.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "weight", F.least(F.col("probability"), F.lit(1.0)).alias("probability")))
+    table = probabilities(one, keep, powers or POWERS).select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], "weight", "probability")
     table = F.broadcast(table) if table.limit(FEW_CELLS + 1).count() <= FEW_CELLS else table
     match = one["source"].eqNullSafe(table["c_source"]) & one["lang"].eqNullSafe(table["c_lang"]) & one["topic"].eqNullSafe(table["c_topic"])
     drawn = F.coalesce(draw(F.col("doc_id"), seed) < F.col("probability"), F.lit(False))

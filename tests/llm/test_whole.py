@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tagmill.llm import lm_trie
+from tagmill.llm import lm_trie, mixing
 
 
 def test_lm_keeps_pairs_seen_once(spark):
@@ -17,3 +17,13 @@ def test_lm_keeps_pairs_seen_once(spark):
     kept = opened.kept(np.sort(np.array([k for _, k in keys], np.uint64)))
     want = [pairs[p] for p, _ in sorted(keys, key=lambda x: x[1])]
     assert kept.tolist() == pytest.approx(want, rel=1e-5)
+
+
+def test_mixing_meets_targets(spark):
+    words = {("big", "en"): 3000, ("big", "de"): 900, ("mid", "en"): 1500, ("mid", "de"): 600, ("small", "en"): 9, ("small", "de"): 3}
+    docs = spark.createDataFrame([(k, "w " * n, lang, source) for k, ((source, lang), n) in enumerate(words.items())], "doc_id long, text string, lang string, source string")
+    table = mixing.probabilities(docs, 0.75, mixing.POWERS)
+    assert 0 < table.agg({"probability": "max"}).first()[0] <= 1
+    got = mixing.residuals(table, mixing.POWERS).collect()
+    assert len(got) == 6 and all(abs(r["target"] - r["reached"]) < 1e-9 for r in got)
+    assert all(0 <= r["probability"] <= 1 for r in mixing.op2_mixing(docs).collect())
