@@ -7,6 +7,8 @@ larger than one document's siblings meets in a frame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,26 +71,50 @@ def list_rules(nodes: DataFrame) -> DataFrame:
     return lists.join(kids, ["doc_id", "node_id"], "left").groupBy("doc_id", "node_id").agg(F.count_if(F.col("kid") == "LI").alias("items"), F.count_if(F.col("kid") != "LI").alias("others"))
 
 
-def _walk(nodes: DataFrame, query: str, **more: DataFrame) -> DataFrame:
-    return nodes.sparkSession.sql(query, nodes=nodes, **more)
+def _cut(frame: DataFrame) -> DataFrame:
+    """frame, computed and written to the shared checkpoint folder."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(shared or f"{frame.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return frame.checkpoint()
+
+
+def _walk(nodes: DataFrame, first: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of first and of every step from there, level by level: a recursive query without its limits of rows and levels."""
+    level = out = _cut(first)
+    count, most = 0, None
+    while not level.isEmpty():
+        count += 1
+        if count % 100 == 0:  # no path without a cycle is longer than its document has nodes
+            most = most or nodes.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+            if count > most:
+                raise ValueError("the parents form a cycle")
+            out = _cut(out)
+        level = _cut(step(level))
+        out = out.unionByName(level)
+    return out
 
 
 def depths(nodes: DataFrame) -> DataFrame:
     """Depth of every node, 0 at a root."""
-    return _walk(nodes, """with recursive t as (select doc_id, node_id, 0 as depth from {nodes} where parent_id is null
-        union all select n.doc_id, n.node_id, t.depth + 1 from {nodes} n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select * from t""")
+    edges = _cut(nodes.select("doc_id", "node_id", "parent_id"))
+    first = edges.where("parent_id is null").select("doc_id", "node_id", F.lit(0).alias("depth"))
+    return _walk(edges, first, lambda t: edges.join(t.withColumnRenamed("node_id", "parent_id"), ["doc_id", "parent_id"]).select("doc_id", "node_id", (F.col("depth") + 1).alias("depth")))
 
 
 def effective_languages(nodes: DataFrame) -> DataFrame:
     """Own language, else that of the nearest ancestor that has one."""
-    return _walk(nodes, """with recursive t as (select doc_id, node_id, nullif(lang, '') as eff_lang from {nodes} where parent_id is null
-        union all select n.doc_id, n.node_id, coalesce(nullif(n.lang, ''), t.eff_lang) from {nodes} n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select * from t""")
+    edges = _cut(nodes.select("doc_id", "node_id", "parent_id", F.expr("nullif(lang, '')").alias("own")))
+    first = edges.where("parent_id is null").select("doc_id", "node_id", F.col("own").alias("eff_lang"))
+    return _walk(edges, first, lambda t: edges.join(t.withColumnRenamed("node_id", "parent_id"), ["doc_id", "parent_id"]).select("doc_id", "node_id", F.coalesce("own", "eff_lang").alias("eff_lang")))
 
 
 def subtree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, root, node_id) of all nodes at or below roots (doc_id, node_id)."""
-    return _walk(nodes, """with recursive t as (select n.doc_id, n.node_id as root, n.node_id from {nodes} n join {roots} r on n.doc_id = r.doc_id and n.node_id = r.node_id
-        union all select n.doc_id, t.root, n.node_id from {nodes} n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select * from t""", roots=roots)
+    edges = _cut(nodes.select("doc_id", "node_id", "parent_id"))
+    first = edges.join(roots, ["doc_id", "node_id"]).select("doc_id", F.col("node_id").alias("root"), "node_id")
+    return _walk(edges, first, lambda t: edges.join(t.withColumnRenamed("node_id", "parent_id"), ["doc_id", "parent_id"]).select("doc_id", "root", "node_id"))
 
 
 def without_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -97,8 +123,14 @@ def without_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """(doc_id, start, node_id, up) of all nodes at or above start (doc_id, node_id)."""
-    return _walk(nodes, """with recursive t as (select n.doc_id, n.node_id as start, n.node_id, n.parent_id, 0 as up from {nodes} n join {start} s on n.doc_id = s.doc_id and n.node_id = s.node_id
-        union all select n.doc_id, t.start, n.node_id, n.parent_id, t.up + 1 from {nodes} n join t on n.doc_id = t.doc_id and n.node_id = t.parent_id) select doc_id, start, node_id, up from t""", start=start)
+    edges = _cut(nodes.select("doc_id", "node_id", "parent_id"))
+    first = edges.join(start, ["doc_id", "node_id"]).select("doc_id", F.col("node_id").alias("start"), "node_id", "parent_id", F.lit(0).alias("up"))
+
+    def step(t: DataFrame) -> DataFrame:
+        above = t.select("doc_id", "start", F.col("parent_id").alias("node_id"), (F.col("up") + 1).alias("up"))
+        return edges.join(above, ["doc_id", "node_id"]).select("doc_id", "start", "node_id", "parent_id", "up")
+
+    return _walk(edges, first, step).select("doc_id", "start", "node_id", "up")
 
 
 def common_ancestors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
