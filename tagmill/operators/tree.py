@@ -140,6 +140,12 @@ def common_ancestors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, ["doc_id", "a"]).join(b, ["doc_id", "b", "node_id"]).groupBy("doc_id", "a", "b").agg(F.min_by("node_id", "up_a").alias("common"))
 
 
+def next_pairs(nodes: DataFrame) -> DataFrame:
+    """(doc_id, a, b): each node and the next one of its document by node_id, whatever their places in the tree."""
+    after = F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("node_id"))
+    return nodes.select("doc_id", F.col("node_id").alias("a"), after.alias("b")).where("b is not null")
+
+
 def terminal_types(role_map: DataFrame) -> DataFrame:
     """role_map (doc_id, custom, mapped) -> doc_id, custom, terminal: where following the map ends, CYCLE if it never does."""
     standard = ", ".join(f"'{t}'" for t in STANDARD)

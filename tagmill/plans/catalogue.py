@@ -55,6 +55,8 @@ _PAIRS = "node_id in ('c1','c2','c3','c7','c12','c30','c44','c55','c60','c71')"
 over(fx.NODES, "common_ancestor", f"with recursive n as (select * from {{s}} x), a as (select doc_id, node_id as start, node_id, parent_id, 0 as up from n where {_PAIRS} union all select n.doc_id, a.start, n.node_id, n.parent_id, a.up + 1 from n join a on n.doc_id = a.doc_id and n.node_id = a.parent_id) select p.doc_id, p.start as a, q.start as b, min_by(p.node_id, p.up) as common from a p join a q on p.doc_id = q.doc_id and p.node_id = q.node_id where p.start < q.start group by all")(
     lambda n: tree.common_ancestors(n, n.where(_PAIRS).select("doc_id", F.col("node_id").alias("a")).join(n.where(_PAIRS).select("doc_id", F.col("node_id").alias("b")), "doc_id").where("a < b"))
 )
+#: Without SQL, which would walk from every node of the table; common_ancestor and its SQL ask for ten nodes.
+over(fx.NODES, "common_ancestor_all")(lambda n: tree.common_ancestors(n, tree.next_pairs(n)))
 _STD = ", ".join(f"'{x}'" for x in tree.STANDARD)
 over(fx.ROLES, "role_map_terminal", f"with recursive m as (select * from {{s}} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop) and t.hop not in ({_STD})) select doc_id, custom, max_by(case when list_contains(seen, hop) then 'CYCLE' else hop end, steps) as terminal from t group by doc_id, custom")(tree.terminal_types)
 over(fx.ROLES, "role_map_cycles", "with recursive m as (select * from {s} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop)) select doc_id, custom, steps as length from t where hop = custom")(tree.map_cycles)
