@@ -35,21 +35,38 @@ RAW = frozenset("script style noscript template textarea iframe svg math object
 BOILERPLATE = frozenset("nav footer aside form menu head button select dialog search fieldset".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|share|sharing|shares|sidebar|side-bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])", re.I)
+#: Whole names of a class or id; parts of names, as in "with-sidebar", say nothing.
+NAMES = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|share|sharing|shares|sidebar|side-bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)", re.I)
 CONTENT = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("blocked", "content", "mass", "parent", "tag")
+    __slots__ = ("barred", "content", "holds", "mass", "named", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent, self.mass = tag, parent, 0.0
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         within = parent is not None and parent.content
         role = found.get("role", "").lower()
-        named = NAMES.search(f"{found.get('class', '')} {found.get('id', '')}") is not None and tag not in ("html", "body", "article", "main")
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        self.named = tag not in ("html", "body", "article", "main") and any(NAMES.fullmatch(x) for x in names)
         self.content = within or tag in CONTENT or role == "main" or found.get("itemprop") == "articleBody"
-        self.blocked = parent is not None and parent.blocked or tag in BOILERPLATE or role in ROLES or named or tag == "header" and not within
+        self.barred = tag in BOILERPLATE or role in ROLES or tag == "header" and not within
+        self.holds = False  # an article or main within
+        if self.content and not within:
+            while parent is not None and not parent.holds:
+                parent.holds = True
+                parent = parent.parent
+
+    @property
+    def blocked(self) -> bool:
+        """Once the page is read: whether its tag or role, or the name of one that holds no article, bars it or what it stands in."""
+        x: Node | None = self
+        while x is not None:
+            if x.barred or x.named and not x.holds:
+                return True
+            x = x.parent
+        return False
 
     def path(self) -> str:
         return f"{self.parent.path() if self.parent else ''}/{self.tag}"

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tagmill.llm import lm_trie, mixing
+from tagmill.llm import html_main, lm_trie, mixing
 
 
 def test_lm_keeps_pairs_seen_once(spark):
@@ -27,3 +27,9 @@ def test_mixing_meets_targets(spark):
     got = mixing.residuals(table, mixing.POWERS).collect()
     assert len(got) == 6 and all(abs(r["target"] - r["reached"]) < 1e-9 for r in got)
     assert all(0 <= r["probability"] <= 1 for r in mixing.op2_mixing(docs).collect())
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "content no-sidebar", "page has-header", "elementor-widget", "widget", "sidebar"])
+def test_html_wrapper_keeps_its_article(name):
+    page = f'<body><div class="{name}"><article><div class="entry-header"><h1>A title</h1></div><p>First, of all.</p><div class="comments"><p>A reader says, no.</p></div></article></div><div class="sidebar"><p>Side, text.</p></div></body>'
+    assert html_main.main_text(page) == "A title\nFirst, of all."
