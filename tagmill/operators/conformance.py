@@ -7,8 +7,78 @@ from pyspark.sql import functions as F
 
 #: The 31 groups of checkpoints of the Matterhorn Protocol.
 GROUPS = ["Real content tagged", "Role mapping", "Flickering", "Color and contrast", "Sound", "Metadata", "Dictionary", "OCR validation", "Appropriate tags", "Character mappings", "Declared natural language", "Stretchable characters", "Graphics", "Headings", "Tables", "Lists", "Mathematical expressions", "Page headers and footers", "Notes and references", "Optional content", "Embedded files", "Article threads", "Digital signatures", "Non-interactive forms", "XFA", "Security", "Navigation", "Annotations", "Actions", "XObjects", "Fonts"]
-#: Groups whose failures are recommended for repair first, in order.
-CRITICAL = ["01", "06", "11", "13", "14", "15", "28"]
+#: Groups whose failures are recommended for repair, in order.
+CRITICAL = ["06", "07", "11", "13", "15", "09", "01"]
+#: Advice in general, for documents with less than three recommendations.
+GENERAL = ["semantic tags", "table headers", "alternative texts", "language", "reading order", "running heads", "contrast"]
+
+
+#: Checkpoints with their title, section of the standard, and whether a machine can check them.
+CHECKPOINTS = [
+    ("01-001", "Artifact is tagged as real content", "UA1:7.1-1", False),
+    ("01-002", "Real content is marked as artifact", "UA1:7.1-1", False),
+    ("01-003", "Content marked as Artifact is present inside tagged content", "UA1:7.1-1", True),
+    ("01-004", "Tagged content is present inside content marked as Artifact", "UA1:7.1-1", True),
+    ("01-005", "Content is neither marked as Artifact nor tagged as real content", "UA1:7.1-2", True),
+    ("01-006", "The structure type and attributes of a structure element are not semantically appropriate", "UA1:7.1-2", False),
+    ("01-007", "Suspects entry has a value of true", "UA1:7.1-11", True),
+    ("02-001", "Non-standard tag's mapping does not terminate with a standard type", "UA1:7.1-3", True),
+    ("02-002", "Mapping of non-standard type is semantically inappropriate", "UA1:7.1-3", False),
+    ("02-003", "A circular mapping exists", "UA1:7.1-3", True),
+    ("02-004", "Standard types are remapped", "UA1:7.1-4", True),
+    ("28-001", "Tab order not set to Structure in a page with annotations", "UA1:7.18.1-1", True),
+    ("04-001", "Information conveyed by contrast, color, format or layout not reflected in structure", "UA1:7.1-6", False),
+    ("06-001", "Document does not contain an XMP metadata stream", "UA1:7.1-8", True),
+    ("06-002", "The XMP metadata stream does not include the PDF/UA identifier", "UA1:5", True),
+    ("06-003", "XMP metadata stream does not contain dc:title", "UA1:7.1-8", True),
+    ("06-004", "dc:title does not clearly identify the document", "UA1:7.1-8", False),
+    ("07-001", "ViewerPreferences dictionary does not contain a DisplayDocTitle entry", "UA1:7.1-9", True),
+    ("07-002", "ViewerPreferences dictionary contains a DisplayDocTitle entry with value of false", "UA1:7.1-9", True),
+    ("09-001", "Tags are not in logical reading order", "UA1:7.2-1", False),
+    ("09-002", "Structure elements are nested in a semantically inappropriate manner", "UA1:7.2-1", False),
+    ("11-001", "Natural language for text in page content cannot be determined", "UA1:7.2-3", True),
+    ("11-002", "Natural language for text in Alt, ActualText and E attributes cannot be determined", "UA1:7.2-3", True),
+    ("11-006", "Natural language for document metadata cannot be determined", "UA1:7.2-3", True),
+    ("11-007", "Natural language is not appropriate", "UA1:7.2-3", False),
+    ("13-004", "<Figure> tag alternative or replacement text missing", "UA1:7.3-3", True),
+    ("13-008", "ActualText not present when a <Figure> is intended to be consumed primarily as text", "UA1:7.3-4", False),
+    ("14-003", "Numbered heading levels in descending sequence are skipped", "UA1:7.4-1", True),
+    ("15-003", "In a table not organized with Headers attributes and IDs, a <TH> cell does not contain a Scope attribute", "UA1:7.5-2", True),
+    ("15-005", "A given cell's header cannot be unambiguously determined", "UA1:7.5-2", False),
+    ("16-001", "List is an ordered list, but no value for the ListNumbering attribute is present", "UA1:7.6-1", False),
+    ("28-002", "An annotation, other than of subtype Widget, Link and PrinterMark, is not a direct child of an <Annot> structure element", "UA1:7.18.1-2", True),
+    ("28-004", "An annotation, other than of subtype Widget, does not have a Contents entry and does not have an alternative description", "UA1:7.18.1-4", True),
+    ("28-011", "A link annotation is not nested within a <Link> tag", "UA1:7.18.5-1", True),
+]
+#: Checkpoints whose failure is an error or a warning whatever finds it; others are information.
+ERRORS = ["01-005", "06-001", "06-002", "06-003", "07-001", "07-002", "13-004", "14-003", "15-003", "28-002", "28-004", "28-011"]
+WARNINGS = ["01-006", "02-002", "04-001", "06-004", "11-007", "13-008", "16-001"]
+#: What a checkpoint's condition is about, where it isn't one object.
+ABOUT = {"DOC": ["06-001", "06-002", "06-003", "06-004", "07-001", "07-002", "11-006"], "PAGE": ["03-001", "08-001", "08-002"], "JS": ["03-003", "05-003", "29-001"], "ALL": ["11-007"]}
+
+
+def checkpoints(spark) -> DataFrame:
+    return spark.createDataFrame(CHECKPOINTS, "checkpoint string, title string, section string, machine boolean")
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """rows with a checkpoint, and what it is: known, title, section, group, checkable, severity, about, how (M or H)."""
+    c = F.col("checkpoint")
+    about = F.lit("Object")
+    for kind, ids in ABOUT.items():
+        about = F.when(c.isin(ids), kind).otherwise(about)
+    out = rows.join(F.broadcast(checkpoints(rows.sparkSession)), "checkpoint", "left")  # 34 rows
+    return out.select(
+        *rows.columns,
+        F.col("machine").isNotNull().alias("known"),
+        F.coalesce("title", F.concat(F.lit("unknown checkpoint "), c)).alias("title"),
+        F.coalesce("section", F.lit("unknown")).alias("section"),
+        category(c).alias("group"),
+        F.coalesce("machine", F.lit(False)).alias("checkable"),
+        F.when(c.isin(ERRORS), "error").when(c.isin(WARNINGS), "warning").otherwise("info").alias("severity"),
+        about.alias("about"),
+        F.when(F.coalesce("machine", F.lit(False)), "M").otherwise("H").alias("how"),
+    )
 
 
 def groups(spark) -> DataFrame:
@@ -74,11 +144,19 @@ def examples(issues: DataFrame, k: int = 3) -> DataFrame:
     return issues.withColumn("n", F.row_number().over(w)).where(f"n <= {k}").select("checkpoint", "n", "doc_id", "description")
 
 
-def recommendations(issues: DataFrame, most: int = 5) -> DataFrame:
-    """Failing critical categories in their order, then the other failing ones by errors."""
-    out = rollup(issues).where("errors > 0").withColumn("first", F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CRITICAL]), F.col("category")), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.when(F.col("first") > 0, F.col("first")).otherwise(99), F.desc("errors"), "category"))
-    return out.withColumn("place", rank).where(f"place <= {most}").select("place", "category", "name", "errors")
+def recommendations(issues: DataFrame, structured: DataFrame, most: int = 5) -> DataFrame:
+    """(doc_id, place, advice): what to mend first, for each document of structured (doc_id, has_structure).
+
+    First structure, if there is none, then the failing critical groups in their order,
+    and general advice up to most if that makes less than three.
+    """
+    failing = issues.where("severity = 'error'").groupBy("doc_id").agg(F.collect_set(category(F.col("checkpoint"))).alias("bad"))
+    one = structured.join(failing, "doc_id", "left")
+    bad = F.coalesce("bad", F.array().cast("array<string>"))
+    own = F.array_compact(F.array(F.when(~F.col("has_structure"), "structure"), *[F.when(F.array_contains(bad, c), c) for c in CRITICAL]))
+    first = F.slice(own, 1, most)
+    advice = F.when(F.size(first) < 3, F.slice(F.concat(first, F.lit(GENERAL)), 1, most)).otherwise(first)
+    return one.select("doc_id", F.posexplode(advice).alias("at", "advice")).select("doc_id", (F.col("at") + 1).alias("place"), "advice")
 
 
 def overview(issues: DataFrame) -> DataFrame:

@@ -9,40 +9,45 @@ from tagmill.functions import text as t
 
 
 def runs(lines: DataFrame, least: int = 2) -> DataFrame:
-    """Runs of consecutive lines with one marker type, of at least so many lines."""
+    """Runs of consecutive lines with one marker type, of at least so many lines; only decimal ones carry a numbering."""
     one = lines.withColumn("type", t.marker_type(F.col("text")))
     w = Window.partitionBy("doc_id").orderBy("seq")
     new = F.when(F.col("type").eqNullSafe(F.lag("type").over(w)), 0).otherwise(1)
     numbered = one.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.where("type is not null").groupBy("doc_id", "run").agg(F.first("type").alias("type"), F.min("seq").alias("first"), F.count("*").alias("items")).where(f"items >= {least}").select("doc_id", "type", "first", "items")
+    return numbered.where("type is not null").groupBy("doc_id", "run").agg(F.first("type").alias("type"), F.min("seq").alias("first"), F.count("*").alias("items")).where(f"items >= {least}").select("doc_id", "type", "first", "items", F.when(F.col("type") == "numbered-decimal", "Decimal").alias("numbering"))
 
 
-def numbering_styles(lines: DataFrame) -> DataFrame:
-    """Per document the most common numbering; ties in the order named, None if nothing is numbered."""
-    names = ["decimal", "lower-alpha", "upper-alpha", "lower-roman", "upper-roman"]
-    kind = t.marker_type(F.col("text"))
-    out = lines.groupBy("doc_id").agg(*[F.count_if(F.coalesce(kind == f"numbered-{n}", F.lit(False))).alias(n) for n in names])
-    top = F.greatest(*[F.col(f"`{n}`") for n in names])
+def numbering_styles(labels_of: DataFrame) -> DataFrame:
+    """labels_of (doc_id, label) -> the most common numbering; a label may count for several, ties go in the order named, None if nothing is numbered."""
+    label = t.stripped(F.col("label"))
+    signs = {"Decimal": r"\p{Nd}+", "LowerAlpha": "[a-z]", "UpperAlpha": "[A-Z]", "LowerRoman": "[ivxlcdm]+", "UpperRoman": "[IVXLCDM]+"}
+    out = labels_of.groupBy("doc_id").agg(*[F.count_if(label.rlike(f"^{x}[.)]")).alias(n) for n, x in signs.items()])
+    top = F.greatest(*signs)
     style = F.when(top == 0, "None")
-    for n in names:
-        style = style.when(F.col(f"`{n}`") == top, n)
+    for n in signs:
+        style = style.when(F.col(n) == top, n)
     return out.select("doc_id", style.alias("style"), top.alias("items"))
 
 
+def first_numberings(lines: DataFrame) -> DataFrame:
+    """Per document the numbering of the first of its lines that says one, else None."""
+    kind = t.first_numbering(F.col("text"))
+    return lines.groupBy("doc_id").agg(F.coalesce(F.min_by(kind, F.when(kind.isNotNull(), F.col("seq"))), F.lit("None")).alias("numbering"))
+
+
 def labels(lines: DataFrame) -> DataFrame:
-    m = t.marker(F.col("text"))
-    return lines.withColumn("label", m).where("label <> ''").withColumn("body", F.trim(F.expr("substring(text, length(label) + 1)")))
+    return lines.withColumn("x", t.item_parts(F.col("text"))).select("*", "x.label", "x.body").drop("x")
 
 
 def split_tables(lines: DataFrame) -> DataFrame:
     """Lines that bars, tabs or wide gaps cut into cells."""
-    cells = F.filter(F.transform(F.split("text", r"\s{2,}|\t|\|"), lambda x: F.trim(x)), lambda x: x != "")
+    cells = F.filter(F.transform(F.split("text", rf"{t.WS}{{2,}}|\t|\|"), t.stripped), lambda x: x != "")
     return lines.withColumn("cells", F.size(cells)).where("cells >= 2")
 
 
 def classified(blocks: DataFrame) -> DataFrame:
-    """blocks with size, bold and text as H1, H2, H3, list, table or P."""
-    kind = F.when(F.col("size") > 16, "H1").when((F.col("size") > 14) & F.col("bold"), "H2").when((F.col("size") > 12) & F.col("bold"), "H3").when(t.marker_type(F.col("text")).isNotNull(), "list").when(F.col("text").contains("|") | F.col("text").contains("\t"), "table").otherwise("P")
+    """blocks with size, bold and text as H1, H2, H3, L, Table or P."""
+    kind = F.when(F.col("size") > 16, "H1").when((F.col("size") > 14) & F.col("bold"), "H2").when((F.col("size") > 12) & F.col("bold"), "H3").when(t.looks_like_item(F.col("text")), "L").when(t.looks_like_table(F.col("text")), "Table").otherwise("P")
     return blocks.withColumn("block", kind)
 
 
@@ -61,24 +66,17 @@ def similar_texts(texts: DataFrame, least: float) -> DataFrame:
 
 
 def repeated(texts: DataFrame, least: float = 0.8) -> DataFrame:
-    """Groups of alike texts of a document: each joins the first group whose first text is alike; kept if on half the pages or more.
+    """(doc_id, page, first, text) of texts that run through a document: two or more, on half its pages at least, alike.
 
-    Whether a text opens a group depends on all before it, so a document's pages fold in Python.
+    In order of page a text joins the first leader that is alike, or leads a group of its
+    own, so each document folds to its leaders only; its texts find theirs row by row.
     """
-    import pandas as pd
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for page, text in frame.sort_values("page")[["page", "text"]].itertuples(index=False):
-            words = set((text or "").lower().split())
-            for g in found:
-                union = len(g[1] | words)
-                if words and g[1] and len(g[1] & words) / union >= least:
-                    g[2] += 1
-                    break
-            else:
-                found.append([page, words, 1])
-        keep = [g for g in found if g[2] >= max(2, len(frame) / 2)]
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]] * len(keep), "page": [g[0] for g in keep], "pages": [g[2] for g in keep]})
-
-    return texts.groupBy("doc_id").applyInPandas(fold, "doc_id long, page long, pages long")
+    one = texts.select("doc_id", "page", "text", F.array_distinct(t.words_of(F.lower("text"))).alias("words"))
+    point = F.struct("page", "words")
+    docs = one.groupBy("doc_id").agg(F.sort_array(F.collect_list(point)).alias("v"), (F.max("page") + 1).alias("pages"))
+    alike = lambda a, b: (F.size(a["words"]) > 0) & (F.size(F.array_intersect(a["words"], b["words"])) >= least * F.size(F.array_union(a["words"], b["words"])))
+    leaders = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.array(F.element_at("v", 1)), lambda found, p: F.when(F.exists(found, lambda x: alike(x, p)), found).otherwise(F.concat(found, F.array(p))))
+    led = one.withColumn("p", point).join(docs.select("doc_id", "pages", leaders.alias("found")), "doc_id")
+    led = led.withColumn("first", F.coalesce(F.get(F.filter("found", lambda x: alike(x, F.col("p"))), F.lit(0))["page"], F.col("page")))
+    n = F.count("*").over(Window.partitionBy("doc_id", "first"))
+    return led.withColumn("n", n).where("n >= greatest(2, 0.5 * pages)").select("doc_id", "page", "first", "text")

@@ -31,9 +31,15 @@ def described_fields(fields: DataFrame) -> DataFrame:
     return fields.withColumn("kind", kind).withColumn("description", F.coalesce(F.nullif(t.readable_field_name(F.col("name")), F.lit("")), F.col("kind"))).withColumn("multiline_flags", F.when(F.col("type") == "Tx", F.col("flags").bitwiseOR(4096)).otherwise(F.col("flags")))
 
 
-def alt_texts(images: DataFrame) -> DataFrame:
-    """images (image_id, alt, file_name, width, height): the alternative text to use and where it comes from."""
-    shape = F.when(F.col("width") > 1.5 * F.col("height"), "wide").when(F.col("height") > 1.5 * F.col("width"), "tall").otherwise("square")
-    good = ~t.generic_alt(F.coalesce("alt", F.lit("")))
-    name = t.title_of_filename(F.col("file_name"))
-    return images.withColumn("source", F.when(good, "alt").when(F.length(name) >= 10, "file").otherwise("shape")).withColumn("chosen", F.when(good, F.trim("alt")).when(F.length(name) >= 10, name).otherwise(F.concat(F.lit("image "), shape)))
+def alt_texts(images: DataFrame, least: float = 0.6) -> DataFrame:
+    """images (text that was recognised, file_name, text_image): the description to use, its attribute, and where it comes from.
+
+    Recognised text counts if it is valid with a confidence of least, and stands for an
+    image that is mostly text; then the file's name, then a phrase that says nothing.
+    """
+    told = images.withColumn("q", t.recognition(F.col("text")))
+    good, name = F.col("q.valid") & (F.col("q.confidence") >= least), F.coalesce("file_name", F.lit(""))
+    words = t.capitalised(t.words_of(F.translate(F.regexp_replace(name, r"[.][^.]*$", ""), "-_", "  ")))
+    source = F.when(good, "ocr").when(name != "", "filename").otherwise("default")
+    attribute = F.when(good & F.coalesce("text_image", F.lit(False)), "ActualText").otherwise("Alt")
+    return told.withColumn("source", source).withColumn("attribute", attribute).withColumn("chosen", F.when(good, F.col("text")).when(name != "", words).otherwise("Imagen sin descripción disponible")).drop("q")

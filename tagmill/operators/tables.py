@@ -11,9 +11,16 @@ def rows_of(cells: DataFrame) -> DataFrame:
 
 
 def shape(cells: DataFrame) -> DataFrame:
-    """Rows, columns, header rows (more than half TH) and whether the table is complex."""
-    out = rows_of(cells).groupBy("table_id").agg(F.count("*").alias("n_rows"), F.max("cells").alias("max_cols"), F.min("cells").alias("min_cols"), F.count_if(F.col("heads") > 0.5 * F.col("cells")).alias("header_rows"))
-    return out.withColumn("complex", ((F.col("n_rows") > 3) & (F.col("max_cols") > 3)) | (F.col("header_rows") > 1))
+    """Rows, columns, header rows (more than half TH), cells with a span, and whether the table is complex."""
+    spans = F.count_if(_given("colspan") | _given("rowspan"))
+    rows = cells.groupBy("table_id", "row_id").agg(F.count("*").alias("cells"), F.count_if(F.col("kind") == "TH").alias("heads"), spans.alias("spans"))
+    out = rows.groupBy("table_id").agg(F.count("*").alias("n_rows"), F.max("cells").alias("max_cols"), F.min("cells").alias("min_cols"), F.count_if(F.col("heads") > 0.5 * F.col("cells")).alias("header_rows"), F.sum("spans").alias("spans"))
+    return out.withColumn("complex", ((F.col("n_rows") > 3) & (F.col("max_cols") > 3)) | (F.col("header_rows") > 1) | (F.col("spans") > 0))
+
+
+def _given(name: str) -> Column:
+    """Whether an attribute is there and not empty."""
+    return F.coalesce(F.col(name), F.lit("")) != ""
 
 
 def ragged(cells: DataFrame) -> DataFrame:
@@ -53,17 +60,40 @@ def dangling_headers(cells: DataFrame) -> DataFrame:
 
 
 def bad_spans(cells: DataFrame) -> DataFrame:
-    """Column spans that aren't whole numbers from 1 to the table's columns."""
-    wide = shape(cells).select("table_id", "max_cols")
-    n = F.col("colspan").try_cast("int")
-    return cells.join(wide, "table_id").withColumn("problem", F.when(n.isNull(), "not a number").when(n <= 0, "not positive").when(n > F.col("max_cols"), "too wide")).where("problem is not null")
+    """Spans that are given but aren't whole numbers from 1 to the table's columns or rows: one row for each, with the attribute's name."""
+    size = shape(cells).select("table_id", "n_rows", "max_cols")
+    one = F.explode(F.array(*[F.struct(F.lit(name).alias("span"), F.col(name).alias("value"), F.col(most).alias("most")) for name, most in (("colspan", "max_cols"), ("rowspan", "n_rows"))])).alias("x")
+    n = F.trim("value").try_cast("int")
+    problem = F.when(n.isNull(), "not a number").when(n <= 0, "not positive").when(n > F.col("most"), "too wide")
+    return cells.join(size, "table_id").select("*", one).select("*", "x.*").drop("x").where(_given("value")).withColumn("problem", problem).where("problem is not null")
+
+
+#: Legal scopes.
+SCOPES = ["Row", "Col", "Column", "Both", "Rowgroup", "Colgroup"]
+
+
+def uses_ids(cells: DataFrame) -> DataFrame:
+    """table_id and whether its cells are tied by headers and ids."""
+    return cells.groupBy("table_id").agg(F.bool_or(_given("headers") | _given("cell_id")).alias("by_id"))
+
+
+def bad_scopes(cells: DataFrame) -> DataFrame:
+    """Header cells without a legal scope, of tables without headers and ids; suggested is Col in tables with more rows than columns, else Row."""
+    tall = shape(cells).select("table_id", F.when(F.col("n_rows") > F.col("max_cols"), "Col").otherwise("Row").alias("suggested"))
+    scope = F.trim(F.coalesce("scope", F.lit("")))
+    bad = cells.where("kind = 'TH'").withColumn("problem", F.when(scope == "", "missing").when(~scope.isin(SCOPES), "unknown")).where("problem is not null")
+    return bad.join(uses_ids(cells).where("not by_id"), "table_id", "left_semi").join(tall, "table_id")
 
 
-def missing_scopes(cells: DataFrame) -> DataFrame:
-    """Header cells without a legal scope, with the one to suggest: Column in a header row, Row in others, Both where both hold."""
-    rows = rows_of(cells).withColumn("header_row", F.col("heads") > 0.5 * F.col("cells")).select("table_id", "row_id", "header_row")
-    th = cells.where("kind = 'TH'").where(~F.coalesce("scope", F.lit("")).isin("Row", "Column", "Both", "row", "col", "both"))
-    return th.join(rows, ["table_id", "row_id"]).withColumn("suggested", F.when(F.col("header_row"), "Column").when(F.col("col") == 1, "Row").otherwise("Both"))
+def repaired_scopes(cells: DataFrame) -> DataFrame:
+    """The scope to write to header cells without one, of tables without headers: Column in the first row and in header rows, Row in header columns, else Both."""
+    first = F.dense_rank().over(Window.partitionBy("table_id").orderBy("row_id"))
+    rows = rows_of(cells).select("table_id", "row_id", (first == 1).alias("first_row"), (F.col("heads") > 0.5 * F.col("cells")).alias("header_row"))
+    columns = header_columns(cells).select("table_id", (F.col("column") + 1).alias("col"), F.lit(True).alias("header_column"))
+    tied = cells.groupBy("table_id").agg(F.bool_or(_given("headers")).alias("tied")).where("not tied")
+    th = cells.where("kind = 'TH'").where(~_given("scope")).join(tied, "table_id", "left_semi")
+    value = F.when(F.col("first_row") | F.col("header_row"), "Column").when(F.coalesce("header_column", F.lit(False)), "Row").otherwise("Both")
+    return th.join(rows, ["table_id", "row_id"]).join(columns, ["table_id", "col"], "left").withColumn("suggested", value)
 
 
 #: Places of the sections; rows outside of them count as body.

@@ -9,26 +9,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Children that each parent may hold, for the validating grammar.
 CHILDREN = {
-    "Document": ["Part", "Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Form"],
-    "Sect": ["Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Form"],
-    "Div": ["Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Form"],
-    "L": ["LI", "Caption"],
+    "Document": ["Part", "Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "BlockQuote", "TOC", "Index"],
+    "Part": ["Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure"],
+    "Art": ["Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure"],
+    "Sect": ["Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure"],
+    "Div": ["P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Div"],
+    "L": ["LI"],
     "LI": ["Lbl", "LBody"],
-    "LBody": ["P", "L", "Span", "Link"],
-    "P": ["Span", "Link", "Figure", "Note", "Reference"],
+    "LBody": ["P", "L", "Table", "Figure"],
     "Table": ["TR", "THead", "TBody", "TFoot", "Caption"],
     "THead": ["TR"],
     "TBody": ["TR"],
     "TFoot": ["TR"],
     "TR": ["TH", "TD"],
+    "TH": ["P", "Span", "Link"],
+    "TD": ["P", "Span", "Link", "L", "Figure"],
+    "P": ["Span", "Link", "Note", "Reference"],
+    "BlockQuote": ["P", "L"],
+    "Caption": ["P", "Span"],
+    "TOC": ["TOCI"],
+    "TOCI": ["P", "Span", "Link"],
 }
-#: Types that the standard knows.
-STANDARD = ["Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot", "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Ruby", "Warichu", "Figure", "Formula", "Form"]
+#: Types that the validation takes for standard.
+STANDARD = ["Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot", "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Figure", "Formula", "Form"]
+#: Types at which a role map may end, for the repairs.
+TERMINAL = ["Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot", "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Ruby", "Warichu", "RB", "RT", "RP", "WT", "WP", "Figure", "Formula", "Form", "TextNode"]
+#: Beginnings of names in lower case and the type that they suggest; the first that fits counts.
+NAME_PATTERNS = [("h[0-9]", "H1"), ("head", "H1"), ("title", "H1"), ("heading", "H1"), ("subtitle", "H2"), ("chap", "H1"), ("sect", "Sect"), ("paragraph", "P"), ("para", "P"), ("text", "P"), ("img", "Figure"), ("pic", "Figure"), ("fig", "Figure"), ("table", "Table"), ("row", "TR"), ("cell", "TD"), (r"header\w*cell", "TH"), ("th", "TH"), ("td", "TD"), ("list", "L"), ("item", "LI"), ("(bullet|numbered)list", "L"), ("caption", "Caption"), ("link", "Link"), ("note", "Note"), ("quote", "Quote"), ("formula", "Formula"), ("div", "Div"), ("span", "Span"), ("annotation", "Annot"), ("form", "Form"), ("reference", "Reference")]
 #: Types that the grammar lets stand anywhere.
 EXEMPT = ["TextContent", "MCID", "StructTreeRoot"]
 
@@ -71,12 +83,20 @@ def list_rules(nodes: DataFrame) -> DataFrame:
     return lists.join(kids, ["doc_id", "node_id"], "left").groupBy("doc_id", "node_id").agg(F.count_if(F.col("kid") == "LI").alias("items"), F.count_if(F.col("kid") != "LI").alias("others"))
 
 
-def _cut(frame: DataFrame) -> DataFrame:
-    """frame, computed and written to the shared checkpoint folder."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables that all executors see; on one machine it may be set here."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or f"{frame.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return context.getCheckpointDir()
+
+
+def _cut(frame: DataFrame) -> DataFrame:
+    """frame, computed and written to the shared checkpoint folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -103,6 +123,13 @@ def depths(nodes: DataFrame) -> DataFrame:
     return _walk(edges, first, lambda t: edges.join(t.withColumnRenamed("node_id", "parent_id"), ["doc_id", "parent_id"]).select("doc_id", "node_id", (F.col("depth") + 1).alias("depth")))
 
 
+def paths(nodes: DataFrame) -> DataFrame:
+    """path of every node: the places (sib) from its root down, whose order is that of reading."""
+    edges = _cut(nodes.select("doc_id", "node_id", "parent_id", "sib"))
+    first = edges.where("parent_id is null").select("doc_id", "node_id", F.array("sib").alias("path"))
+    return _walk(edges, first, lambda t: edges.join(t.withColumnRenamed("node_id", "parent_id"), ["doc_id", "parent_id"]).select("doc_id", "node_id", F.concat("path", F.array("sib")).alias("path")))
+
+
 def effective_languages(nodes: DataFrame) -> DataFrame:
     """Own language, else that of the nearest ancestor that has one."""
     edges = _cut(nodes.select("doc_id", "node_id", "parent_id", F.expr("nullif(lang, '')").alias("own")))
@@ -146,27 +173,42 @@ def next_pairs(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", F.col("node_id").alias("a"), after.alias("b")).where("b is not null")
 
 
+def _followed(role_map: DataFrame, stops: list[str]) -> DataFrame:
+    """doc_id, custom, at, seen: where following the map from each name ends or comes to a name again.
+
+    Level by level: each round takes the names that still lead on one step further.
+    """
+    bare = lambda c: F.regexp_replace(c, "^/", "")
+    edges = _cut(role_map.select("doc_id", bare("custom").alias("custom"), bare("mapped").alias("mapped")))
+    live = edges.select("doc_id", "custom", F.col("mapped").alias("at"), F.array("custom").alias("seen"))
+    out, done = None, False
+    while not done:
+        again = F.array_contains("seen", F.col("at"))
+        ahead = edges.select("doc_id", F.col("custom").alias("at"), F.col("mapped").alias("next"))
+        step = _cut(live.join(ahead, ["doc_id", "at"], "left").withColumn("on", F.col("next").isNotNull() & ~again & ~F.col("at").isin(stops)))
+        ended = step.where("not on").select("doc_id", "custom", "at", "seen")
+        out = ended if out is None else out.unionByName(ended)
+        live = step.where("on").select("doc_id", "custom", F.col("next").alias("at"), F.concat("seen", F.array("at")).alias("seen"))
+        done = live.isEmpty()
+    return out
+
+
 def terminal_types(role_map: DataFrame) -> DataFrame:
     """role_map (doc_id, custom, mapped) -> doc_id, custom, terminal: where following the map ends, CYCLE if it never does."""
-    standard = ", ".join(f"'{t}'" for t in STANDARD)
-    return role_map.sparkSession.sql(f"""with recursive t as (select doc_id, custom, mapped as at, array(custom) as seen, 1 as steps from {{m}}
-        union all select t.doc_id, t.custom, m.mapped, concat(t.seen, array(t.at)), t.steps + 1 from t join {{m}} m on m.doc_id = t.doc_id and m.custom = t.at
-        where not array_contains(t.seen, t.at) and t.at not in ({standard}))
-        select doc_id, custom, max_by(case when array_contains(seen, at) then 'CYCLE' else at end, steps) as terminal from t group by doc_id, custom""", m=role_map)
+    return _followed(role_map, TERMINAL).select("doc_id", "custom", F.when(F.array_contains("seen", F.col("at")), "CYCLE").otherwise(F.col("at")).alias("terminal"))
 
 
 def map_cycles(role_map: DataFrame) -> DataFrame:
     """doc_id, custom, length: the names from which following the map comes back to them, and in how many steps."""
-    return role_map.sparkSession.sql("""with recursive t as (select doc_id, custom, mapped as at, array(custom) as seen, 1 as steps from {m}
-        union all select t.doc_id, t.custom, m.mapped, concat(t.seen, array(t.at)), t.steps + 1 from t join {m} m on m.doc_id = t.doc_id and m.custom = t.at
-        where not array_contains(t.seen, t.at))
-        select doc_id, custom, steps as length from t where at = custom""", m=role_map)
+    return _followed(role_map, []).where("at = custom").select("doc_id", "custom", F.size("seen").alias("length"))
 
 
 def type_by_name(name: Column) -> Column:
     """A standard type for a custom name by its beginning; P if nothing fits."""
-    low = F.lower(name)
-    return F.when(low.rlike("^h(ead(ing)?)?[1-6]$"), F.concat(F.lit("H"), F.regexp_extract(low, "([1-6])$", 1))).when(low.rlike("^(title|head)"), "H1").when(low.rlike("^(list|ul|ol)"), "L").when(low.rlike("^(item|li)"), "LI").when(low.rlike("^tab"), "Table").when(low.rlike("^row"), "TR").when(low.rlike("^cell"), "TD").when(low.rlike("^(fig|im(age|g)|pict|promo)"), "Figure").when(low.rlike("^link"), "Link").otherwise("P")
+    low, out = F.lower(F.coalesce(name, F.lit(""))), F.lit("P")
+    for pattern, kind in reversed(NAME_PATTERNS):
+        out = F.when(low.rlike(f"^{pattern}"), kind).otherwise(out)
+    return out
 
 
 def statistics(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from tagmill.functions import colour as c
 from tagmill.functions import geometry as g
 from tagmill.functions import text as t
-from tagmill.operators import conformance, export, layout, lists, matching, metadata, tables, tree
+from tagmill.operators import conformance, export, issues, layout, lists, matching, metadata, tables, tree
 from tagmill.plans import fixtures as fx
+from tagmill.plans import sql_values as v
 from tagmill.plans.fixtures import frame
 from tagmill.sources import pages as pg
 
@@ -42,69 +44,65 @@ over(fx.HEADINGS, "heading_skip", f"select doc_id, {K}, level, expected from (se
 over(fx.HEADINGS, "heading_repair", f"select doc_id, {K}, level, i + min(level - i) over (partition by doc_id order by {K} rows between unbounded preceding and current row) as fixed from (select *, row_number() over (partition by doc_id order by {K}) as i from {{s}} h) t")(lambda h: tree.repaired_levels(h, "doc_id", fx.ORDER).select("doc_id", *fx.ORDER, "level", "fixed"))
 over(fx.HEADINGS, "page_heading_jump", f"select doc_id, page, {K}, level, previous from (select *, lag(level) over (partition by doc_id, page order by {K}) as previous from {{s}} h) t where level > previous + 2")(lambda h: tree.page_jumps(h, "doc_id", "page", fx.ORDER).select("doc_id", "page", *fx.ORDER, "level", "previous"))
 
-_EDGES = ", ".join(f"('{p}', '{k}')" for p, ks in tree.CHILDREN.items() for k in ks)
-_PARENTS = ", ".join(f"'{p}'" for p in tree.CHILDREN)
-over(fx.NODES, "illegal_nesting", f"with n as (select * from {{s}} x), v(p, k) as (values {_EDGES}) select k.doc_id, k.node_id, k.parent_id, k.type, u.type as parent_type from n k join n u on u.doc_id = k.doc_id and u.node_id = k.parent_id where u.type in ({_PARENTS}) and not exists (select 1 from v where v.p = u.type and v.k = k.type)")(lambda n: tree.illegal_nesting(n).select("doc_id", "node_id", "parent_id", "type", "parent_type"))
+over(fx.NODES, "illegal_nesting", f"with n as (select * from {{s}} x), g(p, k) as (values {v.EDGES}) select k.doc_id, k.node_id, k.parent_id, k.type, u.type as parent_type from n k join n u on u.doc_id = k.doc_id and u.node_id = k.parent_id where u.type in ({v.PARENTS}) and k.type not in ('TextContent', 'MCID', 'StructTreeRoot') and not exists (select 1 from g where g.p = u.type and g.k = k.type)")(lambda n: tree.illegal_nesting(n).select("doc_id", "node_id", "parent_id", "type", "parent_type"))
 over(fx.NODES, "list_rules", "with n as (select * from {s} x) select l.doc_id, l.node_id, count(*) filter (where k.type = 'LI') as items, count(*) filter (where k.type <> 'LI') as others from n l left join n k on k.doc_id = l.doc_id and k.parent_id = l.node_id where l.type = 'L' group by l.doc_id, l.node_id")(tree.list_rules)
 over(fx.NODES, "max_depth", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, 0 as depth from n where parent_id is null union all select n.doc_id, n.node_id, t.depth + 1 from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select doc_id, max(depth) as max_depth from t group by doc_id")(lambda n: tree.depths(n).groupBy("doc_id").agg(F.max("depth").alias("max_depth")))
 over(fx.NODES, "tree_stats", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, 0 as depth from n where parent_id is null union all select n.doc_id, n.node_id, t.depth + 1 from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select doc_id, count(*) as nodes, max(depth) as max_depth, count(*) filter (where trim(text) <> '') as with_text, count(distinct type) as types from n join t using (doc_id, node_id) group by doc_id")(tree.statistics)
 over(fx.NODES, "lang_inheritance", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, nullif(lang, '') as eff_lang from n where parent_id is null union all select n.doc_id, n.node_id, coalesce(nullif(n.lang, ''), t.eff_lang) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select * from t")(tree.effective_languages)
 over(fx.NODES, "subtree_delete", "with recursive n as (select * from {s} x), t as (select doc_id, node_id from n where type = 'L' union all select n.doc_id, n.node_id from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id) select doc_id, node_id, type from n where (doc_id, node_id) not in (select doc_id, node_id from t)")(lambda n: tree.without_subtrees(n, n.where("type = 'L'").select("doc_id", "node_id")).select("doc_id", "node_id", "type"))
 over(fx.NODES, "ancestor_search", "with recursive n as (select * from {s} x), t as (select doc_id, node_id, parent_id from n where lower(text) like '%urgent%' union select n.doc_id, n.node_id, n.parent_id from n join t on n.doc_id = t.doc_id and n.node_id = t.parent_id) select distinct doc_id, node_id from t")(lambda n: tree.ancestors(n, n.where(F.contains(F.lower("text"), F.lit("urgent"))).select("doc_id", "node_id")).select("doc_id", "node_id").distinct())
-_PAIRS = "node_id in ('c1','c2','c3','c7','c12','c30','c44','c55','c60','c71')"
-over(fx.NODES, "common_ancestor", f"with recursive n as (select * from {{s}} x), a as (select doc_id, node_id as start, node_id, parent_id, 0 as up from n where {_PAIRS} union all select n.doc_id, a.start, n.node_id, n.parent_id, a.up + 1 from n join a on n.doc_id = a.doc_id and n.node_id = a.parent_id) select p.doc_id, p.start as a, q.start as b, min_by(p.node_id, p.up) as common from a p join a q on p.doc_id = q.doc_id and p.node_id = q.node_id where p.start < q.start group by all")(
-    lambda n: tree.common_ancestors(n, n.where(_PAIRS).select("doc_id", F.col("node_id").alias("a")).join(n.where(_PAIRS).select("doc_id", F.col("node_id").alias("b")), "doc_id").where("a < b"))
-)
-#: Without SQL, which would walk from every node of the table; common_ancestor and its SQL ask for ten nodes.
-over(fx.NODES, "common_ancestor_all")(lambda n: tree.common_ancestors(n, tree.next_pairs(n)))
-_STD = ", ".join(f"'{x}'" for x in tree.STANDARD)
-over(fx.ROLES, "role_map_terminal", f"with recursive m as (select * from {{s}} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop) and t.hop not in ({_STD})) select doc_id, custom, max_by(case when list_contains(seen, hop) then 'CYCLE' else hop end, steps) as terminal from t group by doc_id, custom")(tree.terminal_types)
+over(fx.NODES, "common_ancestor", "with recursive n as (select * from {s} x), w as (select doc_id, node_id, lead(node_id) over (partition by doc_id order by node_id) as b from n), a as (select doc_id, node_id as start, node_id, parent_id, 0 as up from n union all select n.doc_id, a.start, n.node_id, n.parent_id, a.up + 1 from n join a on n.doc_id = a.doc_id and n.node_id = a.parent_id) select w.doc_id, w.node_id as a, w.b, min_by(p.node_id, p.up) as common from w join a p on p.doc_id = w.doc_id and p.start = w.node_id join a q on q.doc_id = w.doc_id and q.start = w.b and q.node_id = p.node_id where w.b is not null group by all")(lambda n: tree.common_ancestors(n, tree.next_pairs(n)))
+over(fx.ROLES, "role_map_terminal", f"with recursive m as (select * from {{s}} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop) and t.hop not in ({v.quoted(v.TERMINAL)})) select doc_id, custom, max_by(case when list_contains(seen, hop) then 'CYCLE' else hop end, steps) as terminal from t group by doc_id, custom")(tree.terminal_types)
 over(fx.ROLES, "role_map_cycles", "with recursive m as (select * from {s} x), t as (select doc_id, custom, mapped as hop, [custom] as seen, 1 as steps from m union all select t.doc_id, t.custom, m.mapped, list_append(t.seen, t.hop), t.steps + 1 from t join m on m.doc_id = t.doc_id and m.custom = t.hop where not list_contains(t.seen, t.hop)) select doc_id, custom, steps as length from t where hop = custom")(tree.map_cycles)
-over("select p_partkey, p_type from part", "type_by_name_pattern", "select p_partkey, p_type, case when regexp_matches(lower(p_type), '^(fig|im(age|g)|pict|promo)') then 'Figure' else 'P' end as type from {s} x")(lambda p: p.withColumn("type", tree.type_by_name(F.col("p_type"))))
+over(fx.NAMES, "type_by_name_pattern", f"select id, {v.BY_NAME} as type from {{s}} x")(lambda p: p.select("id", tree.type_by_name(F.col("name")).alias("type")))
 over("select page_id, html from pages", "tag_inventory", "select tag, count(*) as n, count(distinct page_id) as pages from (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)', 1)) as tag from {s} x) t group by tag")(lambda p: pg.tags(p).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")))
 over("select page_id, html from pages", "page_nodes")(lambda p: pg.nodes(p).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("text_chars")))
 
 # ---- tables --------------------------------------------------------------------------
 
-_ROWS = "r as (select table_id, row_id, count(*) as cells, count(*) filter (where kind = 'TH') as heads from s group by table_id, row_id)"
-_SHAPE = f"with s as (select * from {{s}} x), {_ROWS}, h as (select table_id, count(*) as n_rows, max(cells) as max_cols, min(cells) as min_cols, count(*) filter (where heads > 0.5 * cells) as header_rows from r group by table_id)"
-over(fx.CELLS, "table_shape", f"{_SHAPE} select *, (n_rows > 3 and max_cols > 3) or header_rows > 1 as complex from h")(tables.shape)
-over(fx.CELLS, "ragged_tables", f"{_SHAPE} select *, (n_rows > 3 and max_cols > 3) or header_rows > 1 as complex from h where max_cols - min_cols > 1")(tables.ragged)
-over(fx.CELLS, "complex_tables", f"{_SHAPE} select table_id, n_rows, max_cols from h where (n_rows > 3 and max_cols > 3) or header_rows > 1")(lambda s: tables.shape(s).where("complex").select("table_id", "n_rows", "max_cols"))
-over(fx.CELLS, "row_mode_outliers", f"with s as (select * from {{s}} x), {_ROWS}, z as (select table_id, cells, count(*) as n, min(row_id) as first from r group by table_id, cells), m as (select *, row_number() over (partition by table_id order by n desc, first) as k from z) select r.table_id, r.row_id, r.cells, m.cells as mode from r join m on r.table_id = m.table_id and m.k = 1 where r.cells <> m.cells")(tables.row_outliers)
+_SHAPE = f"with ss as (select * from {{s}} x), {v.SHAPE}"
+over(fx.CELLS, "table_shape", f"{_SHAPE} select * from sx")(tables.shape)
+over(fx.CELLS, "ragged_tables", f"{_SHAPE} select * from sx where max_cols - min_cols > 1")(tables.ragged)
+over(fx.CELLS, "complex_tables", f"{_SHAPE} select table_id, n_rows, max_cols from sx where complex")(lambda s: tables.shape(s).where("complex").select("table_id", "n_rows", "max_cols"))
+over(fx.CELLS, "row_mode_outliers", f"{_SHAPE}, z as (select table_id, cells, count(*) as n, min(row_id) as first from rr group by table_id, cells), m as (select *, row_number() over (partition by table_id order by n desc, first) as k from z) select rr.table_id, rr.row_id, rr.cells, m.cells as mode from rr join m on rr.table_id = m.table_id and m.k = 1 where rr.cells <> m.cells")(tables.row_outliers)
 over(fx.CELLS, "header_columns", "with s as (select *, greatest(coalesce(try_cast(colspan as integer), 1), 1) as w from {s} x), a as (select *, coalesce(sum(w) over (partition by table_id, row_id order by col rows between unbounded preceding and 1 preceding), 0) as st from s), o as (select table_id, kind, unnest(range(cast(st as bigint), cast(st + w as bigint))) as col_at from a), b as (select table_id, col_at, count(*) as cells, count(*) filter (where kind = 'TH') as heads from o group by table_id, col_at) select table_id, col_at as \"column\", cells, heads from b where heads > 0.5 * cells")(tables.header_columns)
 over(fx.CELLS, "header_ref_integrity", "with s as (select * from {s} x), r as (select table_id, cell_id, unnest(list_filter(string_split(headers, ' '), lambda x: x <> '')) as ref from s) select table_id, ref, cell_id from r where not exists (select 1 from s where s.table_id = r.table_id and s.cell_id = r.ref)")(tables.dangling_headers)
-over(fx.CELLS, "span_validity", f"{_SHAPE} select * from (select s.table_id, row_id, col, colspan, case when try_cast(colspan as integer) is null then 'not a number' when try_cast(colspan as integer) <= 0 then 'not positive' when try_cast(colspan as integer) > max_cols then 'too wide' end as problem from s join h using (table_id)) t where problem is not null")(lambda s: tables.bad_spans(s).select("table_id", "row_id", "col", "colspan", "problem"))
-over(fx.CELLS, "scope_suggestion", f"with s as (select * from {{s}} x), {_ROWS} select s.table_id, s.row_id, s.col, case when heads > 0.5 * cells then 'Column' when col = 1 then 'Row' else 'Both' end as suggested from s join r on s.table_id = r.table_id and s.row_id = r.row_id where kind = 'TH' and scope = ''")(lambda s: tables.missing_scopes(s).select("table_id", "row_id", "col", "suggested"))
+over(fx.CELLS, "span_validity", f"{_SHAPE}, {v.SPANS} select * from pp where problem is not null")(lambda s: tables.bad_spans(s).select("table_id", "row_id", "col", "span", "value", "problem"))
+over(fx.CELLS, "scope_suggestion", f"{_SHAPE}, {v.BY_ID} select table_id, row_id, col, case when scope = '' then 'missing' else 'unknown' end as problem, case when n_rows > max_cols then 'Col' else 'Row' end as suggested from ss join sx using (table_id) join bb using (table_id) where kind = 'TH' and not by_id and scope not in ('Row', 'Col', 'Column', 'Both', 'Rowgroup', 'Colgroup')")(lambda s: tables.bad_scopes(s).select("table_id", "row_id", "col", "problem", "suggested"))
+over(fx.CELLS, "scope_repair", f"{_SHAPE}, w as (select *, greatest(coalesce(try_cast(colspan as integer), 1), 1) as w from ss), a as (select *, coalesce(sum(w) over (partition by table_id, row_id order by col rows between unbounded preceding and 1 preceding), 0) as st from w), o as (select table_id, kind, unnest(range(cast(st as bigint), cast(st + w as bigint))) as at_col from a), hc as (select table_id, at_col + 1 as col from o group by table_id, at_col having count(*) filter (where kind = 'TH') > 0.5 * count(*)), f as (select table_id, min(row_id) as first_row from ss group by table_id), t as (select table_id from ss group by table_id having not bool_or(headers <> '')) select ss.table_id, ss.row_id, ss.col, case when ss.row_id = first_row or rr.heads > 0.5 * rr.cells then 'Column' when hc.col is not null then 'Row' else 'Both' end as suggested from ss join t using (table_id) join f using (table_id) join rr on rr.table_id = ss.table_id and rr.row_id = ss.row_id left join hc on hc.table_id = ss.table_id and hc.col = ss.col where kind = 'TH' and scope = ''")(lambda s: tables.repaired_scopes(s).select("table_id", "row_id", "col", "suggested"))
 
 # ---- language, metadata, text --------------------------------------------------------
 
 
-def _count(p: str) -> str:
-    return f"cast((length(lo) - length(replace(lo, '{p}', ''))) / {len(p)} as bigint)"
-
-
-_SCORES = ", ".join(f"{' + '.join(_count(p) for p in ps)} as {k}" for k, ps in t.LANGUAGE_PATTERNS.items())
-_COVERED = ", ".join(f"({' + '.join(f'{_count(p)} * {len(p)}' for p in ps)}) / {len(ps)} as {k}" for k, ps in t.RECOGNISED_PATTERNS.items())
-_CODES = list(t.RECOGNISED_PATTERNS)
-over("select doc_id, text from documents", "ocr_language", f"select doc_id, case when text is null or length(text) < 20 then 'eng' else case greatest({', '.join(_CODES)}) {' '.join(f"when {k} then '{k}'" for k in _CODES)} end end as detected from (select doc_id, text, {_COVERED} from (select doc_id, text, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.recognised_language(F.col("text")).alias("detected")))
-over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es' when en then 'en' when fr then 'fr' when de then 'de' else 'it' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(coalesce(text, '')) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
-_VALID = f"(language in ({', '.join(repr(x) for x in t.LANGUAGE_CODES)}) or regexp_full_match(language, '[a-z]{{2,3}}(-[A-Z]{{2,3}})?'))"
-over(fx.META, "lang_code_check", f"select doc_id, language, {_VALID} as valid from {{s}} x")(lambda m: m.select("doc_id", "language", t.valid_language(F.col("language")).alias("valid")))
-over(fx.META, "lang_suggestions", f"select doc_id, case when base = '' then 'es-ES' else concat(base, ',', base, '-', upper(base)) end as codes from (select *, lower(regexp_extract(language, '^([A-Za-z]{{2}})', 1)) as base from {{s}} x) y where not {_VALID}")(metadata.suggestions)
-over(fx.META, "reading_mode", "select doc_id, 'lr-tb' as mode from {s} x")(lambda m: m.select("doc_id", t.reading_mode(F.col("language")).alias("mode")))
-_GENERIC = ", ".join(f"'{x}'" for x in t.GENERIC_TITLES)
-over(fx.META, "title_rules", f"with m as (select * from {{s}} x) select doc_id, 'blank' as problem from m where trim(title) = '' union all select doc_id, 'file name' from m where lower(title) = lower(filename) union all select doc_id, 'generic' from m where lower(trim(title)) in ({_GENERIC}) union all select doc_id, 'length' from m where length(title) < 3 or length(title) > 200 union all select doc_id, 'characters' from m where regexp_matches(title, '[<>{{}}\\[\\]\\\\|]')".replace("{{", "{").replace("}}", "}").replace("{s}", "{s}"))(metadata.title_problems)
-over(fx.META, "title_score", r"select doc_id, round(case when trim(title) = '' then 0.0 else 0.4 * case when length(title) < 5 then 0.2 when length(title) <= 100 then 1.0 else 0.6 end + 0.4 * case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0.0 end + 0.2 * case when regexp_matches(title, '^[A-ZÀ-Ý]') then 1.0 else 0.0 end end, 6) as score from (select *, list_filter(regexp_split_to_array(lower(title), '[ \t\n\r]+'), lambda v: v <> '') as w from {s} x) y")(lambda m: m.select("doc_id", F.round(t.title_score(F.col("title")), 6).alias("score")))
-over(fx.META, "filename_title", "select doc_id, array_to_string(list_transform(list_filter(string_split(translate(regexp_replace(regexp_extract(filename, '([^/]*)$', 1), '[.][A-Za-z0-9]+$', ''), '-_', '  '), ' '), lambda v: v <> ''), lambda v: concat(upper(substring(v, 1, 1)), lower(substring(v, 2)))), ' ') as title from {s} x")(lambda m: m.select("doc_id", t.title_of_filename(F.col("filename")).alias("title")))
-over(fx.META, "metadata_completeness", "select doc_id, round((case when title <> '' then 1 else 0 end + case when author <> '' then 1 else 0 end + case when subject <> '' then 1 else 0 end + case when keywords <> '' then 1 else 0 end + case when language <> '' then 1 else 0 end + case when display_title then 1 else 0 end) / 6 * 100, 6) as completeness from {s} x")(lambda m: metadata.completeness(m).select("doc_id", F.round("completeness", 6).alias("completeness")))
-over(fx.META, "metadata_issues", f"with m as (select * from {{s}} x) select doc_id, '06-003' as checkpoint, 'error' as severity from m where trim(title) = '' union all select doc_id, case when display_title is null then '07-001' else '07-002' end, 'error' from m where display_title is null or not display_title union all select doc_id, '11-006', 'error' from m where language = '' union all select doc_id, '11-007', 'warning' from m where language <> '' and not {_VALID} union all select doc_id, 'metadata-quality', 'info' from m where author = ''")(metadata.issues)
-over(fx.META, "metadata_recommendations", "select doc_id, concat_ws('; ', case when title = '' then 'add a title' end, case when language = '' then 'declare a language' end, case when author = '' then 'name the author' end, case when not coalesce(display_title, false) then 'display the title' end) as advice from {s} x")(metadata.recommendations)
+
+
+_COVERED = ", ".join(f"({' + '.join(f'{v.count_of(p)} * {len(p)}' for p in ps.split('|'))}) / {len(ps.split('|'))} as {k}" for k, ps in v.RECOGNISED.items())
+over("select doc_id, text from documents", "ocr_language", f"select doc_id, case when text is null or length(text) < 20 then 'eng' else case greatest({', '.join(v.RECOGNISED)}) {' '.join(f"when {k} then '{k}'" for k in v.RECOGNISED)} end end as detected from (select doc_id, text, {_COVERED} from (select doc_id, text, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.recognised_language(F.col("text")).alias("detected")))
+_SCORES = ", ".join(f"{' + '.join(v.count_of(p) for p in ps.split('|'))} as {k}" for k, ps in v.SPEECH.items())
+over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es-ES' when en then 'en-US' when fr then 'fr-FR' when de then 'de-DE' else 'it-IT' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(coalesce(text, '')) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
+over(fx.META, "lang_code_check", f"select doc_id, language, {v.VALID.format('language')} as valid from {{s}} x")(lambda m: m.select("doc_id", "language", t.valid_language(F.col("language")).alias("valid")))
+over(fx.META, "lang_code_rules", f"select doc_id, case when z = '' then 'blank' when not regexp_full_match(z, '[a-zA-Z]{{2}}(-[a-zA-Z]{{2}})?') then 'format' when lower(z) not in ({v.quoted(v.CODES.lower())}) then 'unknown' end as problem from (select doc_id, trim(language) as z from {{s}} x) y".replace("{{2}}", "{2}"))(lambda m: m.select("doc_id", t.language_problem(F.col("language")).alias("problem")))
+over(fx.CODES, "lang_suggestions", f"select doc_id, case when base in ('en', 'es', 'fr', 'de', 'it', 'pt', 'ru', 'zh', 'ja', 'ko', 'ar', 'hi') then concat(base, ',', base, '-', upper(base), case base when 'en' then ',en-US,en-GB' when 'es' then ',es-ES,es-MX' when 'fr' then ',fr-FR,fr-CA' when 'pt' then ',pt-BR,pt-PT' when 'zh' then ',zh-CN,zh-TW' else '' end) else 'en-US,es-ES,fr-FR,de-DE' end as codes from (select *, split_part(language, '-', 1) as base from {{s}} x) y where not {v.VALID.format('language')}")(metadata.suggestions)
+_REPAIR = "es=es-ES en=en-US fr=fr-FR de=de-DE it=it-IT pt=pt-PT ru=ru-RU zh=zh-CN ja=ja-JP ar=ar-SA ca=ca-ES"
+over(fx.CODES, "lang_repair", f"select doc_id, case {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} else 'es-ES' end as code from {{s}} x")(lambda m: m.select("doc_id", t.repaired_language(F.col("language")).alias("code")))
+over(fx.CODES, "reading_mode", "select doc_id, case when split_part(lower(language), '-', 1) in ('ar', 'he', 'fa', 'ur', 'yi', 'dv', 'ha', 'ps', 'ug') then 'rl-tb' when lower(language) in ('ja-jp', 'ko-kr') then 'tb-lr' when split_part(lower(language), '-', 1) in ('zh', 'ja', 'ko') then 'tb-rl' else 'lr-tb' end as mode from {s} x")(lambda m: m.select("doc_id", t.reading_mode(F.col("language")).alias("mode")))
+over(fx.META, "title_rules", v.title_faults("select * from {s} x", "title"))(metadata.title_problems)
+over(fx.META, "title_score", f"select doc_id, round({v.TITLE_SCORE}, 6) as score from {{s}} x")(lambda m: m.select("doc_id", F.round(t.title_score(F.col("title")), 6).alias("score")))
+over(fx.META, "filename_title", f"select doc_id, {v.FILE_TITLE} as title from {{s}} x")(lambda m: m.select("doc_id", t.title_of_filename(F.col("filename")).alias("title")))
+_FULL = "round((case when title <> '' then 1 else 0 end + case when author <> '' then 1 else 0 end + case when subject <> '' then 1 else 0 end + case when language <> '' then 1 else 0 end + case when pdf_ua_flag then 1 else 0 end + case when display_title then 1 else 0 end) / 6 * 100, 6)"
+_READY = "has_xmp and pdf_ua_flag and title <> '' and coalesce(display_title, false) and has_lang"
+_ADVICE = "concat_ws('; ', case when title = '' then 'add a title' end, case when author = '' then 'name the author' end, case when subject = '' then 'describe the content' end, case when coalesce(keywords, '') = '' then 'add keywords' end, case when not pdf_ua_flag then 'add the conformance identifier' end, case when not coalesce(display_title, false) then 'display the title' end, case when not has_lang then 'declare a language' end)"
+over(fx.META, "metadata_completeness", f"select doc_id, {_FULL} as completeness from {{s}} x")(lambda m: metadata.completeness(m).select("doc_id", F.round("completeness", 6).alias("completeness")))
+over(fx.META, "metadata_ready", f"select doc_id, {_READY} as ready from {{s}} x")(metadata.ready)
+over(fx.META, "metadata_report", f"with c as (select doc_id, count(*) as total, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity = 'info') as infos from ({v.metadata_issues('select * from {s} y')}) i group by doc_id) select doc_id, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, coalesce(errors, 0) = 0 as compliant, {_FULL} as completeness, {_READY} as ready, {_ADVICE} as advice from {{s}} x left join c using (doc_id)")(lambda m: metadata.report(m).withColumn("completeness", F.round("completeness", 6)))
+over(fx.META, "metadata_repair", f"select doc_id, case when {v.TITLE_SCORE} < 0.5 then {v.FILE_TITLE} else title end as title, case when {v.VALID.format('language')} then language else case when lower(language) in ('') then 'es-ES' {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} else 'es-ES' end end as language, true as pdf_ua_flag, true as display_title from {{s}} x")(metadata.repaired)
+over(fx.META, "metadata_issues", v.metadata_issues("select * from {s} y"))(issues.of_metadata)
+over(fx.META, "metadata_recommendations", f"select doc_id, {_ADVICE} as advice from {{s}} x")(metadata.recommendations)
 over("select doc_id, text from documents", "normalize_text", r"select doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) as digest from {s} x")(lambda d: d.select("doc_id", F.md5(t.normalised(F.col("text"))).alias("digest")))
-over("select doc_id, text from documents", "text_quality", r"select doc_id, concat_ws(',', case when contains(text, '  ') then 'double space' end, case when length(text) > 1000 then 'long' end, case when length(text) > 0 and length(regexp_replace(text, '[A-Za-z0-9À-ÿ \n]', '', 'g')) / length(text) > 0.3 then 'special' end) as problems from {s} x")(lambda d: d.select("doc_id", t.text_problems(F.col("text")).alias("problems")))
-over("select doc_id, text from documents", "ocr_quality", r"select doc_id, round(((1 - length(regexp_replace(text, '[A-Za-z0-9À-ÿ .,;:!?\n-]', '', 'g')) / greatest(length(text), 1)) + (1 - len(list_filter(w, lambda v: length(v) = 1)) / greatest(len(w), 1)) + (1 - len(list_filter(w, lambda v: regexp_matches(v, '(aaa|eee|iii|ooo|xxx|nnn|mmm|lll)'))) / greatest(len(w), 1))) / 3 * case when length(text) < 50 then 0.8 else 1.0 end, 6) as quality from (select *, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda v: v <> '') as w from {s} x) y")(lambda d: d.select("doc_id", F.round(t.recognition_quality(F.col("text")), 6).alias("quality")))
-over("select item_id, case item_id % 4 when 0 then 'image 12' when 1 then 'Foto' else text end as alt from benchmark", "generic_alt", "select item_id, length(trim(alt)) < 10 or regexp_matches(lower(trim(alt)), '^(imagen?|image|picture|foto|photo|figura|figure|gráfico|icon|logo)[ _-]?[0-9]*$') as generic from {s} x")(lambda b: b.select("item_id", t.generic_alt(F.col("alt")).alias("generic")))
-over("select p_partkey as image_id, case when p_partkey % 3 = 0 then p_name else 'image' end as alt, concat('img/', lower(replace(p_brand, '#', '_')), '.png') as file_name, p_size as width, p_partkey % 40 as height from part", "alt_text", "select image_id, case when not gen then 'alt' when length(nm) >= 10 then 'file' else 'shape' end as source, case when not gen then trim(alt) when length(nm) >= 10 then nm else concat('image ', case when width > 1.5 * height then 'wide' when height > 1.5 * width then 'tall' else 'square' end) end as chosen from (select *, length(trim(alt)) < 10 or regexp_matches(lower(trim(alt)), '^(imagen?|image|picture|foto|photo|figura|figure|gráfico|icon|logo)[ _-]?[0-9]*$') as gen, array_to_string(list_transform(list_filter(string_split(translate(regexp_replace(regexp_extract(file_name, '([^/]*)$', 1), '[.][A-Za-z0-9]+$', ''), '-_', '  '), ' '), lambda v: v <> ''), lambda v: concat(upper(substring(v, 1, 1)), lower(substring(v, 2)))), ' ') as nm from {s} x) y")(lambda i: matching.alt_texts(i).select("image_id", "source", "chosen"))
+over("select doc_id, text from documents", "text_quality", r"select doc_id, case when trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) = '' then '' else concat_ws(',', case when contains(text, '  ') then 'double space' end, case when length(text) > 1000 then 'long' end, case when length(regexp_replace(text, '[\pL\pN \t\n\r.,;:!?\-()\[\]{}]', '', 'g')) / length(text) > 0.3 then 'special' end) end as problems from {s} x")(lambda d: d.select("doc_id", t.text_problems(F.col("text")).alias("problems")))
+over("select doc_id, text from documents", "ocr_quality", v.OCR)(lambda d: d.withColumn("q", t.recognition(F.col("text"))).select("doc_id", F.round("q.confidence", 6).alias("confidence"), "q.valid", "q.errors"))
+over("select item_id, case item_id % 6 when 0 then 'imagen 12' when 1 then ' Foto ' when 2 then 'IMG_1234567' when 3 then 'figura 1234567' when 4 then 'figura 1234567 b' else text end as alt from benchmark", "generic_alt", f"select item_id, {v.GENERIC_ALT} as generic from {{s}} x")(lambda b: b.select("item_id", t.generic_alt(F.col("alt")).alias("generic")))
+over("select doc_id as image_id, case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then '##!@#~~' else substring(text, 1, 40) end as text, case when doc_id % 5 = 0 then '' else concat('img-', lang, '_', cast(doc_id as string), '.tar.png') end as file_name, doc_id % 2 = 0 as text_image from documents", "alt_text", f"select image_id, case when valid and confidence >= 0.6 then 'ocr' when file_name <> '' then 'filename' else 'default' end as source, case when valid and confidence >= 0.6 and text_image then 'ActualText' else 'Alt' end as attribute, md5(case when valid and confidence >= 0.6 then text when file_name <> '' then {v.CAPITALS.format("translate(regexp_replace(file_name, '[.][^.]*$', ''), '-_', '  ')")} else 'Imagen sin descripción disponible' end) as digest from ({v.OCR.replace('from documents', 'from {s} i').replace('doc_id', 'image_id').replace('round(conf, 6)', 'conf')}) o join {{s}} x using (image_id)")(lambda i: matching.alt_texts(i).select("image_id", "source", "attribute", F.md5("chosen").alias("digest")))
 
 # ---- colour --------------------------------------------------------------------------
 
@@ -174,18 +172,25 @@ over(fx.BOXES, "content_blocks")(lambda b: layout.grown_blocks(b, 5.0))
 
 # ---- lists and artefacts -------------------------------------------------------------
 
-_KIND = r"case when regexp_matches(text, '^[-•*–—] ') then 'bullet' when regexp_matches(text, '^[0-9]+[.)] ') then 'numbered-decimal' when regexp_matches(text, '^[a-z][.)] ') then 'numbered-lower-alpha' when regexp_matches(text, '^[A-Z][.)] ') then 'numbered-upper-alpha' when regexp_matches(text, '^[ivxlc]+[.)] ') then 'numbered-lower-roman' when regexp_matches(text, '^[IVXLC]+[.)] ') then 'numbered-upper-roman' end"
-over(fx.LINES_SPARK, "list_marker_type", f"select doc_id, seq, {_KIND} as type from {{s}} x where {_KIND} is not null")(lambda x: x.select("doc_id", "seq", t.marker_type(F.col("text")).alias("type")).where("type is not null"))
-over(fx.LINES_SPARK, "list_runs", f"with s as (select *, {_KIND} as type from {{s}} x), g as (select *, case when type is not distinct from lag(type) over (partition by doc_id order by seq) and row_number() over (partition by doc_id order by seq) > 1 then 0 else 1 end as nw from s), r as (select *, sum(nw) over (partition by doc_id order by seq rows between unbounded preceding and current row) as run from g) select doc_id, type, min(seq) as first, count(*) as items from r where type is not null group by doc_id, run, type having count(*) >= 2")(lists.runs)
-over(fx.LINES_SPARK, "numbering_style", f"select doc_id, case when greatest(d, a, b, e, f) = 0 then 'None' when d = greatest(d, a, b, e, f) then 'decimal' when a = greatest(d, a, b, e, f) then 'lower-alpha' when b = greatest(d, a, b, e, f) then 'upper-alpha' when e = greatest(d, a, b, e, f) then 'lower-roman' else 'upper-roman' end as style, greatest(d, a, b, e, f) as items from (select doc_id, count(*) filter (where k = 'numbered-decimal') as d, count(*) filter (where k = 'numbered-lower-alpha') as a, count(*) filter (where k = 'numbered-upper-alpha') as b, count(*) filter (where k = 'numbered-lower-roman') as e, count(*) filter (where k = 'numbered-upper-roman') as f from (select doc_id, {_KIND} as k from {{s}} x) y group by doc_id) z")(lists.numbering_styles)
-over(fx.LINES_SPARK, "label_split", "select doc_id, seq, label, md5(trim(substring(text, length(label) + 1))) as body from (select *, regexp_extract(text, '^([-•*–—]|[0-9]+[.)]|[a-zA-Z][.)]|[ivxlcIVXLC]+[.)]) ', 1) as label from {s} x) y where label <> ''")(lambda x: lists.labels(x).select("doc_id", "seq", "label", F.md5("body").alias("body")))
+over(fx.LINES_SPARK, "list_marker_type", f"select doc_id, seq, {v.KIND} as type from {{s}} x where {v.KIND} is not null")(lambda x: x.select("doc_id", "seq", t.marker_type(F.col("text")).alias("type")).where("type is not null"))
+over(fx.LINES_SPARK, "list_runs", f"with s as (select *, {v.KIND} as type from {{s}} x), g as (select *, case when type is not distinct from lag(type) over (partition by doc_id order by seq) and row_number() over (partition by doc_id order by seq) > 1 then 0 else 1 end as nw from s), r as (select *, sum(nw) over (partition by doc_id order by seq rows between unbounded preceding and current row) as run from g) select doc_id, type, min(seq) as first, count(*) as items, case when type = 'numbered-decimal' then 'Decimal' end as numbering from r where type is not null group by doc_id, run, type having count(*) >= 2")(lists.runs)
+_LBL = r"regexp_extract(text, '^\s*(\S+)\s', 1)"
+_NUM = ", ".join(f"count(*) filter (where regexp_matches(label, '^{x}[.)]')) as {k}" for k, x in (("d", "[0-9]+"), ("a", "[a-z]"), ("b", "[A-Z]"), ("e", "[ivxlcdm]+"), ("f", "[IVXLCDM]+")))
+over(fx.LINES_SPARK, "numbering_style", f"select doc_id, case when greatest(d, a, b, e, f) = 0 then 'None' when d = greatest(d, a, b, e, f) then 'Decimal' when a = greatest(d, a, b, e, f) then 'LowerAlpha' when b = greatest(d, a, b, e, f) then 'UpperAlpha' when e = greatest(d, a, b, e, f) then 'LowerRoman' else 'UpperRoman' end as style, greatest(d, a, b, e, f) as items from (select doc_id, {_NUM} from (select doc_id, {_LBL} as label from {{s}} x) y group by doc_id) z")(lambda x: lists.numbering_styles(x.withColumn("label", F.regexp_extract("text", r"^\s*(\S+)\s", 1))))
+over(fx.LINES_SPARK, "list_numbering_first", f"select doc_id, coalesce(min_by(k, seq) filter (where k is not null), 'None') as numbering from (select doc_id, seq, {v.FIRST_NUMBERING} as k from {{s}} x) y group by doc_id")(lists.first_numberings)
+over(fx.LINES_SPARK, "label_split", f"select doc_id, seq, label, md5(case when label = '' then text else regexp_extract(text, '{v.ITEM}(.*)$', 2) end) as body from (select *, regexp_extract(text, '{v.ITEM}.*$', 1) as label from {{s}} x) y")(lambda x: lists.labels(x).select("doc_id", "seq", "label", F.md5("body").alias("body")))
 over(fx.LINES_SPARK, "text_table_split", r"select doc_id, seq, cast(n as integer) as cells from (select *, len(list_filter(list_transform(regexp_split_to_array(text, '\s{2,}|\t|\|'), lambda v: trim(v)), lambda v: v <> '')) as n from {s} x) y where n >= 2")(lambda x: lists.split_tables(x).select("doc_id", "seq", "cells"))
-over(fx.LINES_SPARK, "block_classify", f"select doc_id, seq, case when 8 + seq % 10 > 16 then 'H1' when 8 + seq % 10 > 14 and doc_id % 2 = 0 then 'H2' when 8 + seq % 10 > 12 and doc_id % 2 = 0 then 'H3' when {_KIND} is not null then 'list' when contains(text, '|') then 'table' else 'P' end as block from {{s}} x")(lambda x: lists.classified(x.withColumn("size", 8 + F.col("seq") % 10).withColumn("bold", F.col("doc_id") % 2 == 0)).select("doc_id", "seq", "block"))
+over(fx.LINES_SPARK, "block_classify", f"select doc_id, seq, case when 8 + seq % 10 > 16 then 'H1' when 8 + seq % 10 > 14 and doc_id % 2 = 0 then 'H2' when 8 + seq % 10 > 12 and doc_id % 2 = 0 then 'H3' when regexp_matches(text, '{v.ITEM}') then 'L' when contains(text, '|') or contains(text, chr(9)) or {v.count_of('  ', 'text')} > 3 then 'Table' else 'P' end as block from {{s}} x")(lambda x: lists.classified(x.withColumn("size", 8 + F.col("seq") % 10).withColumn("bold", F.col("doc_id") % 2 == 0)).select("doc_id", "seq", "block"))
 over("select l_orderkey as doc_id, cast(floor(l_quantity) as bigint) as n from lineitem", "page_number_sequence", "with d as (select distinct doc_id, n from {s} x), s as (select *, n - lag(n) over (partition by doc_id order by n) as step from d) select doc_id, count(*) as numbers, coalesce(max(step), 0) <= 3 as sequence from s group by doc_id")(lists.number_sequences)
 _TURNS = "select conv_id as doc_id, turn as page, text from conversations"
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \t\n\r]+'), lambda v: v <> ''))"
 over(_TURNS, "jaccard_pairs", f"with s as (select doc_id, page, {_WORDS.format('text')} as w from {{s}} x), p as (select a.doc_id, a.page as a, b.page as b, case when len(a.w) = 0 or len(b.w) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) end as similarity from s a join s b on a.doc_id = b.doc_id and a.page < b.page) select doc_id, a, b, round(similarity, 6) as similarity from p where similarity >= 0.1")(lambda x: lists.similar_texts(x, 0.1).select("doc_id", "a", "b", F.round("similarity", 6).alias("similarity")))
-over(_TURNS, "repeated_headers")(lambda x: lists.repeated(x, 0.1))
+_ALIKE = "len(list_intersect({a}, {b})) > 0 and len(list_intersect({a}, {b})) >= 0.8 * (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+over(fx.HEADERS, "repeated_headers", f"""with recursive e as (select *, {_WORDS.format('text')} as w, row_number() over (partition by doc_id order by page) as i from {{s}} x),
+  t as (select doc_id, page, i, [{{'page': page, 'w': w}}] as found, page as first from e where i = 1
+    union all select e.doc_id, e.page, e.i, case when len(list_filter(t.found, lambda f: {_ALIKE.format(a='f.w', b='e.w')})) > 0 then t.found else list_append(t.found, {{'page': e.page, 'w': e.w}}) end, coalesce(list_filter(t.found, lambda f: {_ALIKE.format(a='f.w', b='e.w')})[1].page, e.page) from e join t on e.doc_id = t.doc_id and e.i = t.i + 1),
+  c as (select t.doc_id, t.page, t.first, e.text, count(*) over (partition by t.doc_id, t.first) as n, max(t.page) over (partition by t.doc_id) + 1 as pages from t join e on e.doc_id = t.doc_id and e.i = t.i)
+  select doc_id, page, first, text from c where n >= greatest(2, 0.5 * pages)""")(lists.repeated)
 
 # ---- matching ------------------------------------------------------------------------
 
@@ -199,31 +204,83 @@ QUERIES["unmatched_annotations"] = lambda s, d: matching.unmatched(frame(s, d, f
 ORACLES["unmatched_annotations"] = f"select * from ({fx.IMAGES}) a where not exists (select 1 from ({fx.FIGURES}) f where f.doc_id = a.doc_id and f.page = a.page)"
 QUERIES["unstructured_widgets"] = lambda s, d: matching.unmatched(frame(s, d, fx.FIELDS), frame(s, d, "select distinct l_partkey as field_id from lineitem where l_quantity > 49"), ["field_id"]).select("field_id", "name", "type")
 ORACLES["unstructured_widgets"] = f"select field_id, name, type from ({fx.FIELDS}) f where field_id not in (select l_partkey from lineitem where l_quantity > 49)"
-_READ = "array_to_string(list_transform(list_filter(string_split(replace(regexp_replace(regexp_replace(name, '^(txt|chk|rad|btn|cmb|lst|fld|opt)_?', ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' '), ' '), lambda v: v <> ''), lambda v: concat(upper(substring(v, 1, 1)), substring(v, 2))), ' ')"
-over(fx.FIELDS, "readable_field_name", f"select field_id, {_READ} as readable from {{s}} x")(lambda f: f.select("field_id", t.readable_field_name(F.col("name")).alias("readable")))
+over(fx.FIELDS, "readable_field_name", f"select field_id, {v.READABLE} as readable from {{s}} x")(lambda f: f.select("field_id", t.readable_field_name(F.col("name")).alias("readable")))
 over(fx.FIELDS, "field_flags", "select field_id, case when type = 'Btn' then case when flags & 65536 <> 0 then 'push button' when flags & 32768 <> 0 then 'radio button' else 'check box' end when type = 'Ch' then 'choice' when type = 'Sig' then 'signature' else 'text field' end as kind, case when type = 'Tx' then flags | 4096 else flags end as multiline_flags from {s} x")(lambda f: matching.described_fields(f).select("field_id", "kind", "multiline_flags"))
 
+# ---- issues --------------------------------------------------------------------------
+
+
+_BAGS: dict[tuple[str, str], str] = {}
+
+
+def _bag(spark: SparkSession, d: str) -> DataFrame:
+    """The bag as a written table: the rules run once in a session for each folder, and every report reads what they found."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _BAGS:
+        path = f"{tree.shared_folder(spark)}/issues-{uuid.uuid4().hex}"
+        _found(spark, d).write.parquet(path)
+        _BAGS[key] = path
+    return spark.read.parquet(_BAGS[key])
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """What the rules find in all logical inputs."""
+    nodes, meta = frame(spark, d, fx.NODES), frame(spark, d, fx.META)
+    return issues.union(issues.of_structure(nodes), issues.of_languages(nodes, meta), issues.of_headings(frame(spark, d, fx.HEADINGS).withColumn("text", F.lit("x")).withColumn("element_id", F.lit(None).cast("string")), fx.ORDER), issues.of_tables(frame(spark, d, fx.CELLS)), issues.of_metadata(meta))
+
+
+_STRUCTURE = [v.node_issues(fx.NODES), v.tree_issues(fx.NODES), v.heading_issues(v.headings_of(fx.NODES), "path")]
+_HEADINGS = v.heading_issues(f"select *, 'x' as text, cast(null as varchar) as element_id from ({fx.HEADINGS}) q", K)
+_BAG = " union all ".join(f"select * from ({x}) q" for x in [*_STRUCTURE, v.language_issues(fx.NODES, fx.META), _HEADINGS, v.table_issues(fx.CELLS), v.metadata_issues(fx.META)])
+
+
+def of_bag(name: str, oracle: str | None = None):
+    """Registers a query of the bag; the oracle's {s} stands for it."""
+
+    def add(f: Callable[[DataFrame], DataFrame]):
+        QUERIES[name] = lambda spark, d: f(_bag(spark, d))
+        if oracle:
+            ORACLES[name] = oracle.replace("{s}", f"({_BAG})")
+        return f
+
+    return add
+
+
+over(fx.NODES, "structure_issues", " union all ".join(f"select * from ({x}) q" for x in _STRUCTURE))(issues.of_structure)
+QUERIES["language_issues"] = lambda s, d: issues.of_languages(frame(s, d, fx.NODES), frame(s, d, fx.META))
+ORACLES["language_issues"] = v.language_issues(fx.NODES, fx.META)
+QUERIES["annotation_language_issues"] = lambda s, d: issues.of_annotations(frame(s, d, fx.ANNOTATIONS), frame(s, d, fx.OUTLINES), frame(s, d, fx.META))
+ORACLES["annotation_language_issues"] = v.annotation_issues(fx.ANNOTATIONS, fx.OUTLINES, fx.META)
+over(fx.CELLS, "table_issues", v.table_issues(fx.CELLS))(issues.of_tables)
+over(fx.HEADINGS, "heading_issues", _HEADINGS)(lambda h: issues.of_headings(h.withColumn("text", F.lit("x")).withColumn("element_id", F.lit(None).cast("string")), fx.ORDER))
+QUERIES["unstructured_documents"] = lambda s, d: issues.of_trees(frame(s, d, fx.NODES), frame(s, d, fx.META).select("doc_id")).where("description = 'no structure'").select("doc_id", "checkpoint", "severity")
+ORACLES["unstructured_documents"] = f"select doc_id, '01-005' as checkpoint, 'error' as severity from documents where doc_id not in (select doc_id from ({fx.NODES}) n)"
+
 # ---- conformance ---------------------------------------------------------------------
 
 _CAT = "case when contains(checkpoint, '-') then split_part(checkpoint, '-', 1) else '00' end"
 _CNT = "count(*) as total, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity not in ('error', 'warning')) as infos"
-_DIM = ", ".join(f"('{k:02d}', '{n}')" for k, n in enumerate(conformance.GROUPS, 1))
+_DIM = ", ".join(f"('{k:02d}', '{n}')" for k, n in enumerate(v.CATEGORIES.split("|"), 1))
 _ROLL = f"with f as (select {_CAT} as category, {_CNT} from {{s}} x group by 1), d(category, name) as (values {_DIM}), z as (select coalesce(f.category, d.category) as category, coalesce(name, 'other') as name, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos from f full join d on f.category = d.category)"
-over(fx.ISSUES, "issue_filter", "select doc_id, checkpoint, description from {s} x where severity = 'error' and fixable and contains(lower(description), 'heading')")(lambda i: conformance.matching(i, severity="error", fixable=True, text="Heading").select("doc_id", "checkpoint", "description"))
-over(fx.ISSUES, "checkpoint_categories", f"select *, case when errors > 0 then 'error' when warnings > 0 then 'warning' else 'info' end as overall from (select checkpoint, {_CNT} from {{s}} x group by checkpoint) y")(conformance.by_checkpoint)
-over(fx.ISSUES, "conformance_status", "select doc_id, count(*) filter (where severity = 'error') = 0 as conformant, count(distinct case when severity = 'error' then checkpoint end) as blocking, count(*) as issues_count from {s} x group by doc_id")(conformance.status)
-over(fx.ISSUES, "conformance_rollup", f"{_ROLL} select * from z")(conformance.rollup)
-over(fx.ISSUES, "maturity", f"select doc_id, failing, cast(greatest(floor(100 * (1 - failing / 31)), 0) as bigint) as maturity from (select doc_id, count(distinct case when severity = 'error' then {_CAT} end) as failing from {{s}} x group by doc_id) y")(conformance.maturity)
-over(fx.ISSUES, "two_level_counts", f"select category, checkpoint, count(*) as total, count(*) filter (where severity = 'error') as errors from (select {_CAT} as category, checkpoint, severity from {{s}} x) y group by rollup(category, checkpoint)")(conformance.two_levels)
-over(fx.ISSUES, "top_categories", f"{_ROLL} select * from z where total > 0 order by total desc, category limit 10")(conformance.top_categories)
-over(fx.ISSUES, "issue_examples", "select checkpoint, n, description from (select *, row_number() over (partition by checkpoint order by doc_id, description) as n from {s} x) y where n <= 3")(lambda i: conformance.examples(i).select("checkpoint", "n", "description"))
-_FIRST = " ".join(f"when '{x}' then {k}" for k, x in enumerate(conformance.CRITICAL, 1))
-over(fx.ISSUES, "recommendations", f"{_ROLL} select place, category, name, errors from (select *, row_number() over (order by case category {_FIRST} else 99 end, errors desc, category) as place from z where errors > 0) y where place <= 5")(conformance.recommendations)
-over(fx.ISSUES, "issue_stats", f"select {_CNT}, count(*) filter (where fixable) as fixable, round_even(100.0 * count(*) filter (where fixable) / greatest(count(*), 1), 2) as fixable_percent from {{s}} x")(conformance.overview)
+of_bag("issue_filter", "select doc_id, checkpoint, description from {s} x where severity = 'error' and fixable and contains(lower(description), 'without scope')")(lambda i: conformance.matching(i, severity="error", fixable=True, text="Without Scope").select("doc_id", "checkpoint", "description"))
+of_bag("checkpoint_categories", f"select *, case when errors > 0 then 'error' when warnings > 0 then 'warning' else 'info' end as overall from (select checkpoint, {_CNT} from {{s}} x group by checkpoint) y")(conformance.by_checkpoint)
+of_bag("conformance_status", "select doc_id, count(*) filter (where severity = 'error') = 0 as conformant, count(distinct case when severity = 'error' then checkpoint end) as blocking, count(*) as issues_count from {s} x group by doc_id")(conformance.status)
+of_bag("conformance_rollup", f"{_ROLL} select * from z")(conformance.rollup)
+of_bag("maturity", f"select doc_id, failing, cast(greatest(floor(100 * (1 - failing / 31)), 0) as bigint) as maturity from (select doc_id, count(distinct case when severity = 'error' then {_CAT} end) as failing from {{s}} x group by doc_id) y")(conformance.maturity)
+of_bag("two_level_counts", f"select category, checkpoint, count(*) as total, count(*) filter (where severity = 'error') as errors from (select {_CAT} as category, checkpoint, severity from {{s}} x) y group by rollup(category, checkpoint)")(conformance.two_levels)
+of_bag("top_categories", f"{_ROLL} select * from z where total > 0 order by total desc, category limit 10")(conformance.top_categories)
+of_bag("issue_examples", "select checkpoint, n, description from (select *, row_number() over (partition by checkpoint order by doc_id, description) as n from {s} x) y where n <= 3")(lambda i: conformance.examples(i).select("checkpoint", "n", "description"))
+_FIRST = ["06", "07", "11", "13", "15", "09", "01"]
+_GENERAL = "['semantic tags', 'table headers', 'alternative texts', 'language', 'reading order', 'running heads', 'contrast']"
+QUERIES["recommendations"] = lambda s, d: conformance.recommendations(_bag(s, d), frame(s, d, fx.STRUCTURED))
+ORACLES["recommendations"] = f"with f as (select doc_id, list(distinct {_CAT}) as bad from ({_BAG}) x where severity = 'error' group by doc_id), o as (select s.doc_id, list_filter([case when not has_structure then 'structure' end, {', '.join(f"case when list_contains(bad, '{c}') then '{c}' end" for c in _FIRST)}], lambda z: z is not null)[1:5] as own from ({fx.STRUCTURED}) s left join f on f.doc_id = s.doc_id), a as (select doc_id, case when len(own) < 3 then list_concat(own, {_GENERAL})[1:5] else own end as advice from o) select doc_id, cast(unnest(range(1, len(advice) + 1)) as integer) as place, unnest(advice) as advice from a"
+of_bag("issue_stats", f"select {_CNT}, count(*) filter (where fixable) as fixable, round_even(100.0 * count(*) filter (where fixable) / greatest(count(*), 1), 2) as fixable_percent from {{s}} x")(conformance.overview)
+of_bag("checkpoint_info", f"select checkpoint, count(*) as total, checkpoint in ({v.quoted(v.CHECKABLE + ' ' + v.JUDGED)}) as known, checkpoint in ({v.quoted(v.CHECKABLE)}) as checkable, case when checkpoint in ({v.quoted(v.ERRORS)}) then 'error' when checkpoint in ({v.quoted(v.WARNINGS)}) then 'warning' else 'info' end as severity from {{s}} x group by checkpoint")(lambda i: conformance.explained(i.groupBy("checkpoint").agg(F.count("*").alias("total"))).select("checkpoint", "total", "known", "checkable", "severity"))
+
 
 # ---- files ---------------------------------------------------------------------------
 
-over(fx.ISSUES, "json_roundtrip", "select doc_id, checkpoint, severity, description, fixable, page from {s} x")(lambda i: export.from_json(export.to_json(i)))
+of_bag("json_roundtrip", "select doc_id, checkpoint, severity, description, fixable, page from {s} x")(lambda i: export.from_json(export.to_json(i)))
 over(fx.NODES, "structure_xml")(lambda n: export.structure_xml(n.join(tree.depths(n), ["doc_id", "node_id"])))
 over(fx.HEADINGS, "repair_patches", f"select doc_id, {K}, 'level' as \"column\", cast(level as string) as old, cast(fixed as string) as new from (select *, i + min(level - i) over (partition by doc_id order by {K} rows between unbounded preceding and current row) as fixed from (select *, row_number() over (partition by doc_id order by {K}) as i from {{s}} h) t) u where level <> fixed")(
     lambda h: export.patches(h, tree.repaired_levels(h, "doc_id", fx.ORDER).drop("level").withColumnRenamed("fixed", "level"), ["doc_id", *fx.ORDER], ["level"])

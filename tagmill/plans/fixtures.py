@@ -14,18 +14,19 @@ KEY = ", ".join(ORDER)
 HEADINGS = f"select l_orderkey as doc_id, {KEY}, cast(floor(l_quantity) as bigint) % 6 + 1 as level, cast(floor(l_extendedprice) as bigint) % 3 as page from lineitem"
 
 NODES = """
-select r_regionkey as doc_id, concat('r', cast(r_regionkey as string)) as node_id, cast(null as string) as parent_id, 'Document' as type, r_name as text, '' as lang from region
-union all select n_regionkey, concat('n', cast(n_nationkey as string)), concat('r', cast(n_regionkey as string)), case n_nationkey % 4 when 0 then 'Sect' when 1 then 'L' when 2 then 'P' else 'Table' end, n_name, case when n_nationkey % 4 = 0 then 'es' else '' end from nation
-union all select n_regionkey, concat('c', cast(c_custkey as string)), concat('n', cast(c_nationkey as string)), case c_custkey % 4 when 0 then 'Div' when 1 then 'LI' when 2 then 'Span' else 'TR' end, c_name, case when c_custkey % 5 = 0 then 'fr' else '' end from customer join nation on c_nationkey = n_nationkey
-union all select n_regionkey, concat('o', cast(o_orderkey as string)), concat('c', cast(o_custkey as string)), case o_orderkey % 5 when 0 then 'P' when 1 then 'LBody' when 2 then 'H2' when 3 then 'TD' else 'Custom' end, case when o_orderkey % 3 = 0 then '' else o_orderpriority end, '' from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+select cast(r_regionkey as bigint) as doc_id, concat('r', cast(r_regionkey as string)) as node_id, cast(null as string) as parent_id, cast(0 as bigint) as sib, 'Document' as type, r_name as text, '' as lang, cast(null as bigint) as page, '' as alt, '' as scope from region
+union all select n_regionkey, concat('n', cast(n_nationkey as string)), concat('r', cast(n_regionkey as string)), n_nationkey, case n_nationkey % 6 when 0 then 'Sect' when 1 then 'L' when 2 then 'P' when 3 then 'Div' when 4 then 'LI' else 'Table' end, n_name, case n_nationkey % 5 when 0 then 'es' when 3 then 'x-' else '' end, null, '', '' from nation
+union all select n_regionkey, concat('c', cast(c_custkey as string)), concat('n', cast(c_nationkey as string)), c_custkey, case c_custkey % 5 when 0 then 'Div' when 1 then 'LI' when 2 then 'Span' when 3 then 'TR' else 'L' end, case when c_custkey % 6 = 0 then ' ' else c_name end, case when c_custkey % 5 = 0 then 'fr' else '' end, case when c_custkey % 3 = 0 then null else c_custkey % 7 end, '', '' from customer join nation on c_nationkey = n_nationkey
+union all select n_regionkey, concat('o', cast(o_orderkey as string)), concat('c', cast(o_custkey as string)), o_orderkey, case o_orderkey % 12 when 0 then 'P' when 1 then 'LBody' when 2 then 'H2' when 3 then 'TD' when 4 then 'Custom' when 5 then 'TH' when 6 then 'Figure' when 7 then 'Link' when 8 then 'H4' when 9 then 'TextContent' when 10 then 'LI' else 'H1' end, case when o_orderkey % 7 = 0 then '' else o_orderpriority end, '', o_orderkey % 50, case when o_orderkey % 5 = 0 then 'a description' else '' end, case when o_orderkey % 2 = 0 then 'Row' else '' end from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
 """
 
 CELLS = f"""
 select l_orderkey as table_id, l_suppkey % 3 as row_id, row_number() over (partition by l_orderkey, l_suppkey % 3 order by {KEY}) as col,
   case when l_partkey % 3 = 0 then 'TH' else 'TD' end as kind,
-  case when l_partkey % 11 = 0 then 'x' when l_partkey % 7 = 0 then cast(l_linenumber as string) when l_partkey % 13 = 0 then '0' else '1' end as colspan,
-  case when l_suppkey % 2 = 0 then 'Row' else '' end as scope, concat('c', cast(l_linenumber as string)) as cell_id,
-  concat('c', cast(l_partkey % 9 as string), ' c', cast(l_linenumber as string)) as headers
+  case when l_partkey % 23 = 0 then 'x' when l_partkey % 21 = 0 then cast(l_linenumber as string) when l_partkey % 39 = 0 then '0' else '' end as colspan,
+  case when l_suppkey % 29 = 0 then '9' when l_suppkey % 31 = 0 then '1' else '' end as rowspan,
+  case when l_suppkey % 4 = 0 then 'Row' when l_suppkey % 4 = 1 then 'row' else '' end as scope, case when l_orderkey % 2 = 0 then concat('c', cast(l_linenumber as string)) else '' end as cell_id,
+  case when l_orderkey % 4 = 0 then concat('c', cast(l_partkey % 9 as string), ' c', cast(l_linenumber as string)) else '' end as headers, l_suppkey % 5 > 0 as filled
 from lineitem
 """
 
@@ -50,41 +51,45 @@ select l_orderkey as doc_id, {KEY}, cast(l_partkey % 256 as int) as r, cast((l_s
 """
 
 META = """
-select doc_id, concat('docs/', source, '-', cast(doc_id as string), '_final.pdf') as filename,
-  case doc_id % 9 when 0 then '' when 1 then 'Untitled' when 2 then concat('docs/', source, '-', cast(doc_id as string), '_final.pdf') when 3 then 'a|b' when 4 then 'ab' else substring(text, 1, 60) end as title,
-  case doc_id % 6 when 0 then '' when 1 then lang when 2 then upper(lang) when 3 then concat(lang, '-XX') when 4 then 'xx_1' else concat(lang, '-', lang) end as language,
-  case when doc_id % 4 = 0 then source else '' end as author, case when doc_id % 3 = 0 then 'x' else '' end as subject, case when doc_id % 7 = 0 then 'k' else '' end as keywords,
-  case doc_id % 3 when 0 then true when 1 then false else null end as display_title
+select doc_id, concat('docs/', source, '-', cast(doc_id as string), '_final.pdf') as filename, doc_id % 5 > 0 as has_xmp, doc_id % 4 > 1 as pdf_ua_flag,
+  case doc_id % 11 when 0 then '' when 1 then 'Untitled' when 2 then concat('docs/', source, '-', cast(doc_id as string), '_final.pdf') when 3 then 'a|b' when 4 then 'ab' when 5 then 'Temporal' when 6 then ' test case ' when 7 then 'PDF FILE' else substring(text, 1, 60) end as title,
+  case doc_id % 11 when 0 then '' when 1 then 'Untitled' when 3 then 'a|b' when 6 then null else substring(text, 1, 60) end as info_title,
+  case doc_id % 11 when 2 then concat('docs/', source, '-', cast(doc_id as string), '_final.pdf') when 4 then 'ab' when 5 then 'Temporal' when 6 then '  ' when 8 then substring(text, 1, 230) else null end as xmp_title,
+  case doc_id % 9 when 0 then '' when 1 then lang when 2 then upper(lang) when 3 then concat(lang, '-XX') when 4 then 'xx_1' when 5 then 'pt-AO' when 6 then 'ar' when 7 then 'ja-JP' else concat(lang, '-', lang) end as language, doc_id % 10 > 0 as has_lang,
+  case when doc_id % 4 = 0 then source else '' end as author, case doc_id % 3 when 0 then 'x' when 1 then 'Document12' else '' end as subject, case when doc_id % 7 = 0 then 'k' else null end as keywords,
+  doc_id % 6 > 0 as has_viewer_preferences, case doc_id % 3 when 0 then true when 1 then false else null end as display_title
 from documents
 """
 
+#: Codes of all kinds that the rules on languages tell apart.
+CODES = "select doc_id, case doc_id % 16 when 0 then 'ar-EG' when 1 then 'he' when 2 then 'ha' when 3 then 'zh-CN' when 4 then 'ja-JP' when 5 then 'ko-KR' when 6 then 'ja' when 7 then 'en' when 8 then 'en_US' when 9 then 'PT-br' when 10 then 'fr-' when 11 then '' when 12 then 'xx1' when 13 then 'zh-hans' when 14 then 'catalan' else 'sd' end as language from documents"
+
+#: Running heads of documents of a few pages: mostly alike, some of their own.
+HEADERS = "select o_custkey as doc_id, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as bigint) as page, case when o_orderkey % 7 = 0 then concat('chapter ', o_orderpriority) when o_orderkey % 11 = 0 then '' else concat('Report of the year on all that was bought by customer ', cast(o_custkey as string), ' part ', case when o_orderkey % 2 = 0 then 'one' else 'two' end) end as text from orders"
+
 LINES = """
 select doc_id, cast(0 as bigint) as page, cast(k as bigint) as seq,
-  concat(case (doc_id + k) % 9 when 0 then '- ' when 1 then '- ' when 2 then concat(cast(k as string), '. ') when 3 then concat(cast(k as string), ') ') when 4 then 'a) ' when 5 then 'B. ' when 6 then 'iv) ' else '' end, line) as text
+  concat(case (doc_id + k) % 9 when 0 then '- ' when 1 then '- ' when 2 then concat(cast(k as string), '. ') when 3 then concat(cast(k as string), ') ') when 4 then 'a) ' when 5 then 'B. ' when 6 then 'iv) ' when 7 then 'xL. ' else '' end, line) as text
 from ({exploded}) t where line <> ''
 """
 LINES_SPARK = LINES.replace("{exploded}", r"select doc_id, posexplode(split(text, '\n')) as (k, line) from documents")
 LINES_DUCK = LINES.replace("{exploded}", "select doc_id, unnest(range(0, len(s))) as k, unnest(s) as line from (select doc_id, string_split(text, chr(10)) as s from documents)")
 
-FIELDS = "select p_partkey as field_id, concat(case p_partkey % 4 when 0 then 'txt' when 1 then 'chk_' when 2 then 'cmb' else '' end, replace(p_brand, '#', 'No'), '_', case when p_partkey % 2 = 0 then 'firstName' else 'zipCode' end) as name, case p_size % 4 when 0 then 'Btn' when 1 then 'Tx' when 2 then 'Ch' else 'Sig' end as type, cast(case p_partkey % 3 when 0 then 65536 when 1 then 32768 else 0 end as int) as flags from part"
+FIELDS = "select p_partkey as field_id, concat(case p_partkey % 4 when 0 then 'txt' when 1 then 'chk_' when 2 then 'cmb' else '' end, replace(p_brand, '#', 'No'), '_', case when p_partkey % 2 = 0 then 'firstName' else 'ZIPCode' end) as name, case p_size % 4 when 0 then 'Btn' when 1 then 'Tx' when 2 then 'Ch' else 'Sig' end as type, cast(case p_partkey % 3 when 0 then 65536 when 1 then 32768 else 0 end as int) as flags from part"
 
 IMAGES = "select o_custkey % 50 as doc_id, o_orderkey % 97 as page, o_orderkey as image_id from orders where o_orderstatus = 'F'"
 FIGURES = "select o_custkey % 50 as doc_id, o_orderkey % 97 as page, o_orderkey as figure_id from orders where o_orderstatus = 'O'"
 
 ROLES = "select n_regionkey as doc_id, concat('X', cast(n_nationkey as string)) as custom, case n_nationkey % 5 when 0 then 'P' when 1 then concat('X', cast(n_nationkey - 1 as string)) when 2 then concat('X', cast(n_nationkey as string)) when 3 then 'Unknown' else 'H1' end as mapped from (select n_nationkey, cast(0 as int) as n_regionkey from nation) t"
 
-ISSUES = f"""
-select doc_id, '14-003' as checkpoint, 'error' as severity, concat('heading ', cast(level as string)) as description, true as fixable, page from
-  (select *, coalesce(max(level) over (partition by doc_id order by {KEY} rows between unbounded preceding and 1 preceding), 0) as seen from ({HEADINGS}) h) t where level > seen + 1
-union all select doc_id, '09-001', 'warning', concat('jump to ', cast(level as string)), false, page from
-  (select *, lag(level) over (partition by doc_id, page order by {KEY}) as seen from ({HEADINGS}) h) t where level > seen + 2
-union all select table_id, 'table-structure', 'warning', 'uneven rows', true, cast(0 as bigint) from
-  (select table_id, max(n) as hi, min(n) as lo from (select table_id, row_id, count(*) as n from ({CELLS}) c group by table_id, row_id) r group by table_id) t where hi - lo > 1
-union all select table_id, '15-003', 'error', 'no scope', true, cast(row_id as bigint) from ({CELLS}) c where kind = 'TH' and scope = ''
-union all select doc_id, '06-003', 'error', 'no title', true, cast(null as bigint) from ({META}) m where title = ''
-union all select doc_id, 'metadata-quality', 'info', 'no author', true, cast(null as bigint) from ({META}) m where author = ''
-union all select doc_id, 'general', 'notice', 'checked', false, cast(null as bigint) from ({META}) m where doc_id % 50 = 0
-"""
+#: Names of types as documents have them.
+NAMES = "select p_partkey as id, case p_partkey % 37 when 0 then 'H7' when 1 then 'HeaderCell' when 2 then 'Subtitle' when 3 then 'Chapter' when 4 then 'Section' when 5 then 'ParaStyle' when 6 then 'TextBlock' when 7 then 'Image' when 8 then 'ImgBox' when 9 then 'Picture' when 10 then 'Figure1' when 11 then 'TableData' when 12 then 'RowData' when 13 then 'Cell' when 14 then 'thCell' when 15 then 'TdCell' when 16 then 'ListBlock' when 17 then 'ItemBody' when 18 then 'BulletList' when 19 then 'NumberedList' when 20 then 'CaptionText' when 21 then 'LinkText' when 22 then 'Footnote' when 23 then 'Note1' when 24 then 'Quotation' when 25 then 'FormulaBlock' when 26 then 'Division' when 27 then 'Spanning' when 28 then 'AnnotationX' when 29 then 'FormField' when 30 then 'ReferenceX' when 31 then '' when 32 then 'Title2' when 33 then 'Heading 1' when 34 then null when 35 then 'Theme' else p_type end as name from part"
+
+ANNOTATIONS = "select p_partkey % 300 as doc_id, cast(p_partkey % 9 as bigint) as page, p_partkey as annot_id, case p_size % 4 when 0 then 'Widget' when 1 then 'Link' when 2 then 'PrinterMark' else 'Text' end as subtype, case when p_partkey % 3 = 0 then p_name else '' end as contents, case when p_partkey % 5 = 0 then p_brand else '' end as alt, case when p_partkey % 2 = 0 then p_type else '' end as tu from part"
+OUTLINES = "select doc_id from documents where doc_id % 2 = 0"
+
+#: Documents and whether they have a tree.
+STRUCTURED = "select doc_id, doc_id % 3 > 0 as has_structure from documents"
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagmill.functions import colour, geometry, text
-from tagmill.operators import conformance, export, layout, lists, matching, tables, tree
+from tagmill.operators import conformance, export, issues, layout, lists, matching, metadata, tables, tree
 
 
 def headings(spark, levels):
@@ -52,14 +52,27 @@ def test_role_map(spark):
     assert {r["custom"]: r["terminal"] for r in got.collect()} == {"A": "P", "B": "P", "X": "CYCLE", "Y": "CYCLE", "Z": "Other"}
 
 
+CELL = "table_id int, row_id int, col int, kind string, colspan string, rowspan string, scope string, cell_id string, headers string, filled boolean"
+
+
 def test_tables(spark):
-    rows = [(1, 1, 1, "TH", "2", "", "a", ""), (1, 1, 2, "TD", "x", "", "b", "a z"), (1, 2, 1, "TD", "9", "", "c", ""), (1, 2, 2, "TD", "1", "", "d", ""), (1, 3, 1, "TD", "1", "", "e", "")]
-    cells = spark.createDataFrame(rows, "table_id int, row_id int, col int, kind string, colspan string, scope string, cell_id string, headers string")
+    rows = [(1, 1, 1, "TH", "2", "", "", "a", "", True), (1, 1, 2, "TD", "x", "", "", "b", "a z", True), (1, 2, 1, "TD", "9", "", "", "c", "", True), (1, 2, 2, "TD", "", "4", "", "d", "", True), (1, 3, 1, "TD", "1", "3", "", "e", "", True)]
+    cells = spark.createDataFrame(rows, CELL)
     assert [(r["cell_id"], r["ref"]) for r in tables.dangling_headers(cells).collect()] == [("b", "z")]
-    assert sorted(r["problem"] for r in tables.bad_spans(cells).collect()) == ["not a number", "too wide"]
-    assert tables.ragged(cells).count() == 0
+    assert sorted((r["span"], r["problem"]) for r in tables.bad_spans(cells).collect()) == [("colspan", "not a number"), ("colspan", "too wide"), ("rowspan", "too wide")]
+    assert tables.ragged(cells).count() == 0 and tables.shape(cells).first()["complex"]
     assert [(r["row_id"], r["mode"]) for r in tables.row_outliers(cells).collect()] == [(3, 2)]
-    assert tables.missing_scopes(cells).first()["suggested"] == "Row"
+    assert tables.bad_scopes(cells).count() == 0  # tied by ids
+
+
+def test_scopes(spark):
+    """Without ids: taller than wide suggests Col; the repair goes by first row, header rows and header columns."""
+    kinds = ["TH TH", "TH TD", "TD TH", "TH TD"]
+    cells = spark.createDataFrame([(1, i, j, k, "", "", "row" if (i, j) == (0, 1) else "", "", "", True) for i, r in enumerate(kinds) for j, k in enumerate(r.split(), 1)], CELL)
+    assert sorted((r["row_id"], r["col"], r["problem"], r["suggested"]) for r in tables.bad_scopes(cells).collect()) == [(0, 1, "unknown", "Col"), (0, 2, "missing", "Col"), (1, 1, "missing", "Col"), (2, 2, "missing", "Col"), (3, 1, "missing", "Col")]
+    assert sorted((r["row_id"], r["col"], r["suggested"]) for r in tables.repaired_scopes(cells).collect()) == [(0, 2, "Column"), (1, 1, "Row"), (2, 2, "Both"), (3, 1, "Row")]
+    found = [(r["checkpoint"], r["severity"]) for r in issues.of_tables(cells).collect()]
+    assert found.count(("15-003", "error")) == 5 and ("table-accessibility", "info") in found
 
 
 def test_colour(spark):
@@ -90,10 +103,56 @@ def test_text(spark):
     one = lambda c: row.select(c).first()[0]
     assert one(text.jaccard(F.lit("a b c"), F.lit("A b d"))) == 0.5
     assert one(text.readable_field_name(F.lit("txtFirstName"))) == "First Name"
+    assert one(text.readable_field_name(F.lit("txt_first_NAME"))) == "Txt First Name"
     assert one(text.marker_type(F.lit("i) x"))) == "numbered-lower-alpha"
-    assert one(text.marker_type(F.lit("12. x"))) == "numbered-decimal"
+    assert one(text.marker_type(F.lit(" 12. x"))) == "numbered-decimal"
+    assert one(text.marker_type(F.lit("mdc) x"))) == "numbered-lower-roman"
+    assert one(text.marker_type(F.lit("xL. x"))) == "numbered-other"
     assert one(text.marker_type(F.lit("plain"))) is None
     assert one(text.normalised(F.lit(" a\x01 \n b "))) == "a b"
+    assert one(text.title_of_filename(F.lit("docs/my-file_v1.tar.pdf"))) == "Docs/my File V1.tar"
+    assert one(text.title_of_filename(F.lit("ab.pdf"))) == "Ab - Documento PDF" and one(text.title_of_filename(F.lit(""))) == "Documento PDF"
+    assert one(text.title_score(F.lit("Untitled"))) == 0.1
+    assert one(text.title_score(F.lit("A plain title of some seven words"))) == pytest.approx(0.4 * 33 / 50 + 0.4 + 0.2)
+    assert one(text.generic_alt(F.lit(" IMG_123456789 "))) and not one(text.generic_alt(F.lit("A red house by the sea")))
+    got = one(text.recognition(F.lit("The house\nThe house\nxxxx bcd 111")))  # lines 1/3 again; xxxx and 111 of 7 words strange
+    assert (got["valid"], got["errors"]) == (True, 1) and got["confidence"] == pytest.approx(0.8 * (1 + 2 / 3 + 5 / 7) / 3)
+    assert [one(text.reading_mode(F.lit(x))) for x in ("ha-NG", "sd", "ja-JP", "zh")] == ["rl-tb", "lr-tb", "tb-lr", "tb-rl"]
+    assert one(text.language_suggestions(F.lit("pt-brasil"))) == ["pt", "pt-PT", "pt-BR", "pt-PT"] and one(text.language_suggestions(F.lit("")))[0] == "en-US"
+    assert one(text.repaired_language(F.lit("EN"))) == "en-US" and one(text.repaired_language(F.lit("xx"))) == "es-ES"
+    assert one(tree.type_by_name(F.lit("SubtitleX"))) == "H2" and one(tree.type_by_name(F.lit("HeaderCell"))) == "H1" and one(tree.type_by_name(F.lit("promo"))) == "P"
+
+
+def test_metadata(spark):
+    """A blank title has one finding; XMP missing says nothing of its parts."""
+    form = "doc_id int, filename string, has_xmp boolean, pdf_ua_flag boolean, title string, info_title string, xmp_title string, author string, subject string, keywords string, has_lang boolean, language string, has_viewer_preferences boolean, display_title boolean"
+    rows = [(1, "a.pdf", True, True, "  ", "  ", None, "x", "y", "z", True, "es", True, True), (2, "a.pdf", False, False, "A.PDF", "", "", "", "test", None, False, "", False, None), (3, "a.pdf", True, False, "pdf", "pdf", "Other title", "x", "y", "z", True, "pt-AO", True, None)]
+    meta = spark.createDataFrame(rows, form)
+    got = {k: sorted((r["checkpoint"], r["severity"]) for r in metadata.issues(meta).where(f"doc_id = {k}").collect()) for k in (1, 2, 3)}
+    assert got[1] == [("06-004", "warning"), ("metadata-quality", "info")]
+    assert got[2] == [("06-001", "error"), ("07-001", "error"), ("11-006", "error"), ("metadata-quality", "info"), ("metadata-quality", "info"), ("metadata-quality", "info")]
+    assert got[3] == [("06-002", "error"), ("07-001", "error"), ("11-007", "warning"), ("metadata-consistency", "warning")]
+    assert [r["problem"] for r in metadata.title_problems(meta).orderBy("doc_id", "problem").collect()] == ["blank", "file name", "generic"]
+    assert [round(r["completeness"]) for r in metadata.completeness(meta).orderBy("doc_id").collect()] == [100, 33, 67]
+
+
+def test_repeated(spark):
+    """At 0.8, on half of the pages or more, the leader being the first of its kind."""
+    head = "a report on all the things of the year part"
+    texts = [(1, 0, f"{head} one"), (1, 1, f"{head} two"), (1, 2, "its own"), (1, 3, f"{head} six"), (2, 0, "x"), (2, 3, "x"), (3, 0, ""), (3, 1, "")]
+    got = lists.repeated(spark.createDataFrame(texts, "doc_id long, page long, text string")).collect()
+    assert sorted((r["doc_id"], r["page"], r["first"]) for r in got) == [(1, 0, 0), (1, 1, 0), (1, 3, 0), (2, 0, 0), (2, 3, 0)]
+
+
+def test_structure_issues(spark):
+    form = "doc_id long, node_id string, parent_id string, sib long, type string, text string, lang string, page long, alt string, scope string"
+    rows = [(1, "a", None, 0, "Document", "", "", None, "", ""), (1, "b", "a", 1, "L", "", "", 1, "", ""), (1, "c", "b", 0, "P", "x", "", 1, "", ""), (1, "d", "a", 0, "H2", " ", "", 1, "", ""), (1, "e", "a", 2, "H5", "t", "x-", 1, "", ""), (2, "z", None, 0, "Div", "", "", None, "", "")]
+    nodes = spark.createDataFrame(rows, form)
+    got = sorted((r["doc_id"], r["element_id"] or "", r["checkpoint"], r["severity"]) for r in issues.of_structure(nodes, spark.createDataFrame([(1,), (3,)], "doc_id long")).collect())
+    assert got == [(1, "", "09-001", "warning"), (1, "b", "09-002", "error"), (1, "b", "09-002", "warning"), (1, "c", "09-002", "warning"), (1, "d", "01-006", "warning"), (1, "d", "14-003", "error"), (1, "e", "14-003", "error"), (2, "", "01-005", "error"), (2, "", "01-005", "warning"), (2, "", "01-006", "info"), (3, "", "01-005", "error")]
+    meta = spark.createDataFrame([(1, "", False), (2, "es", True)], "doc_id long, language string, has_lang boolean")
+    got = sorted((r["doc_id"], r["element_id"] or "", r["checkpoint"]) for r in issues.of_languages(nodes, meta).collect())
+    assert got == [(1, "", "11-006"), (1, "c", "11-001"), (1, "e", "11-007")]
 
 
 def test_lists_and_matching(spark):
