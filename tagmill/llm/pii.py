@@ -5,9 +5,10 @@ scheme separators and identifier cues. Each anchor has a parser that reads only
 it: it expands to the boundary of an address, number or account and checks it. No
 shuffle; memory follows one Arrow batch.
 
-Edge cases: a null text is an empty one and has no spans; repeated rows, ties and null
-ids give one row each; texts of any length are parsed whole; only doc_id and text are
-read, so extra columns can't clash.
+Edge cases: a null text is an empty one and has no spans; empty tables give no rows;
+repeated rows, ties and null ids give one row each; texts of any length are parsed whole,
+as are schemes and names of any length; only doc_id and text are read, so extra columns
+can't clash.
 """
 
 from __future__ import annotations
@@ -32,15 +33,31 @@ _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"://(?:[^\s/@<>\"']++@)?[A-Za-z0-9.-]++(?::[0-9]++)?(?:[/?#][^\s<>\"')\]]*+)?")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
-_VALUE = re.compile(r"[\x20\t]?[=:][\x20\t]?([\"']?)([A-Za-z0-9+/_.~-]{6,}+)\1")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_NAME = re.compile(r"[A-Za-z0-9_-]*+")
+_VALUE = re.compile(r"[\"']?[\x20\t]*+[=:][\x20\t]*+([\"']?)([A-Za-z0-9+/_.~-]{6,}+)(\1)")
 _KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|id))?[\x20\t]?[:#=]?[\x20\t]?([A-Z]{0,3}[0-9](?:[\x20-]?[0-9]){5,17}+)(?![A-Za-z0-9])", re.I)
 #: Cues of identifiers and what parses what follows them; matched without regard to case in ASCII.
 CUES = {"password": "secret", "passwd": "secret", "token": "secret", "secret": "secret", "api_key": "secret", "apikey": "secret", "akia": "key", "iban": "iban", "account": "account", "acct": "account", "passport": "account", "ssn": "account", "konto": "account", "compte": "account", "cuenta": "account"}
-#: Where a scheme's name may begin before "://", at most.
-SCHEME_SPAN = 32
+#: Letters alone are a secret in quotes from the first length on, and bare from the second on if in both cases.
+QUOTED, BARE = 8, 16
+_FOLD = {k: k + 32 for k in range(65, 91)}
+
+
+def folded(text: str) -> str:
+    """text with A-Z in lower case, every character in its place."""
+    if text.isascii():
+        return text.lower()
+    return text.translate(_FOLD)
+
+
+def is_secret(value: str, quoted: bool) -> bool:
+    """Whether what a cue names can be a secret rather than a word of prose."""
+    if any(c.isdigit() for c in value):
+        return True
+    return quoted and len(value) >= QUOTED or len(value) >= BARE and not value.islower() and not value.isupper()
 
 
 def luhn(digits: str) -> bool:
@@ -59,8 +76,7 @@ def _automaton():
     out.add_word("+", ("phone", 1))
     out.add_word("://", ("url", 3))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            out.add_word(form, (kind, len(form)))
+        out.add_word(cue, (kind, len(cue)))
     out.make_automaton()
     return out
 
@@ -74,14 +90,14 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     if _built is None:
         _built = _automaton()
     found: list[tuple[int, int, str]] = []
-    free = dict.fromkeys((*KINDS, "digit_ip"), 0)  # from where each kind may begin
+    free = dict.fromkeys((*KINDS, "digit_ip", "name"), 0)  # from where each kind may begin
 
     def keep(kind: str, start: int, end: int, valid: bool = True) -> None:
         free[kind] = end
         if valid:
             found.append((start, end, kind))
 
-    for last, (anchor, width) in _built.iter(text):
+    for last, (anchor, width) in _built.iter(folded(text)):
         at = last - width + 1
         if anchor == "digit":
             if at >= free["card"]:
@@ -108,16 +124,22 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             if at >= free["phone"] and (m := _PHONE.match(text, at)):
                 keep("phone", at, m.end(), 9 <= sum(c.isdigit() for c in m[0]) <= 15)
         elif anchor == "url":
-            low = max(free["url"], at - SCHEME_SPAN)
-            s = _SCHEME.search(text[low:at])
-            if s and s.start() + low >= free["url"] and (m := _URL.match(text, at)):
-                keep("url", low + s.start(), m.end())
+            start, least = at, free["url"]
+            while start > least and text[start - 1] in _SCHEME:
+                start -= 1
+            while start < at and not (text[start].isascii() and text[start].isalpha()):
+                start += 1
+            if start < at and (m := _URL.match(text, at)):
+                keep("url", start, m.end())
         elif anchor == "secret":
-            m = _VALUE.match(text, last + 1)
-            if m and m.start(2) >= free["secret"] and any(c.isdigit() for c in m[2]):
+            if last + 1 < free["name"]:  # another cue within the same name
+                continue
+            free["name"] = _NAME.match(text, last + 1).end() + 1
+            m = _VALUE.match(text, free["name"] - 1)
+            if m and m.start(2) >= free["secret"] and is_secret(m[2], bool(m[1])):
                 keep("secret", m.start(2), m.end(2))
         elif anchor == "key":
-            if at >= free["secret"] and text[at : last + 1].isupper() and (at == 0 or not text[at - 1].isalnum()) and (m := _KEY.match(text, last + 1)):
+            if at >= free["secret"] and text[at : last + 1] == "AKIA" and (at == 0 or not text[at - 1].isalnum()) and (m := _KEY.match(text, last + 1)):
                 keep("secret", at, m.end())
         elif anchor == "iban":
             m = _IBAN.search(text, last + 1, last + 48)

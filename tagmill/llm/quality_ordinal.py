@@ -6,8 +6,10 @@ a bounded sample of rated rows; scoring sends the weights (WIDTH floats) along w
 tasks and reads each text once, without a shuffle.
 
 Edge cases: a null text is an empty one and gets the grades of score 0; without ratings of
-two grades every text gets the highest grade; repeated rows and null ids are scored one by
-one; ratings that differ for an id count by their least; extra columns aren't read.
+two grades every text gets the one grade (0 without any) and is kept; grades may be any
+whole numbers; empty tables give no rows; texts of any length are read whole; repeated
+rows and null ids are scored one by one; ratings that differ for an id count by their
+least, and those with a null don't count; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from tagmill.llm.common import narrow
 
 WIDTH = 1 << 18
-GRADES = 3
 #: Words whose buckets a worker remembers.
 REMEMBERED = 500_000
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -55,20 +56,32 @@ def buckets(text: str) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray) -> None:
-        self.weights, self.thresholds = weights, thresholds
+    """levels are the grades in order, of any range; a threshold lies between each two."""
+
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, levels: np.ndarray) -> None:
+        self.weights, self.thresholds, self.levels = weights, thresholds, levels
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k below the highest, by row."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
+    def expected(self, tail: np.ndarray) -> np.ndarray:
+        """The mean grade for rows of above(): the lowest, and the steps up to the others times their chance."""
+        return self.levels[0] + tail @ np.diff(self.levels)
+
+    def highest(self, tail: np.ndarray) -> np.ndarray:
+        """The chance of the highest grade, 1 if there is but one."""
+        return tail[:, -1] if tail.shape[1] else np.ones(len(tail))
+
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 240, rate: float = 0.05, decay: float = 1e-4, seen: int = 12, apart: float = 4.5) -> Model:
     """Adam on the cumulative-link likelihood; a bucket gets a weight if at least seen rows
-    hold it and their mean grade is apart standard errors or more from that of all: the rest is chance."""
-    k = GRADES - 1
-    if len(rows) == 0 or len(set(grades.tolist())) < 2:
-        return Model(np.zeros(WIDTH, np.float32), np.full(k, -60.0))
+    hold it and their mean grade is apart standard errors or more from that of all: the rest is chance.
+    Grades are any whole numbers; those that occur are the levels. With less than two there is nothing to learn."""
+    levels, grades = np.unique(grades, return_inverse=True) if len(rows) else (np.zeros(1, np.int64), grades)
+    k = len(levels) - 1
+    if k < 1:
+        return Model(np.zeros(WIDTH, np.float32), np.zeros(0), levels.astype(np.float64))
     column = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     held = np.bincount(column, minlength=WIDTH)
@@ -100,26 +113,27 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 240, rate: floa
             x -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(WIDTH, np.float32)
     weights[known] = w[: len(known)]
-    return Model(weights, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]))
+    return Model(weights, np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))]), levels.astype(np.float64))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [buckets(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "buckets"])
+        yield pa.RecordBatch.from_arrays([b.column("grade"), b.column("place"), pa.array(rows, pa.list_(pa.int32()))], names=["grade", "place", "buckets"])
 
 
 def rated(labels: DataFrame) -> DataFrame:
-    """doc_id and grade: a point for quality, one for a text that isn't toxic; 0, 1 or 2."""
+    """doc_id and grade: quality, and a point for a text that isn't toxic."""
     return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg((F.min("quality") + 1 - F.max("toxic")).cast("int").alias("grade"))
 
 
 def train(docs: DataFrame, ratings: DataFrame, max_rated: int = 8_000) -> Model:
-    """From docs (doc_id, text) and ratings (doc_id, grade), the max_rated of least hash at most."""
+    """From docs (doc_id, text) and ratings (doc_id, grade): of the rated rows the max_rated of least hash at most, however often an id repeats."""
     few = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
-    rows = narrow(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").select("grade", "text").mapInArrow(_features, "grade int, buckets array<int>").toArrow()
-    lists = rows.column("buckets").combine_chunks()
-    grades = np.asarray(rows.column("grade")).astype(np.int64)
+    rows = narrow(docs, "doc_id", "text").join(F.broadcast(few), "doc_id").select("grade", F.xxhash64("doc_id", "text").alias("place"), "text")
+    kept = rows.mapInArrow(_features, "grade int, place long, buckets array<int>").orderBy("place", "grade").limit(max_rated).toArrow()
+    lists = kept.column("buckets").combine_chunks()
+    grades = np.asarray(kept.column("grade")).astype(np.int64)
     bounds, flat = np.asarray(lists.offsets), np.asarray(lists.values)
     return fit([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)] if len(grades) else [], grades)
 
@@ -129,7 +143,7 @@ def _scorer(model: Model, least: float):
         for b in batches:
             score = np.array([float(model.weights[buckets(t.as_py())].sum(dtype=np.float64)) for t in b.column("text")])
             tail = model.above(score)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(tail.sum(1)), pa.array(tail[:, -1]), pa.array(tail[:, -1] >= least)], names=["doc_id", "score", "expected_grade", "p_highest", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(model.expected(tail)), pa.array(model.highest(tail)), pa.array(model.highest(tail) >= least)], names=["doc_id", "score", "expected_grade", "p_highest", "kept"])
 
     return run
 
