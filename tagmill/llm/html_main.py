@@ -2,14 +2,18 @@
 
 A page becomes text blocks with their root-to-leaf paths of block tags. For every path
 the mean text length and the mean punctuation of its blocks are taken, smoothed along the
-page, and fused to one score; the score's mass picks the element that holds the content,
-and paths below the threshold that are mostly links drop out of it. Elements whose tag,
-role, class or id says menu, footer, advert and the like never count. One pass per
-page, no shuffle; memory follows one Arrow batch.
-
-Edge cases: a null or empty page, or one without text, gives the empty text; markup that
-is cut off or never closed is closed at the next block or the end; repeated rows and null
-ids give one row each; pages are read whole; extra columns aren't read.
+page, fused to one score, and weighted by what tags, roles and names on the path say of
+it: more for an article, less for a menu, a footer, an advert. Paths that reach the
+threshold, the spread of the scores, select the content nodes, and the deepest element
+that holds most of their mass holds the content. In it what the ratios can't tell stays
+too, such as titles, short items and cells of tables; what goes are paths that are weighed
+down within it, paths of links below the threshold, and bare containers far below it. One
+pass per page, no shuffle; memory follows one Arrow batch and work the page's length.
+
+Edge cases: a null or empty page, or one without text, gives the empty text, as does one of
+boilerplate alone; empty tables give no rows; markup that is cut off or never closed is
+closed at the next block or the end; pages may be nested to any depth and of any length;
+repeated rows and null ids give one row each; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,25 +35,34 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: Elements by what they do to blocks; fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea iframe svg xmp noembed noframes".split())
 BOILERPLATE = frozenset("nav footer aside form menu head button select dialog search fieldset".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SCOPES = frozenset("ul ol dl table div section article main body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-#: Whole names of a class or id; parts of names, as in "with-sidebar", say nothing.
-NAMES = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|share|sharing|shares|sidebar|side-bar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)", re.I)
+#: Whole names of a class or id that mean boilerplate, and names that may; parts of names, as in "with-sidebar", say nothing.
+NAMES = re.compile(r"(?:ads?|advert\w*|breadcrumbs?|comments?|consent|cookies?|disqus|disclaimer|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|promoted|replies|respond|sidebar|side-bar|signup|skip|sponsor\w*|subscribe|toolbar)", re.I)
+DOUBTFUL = re.compile(r"(?:banner|header|recommended|related|share|sharing|shares|social|widget)", re.I)
 CONTENT = frozenset(("article", "main"))
+#: Weights of paths: content elements, boilerplate by tag or role, by name, doubtful names.
+ARTICLE, BARRED, NAMED, MAYBE = 20.0, 0.01, 0.02, 0.2
+#: Paths of less weight can't be content; within the content element, less than this share of its weight is none.
+LEAST, DEMOTED = 0.05, 0.1
+#: Bare containers in the content whose ratios are below this share of the threshold go.
+FAR_BELOW = 0.01
+BARE = frozenset(("div", "section", "center", "figure", "details"))
 
 
 class Node:
-    __slots__ = ("barred", "content", "holds", "mass", "named", "parent", "tag")
+    __slots__ = ("barred", "content", "doubtful", "holds", "mass", "named", "parent", "path", "tag", "weight")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
-        self.tag, self.parent, self.mass = tag, parent, 0.0
+        self.tag, self.parent, self.mass, self.weight, self.path = tag, parent, 0.0, 1.0, 0
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         within = parent is not None and parent.content
         role = found.get("role", "").lower()
-        names = f"{found.get('class', '')} {found.get('id', '')}".split()
-        self.named = tag not in ("html", "body", "article", "main") and any(NAMES.fullmatch(x) for x in names)
+        names = f"{found.get('class', '')} {found.get('id', '')}".split() if tag not in ("html", "body", "article", "main") else []
+        self.named, self.doubtful = any(NAMES.fullmatch(x) for x in names), any(DOUBTFUL.fullmatch(x) for x in names)
         self.content = within or tag in CONTENT or role == "main" or found.get("itemprop") == "articleBody"
         self.barred = tag in BOILERPLATE or role in ROLES or tag == "header" and not within
         self.holds = False  # an article or main within
@@ -58,24 +71,21 @@ class Node:
                 parent.holds = True
                 parent = parent.parent
 
-    @property
-    def blocked(self) -> bool:
-        """Once the page is read: whether its tag or role, or the name of one that holds no article, bars it or what it stands in."""
-        x: Node | None = self
-        while x is not None:
-            if x.barred or x.named and not x.holds:
-                return True
-            x = x.parent
-        return False
+    def factor(self) -> float:
+        """Once the page is read: what the element itself does to the weight of paths through it; names don't count around an article."""
+        own = ARTICLE if self.content and not (self.parent is not None and self.parent.content) else 1.0
+        if self.barred:
+            return own * BARRED
+        if self.holds:
+            return own
+        return own * (NAMED if self.named else MAYBE if self.doubtful else 1.0)
 
-    def path(self) -> str:
-        return f"{self.parent.path() if self.parent else ''}/{self.tag}"
 
-
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, code points inside links) of the blocks in page order."""
+def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The elements, parents first, and (element, text, code points inside links) of the blocks in page order."""
     top = Node("", None, "")
-    open_: list[Node] = [top]
+    nodes, open_ = [top], [top]
+    held: dict[str, int] = {}  # open elements by tag
     out: list[tuple[Node, str, int]] = []
     texts: list[str] = []
     linked = links = 0
@@ -89,6 +99,20 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         texts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for x in open_[k:]:
+            held[x.tag] -= 1
+        del open_[k:]
+
+    def close_last(tags: tuple[str, ...], stops: frozenset[str]) -> None:
+        if any(held.get(t) for t in tags):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k].tag in tags:
+                    close(k)
+                    break
+                if open_[k].tag in stops:
+                    break
+
     at = 0
     while m := _TOKEN.match(page, at):
         at = m.end()
@@ -110,27 +134,30 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
         elif tag in BLOCK:
             flush()
             if closing:
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].tag == tag:
-                        del open_[k:]
-                        break
-                    if open_[k].tag in ("article", "main", "body", "table") and tag in ("p", "li", "td", "tr"):
-                        break
+                inner = frozenset(("article", "main", "body", "table")) if tag in ("p", "li", "td", "tr") else frozenset()
+                close_last((tag,), inner)
             else:
                 if open_[-1].tag == "p":
-                    open_.pop()
+                    close(len(open_) - 1)
                 if tag in CLOSED_BY:
-                    for k in range(len(open_) - 1, 0, -1):
-                        if open_[k].tag in CLOSED_BY[tag]:
-                            del open_[k:]
-                            break
-                        if open_[k].tag in ("ul", "ol", "dl", "table", "div", "section", "article"):
-                            break
+                    close_last(CLOSED_BY[tag], SCOPES)
                 links = 0
                 if tag not in VOID:
                     open_.append(Node(tag, open_[-1], m[3]))
+                    nodes.append(open_[-1])
+                    held[tag] = held.get(tag, 0) + 1
     flush()
-    return out
+    return nodes, out
+
+
+def weigh(nodes: list[Node]) -> None:
+    """Weights and path numbers from the root down: a path is its tags and what each does to the weight."""
+    known: dict[tuple[int, str, float], int] = {}
+    for x in nodes:
+        if x.parent is not None:
+            own = x.factor()
+            x.weight = x.parent.weight * own
+            x.path = known.setdefault((x.parent.path, x.tag, own), len(known) + 1)
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -140,49 +167,45 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def main_text(page: str) -> str:
-    found = [b for b in blocks_of(page) if not b[0].blocked]
+    nodes, found = blocks_of(page)
+    weigh(nodes)
+    found = [b for b in found if b[0].weight >= LEAST]
     if not found:
         return ""
-    paths = [n.path() for n, _, _ in found]
-    sums: dict[str, list[float]] = {}
-    for p, (_, text, linked) in zip(paths, found, strict=True):
-        s = sums.setdefault(p, [0, 0.0, 0.0, 0.0])
-        s[0] += 1
-        s[1] += len(text)
-        s[2] += len(_PUNCTUATION.findall(text))
-        s[3] += linked
-    length = smooth(np.array([sums[p][1] / sums[p][0] for p in paths]))
-    points = smooth(np.array([sums[p][2] / sums[p][0] for p in paths]))
-    fused = length * (points + 0.1)
-    for (node, text, linked), score in zip(found, fused.tolist(), strict=True):
-        x: Node | None = node
-        gain = score * (1 - min(1.0, linked / len(text)))
-        while x is not None:
-            x.mass += gain
-            x = x.parent
-    # the deepest element that holds most of the mass, then the article or main around or in it
-    inner = max((n for n, _, _ in found), key=lambda n: n.mass)
-    line = []
-    x = inner
-    while x is not None:
-        line.append(x)
-        x = x.parent
-    whole = line[-1].mass
-    box = next((n for n in line if n.mass >= 0.6 * whole and n.tag not in ("p", "h1", "h2", "h3", "li", "td", "tr")), line[-1])
-    marked = [n for n in line if n.content]
-    if marked:
-        box = marked[-1]
-    threshold = float(fused.std())
-    by_path: dict[str, list[float]] = {}
-    for p, score in zip(paths, fused.tolist(), strict=True):
-        by_path.setdefault(p, []).append(score)
+    paths, place = np.unique([n.path for n, _, _ in found], return_inverse=True)
+    total = lambda values: np.bincount(place, values, len(paths))
+    sizes = np.array([len(t) for _, t, _ in found], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for _, t, _ in found], float)
+    count, length = np.bincount(place), total(sizes)
+    points, linked = total(marks), np.minimum(1.0, total(np.array([k for _, _, k in found], float)) / length)
+    weight = np.array([n.weight for n, _, _ in found])
+    ratio = (length / count) * (points / count + 0.1)  # of each path, as it is
+    fused = smooth((length / count)[place]) * (smooth((points / count)[place]) + 0.1)
+    score = total(fused * weight) / count * (1 - linked)
+    threshold = float((fused * weight).std())
+    chosen = score >= threshold
+    if not chosen.any():
+        chosen = score >= score.max()
+    for (node, text, _), p, gain in zip(found, place.tolist(), (fused * weight * (1 - linked[place])).tolist(), strict=True):
+        if chosen[p]:
+            node.mass += gain
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.mass += x.mass
+    # the deepest element that holds most of the chosen mass
+    whole, box = nodes[0].mass, nodes[0]
+    for x in nodes:  # parents first, and only one child can hold more than half
+        if x.parent is box and x.mass >= 0.6 * whole and x.tag not in ("p", "h1", "h2", "h3", "li", "td", "th", "tr", "tbody", "thead", "pre", "blockquote"):
+            box = x
+    inside = {id(box)}
+    for x in nodes:
+        if x.parent is not None and id(x.parent) in inside:
+            inside.add(id(x))
     keep = []
-    for p, (node, text, _) in zip(paths, found, strict=True):
-        x = node
-        while x is not None and x is not box:
-            x = x.parent
-        links_only = sums[p][3] > 0.5 * sums[p][1] and sum(by_path[p]) / len(by_path[p]) < threshold
-        if x is box and not links_only:
+    for (node, text, _), p in zip(found, place.tolist(), strict=True):
+        links_only = linked[p] > 0.5 and not chosen[p]
+        bare = node is not box and node.tag in BARE and not chosen[p] and ratio[p] * box.weight < FAR_BELOW * threshold
+        if id(node) in inside and node.weight >= DEMOTED * box.weight and not links_only and not bare:
             keep.append(text)
     return "\n".join(keep)
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tagmill.llm import pii, quality_ordinal
+from tagmill.llm import html_main, pii, quality_ordinal
 
 rng = np.random.default_rng(8)
 
@@ -64,3 +64,36 @@ def test_ordinal_bound_holds_for_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(quality_ordinal, "fit", lambda rows, grades: seen.append(len(rows)))
     quality_ordinal.train(docs, ratings, 10)
     assert seen == [10]
+
+
+PLAIN = '<body><div class="menu"><ul><li><a href="/a">One</a><li><a href="/b">Two</a></ul></div><div id="x7"><div>Home &gt; News</div><div class="t">{head}</div>{body}<div><a href="/1">More of it, here</a> <a href="/2">And more, there</a></div></div><div class="cookie"><p>We keep cookies, as you know. They are good, and they are small, and we like them.</p></div><div>All rights, reserved.</div></body>'
+PARAS = [f"This is sentence {k}, which goes on for a while, and then some more; it ends here. Another one follows, as is usual." for k in range(6)]
+
+
+def test_html_without_semantic_tags():
+    body = "".join(f"<p>{x}</p>" for x in PARAS)
+    got = html_main.main_text(PLAIN.format(head="A title of words", body=body)).split("\n")
+    assert got[-6:] == PARAS and not any(x in " ".join(got) for x in ("One", "cookies", "rights", "More of it"))
+
+
+def test_html_tables_lists_and_maths_stay():
+    body = f"<h2>Part</h2><p>{PARAS[0]}<ul><li>short item<li>other</ul><table><tr><td>1<td>22</table><p>{PARAS[1]}</p><math>x = y</math><p>{PARAS[2]}"
+    got = html_main.main_text(f"<body><article>{body}</article></body>").split("\n")
+    assert got == ["Part", PARAS[0], "short item", "other", "1", "22", PARAS[1], "x = y", PARAS[2]]
+
+
+def test_html_article_of_one_word_beats_an_advert():
+    assert html_main.main_text(f'<body><nav><a href="/">a</a></nav><div class="ad">{PARAS[0]}</div><article><p>Sh is.</article><footer>{PARAS[1]}</footer>') == "Sh is."
+    assert html_main.main_text(f"<body><nav><p>{PARAS[0]}</nav><footer>x</footer>") == ""
+
+
+@pytest.mark.parametrize("tag", ["div", "ul><li", "table><tr><td", "p", "article"])
+def test_html_deep(tag):
+    assert html_main.main_text(f"<{tag}>" * 5000 + PARAS[0] + "</x></p>" * 5000) == PARAS[0]
+
+
+def test_html_empty_and_repeated(spark):
+    rows = [(1, "u", "<p>Twice, here.</p>", 1), (1, "u", "<p>Twice, here.</p>", 1), (None, None, None, 2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    assert sorted(r["text"] for r in html_main.op5_html_main(frame).collect()) == ["", "Twice, here.", "Twice, here."]
+    assert html_main.op5_html_main(frame.where("false")).count() == 0
