@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import os
+import shutil
+import uuid
+from urllib.parse import urlparse
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +46,49 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# ---- files that tasks map ------------------------------------------------------------
+
+
+def save(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Writes aside and renames, so that a task that runs again or twice does no harm."""
+    index, at = {}, 0
+    for k, v in arrays.items():
+        index[k] = (v.dtype.str, at, len(v))
+        at += (v.nbytes + 63) // 64 * 64
+    head = json.dumps(index).encode()
+    aside = f"{path}.{uuid.uuid4().hex}"
+    with open(aside, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head + bytes(-(8 + len(head)) % 64))
+        for v in arrays.values():
+            f.write(v.tobytes() + bytes(-v.nbytes % 64))
+    os.replace(aside, path)
+
+
+def load(path: str) -> dict[str, np.ndarray]:
+    whole = np.memmap(path, np.uint8, "r")
+    n = int(whole[:8].view(np.int64)[0])
+    start = (8 + n + 63) // 64 * 64
+    return {k: np.asarray(whole[start + at : start + at + size * np.dtype(kind).itemsize]).view(kind) for k, (kind, at, size) in json.loads(whole[8 : 8 + n].tobytes()).items()}
+
+
+def local_path(uri: str) -> str:
+    u = urlparse(uri)
+    if u.scheme not in ("", "file"):
+        raise ValueError(f"files are memory-mapped, so {uri} must be a shared folder that is mounted on all hosts")
+    return u.path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all hosts have mounted, for files that tasks write and map; it goes when the driver ends."""
+    folder = f"{local_path(shared_folder(spark))}/{name}-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+# ---- components ----------------------------------------------------------------------
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, comp), comp the least node of its component.
 

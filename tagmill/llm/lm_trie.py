@@ -19,18 +19,15 @@ every token is unknown; extra columns aren't read. Words are told apart by 64-bi
 
 from __future__ import annotations
 
-import json
 import os
-import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import _LETTERS, LOWER, mix, narrow, shared_folder, text_parts, word_hashes
+from tagmill.llm.common import _LETTERS, LOWER, load, mix, narrow, save, scratch, text_parts, word_hashes
 
 _U = np.uint64
 END = _U(0x51ED270B7A3C9D15)
@@ -131,38 +128,6 @@ def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.resize(book, 256).astype(np.float32)
 
 
-# ---- files --------------------------------------------------------------------------
-
-
-def save(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Writes aside and renames, so that a task that runs again or twice does no harm."""
-    index, at = {}, 0
-    for k, v in arrays.items():
-        index[k] = (v.dtype.str, at, len(v))
-        at += (v.nbytes + 63) // 64 * 64
-    head = json.dumps(index).encode()
-    aside = f"{path}.{uuid.uuid4().hex}"
-    with open(aside, "wb") as f:
-        f.write(len(head).to_bytes(8, "little") + head + bytes(-(8 + len(head)) % 64))
-        for v in arrays.values():
-            f.write(v.tobytes() + bytes(-v.nbytes % 64))
-    os.replace(aside, path)
-
-
-def load(path: str) -> dict[str, np.ndarray]:
-    whole = np.memmap(path, np.uint8, "r")
-    n = int(whole[:8].view(np.int64)[0])
-    start = (8 + n + 63) // 64 * 64
-    return {k: np.asarray(whole[start + at : start + at + size * np.dtype(kind).itemsize]).view(kind) for k, (kind, at, size) in json.loads(whole[8 : 8 + n].tobytes()).items()}
-
-
-def local_path(uri: str) -> str:
-    u = urlparse(uri)
-    if u.scheme not in ("", "file"):
-        raise ValueError(f"the trie is memory-mapped, so {uri} must be a shared folder that is mounted on all hosts")
-    return u.path
-
-
 # ---- counting -----------------------------------------------------------------------
 
 
@@ -430,8 +395,7 @@ def train(texts: DataFrame, least: int = 1, parts: int | None = None) -> Model:
     """The model of a column text, its files in the shared folder."""
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = f"{local_path(shared_folder(spark))}/trie-{uuid.uuid4().hex}"
-    os.makedirs(folder)
+    folder = scratch(spark, "trie")
     source = texts.select("text")
     words = source.mapInArrow(_count_words(parts), DEALT).repartition(parts, "part").mapInArrow(_build_words(folder), "part int, words long, tokens long").collect()
     size = {r["part"]: r["words"] for r in words}

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tagmill.llm import html_main, pii, quality_ordinal
+from tagmill.llm import html_main, pieces, pii, quality_ordinal
 
 rng = np.random.default_rng(8)
 
@@ -97,3 +97,24 @@ def test_html_empty_and_repeated(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
     assert sorted(r["text"] for r in html_main.op5_html_main(frame).collect()) == ["", "Twice, here.", "Twice, here."]
     assert html_main.op5_html_main(frame.where("false")).count() == 0
+
+
+def test_pieces_by_table(spark, monkeypatch):
+    """Few remembered, hashes that clash and chunks too long for the table give the library's ids and texts; a chunk is segmented once."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 20)
+    model = pieces.model_bytes()
+    whole = pieces.Pieces(model).whole
+    texts = [" ".join(rng.choice(["ab", "the", "Ünï", "x" * 400, "a▁b", "", "\n\n", "", "1234567"], 30).tolist()) for _ in range(60)] + ["", None, " ", "▁", "a" * 5000, "\x00", "</s>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in pieces.encoded(docs, model).collect()}
+    for k, t in enumerate(texts):
+        ids = whole.encode(t or "")
+        assert got[k] == (ids, whole.decode(ids))
+
+
+def test_pieces_hashes_that_clash(tmp_path, monkeypatch):
+    monkeypatch.setattr(pieces, "hashed", lambda c: 5 if c in ("a", "b", "c") else 7)
+    entries = [(1, c, c) for c in "abcd"]
+    pieces.write_part(f"{tmp_path}/chunks-0", list("abcd"), entries)
+    table = pieces.Table(str(tmp_path), 1, frozenset([0]))
+    assert table.look_up(["c", "d", "a", "e"]) == {"a": entries[0], "c": entries[2], "d": entries[3]}
