@@ -2,17 +2,18 @@
 
 Every window of LENGTH bytes picks its least gram, so equal windows pick equal grams at
 equal offsets, and windows that share one travel together as a block. Only blocks whose
-gram occurs again go on. Blocks with nothing but equal ones under their gram repeat as a
-whole; one of each of the others is brought to where its gram is, and there the windows
-are sorted as suffixes: prefix polynomial hashes and binary search give the common
-extension of two, a merge sort orders them with it, and neighbours that share LENGTH
-bytes repeat, which their bytes must confirm. Texts never meet as a whole, and what a
-task holds is bounded by its share of the blocks.
+gram occurs again go on. Blocks of one gram, one shape and one polynomial hash of all their
+bytes are copies, and repeat as a whole by that alone; of blocks that differ under a gram
+one of each is brought to where its gram is, and there the windows are sorted as
+suffixes: prefix polynomial hashes and binary search give the common extension of two, a
+merge sort orders them with it, and neighbours that share LENGTH bytes repeat, which their
+bytes must confirm. Texts never meet as a whole; a task holds the different blocks of one
+gram (some 400 bytes each) at least.
 
 Edge cases: a null text is an empty one; texts shorter than LENGTH keep all; repeated rows
-are repeats of each other; null ids and rows that share an id are told apart by their text;
-texts of any length are read whole, in overlapping pieces; empty tables give no rows; extra
-columns aren't read.
+are repeats of each other; null ids and rows that share an id are told apart by a 64-bit
+hash of their text; texts of any length are read whole, in overlapping pieces; empty tables
+give no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]
 
 
 #: first window << 16 | windows << 8 | offset of the gram.
-BLOCK = "gram long, block long, doc_id {}, tag int, place long"
+BLOCK = "gram long, block long, doc_id {}, tag long, place long"
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +289,8 @@ def repeats(texts: DataFrame) -> DataFrame:
     """texts (doc_id, tag, text) -> doc_id, tag, found: the windows that occur elsewhere, as blocks with bits (null: all)."""
     kind = texts.schema["doc_id"].dataType.simpleString()
     cut_up = texts.mapInArrow(_cut_blocks, BLOCK.format(kind))
-    again = cut_up.groupBy("gram").agg(F.count("*").alias("k"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("k > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike"))
+    # written out, so that the join shuffles both sides itself and a hot gram can be split
+    again = cut(cut_up.groupBy("gram").agg(F.count("*").alias("k"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("k > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")))
     some = cut(cut_up.join(again, "gram"))
     mixed = some.where("not alike")
     one = mixed.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "place")).alias("at"))
@@ -301,7 +303,7 @@ def repeats(texts: DataFrame) -> DataFrame:
 
 
 def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
-    texts = narrow(docs, "doc_id", "text").withColumn("tag", F.hash("text"))
+    texts = narrow(docs, "doc_id", "text").withColumn("tag", F.xxhash64("text"))
     found = repeats(texts)
     rows = texts.join(found, _same(texts, found), "left").select(texts["doc_id"], "text", "found")
     return rows.mapInArrow(_remove, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
