@@ -1,9 +1,10 @@
 """Exact top-k inner products by tiles.
 
-Queries are dealt into blocks and rows into shards, both of bounded size, and each pair
-of a block and a shard is one matrix product from which every query's best rows are
-partly selected. The lists of the shards merge as a tree: first within groups of shards,
-then those of the groups.
+The queries are written as blocks, files in the shared folder. A task takes its rows in
+shards, maps one block after the other, and makes a matrix product of block and shard,
+from which every query's best rows are partly selected; the lists of a task's shards
+merge within it, those of the tasks in groups, and those of the groups at last. Rows
+aren't shuffled, and a task holds its own rows, one tile and one block's lists.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor
 do null ids; rows with the query's own id aren't its candidates; repeated rows are as many
@@ -14,15 +15,20 @@ columns aren't read.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import load, save, scratch
+
 SCALE = 64
-#: Queries of a block and rows of a shard, on average.
+#: Queries of a block and rows of a shard.
 BLOCK, SHARD = 512, 4096
-#: Shards whose lists meet in the first merge.
+#: Tasks whose lists meet in the first merge.
 FAN = 16
 
 
@@ -33,17 +39,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)))
 
 
-def quantised(table: pa.Table, width: int) -> np.ndarray:
-    """floor(64 x) of each component, padded to width."""
-    lists = table.column("embedding").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    lengths = np.asarray(lists.value_lengths())
-    out = np.zeros((len(lists), width))
+def quantised(lists: pa.Array) -> np.ndarray:
+    """floor(64 x) of each component, padded to the widest."""
+    lengths = np.asarray(lists.value_lengths()).astype(np.int64)
+    out = np.zeros((len(lists), int(lengths.max(initial=0))))
     flat = np.floor(SCALE * np.asarray(lists.flatten(), np.float64))
     out[np.repeat(np.arange(len(lists)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
+def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = max(a.shape[1], b.shape[1])
+    return np.pad(a, ((0, 0), (0, width - a.shape[1]))), np.pad(b, ((0, 0), (0, width - b.shape[1])))
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products of rows: in doubles while every sum stays below 2 ** 53."""
     reach = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
@@ -53,46 +62,81 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(max(x, -(2**63)), 2**63 - 1) for x in row] for row in whole], np.int64).reshape(len(a), len(b))
 
 
-def _tile(k: int):
-    names = ["query_id", "part", "vec_id", "score"]
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        if left.num_rows and right.num_rows:
-            width = max(int(np.asarray(t.column("embedding").combine_chunks().value_lengths()).max()) for t in (left, right))
-            rows = right.sort_by("vec_id")
-            q_ids, ids = np.asarray(left.column("vec_id")), np.asarray(rows.column("vec_id"))
-            scores = products(quantised(left, width), quantised(rows, width))
-            for i, q in enumerate(q_ids.tolist()):
-                other = np.flatnonzero(ids != q)
-                own = scores[i, other]
-                if len(own) > k:
-                    least = np.partition(own, len(own) - k)[len(own) - k]
-                    above, ties = np.flatnonzero(own > least), np.flatnonzero(own == least)
-                    chosen = np.concatenate([above, ties[: k - len(above)]])  # ids rise, so the first ties have the smallest
-                    other, own = other[chosen], own[chosen]
-                out[0].append(np.full(len(own), q))
-                out[1].append(np.full(len(own), key[1].as_py() // FAN))
-                out[2].append(ids[other])
-                out[3].append(own)
-        return pa.table({n: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for n, x in zip(names, out, strict=True)})
+def best(place: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of candidates of queries (by place) the k best of each: score falling, id rising; in order of place."""
+    order = np.lexsort((ids, -scores.astype(np.float64) if scores.dtype.kind == "f" else ~scores, place))
+    place, ids, scores = place[order], ids[order], scores[order]
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+    rank = np.arange(len(place)) - np.repeat(starts, np.diff(np.append(starts, len(place))))
+    keep = rank < k
+    return place[keep], ids[keep], scores[keep]
+
+
+def tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """place of the query, id and score of the k best rows of each query of a block within a shard."""
+    scores = products(*same_width(q, rows))
+    own = q_ids[:, None] == ids[None, :]
+    scores[own] = np.iinfo(np.int64).min
+    most = min(len(ids), k + int(own.sum(1).max(initial=0)))
+    least = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most]
+    place, at = np.nonzero((scores >= least[:, None]) & ~own)
+    return best(place, ids[at], scores[place, at], k)
+
+
+def _write_blocks(folder: str):
+    """Queries -> the names of the files that hold them, BLOCK or less in each; a task that runs again writes others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _taken(batches, BLOCK):
+            name = f"{folder}/queries-{uuid.uuid4().hex}"
+            q = quantised(table.column("embedding").combine_chunks())
+            save(name, {"id": np.asarray(table.column("vec_id")).astype(np.int64), "shape": np.array(q.shape, np.int64), "q": q.ravel()})
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return run
+
+
+def _taken(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of size rows, the last one smaller."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, size - rows)
+            b = b.slice(part.num_rows)
+            held.append(part)
+            rows += part.num_rows
+            if rows == size:
+                yield pa.Table.from_batches(held)
+                held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _search(names: list[str], k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = [(np.asarray(t.column("vec_id")).astype(np.int64), quantised(t.column("embedding").combine_chunks())) for t in _taken(batches, SHARD)]
+        for name in names if shards else []:
+            a = load(name)
+            q_ids, q = a["id"], a["q"].reshape(a["shape"])
+            found = [tile(q_ids, q, ids, rows, k) for ids, rows in shards]
+            place, ids, scores = best(*[np.concatenate(x) for x in zip(*found, strict=True)], k)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[place]), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def top_products(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of each query."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    shards = max(1, -(-rows.count() // SHARD))
-    place = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(place(blocks).alias("block"), each(shards).alias("shard"), "vec_id", "embedding")
-    right = rows.select(each(blocks).alias("block"), place(shards).alias("shard"), "vec_id", "embedding")
-    lists = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_tile(k), "query_id long, part long, vec_id long, score long")
+    """query_id, rank, vec_id, score: the k best rows of each query; the lists of a query id that repeats are merged."""
+    folder = scratch(rows.sparkSession, "queries")
+    one = queries.select("vec_id", "embedding").mapInArrow(_write_blocks(folder), "name string")
+    names = sorted(r["name"] for r in one.collect())
+    lists = rows.select("vec_id", "embedding").mapInArrow(_search(names, k), "query_id long, vec_id long, score long")
     order: list[Column] = [F.desc("score"), F.asc("vec_id")]
-    some = lists.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(f"n <= {k}")
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(f"rank <= {k}")
-    return best.select("query_id", "rank", "vec_id", "score")
+    grouped = lists.withColumn("part", F.floor(F.spark_partition_id() / FAN))
+    some = grouped.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(f"n <= {k}")
+    out = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(f"rank <= {k}")
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:

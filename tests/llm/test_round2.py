@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tagmill.llm import html_main, pieces, pii, quality_ordinal
+from tagmill.llm import html_main, pieces, pii, quality_ordinal, topk
 
 rng = np.random.default_rng(8)
 
@@ -118,3 +118,14 @@ def test_pieces_hashes_that_clash(tmp_path, monkeypatch):
     pieces.write_part(f"{tmp_path}/chunks-0", list("abcd"), entries)
     table = pieces.Table(str(tmp_path), 1, frozenset([0]))
     assert table.look_up(["c", "d", "a", "e"]) == {"a": entries[0], "c": entries[2], "d": entries[3]}
+
+
+def test_topk_tiles():
+    """Ties at the edge of the list, repeated ids, widths that differ; every tile against a plain sort."""
+    for n in (1, 5, 40, 300):
+        ids = rng.integers(0, 50, n)
+        rows = rng.integers(-2, 3, (n, 4)).astype(float)
+        q_ids, q = rng.integers(0, 50, 7), rng.integers(-2, 3, (7, 3)).astype(float)
+        got = topk.tile(q_ids, q, ids, rows, 6)
+        want = [(i, k, -s) for i in range(7) for s, k in sorted((-float(q[i] @ rows[j, :3]), ids[j]) for j in range(n) if ids[j] != q_ids[i])[:6]]
+        assert list(zip(*[x.tolist() for x in got], strict=True)) == want
