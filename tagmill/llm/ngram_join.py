@@ -1,13 +1,16 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles.
 
-MinHash bands bring texts together, a star per bucket and connected components make
-groups of candidates, and within a group (large ones in tiles of blocks) pairs compare
-MinHash values a few at a time: a pair goes on only while the posterior probability that
-its similarity reaches the threshold is above a tolerance. What is left is verified on
-the exact shingle sets. A tile returns link counts and a spanning forest, never pairs, so
-the rows that move stay in proportion to the texts.
-
-Edge cases: a null text is an empty one; texts without words link to nothing and are
+MinHash bands bring texts together, and a star per bucket and connected components make
+groups of candidates. Groups of up to BANDS * BLOCK texts are compared whole, in tiles of
+blocks; beyond that, where template texts chain together, the buckets of the group are,
+each pair in the first bucket that it shares, so work follows the buckets and not the
+square of the group. Within a tile pairs compare MinHash values a few at a time: a pair
+goes on only while the posterior probability that its similarity reaches the threshold is
+above a tolerance. What is left is verified on the exact shingle sets. A tile returns link
+counts and a spanning forest, never pairs, so the rows that move stay in proportion to the
+texts.
+
+Edge cases: empty tables give no rows; texts of any length are read whole; a null text is an empty one; texts without words link to nothing and are
 their own class; a text of fewer words than a shingle has one shingle of all its words;
 exact copies are one text with a number of documents; repeated rows count as documents;
 null ids group by text like others, and a class of nothing else has a null id; extra
@@ -75,6 +78,17 @@ def fewest_equal(tolerance: float = TOLERANCE) -> list[int]:
 # ---- candidates ---------------------------------------------------------------------
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """The keys of the bands of signatures, a column for each band; keys of different bands differ."""
+    keys = np.empty((len(values), BANDS), np.uint64)
+    for k in range(BANDS):
+        h = np.full(len(values), k + 1, np.uint64)
+        for c in range(ROWS):
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + values[:, k * ROWS + c])
+        keys[:, k] = h
+    return keys
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         nodes = b.column("node")
@@ -83,13 +97,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = [i for i, s in enumerate(sets) if len(s)]
             if not some:
                 continue
-            values = signatures([sets[i] for i in some], BANDS * ROWS)
-            keys = np.empty((len(some), BANDS), np.uint64)
-            for k in range(BANDS):
-                h = np.full(len(some), k + 1, np.uint64)
-                for c in range(ROWS):
-                    h = mix(h * np.uint64(0xD6E8FEB86659FD93) + values[:, k * ROWS + c])
-                keys[:, k] = h
+            keys = band_keys(signatures([sets[i] for i in some], BANDS * ROWS))
             own = nodes.take(pa.array(np.repeat(np.array(some) + row, BANDS)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), own], names=["band", "node"])
 
@@ -98,9 +106,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return narrow(docs, "doc_id", "text").select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
 
 
-def candidate_groups(texts: DataFrame) -> DataFrame:
-    """texts (node, text) -> (node, comp) for those that share a bucket with another."""
-    rows = texts.select("node", "text").mapInArrow(_bands, "band long, node binary")
+def band_rows(texts: DataFrame) -> DataFrame:
+    """texts (node, text) -> (band, node), written out: a row for each band of a text; a text that repeats has its rows again."""
+    return cut(texts.select("node", "text").mapInArrow(_bands, "band long, node binary"))
+
+
+def candidate_groups(rows: DataFrame) -> DataFrame:
+    """rows (band, node) -> (node, comp) for those that share a bucket with another."""
     # written out, so that the join below shuffles both sides itself and its hot buckets can be split
     stars = cut(rows.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("band", "b"))
     edges = rows.join(stars, "band").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -110,13 +122,18 @@ def candidate_groups(texts: DataFrame) -> DataFrame:
 # ---- verification -------------------------------------------------------------------
 
 
-def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Which of left and right are alike; both may be the same places of sets, then each pair once."""
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, need: list[int], band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of left and right are alike; both may be the same places of sets, then each pair once; with a band's key only pairs that share no band before it."""
     same = left is right
     a_sig = signatures([sets[i] for i in left], VALUES)
     b_sig = a_sig if same else signatures([sets[i] for i in right], VALUES)
     equal = np.zeros((len(left), len(right)), np.int16)
     alive = np.triu(np.ones(equal.shape, bool), 1) if same else np.ones(equal.shape, bool)
+    if band is not None:
+        a_keys, b_keys = band_keys(a_sig), band_keys(b_sig)
+        own = int(np.flatnonzero(a_keys[0] == np.array(band, np.int64).view(np.uint64))[0])
+        for k in range(own):
+            alive &= a_keys[:, k, None] != b_keys[None, :, k]
     for step, least in enumerate(need):
         part = slice(step * STEP, (step + 1) * STEP)
         if alive.sum() * 8 > alive.size:
@@ -161,8 +178,9 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 81
 
 
 def _verify(frame: pd.DataFrame) -> pd.DataFrame:
-    """One tile or bin: (node, comp, side, n, text) -> node, links (documents) and a root."""
+    """One tile or bin: (node, comp, side, n, band, text) -> node, links (documents) and a root."""
     frame = frame.drop_duplicates(["node", "side"]).sort_values(["comp", "side", "node"])
+    band = None if pd.isna(frame["band"].iloc[0]) else int(frame["band"].iloc[0])
     need = fewest_equal()
     column = pa.array(frame["text"], pa.large_string())
     sets: list[np.ndarray] = []
@@ -186,7 +204,7 @@ def _verify(frame: pd.DataFrame) -> pd.DataFrame:
             halves = [(p, q) for i, p in enumerate(cuts) for q in cuts[i:]]
         for p, q in halves:
             if len(p) and len(q):
-                x, y = _linked(sets, p, q, need)
+                x, y = _linked(sets, p, q, need, band)
                 np.add.at(links, x, copies[y])
                 np.add.at(links, y, copies[x])
                 for i, j in zip(x.tolist(), y.tolist(), strict=True):
@@ -196,23 +214,39 @@ def _verify(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "links": links, "root": [nodes[top(i)] for i in range(len(sets))]})
 
 
+def _tiled(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, size, node, comp, n, band) of groups by key, as tiles (big, i, j, side): each row goes to the tiles of its block with every other."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return spread.select(F.col(key).cast("string").alias("big"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "comp", "n", "band")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """node, n, first_id, links (documents of other texts), comp (a node of the class) for every text with words that links to another; see classes()."""
     texts = _nodes(docs)
-    groups = candidate_groups(texts)
+    rows = band_rows(texts)
+    groups = candidate_groups(rows)
     sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
     copies = texts.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    members = groups.join(sizes, "comp").join(copies, "node")
+    # written out, so that joins by node or bucket shuffle both sides themselves and hot ones can be split
+    members = cut(groups.join(cut(sizes), "comp").join(copies, "node"))
+    some = members.select("size", "node", F.hex("comp").alias("comp"), "n", F.lit(None).cast("long").alias("band"))
+    bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // (4 * BLOCK)))
+    small = some.where(f"size <= {2 * BLOCK}").select(F.lit(None).cast("string").alias("big"), F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", "comp", "n", "band")
+    whole = _tiled(some.where(f"size between {2 * BLOCK + 1} and {BANDS * BLOCK}"), "comp")
+    out = small.unionByName(whole)
+    chained = members.where(f"size > {BANDS * BLOCK}").select("node", "n")
+    if not chained.isEmpty():
+        wide = cut(rows.join(chained, "node").distinct())
+        full = cut(wide.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))
+        out = out.unionByName(_tiled(wide.join(full, "band").withColumn("comp", F.col("band").cast("string")), "band"))
     # one row of each text: that of its least id (several, if rows repeat; dropped on arrival)
-    bodies = texts.select("node", F.col("doc_id").alias("own_id"), "text")
-    members = members.join(bodies, "node").where("own_id <=> first_id").drop("own_id", "first_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    small = members.where(f"size <= {2 * BLOCK}").select(F.lit(None).cast("binary").alias("big"), F.pmod(F.xxhash64("comp"), F.lit(4096)).cast("int").alias("i"), F.lit(-1).alias("j"), "node", "comp", F.lit(0).alias("side"), "n", "text")
-    large = members.where(f"size > {2 * BLOCK}").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = large.select(F.col("comp").alias("big"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "n", "text")
-    out = small.unionByName(tiles).groupBy("big", "i", "j").applyInPandas(_verify, "node binary, links long, root binary")
-    found = cut(out.where("links > 0"))
+    firsts = members.select("node", "first_id")
+    bodies = texts.select("node", F.col("doc_id").alias("own_id"), "text").join(firsts, "node").where("own_id <=> first_id").select("node", "text")
+    told = out.join(bodies, "node").groupBy("big", "i", "j").applyInPandas(_verify, "node binary, links long, root binary")
+    found = cut(told.where("links > 0"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node")
 
@@ -221,10 +255,10 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id (least id of the class), n_links (other documents at or above the threshold) for every row."""
     texts = _nodes(docs).select("doc_id", "node", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     copies = texts.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    linked = links(docs)
+    linked = cut(links(docs))
     first = linked.join(copies, "node").groupBy("comp").agg(F.min("first_id").alias("class_id"))
-    by_node = copies.join(linked.join(first, "comp").select("node", "links", "class_id"), "node", "left").select("node", "n", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return texts.join(by_node, "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("worded"), F.col("links") + F.col("n") - 1).otherwise(0).alias("n_links"))
+    by_node = copies.join(linked.join(cut(first), "comp").select("node", "links", "class_id"), "node", "left").select("node", "n", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return texts.join(cut(by_node), "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("worded"), F.col("links") + F.col("n") - 1).otherwise(0).alias("n_links"))
 
 
 def op8_ngram_join(docs: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tagmill.llm import html_main, pieces, pii, quality_ordinal, topk
+from tagmill.llm import html_main, ngram_join, pieces, pii, quality_ordinal, topk
 
 rng = np.random.default_rng(8)
 
@@ -129,3 +130,30 @@ def test_topk_tiles():
         got = topk.tile(q_ids, q, ids, rows, 6)
         want = [(i, k, -s) for i in range(7) for s, k in sorted((-float(q[i] @ rows[j, :3]), ids[j]) for j in range(n) if ids[j] != q_ids[i])[:6]]
         assert list(zip(*[x.tolist() for x in got], strict=True)) == want
+
+
+def near_texts(n: int) -> list[str]:
+    """Families of texts, each an edit of the family's first, at similarities around 0.8 and far below."""
+    words = np.array([f"w{k}" for k in range(5000)])
+    out = []
+    for _ in range(n // 20):
+        base = rng.choice(words, 120)
+        for k in range(20):
+            own = base.copy()
+            own[rng.integers(0, 120, k // 4)] = "changed"
+            out.append(" ".join(own[: 120 - 3 * (k % 5)]))
+    return out
+
+
+@pytest.mark.parametrize("by_bucket", [False, True])
+def test_ngram_recall(spark, monkeypatch, by_bucket):
+    """Every link of brute force, no other: whole groups, and, with groups taken for chained ones, bucket by bucket."""
+    texts = near_texts(400)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [[j for j in range(len(texts)) if j != i and 5 * len(a & sets[j]) >= 4 * len(a | sets[j])] for i, a in enumerate(sets)]
+    if by_bucket:
+        monkeypatch.setattr(ngram_join, "BLOCK", 0.2)  # groups of 5 and more go by their buckets; blocks stay whole in the workers
+        monkeypatch.setattr(ngram_join, "_tiled", lambda rows, key: rows.select(F.col(key).cast("string").alias("big"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "comp", "n", "band"))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.op8_ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: len(x) for i, x in enumerate(alike)}
+    assert sum(want.values()) > 1000 and got == want
