@@ -1,12 +1,14 @@
 """Queries and edge cases against plain code."""
 
+import collections
 import math
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.llm import html_main, ngram_join, pieces, pii, quality_ordinal, topk
+from tagmill.llm import html_main, lm_trie, mixing, ngram_join, pieces, pii, quality_ordinal, topk
 
 rng = np.random.default_rng(8)
 
@@ -157,3 +159,65 @@ def test_ngram_recall(spark, monkeypatch, by_bucket):
     got = {r["doc_id"]: r["n_links"] for r in ngram_join.op8_ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = {i: len(x) for i, x in enumerate(alike)}
     assert sum(want.values()) > 1000 and got == want
+
+
+def plain_rake(words, goals, rounds=60):
+    """Iterative proportional fitting over cells (source, lang, topic) -> words."""
+    w, total = dict.fromkeys(words, 1.0), sum(words.values())
+    for _ in range(rounds):
+        for d in range(3):
+            for v in {k[d] for k in words}:
+                have = sum(words[k] * w[k] for k in words if k[d] == v)
+                for k in words:
+                    if k[d] == v and have > 0:
+                        w[k] *= goals[d][v] * total / have
+    return w
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"s0": 0.6, None: 0.4}, "topic": {"prose": 1.0, "odd": 2.0, "nowhere": 3.0}}])
+def test_mixing_query(spark, targets):
+    """Words, weights, probabilities and draws against plain code, nulls in every column included; the topic is the markers' or an expression."""
+    words = ["License", "|", "a@b", "the", "a1", "of"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30), p=[0.02, 0.03, 0.03, 0.5, 0.3, 0.12]).tolist()) for _ in range(300)]
+    rows = [(None if k == 7 else k, None if k % 41 == 0 else t, [None, "en", "de"][k % 3], ["s0", "s1", None][k % 5 % 3]) for k, t in enumerate(texts)] + [(5, texts[5], "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    if targets:
+        asked = F.when(F.coalesce("doc_id", F.lit(0)) % 2 == 1, "odd").otherwise("prose")
+        topic = {i: "odd" if (r[0] or 0) % 2 else "prose" for i, r in enumerate(rows)}
+    else:
+        asked = None
+        topic = {i: next((k for k, x in (("licence", "icense"), ("table", " | "), ("contact", "@")) if x in (r[1] or "")), "prose") for i, r in enumerate(rows)}
+    cells: dict = {}
+    for i, r in enumerate(rows):
+        key = (r[3], r[2], topic[i])
+        cells[key] = cells.get(key, 0) + len((r[1] or "").split())
+    goals = []
+    for d, name in enumerate(mixing.DIMENSIONS):
+        own = {v: sum(n for k, n in cells.items() if k[d] == v) for v in {k[d] for k in cells}}
+        raised = {v: (targets[name].get(v, 0.0) if targets and name in targets else n ** mixing.POWERS[name]) if n else 0.0 for v, n in own.items()}
+        goals.append({v: x / sum(raised.values()) for v, x in raised.items()})
+    weight = plain_rake(cells, goals)
+    share = min(0.75, 1 / max(w for k, w in weight.items() if cells[k]))
+    got = mixing.op2_mixing(docs, targets=targets, topic=asked).collect()
+    assert len(got) == len(rows)
+    by = {(r["source"], r["lang"], r["topic"]): (r["weight"], r["probability"]) for r in got}
+    for k, (w, p) in by.items():
+        assert w == pytest.approx(weight[k], abs=1e-9) and p == pytest.approx(min(1.0, weight[k] * share), abs=1e-9)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["topic"]) for r in got) == sorted((str(r[0]), len((r[1] or "").split()), topic[i]) for i, r in enumerate(rows))
+    assert not any(r["drawn"] for r in got if r["probability"] == 0) and 0 < sum(r["drawn"] for r in got) < len(rows)
+
+
+def test_lm_score_of_plain_model(spark):
+    """score is the sum of log10 of the discounted pair plus what its context leaves to the word, up to quantisation."""
+    texts = [" ".join(rng.choice(["a", "b", "C", "d", "ee"], rng.integers(0, 12)).tolist()) for _ in range(60)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = [[*(t or "").lower().split(), "</s>"] for t in texts]
+    train = [t for k, t in enumerate(tokens) if zlib.crc32(str(k).encode()) % 5 != 1]
+    count = collections.Counter(w for t in train for w in t)
+    pairs = collections.Counter(p for t in train for p in zip(["</s>", *t], t, strict=False))
+    n, v = sum(count.values()), len(count)
+    left = {a: 1 - sum((c - 0.75) / count[a] for (x, _), c in pairs.items() if x == a) for a in count}
+    for r in lm_trie.op10_lm_trie(docs).collect():
+        t = tokens[r["doc_id"]]
+        want = sum(math.log10(max(pairs[a, b] - 0.75, 0) / count.get(a, 1) + left.get(a, 1.0) * (count[b] + 0.5) / (n + 0.5 * (v + 1))) for a, b in zip(["</s>", *t], t, strict=False))
+        assert r["score"] == pytest.approx(want, abs=0.002 * len(t))

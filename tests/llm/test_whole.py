@@ -22,7 +22,7 @@ def test_lm_keeps_pairs_seen_once(spark):
 def test_mixing_meets_targets(spark):
     words = {("big", "en"): 3000, ("big", "de"): 900, ("mid", "en"): 1500, ("mid", "de"): 600, ("small", "en"): 9, ("small", "de"): 3}
     docs = spark.createDataFrame([(k, "w " * n, lang, source) for k, ((source, lang), n) in enumerate(words.items())], "doc_id long, text string, lang string, source string")
-    table = mixing.probabilities(docs, 0.75, mixing.POWERS)
+    table = mixing.probabilities(docs.withColumn("topic", mixing.markers()), 0.75, mixing.POWERS)
     assert 0 < table.agg({"probability": "max"}).first()[0] <= 1
     got = mixing.residuals(table, mixing.POWERS).collect()
     assert len(got) == 6 and all(abs(r["target"] - r["reached"]) < 1e-9 for r in got)
