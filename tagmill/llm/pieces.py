@@ -82,14 +82,28 @@ def joined(entries: list[Entry]) -> Entry:
 
 
 def _strings(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum([0, *map(len, values)]), np.frombuffer(b"".join(values) or b"\0", np.uint8)
+    ends = np.cumsum([0, *map(len, values)])
+    return ends.astype(np.uint32 if ends[-1] < 2**32 else np.int64), np.frombuffer(b"".join(values) or b"\0", np.uint8)
+
+
+def plain(chunk: str) -> str:
+    """What a chunk decodes to as a rule."""
+    return chunk.replace(MARK, " ")
 
 
 def write_part(path: str, chunks: list[str], entries: list[Entry]) -> None:
-    """One part as a file, sorted by hash; a chunk is kept along to tell those of one hash apart."""
-    order = sorted(range(len(chunks)), key=lambda i: hashed(chunks[i]))
-    arrays = {"hash": np.array([hashed(chunks[i]) for i in order], np.uint64), "n": np.array([entries[i][0] for i in order], np.int32)}
-    columns = {"chunk": [chunks[i] for i in order], "ids": [entries[i][1] for i in order], "text": [entries[i][2] for i in order]}
+    """One part as a file, sorted by hash, with the chunks to tell those of one hash apart; decoded texts are kept where they aren't plain."""
+    hashes = np.array([hashed(c) for c in chunks], np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    arrays = {"hash": hashes[order]}
+    ids = [[int(x) for x in entries[i][1].split(",")] if entries[i][1] else [] for i in order.tolist()]
+    flat = np.array([x for row in ids for x in row], np.int64)
+    arrays["ids"] = flat.astype(np.uint16 if flat.max(initial=0) < 2**16 else np.int32)
+    ends = np.cumsum([0, *map(len, ids)])
+    arrays["ids_at"] = ends.astype(np.uint32 if ends[-1] < 2**32 else np.int64)
+    odd = [k for k, i in enumerate(order.tolist()) if entries[i][2] != plain(chunks[i])]
+    arrays["odd"] = np.array(odd, np.int64)
+    columns = {"chunk": [chunks[i] for i in order.tolist()], "text": [entries[order[k]][2] for k in odd]}
     for name, values in columns.items():
         arrays[f"{name}_at"], arrays[name] = _strings([v.encode("utf-8", "surrogatepass") for v in values])
     save(path, arrays)
@@ -118,11 +132,17 @@ class Table:
             for i, k in zip(own.tolist(), first.tolist(), strict=True):
                 while k < len(a["hash"]) and a["hash"][k] == hashes[i]:
                     if self._text(a, "chunk", k) == chunks[i]:
-                        out[chunks[i]] = int(a["n"][k]), self._text(a, "ids", k), self._text(a, "text", k)
+                        out[chunks[i]] = self._entry(a, k, chunks[i])
                         break
                     k += 1
         return out
 
+    def _entry(self, a: dict[str, np.ndarray], k: int, chunk: str) -> Entry:
+        ids = a["ids"][a["ids_at"][k] : a["ids_at"][k + 1]].tolist()
+        at = int(np.searchsorted(a["odd"], k))
+        odd = at < len(a["odd"]) and a["odd"][at] == k
+        return len(ids), ",".join(map(str, ids)), self._text(a, "text", at) if odd else plain(chunk)
+
     @staticmethod
     def _text(a: dict[str, np.ndarray], name: str, k: int) -> str:
         at = a[f"{name}_at"]
