@@ -114,39 +114,47 @@ class Table:
 
     def __init__(self, folder: str, parts: int, have: frozenset[int]) -> None:
         self.folder, self.parts, self.have = folder, parts, have
-        self.open: dict[int, dict[str, np.ndarray]] = {}
+        self.open: dict[int, Part] = {}
 
     def look_up(self, chunks: list[str]) -> dict[str, Entry]:
         """The entries of those chunks that the table holds."""
         out: dict[str, Entry] = {}
         hashes = np.array([hashed(c) for c in chunks], np.uint64)
         part = (hashes % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.unique(part).tolist():
-            if p not in self.have:
-                continue
-            if p not in self.open:
-                self.open[p] = load(f"{self.folder}/chunks-{p}")
-            a = self.open[p]
-            own = np.flatnonzero(part == p)
-            first = np.searchsorted(a["hash"], hashes[own])
-            for i, k in zip(own.tolist(), first.tolist(), strict=True):
-                while k < len(a["hash"]) and a["hash"][k] == hashes[i]:
-                    if self._text(a, "chunk", k) == chunks[i]:
-                        out[chunks[i]] = self._entry(a, k, chunks[i])
-                        break
-                    k += 1
+            if p in self.have:
+                if p not in self.open:
+                    self.open[p] = Part(load(f"{self.folder}/chunks-{p}"))
+                own = order[edges[p] : edges[p + 1]]
+                self.open[p].look_up([chunks[i] for i in own.tolist()], hashes[own], out)
         return out
 
-    def _entry(self, a: dict[str, np.ndarray], k: int, chunk: str) -> Entry:
-        ids = a["ids"][a["ids_at"][k] : a["ids_at"][k + 1]].tolist()
-        at = int(np.searchsorted(a["odd"], k))
-        odd = at < len(a["odd"]) and a["odd"][at] == k
-        return len(ids), ",".join(map(str, ids)), self._text(a, "text", at) if odd else plain(chunk)
 
-    @staticmethod
-    def _text(a: dict[str, np.ndarray], name: str, k: int) -> str:
-        at = a[f"{name}_at"]
-        return a[name][at[k] : at[k + 1]].tobytes().decode("utf-8", "surrogatepass")
+class Part:
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.hash, self.chunk_at, self.ids_at, self.ids = (arrays[k] for k in ("hash", "chunk_at", "ids_at", "ids"))
+        self.chunk = memoryview(arrays["chunk"])
+        ends = arrays["text_at"].tolist()
+        self.odd = {k: arrays["text"][a:b].tobytes().decode("utf-8", "surrogatepass") for k, a, b in zip(arrays["odd"].tolist(), ends[:-1], ends[1:], strict=True)}
+
+    def look_up(self, chunks: list[str], hashes: np.ndarray, out: dict[str, Entry]) -> None:
+        first = np.searchsorted(self.hash, hashes)
+        some = np.flatnonzero((first < len(self.hash)) & (self.hash[np.minimum(first, len(self.hash) - 1)] == hashes))
+        at = first[some]
+        cells = [x.tolist() for x in (some, at, self.chunk_at[at], self.chunk_at[at + 1], self.ids_at[at], self.ids_at[at + 1])]
+        for i, k, a, b, c, d in zip(*cells, strict=True):
+            chunk = chunks[i]
+            own = chunk.encode("utf-8", "surrogatepass")
+            while self.chunk[a:b] != own:  # another chunk of that hash
+                k += 1
+                if k == len(self.hash) or self.hash[k] != hashes[i]:
+                    break
+                a, b, c, d = (int(x) for x in (self.chunk_at[k], self.chunk_at[k + 1], self.ids_at[k], self.ids_at[k + 1]))
+            else:
+                ids = self.ids[c:d].tolist()
+                out[chunk] = len(ids), ",".join(map(str, ids)), self.odd[k] if k in self.odd else plain(chunk)
 
 
 def _gather(parts: int):

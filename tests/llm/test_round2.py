@@ -117,7 +117,7 @@ def test_pieces_by_table(spark, monkeypatch):
 
 def test_pieces_hashes_that_clash(tmp_path, monkeypatch):
     monkeypatch.setattr(pieces, "hashed", lambda c: 5 if c in ("a", "b", "c") else 7)
-    entries = [(1, c, c) for c in "abcd"]
+    entries = [(2, f"{k},70", c if k % 2 else f"{c}?") for k, c in enumerate("abcd")]
     pieces.write_part(f"{tmp_path}/chunks-0", list("abcd"), entries)
     table = pieces.Table(str(tmp_path), 1, frozenset([0]))
     assert table.look_up(["c", "d", "a", "e"]) == {"a": entries[0], "c": entries[2], "d": entries[3]}
