@@ -50,3 +50,27 @@ def direction(a: Rect, b: Rect) -> Column:
     """Where b lies from a, along the longer way; as long both ways counts as vertical."""
     dx, dy = centre(b)[0] - centre(a)[0], centre(b)[1] - centre(a)[1]
     return F.when(F.abs(dx) > F.abs(dy), F.when(dx > 0, "LR").otherwise("RL")).otherwise(F.when(dy > 0, "TB").otherwise("BT"))
+
+
+def intersection(a: Rect, b: Rect) -> Column:
+    """Array of the four sides of what both cover; zeros if that is nothing."""
+    sides = F.array(F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3]))
+    empty = (F.greatest(a[0], b[0]) >= F.least(a[2], b[2])) | (F.greatest(a[1], b[1]) >= F.least(a[3], b[3]))
+    return F.when(empty, F.array(*[F.lit(0.0)] * 4)).otherwise(sides)
+
+
+def aligned(a: Rect, b: Rect, axis: int, threshold: float = 3.0) -> Column:
+    """Whether centres lie within threshold on an axis: 1 (height) for boxes beside each other, 0 for boxes below each other."""
+    return F.abs((a[axis] + a[axis + 2]) / 2 - (b[axis] + b[axis + 2]) / 2) <= threshold
+
+
+def normalised(a: Rect, width: Column, height: Column) -> list[Column]:
+    """The sides as shares of the page."""
+    return [a[0] / width, a[1] / height, a[2] / width, a[3] / height]
+
+
+def is_background(a: Rect, width: Column, height: Column) -> Column:
+    """Whether a picture covers over 0.8 of its page, or over 0.1 with its centre near the page's."""
+    cover = area(a) / (width * height)
+    near = (F.abs((a[0] + a[2]) / 2 - width / 2) < 0.2 * width) & (F.abs((a[1] + a[3]) / 2 - height / 2) < 0.2 * height)
+    return (cover > 0.8) | (near & (cover > 0.1))

@@ -27,10 +27,24 @@ def write_issues(issues: DataFrame, path: str, form: str) -> None:
 
 
 def structure_xml(nodes: DataFrame) -> DataFrame:
-    """One row per document: its elements in order as indented opening tags. nodes: doc_id, node_id in preorder, depth, type."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("<"), F.col("type"), F.lit(">"))
-    parts = F.sort_array(F.collect_list(F.struct("node_id", line.alias("line"))))
-    return nodes.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("xml"))
+    """One row per document: its tree as indented lines, as elements with their attributes and text, in reading order.
+
+    nodes: doc_id, path (the places from the root down), type, text, alt, scope, lang. A
+    document is one string, so it must fit a row.
+    """
+    pad = F.repeat(F.lit("  "), F.size("path") - 1)
+    line = lambda order, words: F.struct(order.alias("at"), words.alias("line"))
+    inner = lambda k: F.concat("path", F.array(F.lit(k).cast("long")))
+    attribute = lambda k, name: F.when(F.coalesce(F.col(name), F.lit("")) != "", line(inner(k), F.concat(pad, F.lit(f"  <attr name='{name}' value='"), F.col(name), F.lit("' />"))))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    own = F.array(
+        line(F.col("path"), F.concat(pad, F.lit("<"), "type", F.lit(">"))),
+        *[attribute(-4 + k, name) for k, name in enumerate(("alt", "scope", "lang"))],
+        F.when(text != "", line(inner(-1), F.concat(pad, F.lit("  <text>"), text, F.lit("</text>")))),
+        line(inner(2**62), F.concat(pad, F.lit("</"), "type", F.lit(">"))),
+    )
+    lines = nodes.select("doc_id", F.explode(F.array_compact(own)).alias("x"))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("xml"))
 
 
 def patches(before: DataFrame, after: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

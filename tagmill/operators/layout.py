@@ -176,3 +176,22 @@ def grown_blocks(boxes: DataFrame, gap: float) -> DataFrame:
 
     whole = boxes.repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0", "elem_id")
     return whole.select(*PAGE, "elem_id", "x0", "y0", "x1", "y1").mapInPandas(run, "doc_id long, page long, elem_id long, block long")
+
+
+def line_tolerance(boxes: DataFrame) -> DataFrame:
+    """doc_id, page, tolerance: two thirds of the mean height of the texts (boxes with kind), 3 at least, 10 without any."""
+    height = F.when((F.col("kind") == "text") & (F.col("y1") > F.col("y0")), F.col("y1") - F.col("y0"))
+    return boxes.groupBy(*PAGE).agg(F.coalesce(F.greatest(F.lit(3.0), F.avg(height) * 0.67), F.lit(10.0)).alias("tolerance"))
+
+
+def detected_columns(boxes: DataFrame, gap: float = 20.0) -> DataFrame:
+    """doc_id, page, low, high of the columns of texts: left margins fold into groups, a column runs to the widest box that begins near its mean.
+
+    With one group, or no column wider than gap, the texts' whole width is the one column.
+    """
+    marks = anchored_clusters(boxes, PAGE, "x0", gap).select(*PAGE, "cluster", F.col("mean").alias("low"))
+    near = boxes.join(marks, PAGE).where(F.abs(F.col("x0") - F.col("low")) < gap).groupBy(*PAGE, "cluster", "low").agg(F.max("x1").alias("high")).where(F.col("high") - F.col("low") > gap)
+    many = marks.groupBy(*PAGE).agg(F.count("*").alias("n")).where("n > 1")
+    found = near.join(many, PAGE, "left_semi").select(*PAGE, "low", "high")
+    whole = boxes.groupBy(*PAGE).agg(F.min("x0").alias("low"), F.max("x1").alias("high")).join(found, PAGE, "left_anti")
+    return found.unionByName(whole)

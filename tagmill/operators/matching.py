@@ -43,3 +43,35 @@ def alt_texts(images: DataFrame, least: float = 0.6) -> DataFrame:
     source = F.when(good, "ocr").when(name != "", "filename").otherwise("default")
     attribute = F.when(good & F.coalesce("text_image", F.lit(False)), "ActualText").otherwise("Alt")
     return told.withColumn("source", source).withColumn("attribute", attribute).withColumn("chosen", F.when(good, F.col("text")).when(name != "", words).otherwise("Imagen sin descripción disponible")).drop("q")
+
+
+#: What fields are called that have no name.
+FIELD_LABELS = {"Tx": "Campo de texto", "checkbox": "Casilla de verificación", "radio": "Botón de opción", "pushbutton": "Botón", "Ch": "Lista de selección", "Sig": "Campo de firma"}
+#: What kinds of annotations are called.
+ANNOTATION_LABELS = {"Text": "Nota de texto", "FreeText": "Texto libre", "Line": "Línea", "Square": "Rectángulo", "Circle": "Círculo", "Polygon": "Polígono", "PolyLine": "Línea poligonal", "Highlight": "Texto resaltado", "Underline": "Texto subrayado", "Squiggly": "Texto con subrayado ondulado", "StrikeOut": "Texto tachado", "Stamp": "Sello", "Caret": "Marca de inserción", "Ink": "Dibujo a mano", "FileAttachment": "Archivo adjunto", "Sound": "Sonido", "Movie": "Vídeo", "Screen": "Pantalla", "3D": "Objeto 3D", "Redact": "Redacción", "Popup": "Ventana emergente", "RichMedia": "Contenido multimedia"}
+
+
+def tooltips(fields: DataFrame) -> DataFrame:
+    """fields (field_id, name, type, flags, tu) with the tooltip to set: its own, if it has one that isn't the name, else the readable name, else the kind's."""
+    button = F.when(F.col("flags").bitwiseAND(65536) != 0, "pushbutton").when(F.col("flags").bitwiseAND(32768) != 0, "radio").otherwise("checkbox")
+    label = F.create_map(*[F.lit(x) for kv in FIELD_LABELS.items() for x in kv])[F.when(F.col("type") == "Btn", button).otherwise(F.col("type"))]
+    own, name = F.coalesce("tu", F.lit("")), F.coalesce("name", F.lit(""))
+    made = F.when(name != "", t.readable_field_name(name)).otherwise(F.coalesce(label, F.lit("Campo de formulario")))
+    return fields.withColumn("tooltip", F.when((own != "") & (own != name), own).otherwise(made))
+
+
+def link_problems(annotations: DataFrame, elements: DataFrame) -> DataFrame:
+    """annotations (doc_id, annot_id, contents) of links against elements (doc_id, annot_id, has_objr, alt): doc_id, annot_id, problem."""
+    one = annotations.join(elements.withColumn("found", F.lit(True)), ["doc_id", "annot_id"], "left")
+    there = F.col("found").isNotNull()
+    empty = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
+    found = F.array(F.when(~there, "missing structure"), F.when(there & ~F.coalesce("has_objr", F.lit(False)), "missing object reference"), F.when(there & empty("alt"), "missing description"), F.when(empty("contents"), "missing contents"))
+    return one.select("doc_id", "annot_id", F.explode(F.array_compact(found)).alias("problem"))
+
+
+def undescribed(annotations: DataFrame) -> DataFrame:
+    """annotations (doc_id, annot_id, subtype, contents, alt, destination) other than widgets without contents and description, with one to set."""
+    bare = annotations.where("subtype <> 'Widget' and coalesce(contents, '') = '' and coalesce(alt, '') = ''")
+    label = F.coalesce(F.create_map(*[F.lit(x) for kv in ANNOTATION_LABELS.items() for x in kv])[F.col("subtype")], F.concat(F.lit("Anotación de tipo "), "subtype"))
+    linked = (F.col("subtype") == "Link") & (F.coalesce("destination", F.lit("")) != "")
+    return bare.select("doc_id", "annot_id", F.when(linked, F.concat(F.lit("Enlace a "), "destination")).otherwise(label).alias("description"))

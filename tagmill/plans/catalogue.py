@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import colour as c
 from tagmill.functions import geometry as g
 from tagmill.functions import text as t
-from tagmill.operators import conformance, export, issues, layout, lists, matching, metadata, tables, tree
+from tagmill.operators import conformance, editing, export, issues, layout, lists, matching, metadata, repairs, tables, tree
 from tagmill.plans import fixtures as fx
 from tagmill.plans import sql_values as v
 from tagmill.plans.fixtures import frame
@@ -207,6 +207,38 @@ ORACLES["unstructured_widgets"] = f"select field_id, name, type from ({fx.FIELDS
 over(fx.FIELDS, "readable_field_name", f"select field_id, {v.READABLE} as readable from {{s}} x")(lambda f: f.select("field_id", t.readable_field_name(F.col("name")).alias("readable")))
 over(fx.FIELDS, "field_flags", "select field_id, case when type = 'Btn' then case when flags & 65536 <> 0 then 'push button' when flags & 32768 <> 0 then 'radio button' else 'check box' end when type = 'Ch' then 'choice' when type = 'Sig' then 'signature' else 'text field' end as kind, case when type = 'Tx' then flags | 4096 else flags end as multiline_flags from {s} x")(lambda f: matching.described_fields(f).select("field_id", "kind", "multiline_flags"))
 
+# ---- editing and repairs -------------------------------------------------------------
+
+over(fx.NODES, "sibling_moves", "select doc_id, parent_id, node_id, cast(row_number() over w - 1 as integer) as place, lag(node_id) over w as up, lead(node_id) over w as down from {s} x where parent_id is not null window w as (partition by doc_id, parent_id order by sib, node_id)")(editing.places)
+over(fx.NODES, "element_additions", "with n as (select * from {s} x), k as (select doc_id, parent_id, count(*) as kids from n where parent_id is not null group by all) select n.doc_id, n.node_id as parent_id, 'P' as type, n.sib % 6 - 1 as position, case when n.sib % 6 - 1 < 0 or n.sib % 6 - 1 >= coalesce(kids, 0) then coalesce(kids, 0) else n.sib % 6 - 1 end as place from n left join k on k.doc_id = n.doc_id and k.parent_id = n.node_id")(lambda n: editing.additions(n, n.select("doc_id", F.col("node_id").alias("parent_id"), F.lit("P").alias("type"), (F.col("sib") % 6 - 1).alias("position"))))
+over(fx.EDITS, "edit_versions", "with e as (select * from {s} x where version <= 3), l as (select *, lag(value) over w as before, max(version) over (partition by doc_id, node_id, column_name) as last from e window w as (partition by doc_id, node_id, column_name order by version)) select doc_id, node_id, column_name as \"column\", version, before, nullif(value, '') as value from l where version = last")(lambda e: editing.values_at(e.withColumnRenamed("column_name", "column"), 3))
+over(fx.NODES, "empty_elements", "with n as (select * from {s} x) select doc_id, node_id, type from n where trim(text) = '' and trim(alt) = '' and parent_id is not null and type not in ('Figure', 'Table', 'L', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6') and not exists (select 1 from n k where k.doc_id = n.doc_id and k.parent_id = n.node_id)")(lambda n: editing.meaningless(n).select("doc_id", "node_id", "type"))
+over(fx.LOOKS, "tag_looks", f"{v.LOOKS} select doc_id, node_id, like_heading, like_figure, like_item, like_label, like_row, like_list, like_table from f")(lambda n: repairs.looks(n).select("doc_id", "node_id", "like_heading", "like_figure", "like_item", "like_label", "like_row", "like_list", "like_table"))
+over(fx.LOOKS, "tag_repair", f"{v.LOOKS}, {v.FITTING} select doc_id, node_id, type, fitting, child_type from g")(repairs.fitting_types)
+_SAID = "(select string_agg(trim(k.text), ' ' order by k.sib, k.node_id) from n k where k.doc_id = n.doc_id and k.parent_id = n.node_id and trim(k.text) <> '')"
+over(fx.LOOKS, "required_attributes", f"with n as (select * from {{s}} x), m as (select doc_id, node_id, trim(text) as own, {_SAID} as said from n where type = 'Figure' and alt = '') select doc_id, node_id, 'alt' as attribute, case when own <> '' then concat('Imagen: ', own) when said <> '' then concat('Imagen: ', case when length(said) > 100 then concat(left(said, 97), '...') else said end) else concat('Imagen (ID: ', node_id, ')') end as value from m union all select doc_id, node_id, 'scope', 'Column' from n where type = 'TH' and scope = ''")(repairs.required_attributes)
+_BESIDE = "with s as (select *, lead(elem_id) over w as b_id, lead(x0) over w as bx0, lead(y0) over w as by0, lead(x1) over w as bx1, lead(y1) over w as by1 from {s} x window w as (partition by doc_id, page order by elem_id)) select doc_id, elem_id, b_id, abs((y0 + y1) / 2 - (by0 + by1) / 2) <= 3 as beside, abs((x0 + x1) / 2 - (bx0 + bx1) / 2) <= 3 as below, case when greatest(x0, bx0) >= least(x1, bx1) or greatest(y0, by0) >= least(y1, by1) then 0 else greatest(x0, bx0) end as left_side, case when greatest(x0, bx0) >= least(x1, bx1) or greatest(y0, by0) >= least(y1, by1) then 0 else least(y1, by1) end as bottom from s where b_id is not null"
+
+
+def _beside(b: DataFrame) -> DataFrame:
+    w = Window.partitionBy("doc_id", "page").orderBy("elem_id")
+    one = b.withColumns({f"b_{n}": F.lead(n).over(w) for n in ("elem_id", "x0", "y0", "x1", "y1")}).where("b_elem_id is not null")
+    both = g.rect(), g.rect("b_")
+    return one.select("doc_id", "elem_id", F.col("b_elem_id").alias("b_id"), g.aligned(*both, 1).alias("beside"), g.aligned(*both, 0).alias("below"), g.intersection(*both)[0].alias("left_side"), g.intersection(*both)[3].alias("bottom"))
+
+
+over(fx.BOXES, "bbox_alignment", _BESIDE)(_beside)
+over(fx.BOXES, "bbox_normalised", "select doc_id, elem_id, round(x0 / 120, 9) as x0, round(y0 / 60, 9) as y0, round(x1 / 120, 9) as x1, round(y1 / 60, 9) as y1, (x1 - x0) * (y1 - y0) / 7200 > 0.8 or ((x1 - x0) * (y1 - y0) / 7200 > 0.1 and abs((x0 + x1) / 2 - 60) < 24 and abs((y0 + y1) / 2 - 30) < 12) as background from {s} x")(lambda b: b.select("doc_id", "elem_id", *[F.round(x, 9).alias(n) for x, n in zip(g.normalised(g.rect(), F.lit(120.0), F.lit(60.0)), ("x0", "y0", "x1", "y1"), strict=True)], g.is_background(g.rect(), F.lit(120.0), F.lit(60.0)).alias("background")))
+over(fx.SWATCHES, "line_tolerance", "select doc_id, page, round(coalesce(greatest(3, avg(y1 - y0) filter (where kind = 'text' and y1 > y0) * 0.67), 10), 6) as tolerance from {s} x group by doc_id, page")(lambda b: layout.line_tolerance(b).withColumn("tolerance", F.round("tolerance", 6)))
+over(fx.BOXES, "detected_columns", "with recursive s as (select * from {s} x), v as (select doc_id, page, x0, row_number() over (partition by doc_id, page order by x0, elem_id) as i from s), t as (select doc_id, page, x0, i, x0 as anchor, 0 as cluster from v where i = 1 union all select v.doc_id, v.page, v.x0, v.i, case when v.x0 - t.anchor < 20 then t.anchor else v.x0 end, case when v.x0 - t.anchor < 20 then t.cluster else t.cluster + 1 end from t join v on v.doc_id = t.doc_id and v.page = t.page and v.i = t.i + 1), m as (select doc_id, page, cluster, avg(x0) as low, count(*) over (partition by doc_id, page) as n from t group by doc_id, page, cluster), f as (select m.doc_id, m.page, m.cluster, m.low, max(s.x1) as high from m join s on s.doc_id = m.doc_id and s.page = m.page and abs(s.x0 - m.low) < 20 where n > 1 group by all having max(s.x1) - m.low > 20) select doc_id, page, round(low, 6) as low, high from f union all select doc_id, page, round(min(x0), 6), max(x1) from s where (doc_id, page) not in (select (doc_id, page) from f) group by doc_id, page")(lambda b: layout.detected_columns(b).withColumn("low", F.round("low", 6)))
+QUERIES["link_issues"] = lambda s, d: matching.link_problems(frame(s, d, fx.ANNOTATIONS).where("subtype = 'Link'").drop("alt"), frame(s, d, fx.LINKS))
+ORACLES["link_issues"] = f"with j as (select a.doc_id, a.annot_id, a.contents, e.annot_id is not null as found, has_objr, e.alt from ({fx.ANNOTATIONS}) a left join ({fx.LINKS}) e on e.doc_id = a.doc_id and e.annot_id = a.annot_id where a.subtype = 'Link') select doc_id, annot_id, 'missing structure' as problem from j where not found union all select doc_id, annot_id, 'missing object reference' from j where found and not has_objr union all select doc_id, annot_id, 'missing description' from j where found and alt = '' union all select doc_id, annot_id, 'missing contents' from j where contents = ''"
+over(fx.ANNOTATIONS, "annotation_descriptions", "select doc_id, annot_id, case when subtype = 'Link' and tu <> '' then concat('Enlace a ', tu) when subtype = 'Text' then 'Nota de texto' else concat('Anotación de tipo ', subtype) end as description from {s} x where subtype <> 'Widget' and contents = '' and alt = ''")(lambda a: matching.undescribed(a.withColumnRenamed("tu", "destination")))
+_TIPS = f"select field_id, case when field_id % 3 = 0 then '' else name end as name, type, flags, case field_id % 4 when 0 then 'A tip' when 1 then name else '' end as tu from ({fx.FIELDS}) f"
+over(_TIPS, "field_tooltips", f"select field_id, case when tu <> '' and tu <> name then tu when name <> '' then {v.READABLE} else case type when 'Tx' then 'Campo de texto' when 'Ch' then 'Lista de selección' when 'Sig' then 'Campo de firma' else case when flags & 65536 <> 0 then 'Botón' when flags & 32768 <> 0 then 'Botón de opción' else 'Casilla de verificación' end end end as tooltip from ({_TIPS}) x")(lambda f: matching.tooltips(f).select("field_id", "tooltip"))
+over(fx.COLOURS, "contrast_aaa", f"select doc_id, {K}, {_R} >= case when size >= 18 or (bold and size >= 14) then 4.5 else 7.0 end as enough from {{s}} x")(lambda x: x.select("doc_id", *fx.ORDER, (c.contrast_ratio(_rgb("r", "g", "b"), _rgb("br", "bg", "bb")) >= c.required_ratio(F.col("size"), F.col("bold"), "AAA")).alias("enough")))
+over(fx.COLOURS, "accessible_colors")(lambda x: x.withColumn("need", c.required_ratio(F.col("size"), F.col("bold"))).where(c.contrast_ratio(_rgb("r", "g", "b"), _rgb("br", "bg", "bb")) < F.col("need")).select("doc_id", *fx.ORDER, *"r g b br bg bb need".split(), F.get(c.accessible_pairs(_rgb("r", "g", "b"), _rgb("br", "bg", "bb"), F.col("need")), F.lit(0)).alias("x")).select("doc_id", *fx.ORDER, *"r g b br bg bb need".split(), "x.text", "x.ground", F.round("x.ratio", 6).alias("ratio")))
+
 # ---- issues --------------------------------------------------------------------------
 
 
@@ -281,7 +313,9 @@ of_bag("checkpoint_info", f"select checkpoint, count(*) as total, checkpoint in
 # ---- files ---------------------------------------------------------------------------
 
 of_bag("json_roundtrip", "select doc_id, checkpoint, severity, description, fixable, page from {s} x")(lambda i: export.from_json(export.to_json(i)))
-over(fx.NODES, "structure_xml")(lambda n: export.structure_xml(n.join(tree.depths(n), ["doc_id", "node_id"])))
+_TREE = "recursive n as (select * from {s} x), t as (select doc_id, node_id, [sib] as path from n where parent_id is null union all select n.doc_id, n.node_id, list_append(t.path, n.sib) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id), p as (select n.*, t.path, repeat('  ', len(t.path) - 1) as pad from n join t on t.doc_id = n.doc_id and t.node_id = n.node_id)"
+_ATTRS = " union all ".join(f"select doc_id, list_append(path, cast({-4 + k} as bigint)), concat(pad, '  <attr name=', chr(39), '{a}', chr(39), ' value=', chr(39), {a}, chr(39), ' />') from p where {a} <> ''" for k, a in enumerate(("alt", "scope", "lang")))
+over(fx.NODES, "structure_xml", f"with {_TREE}, l as (select doc_id, path as at_path, concat(pad, '<', type, '>') as line from p union all {_ATTRS} union all select doc_id, list_append(path, cast(-1 as bigint)), concat(pad, '  <text>', trim(text), '</text>') from p where trim(text) <> '' union all select doc_id, list_append(path, 4611686018427387904), concat(pad, '</', type, '>') from p) select doc_id, string_agg(line, chr(10) order by at_path, line) as xml from l group by doc_id")(lambda n: export.structure_xml(n.join(tree.paths(n), ["doc_id", "node_id"])))
 over(fx.HEADINGS, "repair_patches", f"select doc_id, {K}, 'level' as \"column\", cast(level as string) as old, cast(fixed as string) as new from (select *, i + min(level - i) over (partition by doc_id order by {K} rows between unbounded preceding and current row) as fixed from (select *, row_number() over (partition by doc_id order by {K}) as i from {{s}} h) t) u where level <> fixed")(
     lambda h: export.patches(h, tree.repaired_levels(h, "doc_id", fx.ORDER).drop("level").withColumnRenamed("fixed", "level"), ["doc_id", *fx.ORDER], ["level"])
 )

@@ -92,6 +92,13 @@ OUTLINES = "select doc_id from documents where doc_id % 2 = 0"
 STRUCTURED = "select doc_id, doc_id % 3 > 0 as has_structure from documents"
 
 
+#: Versions of values of nodes, later ones over earlier ones.
+EDITS = f"select l_orderkey as doc_id, concat('n', cast(l_suppkey % 3 as string)) as node_id, case l_partkey % 2 when 0 then 'type' else 'text' end as column_name, cast(row_number() over (partition by l_orderkey order by {KEY}) as bigint) as version, case when l_partkey % 7 = 0 then '' else l_returnflag end as value from lineitem"
+#: Nodes with the texts that looks are told by.
+LOOKS = NODES.replace("n_name, case", "case n_nationkey % 3 when 0 then '1.2 On nations:' when 1 then 'A figure of a nation' else n_name end, case").replace("case when c_custkey % 6 = 0 then ' ' else c_name end", "case c_custkey % 9 when 0 then '' when 1 then '- an item' when 2 then 'b) ' when 3 then '12.' when 4 then 'diagram 4' when 5 then 'A sentence of some length that goes on and on and ends here.' else c_name end")
+LINKS = "select doc_id, annot_id, has_objr, alt from (select p_partkey % 300 as doc_id, p_partkey as annot_id, p_partkey % 4 = 0 as has_objr, case when p_partkey % 5 = 0 then 'x' else '' end as alt, p_partkey % 7 as k from part) e where k > 1"
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]

@@ -214,3 +214,25 @@ FIRST_NUMBERING = r"case when regexp_matches(text, '^\s*[0-9]+[.)\]]') then 'Dec
 OCR = r"""select doc_id, case when n < 10 then 0.0 else round(conf, 6) end as confidence, n >= 10 and conf > 0.6 and errors < 2 as valid, case when n < 10 then 1 else errors end as errors from (select doc_id, n, ((1 - odd) + (1 - again) + (1 - bad)) / 3 * case when n < 50 then 0.8 else 1.0 end as conf,
   case when odd > 0.3 then 1 else 0 end + case when again > 0.2 then 1 else 0 end + case when bad > 0.3 then 1 else 0 end as errors from (select doc_id, n, length(regexp_replace(t, '[\pL\p{Nd}\s.,\-:;?!()\[\]{}\x22''/]', '', 'g')) / n as odd, (len(ls) - len(list_distinct(ls))) / len(ls) as again,
   case when len(ws) = 0 then 0.0 else len(list_filter(ws, lambda v: length(v) > 2 and (replace(v, left(v, 1), '') = '' or regexp_full_match(v, '[^a-záéíóúüñ]+')))) / len(ws) end as bad from (select doc_id, t, length(t) as n, string_split(t, chr(10)) as ls, regexp_extract_all(lower(t), '[\pL\pN_]+') as ws from (select doc_id, coalesce(text, '') as t from documents) a) b) c) d"""
+
+#: Nodes with how they look: f.
+LOOKS = r"""with n as (select * from {s} x),
+ h as (select n.*, u.type as parent_type, trim(n.text) as bare, regexp_matches(n.text, '^\s*([•*○●■□▪▫◦»~+-]|[0-9]+[.)]|[a-zA-Z][.)])\s+') as like_item, regexp_matches(n.text, '^\s*([•*○●■□▪▫◦»~+-]|[0-9]+[.)]|[a-zA-Z][.)])$') as like_label from n left join n u on u.doc_id = n.doc_id and u.node_id = n.parent_id),
+ k1 as (select doc_id, parent_id, count(*) as kids, count(*) filter (where type in ('TH', 'TD')) >= 0.5 * count(*) as like_row, count(*) filter (where type = 'LI' or like_item) >= 0.5 * count(*) as like_list from h where parent_id is not null group by all),
+ h1 as (select h.*, coalesce(kids, 0) as kids, coalesce(like_row, false) as like_row, coalesce(like_list, false) as like_list from h left join k1 on k1.doc_id = h.doc_id and k1.parent_id = h.node_id),
+ k2 as (select doc_id, parent_id, count(*) filter (where type = 'TR' or like_row) >= 0.5 * count(*) as like_table from h1 where parent_id is not null group by all),
+ f as (select h1.*, coalesce(like_table, false) as like_table, text <> '' and length(bare) < 100 and (right(bare, 1) = ':' or regexp_matches(bare, '^[0-9]+(\.[0-9]+)*\.?\s+') or (kids <= 1 and length(bare) < 50 and right(bare, 1) <> '.')) as like_heading,
+   text <> '' and len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 10 and regexp_matches(lower(text), 'fig|figure|imagen|image|ilustración|illustration|foto|photo|gráfico|graph|chart|diagrama|diagram') as like_figure from h1 left join k2 on k2.doc_id = h1.doc_id and k2.parent_id = h1.node_id)"""
+#: What the repairs let the parents of the sample hold.
+REPAIR_EDGES = {
+    "Document": "Part Art Sect Div P H1 L Table Figure Formula Form TOC Index",
+    "Sect": "Part Sect Div P H1 H2 H3 H4 H5 H6 L Table Figure Formula Form",
+    "Div": "P H1 H2 H3 H4 H5 H6 L Table Figure Formula Form Div",
+    "L": "Caption LI",
+    "LI": "Lbl LBody",
+    "Table": "Caption TR THead TBody TFoot",
+    "TR": "TH TD",
+}
+_MAY = "case parent_type " + " ".join(f"when '{p}' then [{quoted(ks)}]" for p, ks in REPAIR_EDGES.items()) + " end"
+FITTING = rf"""g0 as (select *, {_MAY} as may, case when text = '' and kids = 0 then 'Div' when like_heading then case when parent_type in ('Document', 'Part', 'Art') then 'H1' when parent_type = 'Sect' then 'H2' else 'H3' end when like_figure then 'Figure' when like_table then 'Table' when like_list then 'L' when like_item then 'LI' when parent_type = 'Table' then 'TR' when parent_type = 'TR' then 'TD' when parent_type = 'L' then 'LI' when parent_type = 'LI' then case when like_label then 'Lbl' else 'LBody' end else 'P' end as fitting from f),
+ g as (select *, case when may is null or list_contains(may, type) then type when list_contains(may, fitting) then fitting when list_contains(may, 'P') then 'P' when list_contains(may, 'Span') then 'Span' when list_contains(may, 'Div') then 'Div' else may[1] end as child_type from g0)"""

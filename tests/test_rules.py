@@ -175,13 +175,13 @@ def test_conformance(spark):
 
 
 def test_export(spark, nodes, tmp_path):
-    from tagmill.operators.tree import depths
-
-    xml = export.structure_xml(nodes.join(depths(nodes), ["doc_id", "node_id"])).first()["xml"]
-    assert xml.split("\n") == ["<Document>", "  <L>", "    <P>", "    <LI>", "      <LBody>"]
-    issues = spark.createDataFrame([(1, "14-003", "error", "x", True, 1)], export.ISSUE)
+    full = nodes.withColumn("sib", F.col("node_id")).withColumn("alt", F.lit("a picture")).withColumn("scope", F.lit(""))
+    xml = export.structure_xml(full.where("node_id <> 4").join(tree.paths(full), ["doc_id", "node_id"])).first()["xml"]
+    alt = "<attr name='alt' value='a picture' />"
+    assert xml.split("\n") == ["<Document>", f"  {alt}", "  <attr name='lang' value='es' />", "  <L>", f"    {alt}", "    <P>", f"      {alt}", "      <text>x</text>", "    </P>", "    <LI>", f"      {alt}", "      <attr name='lang' value='fr' />", "      <text>y</text>", "    </LI>", "  </L>", "</Document>"]
+    found = spark.createDataFrame([(1, "14-003", "error", "x", True, 1)], export.ISSUE)
     for form in ("json", "csv", "text"):
-        export.write_issues(issues, str(tmp_path / form), form)
+        export.write_issues(found, str(tmp_path / form), form)
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "[14-003] error x"
 
 
@@ -215,3 +215,40 @@ def test_recognised_language(spark):
     texts = ["la casa de la que habla con el niño para siempre", "the house that is with the other of them", "der Hund und die Katze mit dem Ball", "el niño", None]
     got = spark.createDataFrame(enumerate(texts), "i int, t string").orderBy("i").select(text.recognised_language(F.col("t"))).collect()
     assert [r[0] for r in got] == ["spa", "eng", "deu", "eng", "eng"]
+
+
+def plain_pairs(text, ground, target):
+    """The pairs by plain code: lightness moved by 30 points, the best first."""
+    import colorsys
+
+    def hsl(c):
+        h, light, s = colorsys.rgb_to_hls(*[x / 255 for x in c])
+        return round(h * 360), round(s * 100), round(light * 100)
+
+    def rgb(h, s, light):
+        return tuple(round(x * 255) for x in colorsys.hls_to_rgb(h / 360, light / 100, s / 100))
+
+    def ratio(a, b):
+        lum = [sum(w * (x / 255 / 12.92 if x / 255 <= 0.03928 else ((x / 255 + 0.055) / 1.055) ** 2.4) for w, x in zip((0.2126, 0.7152, 0.0722), c, strict=True)) for c in (a, b)]
+        return (max(lum) + 0.05) / (min(lum) + 0.05)
+
+    (h, s, x), (p, q, y) = hsl(text), hsl(ground)
+    moved = [(rgb(h, s, max(0, x - 30)), ground)] * (x > 50) + [(rgb(h, s, min(100, x + 30)), ground)] * (x < 50) + [(text, rgb(p, q, max(0, y - 30)))] * (y > 50) + [(text, rgb(p, q, min(100, y + 30)))] * (y < 50)
+    found = sorted(((ratio(a, b), "#%02x%02x%02x" % a, "#%02x%02x%02x" % b) for a, b in moved if ratio(a, b) >= target), reverse=True)
+    return found or [(21.0, "#000000", "#ffffff")]
+
+
+def test_accessible_pairs(spark):
+    import random
+
+    pick = random.Random(3)
+    rows = [(k, *[pick.randrange(256) for _ in range(6)]) for k in range(300)] + [(300, 100, 100, 100, 120, 120, 120)]
+    frame = spark.createDataFrame(rows, "id int, r int, g int, b int, br int, bg int, bb int")
+    pair = colour.accessible_pairs(tuple(map(F.col, "rgb")), tuple(map(F.col, ("br", "bg", "bb"))), F.lit(4.5))
+    near = 0
+    for r in frame.select("id", F.get(pair, F.lit(0)).alias("x")).collect():
+        want = plain_pairs(tuple(rows[r["id"]][1:4]), tuple(rows[r["id"]][4:]), 4.5)[0]
+        same = (r["x"]["text"], r["x"]["ground"]) == want[1:]
+        near += same
+        assert same or abs(r["x"]["ratio"] - want[0]) < 0.2  # a half rounds to the other side
+    assert near > 280
