@@ -1,16 +1,20 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Two passes count words and then pairs of words. A task sums what it reads, deals sorted
+Two passes count words and then runs of three. A task sums what it reads, deals sorted
 runs of (key, count) out to parts as single binary rows, and each part is merged by one
 task into a file in the shared folder: words as an Elias-Fano sequence of hashes with one of
-running counts; pairs as a trie shard of contexts, monotone pointers and successors
-relative to their context, with one byte of quantised probability each, and one byte of
-back-off weight for each word. Scoring tasks map the files and search them; nothing
-of the model is held by the driver, broadcast or collected.
-
-A pair's probability is discounted, (c(a, b) - D) / c(a), and what its context has left
-goes to the unigram estimate, so the model sums to 1 over the words and one unknown.
-Every pair that was seen counts; with a `least` above 1, rarer ones give all their mass to the back-off.
+running counts; pairs and triples as a trie shard: the pairs' contexts, monotone pointers
+and successors relative to their context, then pointers from each pair to the words that
+follow it, relative to the pair; each with one byte of quantised probability, and one byte
+of back-off weight for each word and pair. A pair's triples lie in its own shard, and the
+counts of pairs are sums over their triples. Scoring tasks map the files and search them;
+nothing of the model is held by the driver, broadcast or collected.
+
+A triple's probability is discounted, (c(a, b, c) - D) / c(a, b), and what its context has
+left goes to the pair's estimate; that is discounted likewise, with the rest to the unigram
+estimate, so the model sums to 1 over the words and one unknown. The first word of a text
+has the end before it as its whole context. Every pair and triple that was seen counts; with
+a `least` above 1, rarer ones give all their mass to the back-off.
 
 Edge cases: a null text is an empty one with the end alone; a null id counts as the empty text where it
 picks the part that is held out; repeated rows count and are scored each; without training rows
@@ -33,7 +37,9 @@ _U = np.uint64
 END = _U(0x51ED270B7A3C9D15)
 DISCOUNT = 0.75
 #: Tokens that a task sums before it deals them out, and tokens scored together.
-BUFFER = 3_000_000
+BUFFER, SCORED = 3_000_000, 1_000_000
+#: Stands for the word after an end; no word has this id.
+NONE = _U(0xFFFFFFFF)
 _FOLDED = _LETTERS[LOWER]
 
 
@@ -251,7 +257,44 @@ class Words:
         return ids, counts
 
 
-def _count_pairs(folder: str, sizes: list[int], shards: int):
+GRAMS = "part int, pairs binary, fans binary, thirds binary, counts binary"
+
+
+def dealt_grams(pairs: np.ndarray, grams: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Rising pairs, and rising grams (rank of the pair << 32 | third word) with counts -> a row for each shard."""
+    shard = pair_shard(pairs, shards).astype(np.int64)
+    rank = (grams >> _U(32)).astype(np.int64)
+    fans = np.bincount(rank, minlength=len(pairs)).astype(np.uint32)
+    by_pair, by_gram = np.argsort(shard, kind="stable"), np.argsort(shard[rank], kind="stable")
+    pairs, fans, own = pairs[by_pair], fans[by_pair], shard[by_pair]
+    thirds, counts = (grams[by_gram] & NONE).astype(np.uint32), counts[by_gram].astype(np.uint32)
+    parts, start = np.unique(own, return_index=True)
+    edge = np.concatenate([[0], np.cumsum(fans, dtype=np.int64)])
+    rows: list[list[bytes]] = [[], [], [], []]
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(pairs)], strict=True):
+        g = slice(int(edge[a]), int(edge[b]))
+        for x, v in zip(rows, (planes(pairs[a:b]), fans[a:b].tobytes(), thirds[g].view(np.uint8).reshape(-1, 4).T.tobytes(), counts[g].tobytes()), strict=True):
+            x.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *[pa.array(x, pa.binary()) for x in rows]], names=["part", "pairs", "fans", "thirds", "counts"])
+
+
+def gathered_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each shard of a task with its rising pairs, and the rank of the pair, third word and summed count of each gram."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    for b in batches:
+        for row in zip(*(b.column(k) for k in range(5)), strict=True):
+            part, pairs, fans, thirds, counts = (x.as_py() for x in row)
+            third = np.ascontiguousarray(np.frombuffer(thirds, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            for x, v in zip(held.setdefault(part, [[], [], [], []]), (unplanes(pairs), np.frombuffer(fans, np.uint32), third, np.frombuffer(counts, np.uint32)), strict=True):
+                x.append(v)
+    for part in sorted(held):
+        runs, fans, thirds, counts = (np.concatenate(x) for x in held.pop(part))
+        pairs, rank = np.unique(runs, return_inverse=True)
+        grams, sums = merged([(np.repeat(rank.astype(np.uint64), fans) << _U(32)) | thirds], [counts.astype(np.int64)])
+        yield part, pairs, (grams >> _U(32)).astype(np.int64), grams & NONE, sums
+
+
+def _count_grams(folder: str, sizes: list[int], shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(folder, sizes)
 
@@ -259,9 +302,10 @@ def _count_pairs(folder: str, sizes: list[int], shards: int):
             own, place = np.unique(np.concatenate(waiting), return_inverse=True)
             ids = words.look_up(own)[0].astype(np.uint64)[place]
             end = ids[-1:]  # every row ends with END, so what stands before a row is one too
-            keys = (np.concatenate([end, ids[:-1]]) << _U(32)) | ids
-            keys, counts = np.unique(keys, return_counts=True)
-            return dealt(keys, counts, pair_shard(keys, shards))
+            pairs, rank = np.unique((np.concatenate([end, ids[:-1]]) << _U(32)) | ids, return_inverse=True)
+            after = np.where(ids == end, NONE, np.append(ids[1:], NONE))
+            grams, counts = np.unique((rank.astype(np.uint64) << _U(32)) | after, return_counts=True)
+            return dealt_grams(pairs, grams, counts, shards)
 
         yield from _sum_tokens(batches, emit)
 
@@ -272,13 +316,16 @@ def pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return mix(keys) % _U(shards)
 
 
-def _build_pairs(folder: str, sizes: list[int], least: int):
+def _build_grams(folder: str, sizes: list[int], least: int):
     universe = sum(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(folder, sizes)
-        for shard, keys, counts in gathered(batches):
+        for shard, keys, owner, third, each in gathered_grams(batches):
+            counts = np.bincount(owner, weights=each, minlength=len(keys)).astype(np.int64)
             keep = counts >= least
+            seen = np.flatnonzero((third != NONE) & (each >= least))
+            owner, third, each = (np.cumsum(keep) - 1)[owner[seen]], third[seen], each[seen]
             keys, counts = keys[keep], counts[keep]
             first, second = (keys >> _U(32)).astype(np.int64), keys & _U(0xFFFFFFFF)
             contexts, start = np.unique(first, return_index=True)
@@ -292,7 +339,12 @@ def _build_pairs(folder: str, sizes: list[int], least: int):
             share = (counts - DISCOUNT) / total[rank] if len(keys) else np.zeros(0)
             code, book = quantise(np.log10(share))
             pieces = {"context": ef_build(contexts, universe), "pointer": ef_build(np.append(start, len(keys)), len(keys) + 1), "successor": ef_build(rank.astype(np.uint64) * _U(universe) + second, max(1, len(contexts)) * universe)}
-            save(f"{folder}/pairs-{shard}", {**{f"{n}.{k}": v for n, e in pieces.items() for k, v in e.items()}, "code": code, "book": book})
+            code3, book3 = quantise(np.log10((each - DISCOUNT) / counts[owner]))
+            used = np.bincount(owner, weights=10.0 ** book3[code3].astype(np.float64), minlength=len(keys))
+            back, backs = quantise(np.log10(np.clip(1 - used, 1e-4, 1)))
+            pieces["pointer3"] = ef_build(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(keys)))]), len(owner) + 1)
+            pieces["third"] = ef_build(owner.astype(np.uint64) * _U(universe) + third, max(1, len(keys)) * universe)
+            save(f"{folder}/pairs-{shard}", {**{f"{n}.{k}": v for n, e in pieces.items() for k, v in e.items()}, "code": code, "book": book, "code3": code3, "book3": book3, "back": back, "backs": backs})
             if len(keys):  # what the table says, so that kept and left sum to 1
                 mass = np.add.reduceat(10.0 ** book[code].astype(np.float64), start)
                 yield dealt(contexts.astype(np.uint64), np.minimum(np.rint(mass * 2**31), 2**32 - 1), part)
@@ -334,35 +386,60 @@ class Opened:
         self.universe = sum(model.sizes)
         self.mass = model.total + 0.5 * (self.universe + 1)
 
-    def shard(self, s: int) -> tuple:
+    def shard(self, s: int) -> tuple[dict[str, Sequence], dict[str, np.ndarray]]:
         if s not in self.pairs:
             a = load(f"{self.m.folder}/pairs-{s}")
-            self.pairs[s] = Sequence(a, "context"), Sequence(a, "pointer"), Sequence(a, "successor"), a["code"], a["book"]
+            self.pairs[s] = {n: Sequence(a, n) for n in ("context", "pointer", "successor", "pointer3", "third")}, a
         return self.pairs[s]
 
-    def kept(self, keys: np.ndarray) -> np.ndarray:
-        """The discounted probabilities of rising pair keys; 0 where the trie has none."""
-        out = np.zeros(len(keys))
-        shard = pair_shard(keys, self.m.n_shards).astype(np.int64)
+    def by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards that have a file, with the places, rising, that ask for them."""
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.m.n_shards + 1))
-        for s in self.m.has_pairs:
-            own = order[edges[s] : edges[s + 1]]
-            if not len(own):
-                continue
-            contexts, pointers, successors, code, book = self.shard(s)
+        for s in sorted(self.m.has_pairs):
+            if edges[s] < edges[s + 1]:
+                yield s, order[edges[s] : edges[s + 1]]
+
+    def find_pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The discounted probabilities of rising pair keys (0 where the trie has none), their shards, and places there or -1."""
+        out, place = np.zeros(len(keys)), np.full(len(keys), -1, np.int64)
+        shard = pair_shard(keys, self.m.n_shards).astype(np.int64)
+        for s, own in self.by_shard(shard):
+            level, arrays = self.shard(s)
+            contexts, pointers, successors = level["context"], level["pointer"], level["successor"]
             if not contexts.n:
                 continue
-            first, second = keys[own] >> _U(32), keys[own] & _U(0xFFFFFFFF)
-            n = len(own)
+            first, run = np.unique(keys[own] >> _U(32), return_inverse=True)
+            n = len(first)
             rank = contexts.find(first, np.zeros(n, np.int64), np.full(n, contexts.n), np.zeros(n), np.full(n, self.universe))
+            low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
             hit = np.flatnonzero(rank >= 0)
-            low, high = pointers[rank[hit]].astype(np.int64), pointers[rank[hit] + 1].astype(np.int64)
-            origin = rank[hit].astype(np.uint64) * _U(self.universe)
-            at = successors.find(origin + second[hit], low, high, origin, origin + _U(self.universe))
+            low[hit], high[hit] = pointers[rank[hit]].astype(np.int64), pointers[rank[hit] + 1].astype(np.int64)
+            origin = np.maximum(rank, 0).astype(np.uint64) * _U(self.universe)
+            at = successors.find(origin[run] + (keys[own] & _U(0xFFFFFFFF)), low[run], high[run], origin[run], origin[run] + _U(self.universe))
             found = at >= 0
-            out[own[hit[found]]] = 10.0 ** book[code[at[found]]].astype(np.float64)
-        return out
+            place[own[found]] = at[found]
+            out[own[found]] = 10.0 ** arrays["book"][arrays["code"][at[found]]].astype(np.float64)
+        return out, shard, place
+
+    def kept(self, keys: np.ndarray) -> np.ndarray:
+        """The discounted probabilities of rising pair keys; 0 where the trie has none."""
+        return self.find_pairs(keys)[0]
+
+    def find_thirds(self, shard: np.ndarray, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words (-1: unknown) after pairs of the trie, alike ones together: discounted probability, 0 where there is none, and what the pair leaves."""
+        out, left = np.zeros(len(ids)), np.ones(len(ids))
+        for s, own in self.by_shard(shard):
+            level, arrays = self.shard(s)
+            pair, run = np.unique(place[own], return_inverse=True)
+            low, high = level["pointer3"][pair].astype(np.int64), level["pointer3"][pair + 1].astype(np.int64)
+            left[own] = (10.0 ** arrays["backs"][arrays["back"][pair]].astype(np.float64))[run]
+            asked = np.flatnonzero((ids[own] >= 0) & (high > low)[run])
+            run, origin = run[asked], pair.astype(np.uint64) * _U(self.universe)
+            at = level["third"].find(origin[run] + ids[own[asked]].astype(np.uint64), low[run], high[run], origin[run], origin[run] + _U(self.universe))
+            found = at >= 0
+            out[own[asked[found]]] = 10.0 ** arrays["book3"][arrays["code3"][at[found]]].astype(np.float64)
+        return out, left
 
     def left_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.ones(len(ids))
@@ -380,15 +457,22 @@ class Opened:
         own, place = np.unique(stream, return_inverse=True)
         ids, counts = self.words.look_up(own)
         single = (counts + 0.5) / self.mass
-        before = np.concatenate([[np.searchsorted(own, END)], place[:-1]])
+        end = np.searchsorted(own, END)
+        before = np.concatenate([[end], place[:-1]])
         pair, where = np.unique((before.astype(np.uint64) << _U(32)) | place.astype(np.uint64), return_inverse=True)
         a, b = (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64)
         known = np.flatnonzero((ids[a] >= 0) & (ids[b] >= 0))
         keys = (ids[a[known]].astype(np.uint64) << _U(32)) | ids[b[known]].astype(np.uint64)
-        kept = np.zeros(len(pair))
-        kept[known] = self.kept(keys)
-        p = np.log10(kept + self.left_of(ids)[a] * single[b])
-        return np.diff(np.append(first, len(stream))), np.add.reduceat((counts > 0)[place].astype(np.int64), first), np.add.reduceat(np.log10(single)[place], first), np.add.reduceat(p[where], first)
+        kept, shard, at = np.zeros(len(pair)), np.zeros(len(pair), np.int64), np.full(len(pair), -1, np.int64)
+        kept[known], shard[known], at[known] = self.find_pairs(keys)
+        p = (kept + self.left_of(ids)[a] * single[b])[where]
+        context = where[:-1]
+        sure = np.flatnonzero((before[1:] != end) & (at[context] >= 0))  # a text's first word has no pair before it
+        triple, same = np.unique((context[sure].astype(np.uint64) << _U(32)) | place[1:][sure].astype(np.uint64), return_inverse=True)
+        c = (triple >> _U(32)).astype(np.int64)
+        inner, left = self.find_thirds(shard[c], at[c], ids[(triple & _U(0xFFFFFFFF)).astype(np.int64)])
+        p[1:][sure] = inner[same] + left[same] * p[1:][sure]
+        return np.diff(np.append(first, len(stream))), np.add.reduceat((counts > 0)[place].astype(np.int64), first), np.add.reduceat(np.log10(single)[place], first), np.add.reduceat(np.log10(p), first)
 
 
 def train(texts: DataFrame, least: int = 1, parts: int | None = None) -> Model:
@@ -402,7 +486,7 @@ def train(texts: DataFrame, least: int = 1, parts: int | None = None) -> Model:
     sizes, total = [size.get(p, 0) for p in range(parts)], sum(r["tokens"] for r in words)
     if sum(sizes) >= 2**32:
         raise ValueError("more than 2 ** 32 distinct words")
-    pairs = source.mapInArrow(_count_pairs(folder, sizes, parts), DEALT).repartition(parts, "part").mapInArrow(_build_pairs(folder, sizes, least), DEALT)
+    pairs = source.mapInArrow(_count_grams(folder, sizes, parts), GRAMS).repartition(parts, "part").mapInArrow(_build_grams(folder, sizes, least), DEALT)
     left = pairs.repartition(parts, "part").mapInArrow(_build_left(folder, sizes), "part int").collect() if words else []
     have = [int(n.rpartition("-")[2]) for n in os.listdir(folder) if n.startswith("pairs-") and n.count(".") == 0]
     return Model(folder, sizes, have, parts, [r["part"] for r in left], total)
@@ -413,11 +497,19 @@ def _scorer(model: Model):
         opened = model.opened()
         for b in batches:
             ids, held = b.column("doc_id"), b.column("held_out")
-            for data, bounds, row in text_parts(b.column("text"), 4 << 20):
-                stream, first = tokens(data, bounds)
-                n, known, base, score = opened.scores(stream, first)
-                rows = len(first)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, rows), held.slice(row, rows), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(rows, model.total)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            row, size = 0, 0
+            for data, bounds, at in text_parts(b.column("text"), 4 << 20):
+                waiting.append(tokens(data, bounds))
+                size += len(waiting[-1][0])
+                done = at + len(bounds) - 1
+                if size >= SCORED or done == b.num_rows:
+                    shift = np.cumsum([0, *[len(t) for t, _ in waiting[:-1]]])
+                    stream, first = np.concatenate([t for t, _ in waiting]), np.concatenate([f + k for (_, f), k in zip(waiting, shift, strict=True)])
+                    n, known, base, score = opened.scores(stream, first)
+                    rows = len(first)
+                    yield pa.RecordBatch.from_arrays([ids.slice(row, rows), held.slice(row, rows), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(rows, model.total)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    waiting, row, size = [], done, 0
 
     return run
 

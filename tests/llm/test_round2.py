@@ -208,7 +208,7 @@ def test_mixing_query(spark, targets):
 
 
 def test_lm_score_of_plain_model(spark):
-    """score is the sum of log10 of the discounted pair plus what its context leaves to the word, up to quantisation."""
+    """score is the sum of log10 of the discounted triple plus what its context leaves to the pair, and that to the word, up to quantisation."""
     texts = [" ".join(rng.choice(["a", "b", "C", "d", "ee"], rng.integers(0, 12)).tolist()) for _ in range(60)] + [None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     tokens = [[*(t or "").lower().split(), "</s>"] for t in texts]
@@ -217,7 +217,14 @@ def test_lm_score_of_plain_model(spark):
     pairs = collections.Counter(p for t in train for p in zip(["</s>", *t], t, strict=False))
     n, v = sum(count.values()), len(count)
     left = {a: 1 - sum((c - 0.75) / count[a] for (x, _), c in pairs.items() if x == a) for a in count}
+    triples = collections.Counter(p for t in train for p in zip(["</s>", *t], t, t[1:], strict=False))
+    left3 = {(a, b): 1 - sum((c - 0.75) / pairs[a, b] for (x, y, _), c in triples.items() if (x, y) == (a, b)) for a, b, _ in triples}
+
+    def estimate(a, b, c):
+        pair = max(pairs[b, c] - 0.75, 0) / count.get(b, 1) + left.get(b, 1.0) * (count[c] + 0.5) / (n + 0.5 * (v + 1))
+        return pair if a is None else max(triples[a, b, c] - 0.75, 0) / max(pairs[a, b], 1) + left3.get((a, b), 1.0) * pair
+
     for r in lm_trie.op10_lm_trie(docs).collect():
         t = tokens[r["doc_id"]]
-        want = sum(math.log10(max(pairs[a, b] - 0.75, 0) / count.get(a, 1) + left.get(a, 1.0) * (count[b] + 0.5) / (n + 0.5 * (v + 1))) for a, b in zip(["</s>", *t], t, strict=False))
+        want = sum(math.log10(estimate(*g)) for g in zip([None, "</s>", *t], ["</s>", *t], t, strict=False))
         assert r["score"] == pytest.approx(want, abs=0.002 * len(t))

@@ -17,6 +17,12 @@ def test_lm_keeps_pairs_seen_once(spark):
     kept = opened.kept(np.sort(np.array([k for _, k in keys], np.uint64)))
     want = [pairs[p] for p, _ in sorted(keys, key=lambda x: x[1])]
     assert kept.tolist() == pytest.approx(want, rel=1e-5)
+    # "a b c d": after (END, a) always b, after (a, b) c or e, after (b, c) d
+    score = opened.scores(stream, np.arange(6))[3]
+    single = lambda n: (n + 0.5) / (9 + 0.5 * 7)
+    b_alone, c_alone = 1.25 / 2 + 0.75 / 2 * single(2), 0.25 / 2 + 1.5 / 2 * single(1)
+    assert 10 ** score[1] == pytest.approx(1.25 / 2 + 0.75 / 2 * b_alone, rel=1e-5)
+    assert 10 ** score[2] == pytest.approx(0.25 / 2 + 1.5 / 2 * c_alone, rel=1e-5)
 
 
 def test_mixing_meets_targets(spark):
