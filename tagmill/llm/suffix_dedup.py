@@ -2,8 +2,9 @@
 
 Every window of LENGTH bytes picks its least gram, so equal windows pick equal grams at
 equal offsets, and windows that share one travel together as a block. Only blocks whose
-gram occurs again go on. Blocks of one gram, one shape and one polynomial hash of all their
-bytes are copies, and repeat as a whole by that alone; of blocks that differ under a gram
+gram occurs again go on. Blocks of one gram and one polynomial hash of all their bytes and
+shape are copies if a second digest of those (BLAKE2, 64 bits) confirms it, and repeat as a
+whole; blocks that the digest tells apart count as different. Of blocks that differ under a gram
 one of each is brought to where its gram is, and there the windows are sorted as
 suffixes: prefix polynomial hashes and binary search give the common extension of two, a
 merge sort orders them with it, and neighbours that share LENGTH bytes repeat, which their
@@ -81,7 +82,21 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]
 
 
 #: first window << 16 | windows << 8 | offset of the gram.
-BLOCK = "gram long, block long, doc_id {}, tag long, place long"
+BLOCK = "gram long, block long, doc_id {}, tag long, place long, proof long"
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """64-bit BLAKE2 digests of the byte strings start:end, keyed by offset."""
+    view, keys = memoryview(data), [bytes([k]) for k in range(WIDE)]
+    own = [hashlib.blake2b(view[a:b], digest_size=8, key=keys[k]).digest() for a, b, k in zip(start.tolist(), end.tolist(), offset.tolist(), strict=True)]
+    return np.frombuffer(b"".join(own), np.int64)
+
+
+def _cut_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for data, bounds, _, _ in pieces(b.column("text")):
+            gram, block, *_ = blocks(data, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64))], names=["gram", "block"])
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,31 +106,31 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.searchsorted(bounds, start, "right") - 1
             take = pa.array(own + row)
             place = ((start - bounds[own] + shift) << 16) | (count << 8) | offset
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64)), b.column("doc_id").take(take), b.column("tag").take(take), pa.array(place)], names=["gram", "block", "doc_id", "tag", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64)), b.column("doc_id").take(take), b.column("tag").take(take), pa.array(place), pa.array(digests(data, start, start + count - 1 + LENGTH, offset))], names=["gram", "block", "doc_id", "tag", "place", "proof"])
 
 
 def _bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text with the blocks wanted of it -> the blocks with their bytes."""
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         size = 0
         for text, wanted in zip(b.column("text"), b.column("wanted"), strict=True):
             data = text.as_py().encode()
             for w in wanted.as_py():
                 start, count = w["place"] >> 16, (w["place"] >> 8) & 255
                 own = data[start : start + count - 1 + LENGTH]
-                for x, v in zip(out, (w["gram"], w["block"], w["n"], w["place"] & 0xFFFF, own), strict=True):
+                for x, v in zip(out, (w["gram"], w["block"], w["proof"], w["n"], w["place"] & 0xFFFF, own), strict=True):
                     x.append(v)
                 size += len(own)
             if size > 4 * CHUNK:
                 yield _packed(out)
-                out, size = [[], [], [], [], []], 0
+                out, size = [[], [], [], [], [], []], 0
         yield _packed(out)
 
 
 def _packed(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["gram", "block", "n", "shape", "bytes"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["gram", "block", "proof", "n", "shape", "bytes"])
 
 
 class Suffixes:
@@ -221,8 +236,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks sorted by gram -> block, and a bit for each of its windows that repeats."""
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        gram, block = np.asarray(table["gram"]), np.asarray(table["block"])
-        first = np.unique(np.stack([gram, block]), axis=1, return_index=True)[1]  # a row that is repeated brings a block twice
+        own = [np.asarray(table[c]) for c in ("gram", "block", "proof")]
+        first = np.unique(np.stack(own), axis=1, return_index=True)[1]  # a row that is repeated brings a block twice
         first.sort()
         table = table.take(pa.array(first))
         own = table["bytes"].combine_chunks()
@@ -234,7 +249,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = repeated_windows(np.asarray(table["gram"]), np.asarray(table["n"]), shape, data, bounds - bounds[0])
         stop = np.cumsum(shape >> 8)
         bits = [np.packbits(flags[b - c : b]).tobytes() for b, c in zip(stop.tolist(), (shape >> 8).tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([table["gram"].combine_chunks(), table["block"].combine_chunks(), pa.array(bits, pa.binary())], names=["gram", "block", "bits"])
+        return pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in ("gram", "block", "proof")], pa.array(bits, pa.binary())], names=["gram", "block", "proof", "bits"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -285,25 +300,35 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
 
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """texts (doc_id, tag, text) -> doc_id, tag, found: the windows that occur elsewhere, as blocks with bits (null: all)."""
+def repeats(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """texts (doc_id, tag, text) -> doc_id, tag, found: the windows that occur elsewhere, as blocks with bits (null: all).
+
+    bits of the polynomial hash tell blocks apart; with fewer the digests and the sort have more to do.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
-    cut_up = texts.mapInArrow(_cut_blocks, BLOCK.format(kind))
+    block = F.col("block") if bits == 64 else F.col("block").bitwiseAND((1 << bits) - 1)
+    hashes = texts.select("text").mapInArrow(_cut_hashes, "gram long, block long").withColumn("block", block)
+    cut_up = texts.mapInArrow(_cut_blocks, BLOCK.format(kind)).withColumn("block", block)
     # written out, so that the join shuffles both sides itself and a hot gram can be split
-    again = cut(cut_up.groupBy("gram").agg(F.count("*").alias("k"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("k > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")))
+    again = cut(hashes.groupBy("gram").agg(F.count("*").alias("k"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("k > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")))
     some = cut(cut_up.join(again, "gram"))
+    # grams with one hash whose digests differ: their blocks go the way of different ones
+    clash = cut(some.where("alike").groupBy("gram").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi").select("gram"))
+    if not clash.isEmpty():
+        some = cut(some.join(clash.withColumn("clash", F.lit(True)), "gram", "left").withColumn("alike", F.col("alike") & F.col("clash").isNull()).drop("clash"))
+    key = ["gram", "block", "proof"]
     mixed = some.where("not alike")
-    one = mixed.groupBy("gram", "block").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "place")).alias("at"))
-    wanted = one.select("at.doc_id", "at.tag", F.struct("gram", "block", "n", "at.place").alias("w")).groupBy("doc_id", "tag").agg(F.collect_list("w").alias("wanted"))
-    bodies = texts.join(wanted, _same(texts, wanted)).select("text", "wanted").mapInArrow(_bring, "gram long, block long, n long, shape long, bytes binary")
+    one = mixed.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "place")).alias("at"))
+    wanted = one.select("at.doc_id", "at.tag", F.struct(*key, "n", "at.place").alias("w")).groupBy("doc_id", "tag").agg(F.collect_list("w").alias("wanted"))
+    bodies = texts.join(wanted, _same(texts, wanted)).select("text", "wanted").mapInArrow(_bring, "gram long, block long, proof long, n long, shape long, bytes binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = bodies.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_compare, "gram long, block long, bits binary")
-    found = mixed.join(told, ["gram", "block"]).select("doc_id", "tag", "place", "bits").union(some.where("alike").select("doc_id", "tag", "place", F.lit(None).cast("binary").alias("bits")))
+    told = bodies.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_compare, "gram long, block long, proof long, bits binary")
+    found = mixed.join(told, key).select("doc_id", "tag", "place", "bits").union(some.where("alike").select("doc_id", "tag", "place", F.lit(None).cast("binary").alias("bits")))
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
 
 
-def op6_suffix_dedup(docs: DataFrame) -> DataFrame:
+def op6_suffix_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     texts = narrow(docs, "doc_id", "text").withColumn("tag", F.xxhash64("text"))
-    found = repeats(texts)
+    found = repeats(texts, bits)
     rows = texts.join(found, _same(texts, found), "left").select(texts["doc_id"], "text", "found")
     return rows.mapInArrow(_remove, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -108,6 +108,8 @@ def test_suffix_dedup(docs, empty):
         spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
         want[k, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
     assert rows(suffix_dedup.op6_suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    # hashes that all meet: digests and bytes tell blocks apart
+    assert rows(suffix_dedup.op6_suffix_dedup(docs, bits=0), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert suffix_dedup.op6_suffix_dedup(empty).count() == 0
 
 
