@@ -37,7 +37,7 @@ _U = np.uint64
 END = _U(0x51ED270B7A3C9D15)
 DISCOUNT = 0.75
 #: Tokens that a task sums before it deals them out, and tokens scored together.
-BUFFER, SCORED = 3_000_000, 1_000_000
+BUFFER, SCORED = 2_000_000, 1_000_000
 #: Stands for the word after an end; no word has this id.
 NONE = _U(0xFFFFFFFF)
 _FOLDED = _LETTERS[LOWER]
