@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import geometry as g
@@ -16,15 +16,60 @@ PAGE = ["doc_id", "page"]
 
 def paired(boxes: DataFrame) -> DataFrame:
     """Pairs of a page's boxes, each once, with columns a_* and b_*."""
-    names = ["elem_id", "x0", "y0", "x1", "y1"]
-    a = boxes.select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in names])
-    b = boxes.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in names])
-    return a.join(b, PAGE).where("a_elem_id < b_elem_id")
+    return _sided(boxes, "a_").join(_sided(boxes, "b_"), PAGE).where("a_elem_id < b_elem_id")
+
+
+#: Side of the finest cells; a box lies in cells of the first doubling that is no shorter than its longer side.
+CELL = 64.0
+
+
+def _levelled(boxes: DataFrame, p: str) -> DataFrame:
+    """Boxes without nulls, with the level of their cells."""
+    x0, y0, x1, y1 = g.rect(p)
+    side = F.greatest(x1 - x0, y1 - y0, F.lit(CELL))
+    return boxes.dropna(subset=[f"{p}{c}" for c in ("x0", "y0", "x1", "y1")]).withColumn(f"{p}level", F.least(F.ceil(F.log2(side / CELL)), F.lit(1100)).cast("int"))
+
+
+def _celled(boxes: DataFrame, p: str, level: str) -> DataFrame:
+    """Each box once for every cell of a level that it touches: four at most, unless it is wider than they are."""
+    x0, y0, x1, y1 = g.rect(p)
+    s = CELL * F.pow(F.lit(2.0), F.col(level))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / s), F.floor(F.greatest(a, b) / s)))
+    return boxes.withColumn("_level", F.col(level)).withColumn("_cx", span(x0, x1)).withColumn("_cy", span(y0, y1))
+
+
+def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of boxes a_* and b_* of a page that share a point, edges included, each once.
+
+    Cells of doubling sizes stand over each page. The smaller box of a pair is looked up in
+    the cells of the larger one's size, so only near boxes meet, and a pair counts in the
+    cell that holds the first corner of what both cover. Boxes with a null side meet none.
+    """
+    a, b = _levelled(a, "a_"), _levelled(b, "b_")
+    where = [*PAGE, "_level", "_cx", "_cy"]
+    s = CELL * F.pow(F.lit(2.0), F.col("_level"))
+    first = (F.floor(F.greatest("a_x0", "b_x0") / s) == F.col("_cx")) & (F.floor(F.greatest("a_y0", "b_y0") / s) == F.col("_cy"))
+
+    def looked_up(small: DataFrame, p: str, large: DataFrame, q: str, fits: Column) -> DataFrame:
+        levels = large.select(*PAGE, F.col(f"{q}level").alias("_up")).distinct()
+        asked = _celled(small.join(levels, PAGE).where(fits), p, "_up").drop("_up")
+        return asked.join(_celled(large, q, f"{q}level"), where).where(first & g.touching(g.rect("a_"), g.rect("b_")))
+
+    up, down = looked_up(a, "a_", b, "b_", F.col("a_level") <= F.col("_up")), looked_up(b, "b_", a, "a_", F.col("b_level") < F.col("_up"))
+    return up.unionByName(down).drop("_level", "_cx", "_cy", "a_level", "b_level")
+
+
+def _sided(boxes: DataFrame, p: str) -> DataFrame:
+    return boxes.select(*PAGE, *[F.col(c).alias(f"{p}{c}") for c in ("elem_id", "x0", "y0", "x1", "y1")])
 
 
 def overlaps(boxes: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs of a page's boxes, each once, whose overlap is at least a share, above 0, of the smaller one's area."""
+    if least <= 0:
+        raise ValueError("every pair of a page overlaps by 0 or more; see paired")
+    solid = boxes.where("x1 > x0 and y1 > y0")
     ratio = g.overlap_ratio(g.rect("a_"), g.rect("b_"))
-    return paired(boxes).withColumn("ratio", ratio).where(F.col("ratio") >= least)
+    return meeting(_sided(solid, "a_"), _sided(solid, "b_")).where("a_elem_id < b_elem_id").withColumn("ratio", ratio).where(F.col("ratio") >= least)
 
 
 def lines(boxes: DataFrame, tolerance: float) -> DataFrame:
@@ -54,21 +99,35 @@ def chained_clusters(values: DataFrame, by: list[str], value: str, gap: float) -
     return values.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).groupBy(*by, "cluster").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("members"))
 
 
+def _opened(first: Column) -> Column:
+    """The state of a fold into runs: those done, and the open one, which alone is copied when it grows."""
+    return F.struct(F.slice(F.array(first), F.lit(1), F.lit(0)).alias("done"), first.alias("last"))
+
+
+def _folded(state: Column, joins: Column, grown: Column, new: Column) -> Column:
+    done = F.when(joins, state["done"]).otherwise(F.concat(state["done"], F.array(state["last"])))
+    return F.struct(done.alias("done"), F.when(joins, grown).otherwise(new).alias("last"))
+
+
+def _closed(state: Column) -> Column:
+    return F.concat(state["done"], F.array(state["last"]))
+
+
 def anchored_clusters(values: DataFrame, by: list[str], value: str, gap: float) -> DataFrame:
     """A value joins the cluster whose first value lies less than gap below; the centre is the mean.
 
     The anchor of a cluster depends on all before it, so the sorted values of a group
-    fold into (anchor, sum, count) runs.
+    fold into (anchor, sum, count) runs; the open one is kept apart from those done.
     """
     ordered = values.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v"))
     run = lambda x: F.struct(x.alias("anchor"), x.alias("total"), F.lit(1).alias("n"))
 
     def fold(state, x):
-        last = F.element_at(state, -1)
+        last = state["last"]
         grown = F.struct(last["anchor"].alias("anchor"), (last["total"] + x).alias("total"), (last["n"] + 1).alias("n"))
-        return F.when(x - last["anchor"] < gap, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(grown))).otherwise(F.concat(state, F.array(run(x))))
+        return _folded(state, x - last["anchor"] < gap, grown, run(x))
 
-    runs = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.array(run(F.element_at("v", 1))), fold)
+    runs = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), _opened(run(F.element_at("v", 1))), fold, _closed)
     return ordered.select(*by, F.posexplode(runs).alias("cluster", "r")).select(*by, "cluster", F.col("r.anchor").alias("anchor"), (F.col("r.total") / F.col("r.n")).alias("mean"), F.col("r.n").alias("members"))
 
 
@@ -78,12 +137,11 @@ def mean_lines(boxes: DataFrame, factor: float = 1.2) -> DataFrame:
     pages = boxes.groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list(box)), lambda x: x["centre"]).alias("v"), (F.avg(F.col("y1") - F.col("y0")) * factor).alias("reach"))
     line = lambda total, n: F.struct(total.alias("total"), n.alias("n"))
 
-    def fold(done, x):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(line(last["total"] + x, last["n"] + 1)))
-        return F.when(F.abs(x - last["total"] / last["n"]) <= F.col("reach"), joined).otherwise(F.concat(done, F.array(line(x, F.lit(1)))))
+    def fold(state, x):
+        last = state["last"]
+        return _folded(state, F.abs(x - last["total"] / last["n"]) <= F.col("reach"), line(last["total"] + x, last["n"] + 1), line(x, F.lit(1)))
 
-    found = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.array(line(F.element_at("v", 1), F.lit(1))), fold)
+    found = F.aggregate(F.slice("v", F.lit(2), F.size("v")), _opened(line(F.element_at("v", 1), F.lit(1))), fold, _closed)
     return pages.select(*PAGE, F.posexplode(found).alias("line", "r")).select(*PAGE, "line", (F.col("r.total") / F.col("r.n")).alias("mean"), F.col("r.n").alias("members"))
 
 
@@ -113,9 +171,7 @@ def color_legends(elements: DataFrame, reach: float = 100.0, near: float = 30.0,
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """For each box of points the nearest of targets on its page; the smaller id wins a tie."""
-    names = ["elem_id", "x0", "y0", "x1", "y1"]
-    a = points.select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in names])
-    b = targets.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in names])
+    a, b = _sided(points, "a_"), _sided(targets, "b_")
     gap = g.distance(g.rect("a_"), g.rect("b_"))
     pick = F.min(F.struct(gap.alias("distance"), F.col("b_elem_id").alias("near_id"))).alias("best")
     return a.join(b, PAGE).where("a_elem_id <> b_elem_id").groupBy(*PAGE, F.col("a_elem_id").alias("elem_id")).agg(pick).select(*PAGE, "elem_id", "best.near_id", "best.distance")
@@ -123,8 +179,9 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
 
 def hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """For points (doc_id, page, point_id, x, y) the smallest box that holds them."""
-    inside = points.join(boxes, PAGE).where("x between x0 and x1 and y between y0 and y1")
-    pick = F.min(F.struct(g.area(g.rect()).alias("area"), "elem_id")).alias("best")
+    at = points.select(*PAGE, "point_id", *[F.col(c[0]).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
+    inside = meeting(at, _sided(boxes, "b_"))
+    pick = F.min(F.struct(g.area(g.rect("b_")).alias("area"), F.col("b_elem_id").alias("elem_id"))).alias("best")
     return inside.groupBy(*PAGE, "point_id").agg(pick).select(*PAGE, "point_id", "best.elem_id", "best.area")
 
 
@@ -136,7 +193,10 @@ def columns_of(boxes: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def crossings(across: DataFrame, down: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Where horizontal lines (h_id, x0, x1, y) meet vertical ones (v_id, y0, y1, x)."""
-    return across.join(down, PAGE).where(F.col("x").between(F.col("x0") - tolerance, F.col("x1") + tolerance) & F.col("y").between(F.col("y0") - tolerance, F.col("y1") + tolerance))
+    x, y = F.col("x"), F.col("y")
+    a = across.select("*", (F.col("x0") - tolerance).alias("a_x0"), y.alias("a_y0"), (F.col("x1") + tolerance).alias("a_x1"), y.alias("a_y1")).where("a_x0 <= a_x1")
+    b = down.select("*", x.alias("b_x0"), (F.col("y0") - tolerance).alias("b_y0"), x.alias("b_x1"), (F.col("y1") + tolerance).alias("b_y1")).where("b_y0 <= b_y1")
+    return meeting(a, b).drop(*[f"{p}_{c}" for p in "ab" for c in ("x0", "y0", "x1", "y1")])
 
 
 def grown_blocks(boxes: DataFrame, gap: float) -> DataFrame:

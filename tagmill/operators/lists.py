@@ -59,10 +59,23 @@ def number_sequences(numbers: DataFrame, gap: int = 3) -> DataFrame:
 
 
 def similar_texts(texts: DataFrame, least: float) -> DataFrame:
-    """(doc_id, page, text): pairs of pages of a document with alike word sets."""
-    a = texts.select("doc_id", F.col("page").alias("a"), F.col("text").alias("x"))
-    b = texts.select("doc_id", F.col("page").alias("b"), F.col("text").alias("y"))
-    return a.join(b, "doc_id").where("a < b").withColumn("similarity", t.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("doc_id", "a", "b", "similarity")
+    """(doc_id, page, text): pairs of pages of a document with alike word sets; least is above 0.
+
+    Sets as like as that share one of their first words in any one order, so only those are
+    joined, rarest first; pairs are then compared as a whole.
+    """
+    if least <= 0:
+        raise ValueError("pages without a common word are alike by 0")
+    own = ["doc_id", "page", "tag"]
+    one = texts.select("doc_id", "page", F.xxhash64("text").alias("tag"), F.array_distinct(t.words_of(F.lower("text"))).alias("words")).where("size(words) > 0").distinct()
+    word = one.select(*own, F.size("words").alias("n"), F.explode("words").alias("word"))
+    known = word.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "word")))
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("df", "word"))
+    early = known.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).where("df > 1")
+    a, b = (early.select("doc_id", "word", F.col("page").alias(p)) for p in "ab")
+    pairs = a.join(b, ["doc_id", "word"]).where("a < b").select("doc_id", "a", "b").distinct()
+    x, y = (texts.select("doc_id", F.col("page").alias(p), F.col("text").alias(q)) for p, q in ("ax", "by"))
+    return pairs.join(x, ["doc_id", "a"]).join(y, ["doc_id", "b"]).withColumn("similarity", t.jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least).select("doc_id", "a", "b", "similarity")
 
 
 def repeated(texts: DataFrame, least: float = 0.8) -> DataFrame:

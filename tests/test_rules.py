@@ -1,5 +1,7 @@
 """Cases worked out by hand, one for each rule that order or ties decide."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,42 @@ def test_geometry_and_clusters(spark):
     assert {r["elem_id"]: r["block"] for r in layout.grown_blocks(boxes, 5.0).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_near_boxes(spark):
+    """Joins by cells against all pairs: boxes of many sizes, on cell edges, below 0, flat, turned round and with nulls."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(240):
+        x, y = rng.choice([0.0, -64.0, 64.0, 128.0, 700.0, rng.uniform(-300, 900)]), rng.uniform(-100, 900)
+        w, h = (rng.choice([0.0, 5.0, 64.0, 128.0, 900.0, -3.0, rng.uniform(0, 80)]) for _ in "xy")
+        rows.append((i % 3, i % 2, i, x, y, None if i == 5 else x + w, y + h))
+    rows.append((0, 0, 999, -1e9, -1e9, 1e9, 1e9))
+    boxes = spark.createDataFrame(rows, "doc_id long, page long, elem_id long, x0 double, y0 double, x1 double, y1 double").cache()
+    key = lambda f, *c: sorted(tuple(r[k] for k in ("doc_id", "page", *c)) for r in f.collect())
+    ratio = geometry.overlap_ratio(geometry.rect("a_"), geometry.rect("b_"))
+    assert key(layout.overlaps(boxes, 0.3), "a_elem_id", "b_elem_id") == key(layout.paired(boxes).where(ratio >= 0.3), "a_elem_id", "b_elem_id") != []
+    points = boxes.select("doc_id", "page", F.col("elem_id").alias("point_id"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    rest = [r for r in rows if r[5] is not None]
+    inside = {(p[0], p[1], p[2]): min(((b[5] - b[3]) * (b[6] - b[4]), b[2]) for b in rest if b[:2] == p[:2] and b[3] <= p[3] <= b[5] and b[4] <= p[4] <= b[6]) for p in rows if any(b[:2] == p[:2] and b[3] <= p[3] <= b[5] and b[4] <= p[4] <= b[6] for b in rest)}
+    assert {(r["doc_id"], r["page"], r["point_id"]): r["elem_id"] for r in layout.hit(points, boxes).collect()} == {k: v[1] for k, v in inside.items()}
+    across = boxes.select("doc_id", "page", F.col("elem_id").alias("h_id"), "x0", "x1", F.col("y0").alias("y"))
+    down = boxes.select("doc_id", "page", F.col("elem_id").alias("v_id"), "y0", "y1", F.col("x0").alias("x"))
+    want = sorted((h[0], h[1], h[2], v[2]) for h in rest for v in rows if h[:2] == v[:2] and h[3] - 2 <= v[3] <= h[5] + 2 and v[4] - 2 <= h[4] <= v[6] + 2)
+    assert key(layout.crossings(across, down), "h_id", "v_id") == want != []
+    assert layout.overlaps(boxes.limit(0)).count() == 0
+
+
+def test_similar_texts(spark):
+    """The prefix join against all pairs, with repeated rows, a page twice, blanks and nulls."""
+    rng = random.Random(8)
+    rows = [(i % 2, i, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(9)))) for i in range(60)]
+    rows += [rows[3], (0, 4, "a b c"), (1, 90, None)]
+    sets = [(d, p, set((x or "").split())) for d, p, x in rows]
+    for least in (0.25, 0.5, 0.8, 1.0):
+        want = sorted((d, p, q) for d, p, x in sets for e, q, y in sets if d == e and p < q and x and y and len(x & y) >= least * len(x | y))
+        got = lists.similar_texts(spark.createDataFrame(rows, "doc_id long, page long, text string"), least)
+        assert sorted((r["doc_id"], r["a"], r["b"]) for r in got.collect()) == want != []
+
+
 def test_text(spark):
     row = spark.range(1)
     one = lambda c: row.select(c).first()[0]
