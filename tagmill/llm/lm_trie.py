@@ -257,6 +257,23 @@ class Words:
         return ids, counts
 
 
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, rising, and each one's place there in four bytes."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.empty(len(values), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return ordered[new], place
+
+
+def _joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    out = high.astype(np.uint64)
+    out <<= _U(32)
+    out |= low
+    return out
+
+
 GRAMS = "part int, pairs binary, fans binary, thirds binary, counts binary"
 
 
@@ -299,12 +316,21 @@ def _count_grams(folder: str, sizes: list[int], shards: int):
         words = Words(folder, sizes)
 
         def emit(waiting: list[np.ndarray]) -> pa.RecordBatch:
-            own, place = np.unique(np.concatenate(waiting), return_inverse=True)
-            ids = words.look_up(own)[0].astype(np.uint64)[place]
-            end = ids[-1:]  # every row ends with END, so what stands before a row is one too
-            pairs, rank = np.unique((np.concatenate([end, ids[:-1]]) << _U(32)) | ids, return_inverse=True)
-            after = np.where(ids == end, NONE, np.append(ids[1:], NONE))
-            grams, counts = np.unique((rank.astype(np.uint64) << _U(32)) | after, return_counts=True)
+            stream = np.concatenate(waiting)
+            waiting.clear()
+            own, place = ranked(stream)
+            del stream
+            ids = words.look_up(own)[0].astype(np.uint32)[place]
+            del own, place
+            end = ids[-1]  # every row ends with END, so what stands before a row is one too
+            pairs, rank = ranked(_joined(np.concatenate([[end], ids[:-1]]), ids))
+            grams = _joined(rank, np.where(ids == end, NONE, np.append(ids[1:], NONE).astype(np.uint64)))
+            del ids, rank
+            grams.sort()
+            start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            counts = np.diff(np.append(start, len(grams))).astype(np.uint32)
+            grams = grams[start]
+            del start
             return dealt_grams(pairs, grams, counts, shards)
 
         yield from _sum_tokens(batches, emit)
