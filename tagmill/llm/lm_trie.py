@@ -38,6 +38,8 @@ END = _U(0x51ED270B7A3C9D15)
 DISCOUNT = 0.75
 #: Tokens that a task sums before it deals them out, and tokens scored together.
 BUFFER, SCORED = 3_000_000, 1_000_000
+#: Tokens of the corpus to a shard of pairs and triples: there are as many shards as partitions, or more.
+SHARD = 8_000_000
 #: Stands for the word after an end; no word has this id.
 NONE = _U(0xFFFFFFFF)
 _FOLDED = _LETTERS[LOWER]
@@ -501,21 +503,22 @@ class Opened:
         return np.diff(np.append(first, len(stream))), np.add.reduceat((counts > 0)[place].astype(np.int64), first), np.add.reduceat(np.log10(single)[place], first), np.add.reduceat(np.log10(p), first)
 
 
-def train(texts: DataFrame, least: int = 1, parts: int | None = None) -> Model:
-    """The model of a column text, its files in the shared folder."""
+def train(texts: DataFrame, least: int = 1, parts: int | None = None, shard: int = SHARD) -> Model:
+    """The model of a column text, its files in the shared folder. Each part of the words and each shard, of `shard` tokens at most, is merged in a task of its own."""
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch(spark, "trie")
     source = texts.select("text")
-    words = source.mapInArrow(_count_words(parts), DEALT).repartition(parts, "part").mapInArrow(_build_words(folder), "part int, words long, tokens long").collect()
+    words = source.mapInArrow(_count_words(parts), DEALT).repartitionById(parts, "part").mapInArrow(_build_words(folder), "part int, words long, tokens long").collect()
     size = {r["part"]: r["words"] for r in words}
     sizes, total = [size.get(p, 0) for p in range(parts)], sum(r["tokens"] for r in words)
     if sum(sizes) >= 2**32:
         raise ValueError("more than 2 ** 32 distinct words")
-    pairs = source.mapInArrow(_count_grams(folder, sizes, parts), GRAMS).repartition(parts, "part").mapInArrow(_build_grams(folder, sizes, least), DEALT)
-    left = pairs.repartition(parts, "part").mapInArrow(_build_left(folder, sizes), "part int").collect() if words else []
+    shards = max(parts, -(-total // shard))
+    pairs = source.mapInArrow(_count_grams(folder, sizes, shards), GRAMS).repartitionById(shards, "part").mapInArrow(_build_grams(folder, sizes, least), DEALT)
+    left = pairs.repartitionById(parts, "part").mapInArrow(_build_left(folder, sizes), "part int").collect() if words else []
     have = [int(n.rpartition("-")[2]) for n in os.listdir(folder) if n.startswith("pairs-") and n.count(".") == 0]
-    return Model(folder, sizes, have, parts, [r["part"] for r in left], total)
+    return Model(folder, sizes, have, shards, [r["part"] for r in left], total)
 
 
 def _scorer(model: Model):

@@ -6,8 +6,10 @@ import pytest
 from tagmill.llm import html_main, lm_trie, mixing
 
 
-def test_lm_keeps_pairs_seen_once(spark):
-    model = lm_trie.train(spark.createDataFrame([("a b c d",), ("a b e",)], "text string"), parts=2)
+@pytest.mark.parametrize("shard", [lm_trie.SHARD, 2])
+def test_lm_keeps_pairs_seen_once(spark, shard):
+    model = lm_trie.train(spark.createDataFrame([("a b c d",), ("a b e",)], "text string"), parts=2, shard=shard)
+    assert model.n_shards == (2 if shard > 9 else 5)
     data = np.frombuffer(b"a b c d e", np.uint8)
     stream, _ = lm_trie.tokens(data, np.array([0, len(data)]))
     opened = model.opened()
