@@ -164,8 +164,9 @@ def color_legends(elements: DataFrame, reach: float = 100.0, near: float = 30.0,
     led = boxes.withColumn("p", point).join(pages.select(*PAGE, leaders.alias("found")), PAGE)
     led = led.withColumn("legend", F.element_at(F.filter("found", close(c("p"))), 1)["elem_id"]).drop("found")
     groups = led.groupBy(*PAGE, "legend").agg(F.count("*").alias("members"), F.count_distinct("color").alias("colours"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    texts = placed.where("kind = 'text'").select(*PAGE, F.struct("x", "y").alias("q"))
-    told = led.select(*PAGE, "legend", "p").join(texts, PAGE).where(square(c("p"), c("q")) < near * near).select(*PAGE, "legend").distinct()
+    texts = placed.where("kind = 'text'").select(*PAGE, F.struct("x", "y").alias("q"), *[c(k[0]).alias(f"b_{k}") for k in ("x0", "y0", "x1", "y1")])
+    around = led.select(*PAGE, "legend", "p", *[(c("p")[k[0]] + r).alias(f"a_{k}") for k, r in (("x0", -near), ("y0", -near), ("x1", near), ("y1", near))])
+    told = meeting(around, texts).where(square(c("p"), c("q")) < near * near).select(*PAGE, "legend").distinct()
     return groups.where((c("members") >= least) & (c("colours") >= least)).join(told, [*PAGE, "legend"], "left_anti")
 
 
