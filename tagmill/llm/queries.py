@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tagmill.llm import html_main, lm_trie, mixing, ngram_join, pieces, pii, quality_ordinal, quality_rules, suffix_dedup, topk
+from tagmill.llm import html_main, lexical, lm_trie, merkle, mixing, ngram_join, pieces, pii, quality_ordinal, quality_rules, sequences, suffix_dedup, topk
 from tagmill.llm.common import table
 
 QUERIES = {
@@ -17,7 +17,10 @@ QUERIES = {
     "op8_ngram_join": lambda spark, d: ngram_join.op8_ngram_join(table(spark, d, "documents")),
     "op10_lm_trie": lambda spark, d: lm_trie.op10_lm_trie(table(spark, d, "documents")),
     "op9_topk": lambda spark, d: topk.op9_topk(table(spark, d, "embeddings")),
+    "op11_merkle": lambda spark, d: merkle.op11_merkle(table(spark, d, "documents")),
+    "op12_sequences": lambda spark, d: sequences.op12_sequences(table(spark, d, "documents"), sequences.default_tokenizer()),
+    "op13_lexical": lambda spark, d: lexical.op13_lexical(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op5_html_main": html_main.ORACLE, "op9_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_html_main": html_main.ORACLE, "op9_topk": topk.ORACLE, "op13_lexical": lexical.ORACLE}
