@@ -219,13 +219,14 @@ def op11_merkle(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def kept(rdd: RDD, name: str) -> RDD:
-        rdd.saveAsPickleFile(f"{folder}/{name}")
+    def kept(rdd: RDD, name: str, level: int) -> RDD:
+        """A level has a sixteenth of the nodes of the one below, and is written by as many fewer tasks."""
+        rdd.coalesce(max(1, parts // FAN ** (level - 1))).saveAsPickleFile(f"{folder}/{name}")
         return context.pickleFile(f"{folder}/{name}")
 
     # rows that are alike in all that orders them are told apart by their number, so that no range is larger than others
     numbered = cut(leaves(docs)).withColumn("number", F.monotonically_increasing_id())
-    rows = cut(numbered.orderBy(F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), "leaf", "number").drop("number")).rdd.map(tuple)
+    rows = numbered.orderBy(F.asc_nulls_first("source"), F.asc_nulls_first("doc_id"), "leaf", "number").drop("number").rdd.map(tuple)
     places, sources, largest = placed(sorted(rows.mapPartitionsWithIndex(_extent).collect()))
     if not sources:
         return spark.createDataFrame([], schema)
@@ -234,12 +235,12 @@ def op11_merkle(docs: DataFrame) -> DataFrame:
         """The nodes of each level, written."""
         nodes = {}
         for k in range(1, levels + 1):
-            nodes[k] = kept(_gathered(messages, max(1, parts // FAN ** (k - 1))), f"{name}-{k}")
+            nodes[k] = kept(_gathered(messages, max(1, parts // FAN ** (k - 1))), f"{name}-{k}", k)
             messages = nodes[k].flatMap(_up(k))
         return nodes
 
     lower = grown(rows.mapPartitionsWithIndex(_first_messages(places)), "node", _levels(largest))
-    subroots = kept(context.union([nodes.flatMap(_roots(k)) for k, nodes in lower.items()]), "subroot")
+    subroots = kept(context.union([nodes.flatMap(_roots(k)) for k, nodes in lower.items()]), "subroot", 2)
     tops = grown(subroots.map(lambda s: ((TOP, s[0] // FAN), ([(s[0] % FAN, s[1])], s[0] == sources - 1))), "top", _levels(sources))
     root = tops[max(tops)].flatMap(_roots(max(tops))).first()[1]
 
@@ -248,13 +249,13 @@ def op11_merkle(docs: DataFrame) -> DataFrame:
 
     messages = context.parallelize([((TOP, 0), (b"", ()))], 1)
     for k in sorted(tops, reverse=True):
-        messages = kept(met(tops[k], messages, k).flatMap(_down(k == 1)), f"way-top-{k}")
+        messages = kept(met(tops[k], messages, k).flatMap(_down(k == 1)), f"way-top-{k}", k + 1)
     started = subroots.map(lambda s: ((TOP, s[0]), (s[1], s[2]))).join(messages, parts).map(lambda m: (m[1][0][1], ((m[0][1], 0), (m[1][0][0], m[1][1][1]))))
-    started = kept(started, "started")
+    started = kept(started, "started", 2)
     messages = context.parallelize([], 1)
     for k in sorted(lower, reverse=True):
         into = messages.union(started.filter(lambda m, k=k: m[0] == k).map(lambda m: m[1]))
         if k == 1:
             return spark.createDataFrame(met(lower[1], into, 1).flatMap(_results(root)), schema, verifySchema=False)
-        messages = kept(met(lower[k], into, k).flatMap(_down(False)), f"way-{k}")
+        messages = kept(met(lower[k], into, k).flatMap(_down(False)), f"way-{k}", k)
     raise AssertionError("no level")
