@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.operators import closure
+
 #: The 31 groups of checkpoints of the Matterhorn Protocol.
 GROUPS = ["Real content tagged", "Role mapping", "Flickering", "Color and contrast", "Sound", "Metadata", "Dictionary", "OCR validation", "Appropriate tags", "Character mappings", "Declared natural language", "Stretchable characters", "Graphics", "Headings", "Tables", "Lists", "Mathematical expressions", "Page headers and footers", "Notes and references", "Optional content", "Embedded files", "Article threads", "Digital signatures", "Non-interactive forms", "XFA", "Security", "Navigation", "Annotations", "Actions", "XObjects", "Fonts"]
 #: Groups whose failures are recommended for repair, in order.
@@ -56,6 +58,27 @@ WARNINGS = ["01-006", "02-002", "04-001", "06-004", "11-007", "13-008", "16-001"
 #: What a checkpoint's condition is about, where it isn't one object.
 ABOUT = {"DOC": ["06-001", "06-002", "06-003", "06-004", "07-001", "07-002", "11-006"], "PAGE": ["03-001", "08-001", "08-002"], "JS": ["03-003", "05-003", "29-001"], "ALL": ["11-007"]}
 
+#: What to do about a checkpoint, and about any other.
+ADVICE = {
+    "01-001": "Marcar el elemento como artefacto en lugar de etiquetarlo como contenido real",
+    "01-002": "Etiquetar el contenido real con la etiqueta semántica apropiada",
+    "01-005": "Marcar el contenido como artefacto o etiquetarlo como contenido real",
+    "01-006": "Cambiar el tipo de estructura a uno semánticamente apropiado para el contenido",
+    "06-001": "Añadir metadatos XMP al documento",
+    "06-002": "Añadir identificador PDF/UA (pdfuaid:part=1) a los metadatos XMP",
+    "06-003": "Añadir título al documento en los metadatos XMP",
+    "06-004": "Establecer un título descriptivo para el documento",
+    "07-001": "Añadir entrada DisplayDocTitle al diccionario ViewerPreferences",
+    "07-002": "Establecer DisplayDocTitle=true en el diccionario ViewerPreferences",
+    "11-006": "Establecer el atributo Lang en el diccionario Catalog",
+    "11-007": "Establecer un código de idioma válido (p. ej., 'es-ES', 'en-US')",
+    "13-004": "Añadir texto alternativo (Alt) a la figura",
+    "13-008": "Añadir ActualText a la figura que contiene texto",
+    "14-003": "Corregir la jerarquía de encabezados para evitar saltos de nivel",
+    "15-003": "Añadir atributo Scope a la celda de cabecera (Row o Column)",
+}
+OTHER_ADVICE = "Corregir según las especificaciones de PDF/UA"
+
 
 def checkpoints(spark) -> DataFrame:
     return spark.createDataFrame(CHECKPOINTS, "checkpoint string, title string, section string, machine boolean")
@@ -159,5 +182,20 @@ def recommendations(issues: DataFrame, structured: DataFrame, most: int = 5) ->
     return one.select("doc_id", F.posexplode(advice).alias("at", "advice")).select("doc_id", (F.col("at") + 1).alias("place"), "advice")
 
 
+def detailed(issues: DataFrame, nodes: DataFrame) -> DataFrame:
+    """issues with fix_description, and for those of an element its element_type and path, as /0:Document/2:P from the root down.
+
+    nodes: doc_id, node_id, parent_id, sib, type.
+    """
+    lines = closure.ancestors(nodes)
+    at = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("sib", "node_id")) - 1
+    steps = nodes.select("doc_id", F.col("node_id").alias("above"), F.concat(F.lit("/"), at.cast("string"), F.lit(":"), "type").alias("step"))
+    wanted = issues.where("element_id is not null").select("doc_id", F.col("element_id").alias("node_id")).distinct()
+    paths = lines.join(wanted, ["doc_id", "node_id"], "left_semi").join(steps, ["doc_id", "above"]).groupBy("doc_id", F.col("node_id").alias("element_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("up"), "step"))), lambda x: x["step"]), "").alias("path"))
+    types = nodes.select("doc_id", F.col("node_id").alias("element_id"), F.col("type").alias("element_type"))
+    advice = F.coalesce(F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])[F.col("checkpoint")], F.lit(OTHER_ADVICE))
+    return issues.join(types, ["doc_id", "element_id"], "left").join(paths, ["doc_id", "element_id"], "left").withColumn("fix_description", advice)
+
+
 def overview(issues: DataFrame) -> DataFrame:
     return issues.agg(*severity_counts(), F.count_if("fixable").alias("fixable"), F.bround(100.0 * F.count_if("fixable") / F.greatest(F.count("*"), F.lit(1)), 2).alias("fixable_percent"))

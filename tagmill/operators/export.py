@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ISSUE = "doc_id long, checkpoint string, severity string, description string, fixable boolean, page long"
@@ -26,25 +26,45 @@ def write_issues(issues: DataFrame, path: str, form: str) -> None:
         issues.write.json(path)
 
 
-def structure_xml(nodes: DataFrame) -> DataFrame:
+#: What XML doesn't hold as it is, and what stands for it.
+ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "'": "&apos;", '"': "&quot;"}
+
+
+def _escaped(text: Column) -> Column:
+    for sign, entity in ENTITIES.items():
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+
+
+def xml_lines(nodes: DataFrame, escape: bool = False) -> DataFrame:
+    """doc_id, at, line: the lines of structure_xml, sorted by at within a document; for sinks that write documents of any size."""
+    return _xml_lines(nodes, escape).select("doc_id", "x.*")
+
+
+def structure_xml(nodes: DataFrame, escape: bool = False) -> DataFrame:
     """One row per document: its tree as indented lines, as elements with their attributes and text, in reading order.
 
     nodes: doc_id, path (the places from the root down), type, text, alt, scope, lang. A
-    document is one string, so it must fit a row.
+    document is one string, so it must fit a row; xml_lines has no such bound. Texts and
+    values are written as they are, or so that any XML reader takes them, if escape is set.
     """
+    return _xml_lines(nodes, escape).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("xml"))
+
+
+def _xml_lines(nodes: DataFrame, escape: bool) -> DataFrame:
+    safe = _escaped if escape else (lambda text: text)
     pad = F.repeat(F.lit("  "), F.size("path") - 1)
     line = lambda order, words: F.struct(order.alias("at"), words.alias("line"))
     inner = lambda k: F.concat("path", F.array(F.lit(k).cast("long")))
-    attribute = lambda k, name: F.when(F.coalesce(F.col(name), F.lit("")) != "", line(inner(k), F.concat(pad, F.lit(f"  <attr name='{name}' value='"), F.col(name), F.lit("' />"))))
+    attribute = lambda k, name: F.when(F.coalesce(F.col(name), F.lit("")) != "", line(inner(k), F.concat(pad, F.lit(f"  <attr name='{name}' value='"), safe(F.col(name)), F.lit("' />"))))
     text = F.trim(F.coalesce("text", F.lit("")))
     own = F.array(
         line(F.col("path"), F.concat(pad, F.lit("<"), "type", F.lit(">"))),
         *[attribute(-4 + k, name) for k, name in enumerate(("alt", "scope", "lang"))],
-        F.when(text != "", line(inner(-1), F.concat(pad, F.lit("  <text>"), text, F.lit("</text>")))),
+        F.when(text != "", line(inner(-1), F.concat(pad, F.lit("  <text>"), safe(text), F.lit("</text>")))),
         line(inner(2**62), F.concat(pad, F.lit("</"), "type", F.lit(">"))),
     )
-    lines = nodes.select("doc_id", F.explode(F.array_compact(own)).alias("x"))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("xml"))
+    return nodes.select("doc_id", F.explode(F.array_compact(own)).alias("x"))
 
 
 def patches(before: DataFrame, after: DataFrame, key: list[str], columns: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ document) and element_id (null: none). Two rules that find the same thing give t
 rows. Frames join and group by document and node; nothing is collected.
 
 nodes: doc_id, node_id, parent_id, sib (place among its siblings), type, text, lang, page,
-alt, scope. cells: as in tables, with filled. meta: as in metadata.
+alt, scope, and actual and expansion where they are known. cells: as in tables, with
+filled. meta: as in metadata.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagmill.functions import colour
 from tagmill.functions import text as t
-from tagmill.operators import metadata, tables, tree
+from tagmill.operators import layout, metadata, tables, tree
 
 COLUMNS = ["doc_id", "checkpoint", "severity", "description", "fixable", "page", "element_id"]
 #: Types that are real content, and types whose text needs a language.
@@ -125,7 +127,7 @@ def of_languages(nodes: DataFrame, meta: DataFrame) -> DataFrame:
     lost = F.coalesce("eff_lang", "declared", F.lit("")) == ""
     found = [
         _when(c("type").isin(SPOKEN) & ~_blank(c("text")) & lost, "11-001", "error", "text without language"),
-        _when((F.coalesce("alt", F.lit("")) != "") & lost, "11-002", "error", "description without language"),
+        _when(reduce(Column.__or__, [F.coalesce(name, F.lit("")) != "" for name in ("alt", "actual", "expansion") if name in nodes.columns]) & lost, "11-002", "error", "description without language"),
         _when((F.coalesce("lang", F.lit("")) != "") & ~t.valid_language(c("lang")), "11-007", "warning", "language of an element not appropriate"),
     ]
     own = [_when(~F.coalesce("has_lang", F.lit(False)), "11-006", "error", "language cannot be told"), _when(F.coalesce("has_lang", F.lit(False)) & ~t.valid_language(c("language")), "11-007", "warning", "language not appropriate")]
@@ -145,8 +147,57 @@ def of_metadata(meta: DataFrame) -> DataFrame:
     return metadata.issues(meta).select("doc_id", "checkpoint", "severity", "description", F.lit(True).alias("fixable"), nothing("long", "page"), nothing("string", "element_id"))
 
 
-def of_tables(cells: DataFrame, captioned: DataFrame | None = None) -> DataFrame:
-    """What cells show of their tables, named by doc_id = table_id; captioned (table_id) are tables with a caption."""
+def of_untagged(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pages (doc_id, page, text) that say something, of documents (doc_id) without a tree: one finding for each page."""
+    said = pages.where(~_blank(F.col("text"))).select("doc_id", "page").distinct().join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _rows(said, [_when(F.lit(True), "11-001", "error", "untagged text without language")], F.col("page"))
+
+
+def of_contrast(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, page, element_id, text, r, g, b, br, bg, bb, size, bold, flags) that are seen and stand out too little from their ground."""
+    c = F.col
+    seen = texts.where(~_blank(c("text"))).where(F.coalesce("flags", F.lit(0)).bitwiseAND(16) == 0)
+    ratio = colour.contrast_ratio((c("r"), c("g"), c("b")), (c("br"), c("bg"), c("bb")))
+    short = F.when(F.length("text") > 30, F.concat(F.substring("text", 1, 30), F.lit("..."))).otherwise(c("text"))
+    low = seen.withColumn("text", t.stripped(c("text"))).withColumn("ratio", ratio).where(c("ratio") < colour.required_ratio(c("size"), c("bold")))
+    return _rows(low, [_when(F.lit(True), "04-001", "warning", F.concat(F.lit("low contrast: "), short))], c("page"), c("element_id"))
+
+
+def of_colours(elements: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """elements (boxes with kind, color, font, size): legends without words, and texts of one look in three colours or more.
+
+    tags (doc_id, page, elem_id, type) say what texts are tagged as; colours that share
+    no type, two of them at least, are explained by the tags.
+    """
+    legends = layout.color_legends(elements.select("doc_id", "page", "elem_id", "kind", "color", "x0", "y0", "x1", "y1"))
+    own = ["doc_id", "page", "font", "size"]
+    texts = elements.where("kind = 'text'")
+    many = texts.groupBy(*own).agg(F.count("*").alias("items"), F.count_distinct("color").alias("colours")).where("items >= 3 and colours >= 3")
+    if tags is not None:
+        typed = texts.where("color is not null").join(tags, ["doc_id", "page", "elem_id"]).select(*own, "color", "type").distinct()
+        shared = typed.groupBy(*own, "type").agg(F.count("*").alias("n")).groupBy(*own).agg((F.max("n") == 1).alias("apart"))
+        told = typed.groupBy(*own).agg(F.count_distinct("color").alias("n")).where("n >= 2").join(shared.where("apart"), own)
+        many = many.join(told, own, "left_anti")
+    say = lambda frame, words: _rows(frame, [_when(F.lit(True), "04-001", "warning", words)], F.col("page"))
+    return say(legends, "colour alone: legend without words").unionByName(say(many, "colour alone: texts of one look"))
+
+
+def of_characters(spans: DataFrame) -> DataFrame:
+    """spans (doc_id, page, text) with characters that say that a font has no mapping: controls but for white space, and those from U+FFFD."""
+    return _rows(spans.where(F.col("text").rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFD}-\\x{10FFFF}]")), [_when(F.lit(True), "10-001", "info", "characters without a mapping", False)], F.col("page"))
+
+
+def of_errors(errors: DataFrame) -> DataFrame:
+    """errors (doc_id, error): documents that could not be read as a whole."""
+    return _rows(errors, [_when(F.lit(True), "general", "error", F.concat(F.lit("error: "), "error"), False)])
+
+
+def of_tables(cells: DataFrame, captioned: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """What cells show of their tables, named by doc_id = table_id; captioned (table_id) are tables with a caption.
+
+    frames (table_id, row_id), the rows of all tables, null for a table without any, adds
+    tables without rows and rows without cells.
+    """
     c = F.col
     by_id = tables.uses_ids(cells)
     shape = tables.shape(cells).join(by_id, "table_id")
@@ -172,4 +223,10 @@ def of_tables(cells: DataFrame, captioned: DataFrame | None = None) -> DataFrame
     named = lambda frame, found: _rows(frame.withColumn("doc_id", c("table_id").cast("long")), found)
     lost = named(tables.dangling_headers(cells), [_when(F.lit(True), "15-005", "error", F.concat(F.lit("no cell "), "ref"))])
     spans = named(tables.bad_spans(cells), [_when(F.lit(True), "table-spanning", "error", F.concat("span", F.lit(" "), "problem"))])
-    return union(named(whole, table), named(one, cell), lost, spans)
+    out = union(named(whole, table), named(one, cell), lost, spans)
+    if frames is None:
+        return out
+    filled = frames.where("row_id is not null").join(cells.select("table_id", "row_id").distinct().withColumn("has", F.lit(True)), ["table_id", "row_id"], "left")
+    bare = filled.where("has is null").groupBy("table_id").agg(F.count("*").alias("n"))
+    none = frames.groupBy("table_id").agg(F.count("row_id").alias("n")).where("n = 0")
+    return union(out, named(bare, [_when(F.lit(True), "table-structure", "warning", F.concat(c("n").cast("string"), F.lit(" rows without cells")))]), named(none, [_when(F.lit(True), "table-structure", "error", "table without any row")]))

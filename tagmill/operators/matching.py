@@ -17,8 +17,8 @@ def image_figures(images: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def ambiguous_links(links: DataFrame) -> DataFrame:
-    """links (doc_id, text, dest): texts that lead to more than one destination."""
-    return links.where(F.trim("text") != "").groupBy(F.trim("text").alias("text")).agg(F.countDistinct("dest").alias("destinations"), F.count("*").alias("links")).where("destinations > 1")
+    """links (doc_id, text, dest): texts that lead to more than one destination within a document."""
+    return links.where(t.stripped(F.col("text")) != "").groupBy("doc_id", t.stripped(F.col("text")).alias("text")).agg(F.countDistinct("dest").alias("destinations"), F.count("*").alias("links")).where("destinations > 1")
 
 
 def unmatched(annotations: DataFrame, elements: DataFrame, key: list[str]) -> DataFrame:

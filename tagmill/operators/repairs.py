@@ -1,12 +1,13 @@
 """What a node should be instead: how it looks, the type that fits below its parent, the attributes that it lacks.
 
 nodes: doc_id, node_id, parent_id, sib, type, text, alt, scope. One join with the parent and
-one aggregate of the children; the rest are expressions.
+one aggregate of the children; captions are looked up below and beside; the rest are
+expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
@@ -112,19 +113,38 @@ def fitting_types(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", "node_id", "type", "fitting", valid.alias("child_type"))
 
 
+def captions(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, parent_id, sib, caption: what each caption says, its own text, else the first of its children's."""
+    said = lambda name: F.nullif(t.stripped(F.coalesce(F.col(name), F.lit(""))), F.lit(""))
+    kid = F.struct("sib", "node_id", said("text").alias("text"))
+    first = nodes.where("parent_id is not null").where(said("text").isNotNull()).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min(kid)["text"].alias("first"))
+    return nodes.where("type = 'Caption'").join(first, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "parent_id", "sib", F.coalesce(said("text"), "first").alias("caption")).where("caption is not null")
+
+
+def _captioned(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, caption: of a caption below, the first; else of one right before, else right after."""
+    told = captions(nodes)
+    below = told.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min(F.struct("sib", "node_id", "caption"))["caption"].alias("below"))
+    w = Window.partitionBy("doc_id", "parent_id").orderBy("sib", "node_id")
+    beside = nodes.where("parent_id is not null").join(told.select("doc_id", "node_id", "caption"), ["doc_id", "node_id"], "left")
+    beside = beside.withColumns({"before": F.lag("caption").over(w), "after": F.lead("caption").over(w)}).select("doc_id", "node_id", F.coalesce("before", "after").alias("beside")).where("beside is not null")
+    return below.join(beside, ["doc_id", "node_id"], "full").select("doc_id", "node_id", F.coalesce("below", "beside").alias("caption"))
+
+
 def required_attributes(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, attribute and value for figures and formulas without description, header cells without scope and notes, which have no id.
 
-    A description is made from the element's text, else from its children's, cut to 100.
+    A description is that of a caption within or beside the element; else it is made from
+    its text, else from its children's, cut to 100.
     """
     kid = F.struct("sib", "node_id", t.stripped(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     kids = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_list(kid)).alias("below"))
-    need = nodes.where("type in ('Figure', 'Formula', 'TH', 'Note')").join(kids, ["doc_id", "node_id"], "left")
+    need = nodes.where("type in ('Figure', 'Formula', 'TH', 'Note')").join(kids, ["doc_id", "node_id"], "left").join(_captioned(nodes), ["doc_id", "node_id"], "left")
     own = t.stripped(F.coalesce(F.col("text"), F.lit("")))
     said = F.array_join(F.filter(F.transform("below", lambda x: x["text"]), lambda x: x != ""), " ")
     said = F.when(F.length(said) > 100, F.concat(F.substring(said, 1, 97), F.lit("..."))).otherwise(said)
     prefix = F.when(F.col("type") == "Figure", "Imagen").otherwise("Fórmula matemática")
-    described = F.when(own != "", F.concat(prefix, F.lit(": "), own)).when(F.coalesce(said, F.lit("")) != "", F.concat(prefix, F.lit(": "), said)).otherwise(F.concat(prefix, F.lit(" (ID: "), F.col("node_id"), F.lit(")")))
+    described = F.when(F.col("caption").isNotNull(), F.col("caption")).when(own != "", F.concat(prefix, F.lit(": "), own)).when(F.coalesce(said, F.lit("")) != "", F.concat(prefix, F.lit(": "), said)).otherwise(F.concat(prefix, F.lit(" (ID: "), F.col("node_id"), F.lit(")")))
     lacks = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
     found = F.when(F.col("type").isin("Figure", "Formula") & lacks("alt"), F.struct(F.lit("alt").alias("attribute"), described.alias("value"))).when((F.col("type") == "TH") & lacks("scope"), F.struct(F.lit("scope").alias("attribute"), F.lit("Column").alias("value"))).when(F.col("type") == "Note", F.struct(F.lit("id").alias("attribute"), F.concat(F.lit("Note_"), F.col("node_id")).alias("value")))
     return need.select("doc_id", "node_id", found.alias("x")).where("x is not null").select("doc_id", "node_id", "x.*")

@@ -54,7 +54,7 @@ def header_columns(cells: DataFrame) -> DataFrame:
 
 def dangling_headers(cells: DataFrame) -> DataFrame:
     """References of headers to ids that the table doesn't hold."""
-    refs = cells.select("table_id", "cell_id", F.explode(F.filter(F.split("headers", " +"), lambda x: x != "")).alias("ref"))
+    refs = cells.select("table_id", "cell_id", F.explode(F.filter(F.split("headers", r"\s+"), lambda x: x != "")).alias("ref"))
     ids = cells.where("cell_id <> ''").select("table_id", F.col("cell_id").alias("ref"))
     return refs.join(ids, ["table_id", "ref"], "left_anti")
 

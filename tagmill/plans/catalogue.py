@@ -12,32 +12,15 @@ from tagmill.functions import colour as c
 from tagmill.functions import geometry as g
 from tagmill.functions import text as t
 from tagmill.operators import conformance, editing, export, issues, layout, lists, matching, metadata, repairs, tables, tree
+from tagmill.plans import documents  # noqa: F401 - registers its queries
 from tagmill.plans import fixtures as fx
 from tagmill.plans import sql_values as v
 from tagmill.plans.fixtures import frame
+from tagmill.plans.registry import ORACLES, QUERIES, of_many, over, table
 from tagmill.sources import pages as pg
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 K = ", ".join(fx.ORDER)
 
-
-def over(source: str, name: str, oracle: str | None = None):
-    """Registers a query of one logical input; the oracle's {s} stands for it."""
-
-    def add(f: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, d: f(frame(spark, d, source))
-        if oracle:
-            ORACLES[name] = oracle.replace("{s}", f"({fx.LINES_DUCK if source is fx.LINES_SPARK else source})")
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # ---- trees ---------------------------------------------------------------------------
 
 over(fx.HEADINGS, "heading_skip", f"select doc_id, {K}, level, expected from (select *, coalesce(max(level) over (partition by doc_id order by {K} rows between unbounded preceding and 1 preceding), 0) + 1 as expected from {{s}} h) t where level > expected")(lambda h: tree.heading_skips(h, "doc_id", fx.ORDER).select("doc_id", *fx.ORDER, "level", "expected"))
@@ -196,10 +179,11 @@ over(fx.HEADERS, "repeated_headers", f"""with recursive e as (select *, {_WORDS.
 
 QUERIES["image_figure_match"] = lambda s, d: matching.image_figures(frame(s, d, fx.IMAGES), frame(s, d, fx.FIGURES))
 ORACLES["image_figure_match"] = f"with a as (select *, row_number() over (partition by doc_id, page order by image_id desc) as k from ({fx.IMAGES}) x), b as (select *, row_number() over (partition by doc_id, page order by figure_id desc) as k from ({fx.FIGURES}) y) select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.page, b.page) as page, image_id, figure_id from a full join b on a.doc_id = b.doc_id and a.page = b.page and a.k = b.k"
-_HOST = "concat(regexp_extract(url, '^https?://([^/]+)', 1), href)"
-_LINKS = """select page_id as doc_id, text, concat(regexp_extract(url, '^https?://([^/]+)', 1), href) as dest from (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as text from pages) l"""
-QUERIES["ambiguous_links"] = lambda s, d: matching.ambiguous_links(pg.links(table(s, d, "pages")).select("text", F.expr(_HOST).alias("dest")))
-ORACLES["ambiguous_links"] = f"select trim(text) as text, count(distinct dest) as destinations, count(*) as links from ({_LINKS}) x where trim(text) <> '' group by trim(text) having count(distinct dest) > 1"
+_WHOLE = "case when regexp_like(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href else concat(regexp_extract(url, '^(https?://[^/]+)', 1), href) end"
+_LINKS = f"""select page_id as doc_id, text, {_WHOLE.replace('regexp_like', 'regexp_matches')} as dest from (select page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as text from pages) l"""
+QUERIES["ambiguous_links"] = lambda s, d: matching.ambiguous_links(pg.links(table(s, d, "pages")).select(F.col("page_id").alias("doc_id"), "text", F.expr(_WHOLE).alias("dest")))
+ORACLES["ambiguous_links"] = f"select doc_id, trim(text) as text, count(distinct dest) as destinations, count(*) as links from ({_LINKS}) x where trim(text) <> '' group by doc_id, trim(text) having count(distinct dest) > 1"
+over(fx.ADDRESSES, "ambiguous_addresses", "select doc_id, trim(text) as text, count(distinct dest) as destinations, count(*) as links from {s} x where trim(text) <> '' group by doc_id, trim(text) having count(distinct dest) > 1")(matching.ambiguous_links)
 QUERIES["unmatched_annotations"] = lambda s, d: matching.unmatched(frame(s, d, fx.IMAGES), frame(s, d, fx.FIGURES), ["doc_id", "page"])
 ORACLES["unmatched_annotations"] = f"select * from ({fx.IMAGES}) a where not exists (select 1 from ({fx.FIGURES}) f where f.doc_id = a.doc_id and f.page = a.page)"
 QUERIES["unstructured_widgets"] = lambda s, d: matching.unmatched(frame(s, d, fx.FIELDS), frame(s, d, "select distinct l_partkey as field_id from lineitem where l_quantity > 49"), ["field_id"]).select("field_id", "name", "type")
@@ -216,7 +200,11 @@ over(fx.NODES, "empty_elements", "with n as (select * from {s} x) select doc_id,
 over(fx.LOOKS, "tag_looks", f"{v.LOOKS} select doc_id, node_id, like_heading, like_figure, like_item, like_label, like_row, like_list, like_table from f")(lambda n: repairs.looks(n).select("doc_id", "node_id", "like_heading", "like_figure", "like_item", "like_label", "like_row", "like_list", "like_table"))
 over(fx.LOOKS, "tag_repair", f"{v.LOOKS}, {v.FITTING} select doc_id, node_id, type, fitting, child_type from g")(repairs.fitting_types)
 _SAID = "(select string_agg(trim(k.text), ' ' order by k.sib, k.node_id) from n k where k.doc_id = n.doc_id and k.parent_id = n.node_id and trim(k.text) <> '')"
-over(fx.LOOKS, "required_attributes", f"with n as (select * from {{s}} x), m as (select doc_id, node_id, trim(text) as own, {_SAID} as said from n where type = 'Figure' and alt = '') select doc_id, node_id, 'alt' as attribute, case when own <> '' then concat('Imagen: ', own) when said <> '' then concat('Imagen: ', case when length(said) > 100 then concat(left(said, 97), '...') else said end) else concat('Imagen (ID: ', node_id, ')') end as value from m union all select doc_id, node_id, 'scope', 'Column' from n where type = 'TH' and scope = ''")(repairs.required_attributes)
+_CAPTION = """ct as (select doc_id, parent_id, min_by(trim(text), (sib, node_id)) as first from n where trim(text) <> '' and parent_id is not null group by all),
+ ca as (select n.doc_id, n.node_id, n.parent_id, n.sib, case when trim(n.text) <> '' then trim(n.text) else ct.first end as caption from n left join ct on ct.doc_id = n.doc_id and ct.parent_id = n.node_id where n.type = 'Caption'),
+ cb as (select doc_id, parent_id as node_id, min_by(caption, (sib, node_id)) as below from ca where caption is not null group by all),
+ cs as (select doc_id, node_id, coalesce(lag(caption) over w, lead(caption) over w) as beside from (select n.doc_id, n.node_id, n.parent_id, n.sib, ca.caption from n left join ca on ca.doc_id = n.doc_id and ca.node_id = n.node_id where n.parent_id is not null) y window w as (partition by doc_id, parent_id order by sib, node_id))"""
+over(fx.CAPTIONED, "required_attributes", f"with n as (select * from {{s}} x), {_CAPTION}, m as (select n.doc_id, n.node_id, trim(n.text) as own, {_SAID} as said, coalesce(cb.below, cs.beside) as caption from n left join cb on cb.doc_id = n.doc_id and cb.node_id = n.node_id left join cs on cs.doc_id = n.doc_id and cs.node_id = n.node_id where n.type = 'Figure' and n.alt = '') select doc_id, node_id, 'alt' as attribute, case when caption is not null then caption when own <> '' then concat('Imagen: ', own) when said <> '' then concat('Imagen: ', case when length(said) > 100 then concat(left(said, 97), '...') else said end) else concat('Imagen (ID: ', node_id, ')') end as value from m union all select doc_id, node_id, 'scope', 'Column' from n where type = 'TH' and scope = ''")(repairs.required_attributes)
 _BESIDE = "with s as (select *, lead(elem_id) over w as b_id, lead(x0) over w as bx0, lead(y0) over w as by0, lead(x1) over w as bx1, lead(y1) over w as by1 from {s} x window w as (partition by doc_id, page order by elem_id)) select doc_id, elem_id, b_id, abs((y0 + y1) / 2 - (by0 + by1) / 2) <= 3 as beside, abs((x0 + x1) / 2 - (bx0 + bx1) / 2) <= 3 as below, case when greatest(x0, bx0) >= least(x1, bx1) or greatest(y0, by0) >= least(y1, by1) then 0 else greatest(x0, bx0) end as left_side, case when greatest(x0, bx0) >= least(x1, bx1) or greatest(y0, by0) >= least(y1, by1) then 0 else least(y1, by1) end as bottom from s where b_id is not null"
 
 
@@ -242,12 +230,23 @@ over(fx.COLOURS, "accessible_colors")(lambda x: x.withColumn("need", c.required_
 # ---- issues --------------------------------------------------------------------------
 
 
-_BAGS: dict[tuple[str, str], str] = {}
+_BAGS: dict[tuple, str] = {}
+
+
+def _stamps(spark: SparkSession, d: str) -> tuple:
+    """Name, size and time of all files below a folder: what is kept of it holds as long as these."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def _bag(spark: SparkSession, d: str) -> DataFrame:
-    """The bag as a written table: the rules run once in a session for each folder, and every report reads what they found."""
-    key = spark.sparkContext.applicationId, d
+    """The bag as a written table: the rules run once in a session for the files of a folder as they are, and every report reads what they found."""
+    key = spark.sparkContext.applicationId, d, _stamps(spark, d)
     if key not in _BAGS:
         path = f"{tree.shared_folder(spark)}/issues-{uuid.uuid4().hex}"
         _found(spark, d).write.parquet(path)
@@ -257,13 +256,34 @@ def _bag(spark: SparkSession, d: str) -> DataFrame:
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
     """What the rules find in all logical inputs."""
-    nodes, meta = frame(spark, d, fx.NODES), frame(spark, d, fx.META)
-    return issues.union(issues.of_structure(nodes), issues.of_languages(nodes, meta), issues.of_headings(frame(spark, d, fx.HEADINGS).withColumn("text", F.lit("x")).withColumn("element_id", F.lit(None).cast("string")), fx.ORDER), issues.of_tables(frame(spark, d, fx.CELLS)), issues.of_metadata(meta))
+    of = lambda sql: frame(spark, d, sql)
+    nodes, meta = of(fx.TALKING), of(fx.META)
+    return issues.union(
+        issues.of_structure(nodes, meta.select("doc_id")),
+        issues.of_languages(nodes, meta),
+        issues.of_annotations(of(fx.ANNOTATIONS), of(fx.OUTLINES), meta),
+        issues.of_untagged(of(fx.UNTAGGED), of(fx.WITHOUT_TREE)),
+        issues.of_headings(of(fx.HEADINGS).withColumn("text", F.lit("x")).withColumn("element_id", F.lit(None).cast("string")), fx.ORDER),
+        issues.of_tables(of(fx.CELLS), frames=of(fx.FRAMES)),
+        issues.of_contrast(of(fx.SEEN)),
+        issues.of_colours(of(fx.STYLED), of(fx.TAGGED)),
+        issues.of_characters(of(fx.GLYPHS)),
+        issues.of_errors(pg.load_errors(table(spark, d, "pages"))),
+        issues.of_metadata(meta),
+    )
 
 
 _STRUCTURE = [v.node_issues(fx.NODES), v.tree_issues(fx.NODES), v.heading_issues(v.headings_of(fx.NODES), "path")]
 _HEADINGS = v.heading_issues(f"select *, 'x' as text, cast(null as varchar) as element_id from ({fx.HEADINGS}) q", K)
-_BAG = " union all ".join(f"select * from ({x}) q" for x in [*_STRUCTURE, v.language_issues(fx.NODES, fx.META), _HEADINGS, v.table_issues(fx.CELLS), v.metadata_issues(fx.META)])
+_LEGENDS = ORACLES["color_legends"].replace(f"({fx.SWATCHES})", f"({fx.STYLED})")
+_CONTRAST = v.contrast_issues(fx.SEEN, _R, _NEED)
+_COLOURS = v.colour_issues(fx.STYLED, fx.TAGGED, _LEGENDS)
+_FRAMES = v.frame_issues(fx.FRAMES, fx.CELLS)
+_UNTAGGED = v.untagged_issues(fx.UNTAGGED, fx.WITHOUT_TREE)
+_BAG = " union all ".join(
+    f"select * from ({x}) q"
+    for x in [*_STRUCTURE, v.bare_issues("select doc_id from documents", fx.NODES), v.language_issues(fx.TALKING, fx.META), v.annotation_issues(fx.ANNOTATIONS, fx.OUTLINES, fx.META), _UNTAGGED, _HEADINGS, v.table_issues(fx.CELLS), _FRAMES, _CONTRAST, _COLOURS, v.character_issues(fx.GLYPHS), v.metadata_issues(fx.META)]
+)
 
 
 def of_bag(name: str, oracle: str | None = None):
@@ -279,15 +299,23 @@ def of_bag(name: str, oracle: str | None = None):
 
 
 over(fx.NODES, "structure_issues", " union all ".join(f"select * from ({x}) q" for x in _STRUCTURE))(issues.of_structure)
-QUERIES["language_issues"] = lambda s, d: issues.of_languages(frame(s, d, fx.NODES), frame(s, d, fx.META))
-ORACLES["language_issues"] = v.language_issues(fx.NODES, fx.META)
+QUERIES["language_issues"] = lambda s, d: issues.of_languages(frame(s, d, fx.TALKING), frame(s, d, fx.META))
+ORACLES["language_issues"] = v.language_issues(fx.TALKING, fx.META)
 QUERIES["annotation_language_issues"] = lambda s, d: issues.of_annotations(frame(s, d, fx.ANNOTATIONS), frame(s, d, fx.OUTLINES), frame(s, d, fx.META))
 ORACLES["annotation_language_issues"] = v.annotation_issues(fx.ANNOTATIONS, fx.OUTLINES, fx.META)
 over(fx.CELLS, "table_issues", v.table_issues(fx.CELLS))(issues.of_tables)
+of_many({"cells": fx.CELLS, "frames": fx.FRAMES}, "table_frame_issues", f"select * from ({v.table_issues(fx.CELLS)}) a union all select * from ({_FRAMES}) b")(lambda cells, frames: issues.of_tables(cells, frames=frames))
+over(fx.SEEN, "contrast_warnings", _CONTRAST)(issues.of_contrast)
+of_many({"elements": fx.STYLED, "tags": fx.TAGGED}, "colour_meaning", _COLOURS)(issues.of_colours)
+over(fx.GLYPHS, "character_issues", v.character_issues(fx.GLYPHS))(issues.of_characters)
+of_many({"pages": fx.UNTAGGED, "documents": fx.WITHOUT_TREE}, "untagged_texts", _UNTAGGED)(issues.of_untagged)
 over(fx.HEADINGS, "heading_issues", _HEADINGS)(lambda h: issues.of_headings(h.withColumn("text", F.lit("x")).withColumn("element_id", F.lit(None).cast("string")), fx.ORDER))
 QUERIES["unstructured_documents"] = lambda s, d: issues.of_trees(frame(s, d, fx.NODES), frame(s, d, fx.META).select("doc_id")).where("description = 'no structure'").select("doc_id", "checkpoint", "severity")
 ORACLES["unstructured_documents"] = f"select doc_id, '01-005' as checkpoint, 'error' as severity from documents where doc_id not in (select doc_id from ({fx.NODES}) n)"
 
+_STEPS = f"with recursive n as (select *, row_number() over (partition by doc_id, parent_id order by sib, node_id) - 1 as k from ({fx.NODES}) q), t as (select doc_id, node_id, type, concat('/', k, ':', type) as path from n where parent_id is null union all select n.doc_id, n.node_id, n.type, concat(t.path, '/', n.k, ':', n.type) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id), adv(c, a) as (values {', '.join(f"('{k}', '{a.replace(chr(39), chr(39) * 2)}')" for k, a in conformance.ADVICE.items())})"
+over(fx.NODES, "issue_details", f"{_STEPS} select i.*, t.type as element_type, t.path, coalesce(a, 'Corregir según las especificaciones de PDF/UA') as fix_description from ({' union all '.join(f'select * from ({x}) q' for x in _STRUCTURE)}) i left join t on t.doc_id = i.doc_id and t.node_id = i.element_id left join adv on adv.c = i.checkpoint")(lambda n: conformance.detailed(issues.of_structure(n), n))
+
 # ---- conformance ---------------------------------------------------------------------
 
 _CAT = "case when contains(checkpoint, '-') then split_part(checkpoint, '-', 1) else '00' end"

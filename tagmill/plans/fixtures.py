@@ -98,6 +98,61 @@ EDITS = f"select l_orderkey as doc_id, concat('n', cast(l_suppkey % 3 as string)
 LOOKS = NODES.replace("n_name, case", "case n_nationkey % 3 when 0 then '1.2 On nations:' when 1 then 'A figure of a nation' else n_name end, case").replace("case when c_custkey % 6 = 0 then ' ' else c_name end", "case c_custkey % 9 when 0 then '' when 1 then '- an item' when 2 then 'b) ' when 3 then '12.' when 4 then 'diagram 4' when 5 then 'A sentence of some length that goes on and on and ends here.' else c_name end")
 LINKS = "select doc_id, annot_id, has_objr, alt from (select p_partkey % 300 as doc_id, p_partkey as annot_id, p_partkey % 4 = 0 as has_objr, case when p_partkey % 5 = 0 then 'x' else '' end as alt, p_partkey % 7 as k from part) e where k > 1"
 
+#: The lines of orders, numbered within their order.
+_NUMBERED = f"select l.*, o_custkey, row_number() over (partition by l_orderkey order by {KEY}) as rn from lineitem l join orders on l_orderkey = o_orderkey"
+#: Trees of many documents, a customer's each: orders, their lines, and parts of lines.
+TREES = f"""
+select distinct o_custkey as doc_id, concat('d', cast(o_custkey as string)) as node_id, cast(null as string) as parent_id, cast(0 as bigint) as place, 'Document' as type, cast(null as bigint) as page, '' as actual, '' as alt, '' as expansion from orders
+union all select o_custkey, concat('o', cast(o_orderkey as string)), concat('d', cast(o_custkey as string)), o_orderkey, case o_orderkey % 6 when 0 then 'Sect' when 1 then 'P' when 2 then 'Figure' when 3 then 'Span' when 4 then 'LI' else 'Div' end, case when o_orderkey % 4 = 0 then null else o_orderkey % 3 end,
+  case when o_orderkey % 11 = 0 then ' said  instead ' when o_orderkey % 7 = 0 then '  ' else '' end, case when o_orderkey % 5 = 0 then 'a picture' else '' end, case when o_orderkey % 13 = 0 then 'in full' else '' end from orders
+union all select o_custkey, concat('l', cast(l_orderkey as string), '-', cast(rn as string)), concat('o', cast(l_orderkey as string)), rn, case l_partkey % 4 when 0 then 'P' when 1 then 'Figure' when 2 then 'TD' else 'Span' end, case when l_suppkey % 3 = 0 then l_suppkey % 2 else null end,
+  '', case when l_partkey % 10 = 1 then 'drawn' else '' end, case when l_partkey % 17 = 0 then 'spelled  out' else '' end from ({_NUMBERED}) a where l_partkey % 3 <> 0
+union all select o_custkey, concat('e', cast(l_orderkey as string), '-', cast(rn as string)), concat('l', cast(l_orderkey as string), '-', cast(rn as string)), cast(1 as bigint), 'Span', cast(null as bigint), case when l_suppkey % 22 = 0 then 'short' else '' end, '', '' from ({_NUMBERED}) b where l_partkey % 3 <> 0 and l_suppkey % 2 = 0
+"""
+#: What they hold beside elements, and what is drawn on their pages.
+ITEMS = f"""
+select o_custkey as doc_id, concat('o', cast(l_orderkey as string)) as node_id, cast(rn as bigint) as place, case when l_partkey % 2 = 0 then concat(' word', cast(l_partkey % 100 as string), '  ') else cast(null as string) end as text, case when l_partkey % 2 = 0 then null else cast(l_suppkey % 20 as bigint) end as mcid from ({_NUMBERED}) a where l_partkey % 3 = 0
+union all select o_custkey, concat('l', cast(l_orderkey as string), '-', cast(rn as string)), cast(0 as bigint), null, cast(l_suppkey % 20 as bigint) from ({_NUMBERED}) b where l_partkey % 3 <> 0
+union all select o_custkey, concat('e', cast(l_orderkey as string), '-', cast(rn as string)), cast(0 as bigint), case when l_suppkey % 4 = 0 then '' else concat(l_returnflag, 'x') end, null from ({_NUMBERED}) c where l_partkey % 3 <> 0 and l_suppkey % 2 = 0
+"""
+MARKS = f"select o_custkey as doc_id, cast(l_linenumber % 3 as bigint) as page, cast(l_suppkey % 21 - 1 as bigint) as mcid, cast(l_orderkey * 100 + rn as bigint) as seq, concat('m', cast(l_partkey % 50 as string)) as text from ({_NUMBERED}) a where l_quantity > 10"
+
+#: Blocks of pages and lines of lists, in order.
+BLOCKS = f"""
+select doc_id, page, seq, kind, case kind when 'L' then concat(case p % 3 when 0 then concat(cast(seq as string), '. ') when 1 then '- ' else 'iv) ' end, 'item ', cast(p as string)) when 'Table' then concat('one  ', cast(p as string), ' |two', case when p % 2 = 0 then '   ' else ' | three' end) else concat('words ', cast(p as string)) end as text
+from (select cast(floor(l_orderkey / 16) as bigint) as doc_id, cast(floor(l_orderkey / 4) as bigint) % 4 as page, row_number() over (partition by cast(floor(l_orderkey / 16) as bigint) order by l_orderkey, {KEY}) as seq, case l_partkey % 7 when 0 then 'L' when 1 then 'L' when 2 then 'Table' when 3 then 'Table' when 4 then concat('H', cast(l_suppkey % 6 + 1 as string)) when 5 then 'P' else 'Figure' end as kind, l_partkey as p from lineitem) t
+"""
+INDENTED = f"select cast(floor(l_orderkey / 16) as bigint) as doc_id, cast(0 as bigint) as page, row_number() over (partition by cast(floor(l_orderkey / 16) as bigint) order by l_orderkey, {KEY}) as seq, concat(repeat('  ', cast(l_suppkey % 4 as int)), case l_partkey % 5 when 0 then '- ' when 1 then '2. ' when 2 then 'a) ' when 3 then '* ' else case when l_linenumber % 3 = 0 then '' else 'x] ' end end, 'w', cast(l_partkey as string)) as text from lineitem"
+
+#: Drawn lines and texts of pages that hold tables or nearly do.
+DRAWN = f"""
+select cast(floor(l_orderkey / 4) as bigint) as doc_id, cast(0 as bigint) as page, row_number() over (partition by cast(floor(l_orderkey / 4) as bigint) order by l_orderkey, {KEY}) as line_id,
+  cast(case when l_linenumber % 2 = 1 then 5 * (l_partkey % 3) else 40 * (l_partkey % 3) + l_suppkey % 2 end as double) as x0, cast(case when l_linenumber % 2 = 1 then 30 * (l_suppkey % 3) + l_partkey % 2 else 5 * (l_suppkey % 2) end as double) as y0,
+  cast(case when l_linenumber % 2 = 1 then case when l_partkey % 13 = 0 then 20 else 100 - l_suppkey % 2 * 30 end else 40 * (l_partkey % 3) + l_suppkey % 2 + case when l_partkey % 17 = 0 then 9 else 0 end end as double) as x1, cast(case when l_linenumber % 2 = 1 then 30 * (l_suppkey % 3) + l_partkey % 2 + 1 else 80 end as double) as y1
+from lineitem
+"""
+PRINTED = f"""
+select cast(floor(l_orderkey / 4) as bigint) as doc_id, cast(0 as bigint) as page, l_orderkey as line_id, row_number() over (partition by l_orderkey order by {KEY}) as span_id,
+  cast(45 * (l_linenumber % 3) + l_partkey % 4 as double) as x0, cast(18 * (l_orderkey % 4) + case when l_orderkey % 12 > 6 then 40 else 0 end as double) as y0, cast(45 * (l_linenumber % 3) + l_partkey % 4 + 30 as double) as x1, cast(18 * (l_orderkey % 4) + case when l_orderkey % 12 > 6 then 40 else 0 end + 9 + l_suppkey % 2 as double) as y1, case when l_partkey % 7 = 0 then ' ' else l_returnflag end as text
+from lineitem
+"""
+
+#: Links of documents with the addresses that they lead to.
+ADDRESSES = "select l_orderkey as doc_id, case when l_partkey % 5 = 0 then ' ' else concat(' part ', cast(l_linenumber % 2 as string), ' ') end as text, case when l_suppkey % 2 = 0 then 'https://a.example/x' else concat('https://a.example/', cast(l_suppkey % 4 as string)) end as dest from lineitem"
+#: Nodes with all that they may say.
+TALKING = f"select *, case when node_id like '%7' then 'said' else '' end as actual, case when node_id like '%3' then 'full' else '' end as expansion from ({NODES}) t"
+#: Nodes with captions within and beside figures.
+CAPTIONED = LOOKS.replace("when 1 then 'LBody'", "when 1 then 'Caption'").replace("when 2 then 'Span'", "when 2 then 'Figure'").replace("when 3 then 'TR'", "when 3 then 'Caption'")
+#: Texts as they are seen, and boxes with the looks of texts and what they are tagged as.
+SEEN = f"select *, cast(l_linenumber % 3 as bigint) as page, cast(null as string) as element_id, case when l_partkey % 19 = 0 then ' ' else concat(' number ', cast(l_partkey as string), ' of a text of some ', cast(l_suppkey * 1000 as string)) end as text, cast(case when l_suppkey % 10 = 0 then 16 else 4 end as int) as flags from ({COLOURS}) t"
+STYLED = f"select *, concat('f', cast(elem_id % 2 as string)) as font, cast(8 + elem_id % 2 as bigint) as size from ({SWATCHES}) t"
+TAGGED = f"select doc_id, page, elem_id, case when doc_id % 2 = 0 then concat('T', cast(color as string)) else 'P' end as type from ({SWATCHES}) t where kind = 'text' and doc_id % 3 > 0"
+#: The rows of tables, some without cells, and tables without rows.
+FRAMES = "select distinct l_orderkey as table_id, l_suppkey % 3 as row_id from lineitem union all select o_orderkey, cast(7 as bigint) from orders where o_orderkey % 5 = 0 union all select o_orderkey + 1000000000, cast(null as bigint) from orders where o_orderkey % 9 = 0"
+UNTAGGED = "select doc_id, doc_id % 3 as page, case when doc_id % 7 = 0 then ' ' else text end as text from documents"
+WITHOUT_TREE = "select doc_id from documents where doc_id % 3 = 0"
+GLYPHS = f"select l_orderkey as doc_id, cast(l_linenumber % 3 as bigint) as page, case when l_partkey % 23 = 0 then 'a\ufffd' when l_partkey % 29 = 0 then '\x01b' when l_partkey % 31 = 0 then '\U0001f600' else l_returnflag end as text from lineitem"
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""

@@ -116,7 +116,7 @@ def language_issues(nodes: str, meta: str) -> str:
     walk = f"nn as (select * from ({nodes}) q), mm as (select * from ({meta}) q), t as (select doc_id, node_id, nullif(lang, '') as eff from nn where parent_id is null union all select n.doc_id, n.node_id, coalesce(nullif(n.lang, ''), t.eff) from nn n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id), x as (select n.*, coalesce(t.eff, m.language, '') = '' as lost from nn n join t on t.doc_id = n.doc_id and t.node_id = n.node_id left join mm m on m.doc_id = n.doc_id)"
     rules = [
         ("type in ('P', 'Span', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6') and trim(text) <> '' and lost", _say("11-001", "error", "'text without language'")),
-        ("alt <> '' and lost", _say("11-002", "error", "'description without language'")),
+        ("(alt <> '' or actual <> '' or expansion <> '') and lost", _say("11-002", "error", "'description without language'")),
         (f"lang <> '' and not {VALID.format('lang')}", _say("11-007", "warning", "'language of an element not appropriate'")),
     ]
     own = [("not has_lang", _say("11-006", "error", "'language cannot be told'")), (f"has_lang and not {VALID.format('language')}", _say("11-007", "warning", "'language not appropriate'"))]
@@ -162,7 +162,7 @@ def metadata_issues(meta: str) -> str:
 
 
 SHAPE = "rr as (select table_id, row_id, count(*) as cells, count(*) filter (where kind = 'TH') as heads, count(*) filter (where colspan <> '' or rowspan <> '') as spans from ss group by table_id, row_id), sh as (select table_id, count(*) as n_rows, max(cells) as max_cols, min(cells) as min_cols, count(*) filter (where heads > 0.5 * cells) as header_rows, cast(sum(spans) as bigint) as spans from rr group by table_id), sx as (select *, (n_rows > 3 and max_cols > 3) or header_rows > 1 or spans > 0 as complex from sh)"
-DANGLING = "dd as (select table_id, cell_id, unnest(list_filter(string_split(headers, ' '), lambda v: v <> '')) as ref from ss), dx as (select * from dd where not exists (select 1 from ss where ss.table_id = dd.table_id and ss.cell_id = dd.ref))"
+DANGLING = "dd as (select table_id, cell_id, unnest(list_filter(regexp_split_to_array(headers, '\\s+'), lambda v: v <> '')) as ref from ss), dx as (select * from dd where not exists (select 1 from ss where ss.table_id = dd.table_id and ss.cell_id = dd.ref))"
 SPANS = "pp as (select ss.table_id, row_id, col, span, value, case when try_cast(value as integer) is null then 'not a number' when try_cast(value as integer) <= 0 then 'not positive' when try_cast(value as integer) > most then 'too wide' end as problem from (select ss.table_id, row_id, col, 'colspan' as span, colspan as value, max_cols as most from ss join sx using (table_id) union all select ss.table_id, row_id, col, 'rowspan', rowspan, n_rows from ss join sx using (table_id)) ss where value <> '')"
 BY_ID = "bb as (select table_id, bool_or(headers <> '' or cell_id <> '') as by_id from ss group by table_id)"
 
@@ -196,6 +196,35 @@ NAMES = "h[0-9]=H1 head=H1 title=H1 heading=H1 subtitle=H2 chap=H1 sect=Sect par
 BY_NAME = f"case {' '.join(f'when regexp_matches(lower(name), {chr(39)}^{p}{chr(39)}) then {chr(39)}{k}{chr(39)}' for p, k in (x.split('=') for x in NAMES.split()))} else 'P' end"
 
 
+def frame_issues(frames: str, cells: str) -> str:
+    """Rows without cells and tables without rows."""
+    return f"with ff as (select * from ({frames}) q), cc as (select distinct table_id, row_id from ({cells}) q) select table_id as doc_id, {_say('table-structure', 'warning', 'concat(count(*), ' + repr(' rows without cells') + ')')}, {_NONE} from ff where row_id is not null and (table_id, row_id) not in (select (table_id, row_id) from cc) group by table_id union all select table_id, {_say('table-structure', 'error', repr('table without any row'))}, {_NONE} from ff group by table_id having count(row_id) = 0"
+
+
+def untagged_issues(pages: str, documents: str) -> str:
+    return f"select distinct doc_id, {_say('11-001', 'error', repr('untagged text without language'))}, page, cast(null as varchar) as element_id from ({pages}) q where trim(text) <> '' and doc_id in (select doc_id from ({documents}) d)"
+
+
+def bare_issues(documents: str, nodes: str) -> str:
+    return f"select doc_id, {_say('01-005', 'error', repr('no structure'))}, {_NONE} from ({documents}) d where doc_id not in (select doc_id from ({nodes}) n)"
+
+
+def contrast_issues(texts: str, ratio: str, need: str) -> str:
+    short = "case when length(trim(text)) > 30 then concat(left(trim(text), 30), '...') else trim(text) end"
+    return f"select doc_id, {_say('04-001', 'warning', 'concat(' + repr('low contrast: ') + ', ' + short + ')')}, page, element_id from ({texts}) q where trim(text) <> '' and flags & 16 = 0 and {ratio} < {need}"
+
+
+def colour_issues(elements: str, tags: str, legends: str) -> str:
+    """legends: the SQL of legends without words over elements."""
+    own = "doc_id, page, font, size"
+    many = f"with ee as (select *, row_number() over (order by {own}) as z from ({elements}) q where kind = 'text'), mm as (select {own} from ee group by {own} having count(*) >= 3 and count(distinct color) >= 3), ty as (select distinct e.doc_id, e.page, e.font, e.size, e.color, t.type from ee e join ({tags}) t on t.doc_id = e.doc_id and t.page = e.page and t.elem_id = e.elem_id where color is not null), ok as (select {own} from ty a group by {own} having count(distinct color) >= 2 and count(distinct type) = count(*))"
+    return f"select * from ({many} select doc_id, {_say('04-001', 'warning', repr('colour alone: texts of one look'))}, page, cast(null as varchar) as element_id from mm where ({own}) not in (select ({own}) from ok)) c1 union all select doc_id, {_say('04-001', 'warning', repr('colour alone: legend without words'))}, page, cast(null as varchar) as element_id from ({legends}) c2"
+
+
+def character_issues(spans: str) -> str:
+    return f"select doc_id, {_say('10-001', 'info', repr('characters without a mapping'), 'false')}, page, cast(null as varchar) as element_id from ({spans}) q where regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFD}}-\\x{{10FFFF}}]')"
+
+
 def count_of(pattern: str, column: str = "lo") -> str:
     return f"cast((length({column}) - length(replace({column}, '{pattern}', ''))) / {len(pattern)} as bigint)"
 

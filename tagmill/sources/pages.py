@@ -44,7 +44,7 @@ class _Tree(HTMLParser):
                     break
                 if kind in ("Sect", "Div", "L", "Document"):
                     break
-        self.rows.append([len(self.rows), self.open[-1] if self.open else None, TYPES[tag], "", dict(attrs).get("lang") or ""])
+        self.rows.append([len(self.rows), self.open[-1] if self.open else None, TYPES[tag], [], dict(attrs).get("lang") or ""])
         if tag != "img":
             self.open.append(len(self.rows) - 1)
 
@@ -58,20 +58,39 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.open and not self.hidden and data.strip():
-            self.rows[self.open[-1]][3] += data
+            self.rows[self.open[-1]][3].append(data)
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """doc_id, node_id (its place in the page), parent_id, type, text, lang; a page that can't be parsed gives the nodes before the fault."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """doc_id, node_id (its place in the page), parent_id, type, text, lang, error.
+
+    A page that can't be parsed gives the nodes before the fault and one row that has the
+    error alone; no page keeps another from being read.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for page_id, html in zip(f["page_id"], f["html"], strict=True):
-                tree = _Tree()
-                tree.feed(html or "")
-                tree.close()
-                out += [(page_id, *r) for r in tree.rows]
-            yield pd.DataFrame(out, columns=["doc_id", "node_id", "parent_id", "type", "text", "lang"]).astype({"parent_id": "Int64"})
+                tree, error = _Tree(), None
+                try:
+                    tree.feed(html or "")
+                    tree.close()
+                except Exception as fault:  # the parser asserts on some malformed declarations
+                    error = f"{type(fault).__name__}: {fault}"
+                out += [(page_id, k, up, kind, "".join(text), lang, None) for k, up, kind, text, lang in tree.rows]
+                if error:
+                    out.append((page_id, None, None, None, None, None, error))
+            yield pd.DataFrame(out, columns=["doc_id", "node_id", "parent_id", "type", "text", "lang", "error"]).astype({"node_id": "Int64", "parent_id": "Int64"})
+
+    return pages.select("page_id", "html").mapInPandas(parse, "doc_id long, node_id long, parent_id long, type string, text string, lang string, error string")
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    """doc_id, node_id, parent_id, type, text, lang of all pages, as far as they can be parsed."""
+    return parsed(pages).where("error is null").drop("error")
+
 
-    return pages.select("page_id", "html").mapInPandas(parse, "doc_id long, node_id long, parent_id long, type string, text string, lang string")
+def load_errors(pages: DataFrame) -> DataFrame:
+    """doc_id, error of the pages that can't be parsed to their end."""
+    return parsed(pages).where("error is not null").select("doc_id", "error")
