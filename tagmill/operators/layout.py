@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import geometry as g
+from tagmill.operators.tree import _cut
 
 PAGE = ["doc_id", "page"]
 
@@ -171,11 +172,41 @@ def color_legends(elements: DataFrame, reach: float = 100.0, near: float = 30.0,
 
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each box of points the nearest of targets on its page; the smaller id wins a tie."""
-    a, b = _sided(points, "a_"), _sided(targets, "b_")
-    gap = g.distance(g.rect("a_"), g.rect("b_"))
-    pick = F.min(F.struct(gap.alias("distance"), F.col("b_elem_id").alias("near_id"))).alias("best")
-    return a.join(b, PAGE).where("a_elem_id <> b_elem_id").groupBy(*PAGE, F.col("a_elem_id").alias("elem_id")).agg(pick).select(*PAGE, "elem_id", "best.near_id", "best.distance")
+    """For each box of points the nearest of targets on its page, but not itself; the smaller id wins a tie.
+
+    Rings that double: each box looks for targets within a reach, at first the mean space
+    between a page's targets, through the cells of meeting(); what is found within the reach
+    is nearest, and boxes that found nothing so near look twice as far. So a page is never
+    compared with itself, and a round is one join of near boxes.
+    """
+    b = _sided(targets, "b_").dropna(subset=["b_x0", "b_y0", "b_x1", "b_y1"])
+    c = F.col
+    pages = b.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sqrt((F.max("b_x1") - F.min("b_x0")) * (F.max("b_y1") - F.min("b_y0")) / F.count("*")).alias("space"))
+    own = b.select(*PAGE, c("b_elem_id").alias("elem_id"), F.lit(1).alias("self"))
+    left = points.select(*PAGE, "elem_id", *[c(k).alias(f"p_{k}") for k in ("x0", "y0", "x1", "y1")]).dropna(subset=["p_x0", "p_y0", "p_x1", "p_y1"])
+    left = left.join(pages, PAGE).join(own, [*PAGE, "elem_id"], "left").where(c("n") > F.coalesce("self", F.lit(0)))
+    left = _cut(left.withColumn("reach", F.greatest("space", F.lit(1.0))).drop("n", "space", "self"))
+    out = None
+    while out is None or not left.isEmpty():
+        sides = {"a_x0": c("p_x0") - c("reach"), "a_y0": c("p_y0") - c("reach"), "a_x1": c("p_x1") + c("reach"), "a_y1": c("p_y1") + c("reach")}
+        met = meeting(left.withColumns(sides), b).where("elem_id <> b_elem_id")
+        pick = F.min(F.struct(g.distance(g.rect("p_"), g.rect("b_")).alias("distance"), c("b_elem_id").alias("near_id"))).alias("best")
+        found = _cut(met.groupBy(*PAGE, "elem_id", "reach").agg(pick).where("best.distance <= reach").select(*PAGE, "elem_id", "best.near_id", "best.distance"))
+        out = found if out is None else out.unionByName(found)
+        left = _cut(left.join(found, [*PAGE, "elem_id"], "left_anti").withColumn("reach", c("reach") * 2))
+    return out
+
+
+def near_content(annotations: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, page, elem_id, text, near_id, distance: what texts (boxes with text) an annotation covers, in their order; where it covers none, the nearest text."""
+    a, b = _sided(annotations, "a_"), _sided(texts, "b_")
+    words = texts.select(*PAGE, F.col("elem_id").alias("b_elem_id"), "text")
+    said = meeting(a, b).join(words, [*PAGE, "b_elem_id"]).groupBy(*PAGE, F.col("a_elem_id").alias("elem_id")).agg(F.sort_array(F.collect_list(F.struct("b_elem_id", "text"))).alias("x"))
+    covered = _cut(said.select(*PAGE, "elem_id", F.array_join(F.transform("x", lambda x: x["text"]), " ").alias("text"), F.col("x")[0]["b_elem_id"].alias("near_id"), F.lit(0.0).alias("distance")))
+    alone = annotations.join(covered, [*PAGE, "elem_id"], "left_anti")
+    # texts and annotations may share ids, but no annotation is its own nearest text
+    near = nearest(alone.withColumn("elem_id", -F.col("elem_id") - 1), texts).withColumn("elem_id", -F.col("elem_id") - 1)
+    return covered.unionByName(near.join(texts.select(*PAGE, F.col("elem_id").alias("near_id"), "text"), [*PAGE, "near_id"]).select(*covered.columns))
 
 
 def hit(points: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tagmill.functions import text as t
 from tagmill.operators import conformance, editing, export, issues, layout, lists, matching, metadata, repairs, tables, tree
 from tagmill.plans import documents  # noqa: F401 - registers its queries
 from tagmill.plans import fixtures as fx
+from tagmill.plans import ordering
 from tagmill.plans import sql_values as v
 from tagmill.plans.fixtures import frame
 from tagmill.plans.registry import ORACLES, QUERIES, of_many, over, table
@@ -219,6 +220,7 @@ over(fx.BOXES, "bbox_alignment", _BESIDE)(_beside)
 over(fx.BOXES, "bbox_normalised", "select doc_id, elem_id, round(x0 / 120, 9) as x0, round(y0 / 60, 9) as y0, round(x1 / 120, 9) as x1, round(y1 / 60, 9) as y1, (x1 - x0) * (y1 - y0) / 7200 > 0.8 or ((x1 - x0) * (y1 - y0) / 7200 > 0.1 and abs((x0 + x1) / 2 - 60) < 24 and abs((y0 + y1) / 2 - 30) < 12) as background from {s} x")(lambda b: b.select("doc_id", "elem_id", *[F.round(x, 9).alias(n) for x, n in zip(g.normalised(g.rect(), F.lit(120.0), F.lit(60.0)), ("x0", "y0", "x1", "y1"), strict=True)], g.is_background(g.rect(), F.lit(120.0), F.lit(60.0)).alias("background")))
 over(fx.SWATCHES, "line_tolerance", "select doc_id, page, round(coalesce(greatest(3, avg(y1 - y0) filter (where kind = 'text' and y1 > y0) * 0.67), 10), 6) as tolerance from {s} x group by doc_id, page")(lambda b: layout.line_tolerance(b).withColumn("tolerance", F.round("tolerance", 6)))
 over(fx.BOXES, "detected_columns", "with recursive s as (select * from {s} x), v as (select doc_id, page, x0, row_number() over (partition by doc_id, page order by x0, elem_id) as i from s), t as (select doc_id, page, x0, i, x0 as anchor, 0 as cluster from v where i = 1 union all select v.doc_id, v.page, v.x0, v.i, case when v.x0 - t.anchor < 20 then t.anchor else v.x0 end, case when v.x0 - t.anchor < 20 then t.cluster else t.cluster + 1 end from t join v on v.doc_id = t.doc_id and v.page = t.page and v.i = t.i + 1), m as (select doc_id, page, cluster, avg(x0) as low, count(*) over (partition by doc_id, page) as n from t group by doc_id, page, cluster), f as (select m.doc_id, m.page, m.cluster, m.low, max(s.x1) as high from m join s on s.doc_id = m.doc_id and s.page = m.page and abs(s.x0 - m.low) < 20 where n > 1 group by all having max(s.x1) - m.low > 20) select doc_id, page, round(low, 6) as low, high from f union all select doc_id, page, round(min(x0), 6), max(x1) from s where (doc_id, page) not in (select (doc_id, page) from f) group by doc_id, page")(lambda b: layout.detected_columns(b).withColumn("low", F.round("low", 6)))
+ordering.columned(ORACLES["detected_columns"], _LINE)
 QUERIES["link_issues"] = lambda s, d: matching.link_problems(frame(s, d, fx.ANNOTATIONS).where("subtype = 'Link'").drop("alt"), frame(s, d, fx.LINKS))
 ORACLES["link_issues"] = f"with j as (select a.doc_id, a.annot_id, a.contents, e.annot_id is not null as found, has_objr, e.alt from ({fx.ANNOTATIONS}) a left join ({fx.LINKS}) e on e.doc_id = a.doc_id and e.annot_id = a.annot_id where a.subtype = 'Link') select doc_id, annot_id, 'missing structure' as problem from j where not found union all select doc_id, annot_id, 'missing object reference' from j where found and not has_objr union all select doc_id, annot_id, 'missing description' from j where found and alt = '' union all select doc_id, annot_id, 'missing contents' from j where contents = ''"
 over(fx.ANNOTATIONS, "annotation_descriptions", "select doc_id, annot_id, case when subtype = 'Link' and tu <> '' then concat('Enlace a ', tu) when subtype = 'Text' then 'Nota de texto' else concat('Anotación de tipo ', subtype) end as description from {s} x where subtype <> 'Widget' and contents = '' and alt = ''")(lambda a: matching.undescribed(a.withColumnRenamed("tu", "destination")))

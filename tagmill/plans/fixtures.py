@@ -153,6 +153,20 @@ UNTAGGED = "select doc_id, doc_id % 3 as page, case when doc_id % 7 = 0 then ' '
 WITHOUT_TREE = "select doc_id from documents where doc_id % 3 = 0"
 GLYPHS = f"select l_orderkey as doc_id, cast(l_linenumber % 3 as bigint) as page, case when l_partkey % 23 = 0 then 'a\ufffd' when l_partkey % 29 = 0 then '\x01b' when l_partkey % 31 = 0 then '\U0001f600' else l_returnflag end as text from lineitem"
 
+_LINES_OF = f"select *, row_number() over (partition by doc_id order by l_orderkey, {KEY}) as rn from (select *, cast(floor(l_orderkey / 4) as bigint) as doc_id from lineitem) q"
+#: Elements with their place among their siblings and their column, and orders of siblings.
+PLACED = f"select doc_id, cast(0 as bigint) as page, l_orderkey % 2 as parent_id, rn as elem_id, cast(row_number() over (partition by doc_id, l_orderkey % 2 order by rn) - 1 as bigint) as place, cast(l_suppkey % 3 as bigint) as column_no from ({_LINES_OF}) t"
+ORDERS = f"select doc_id, rn as elem_id, cast(rn as bigint) as current_place, cast(row_number() over (partition by doc_id order by l_partkey, rn) as bigint) as wanted from ({_LINES_OF}) t"
+#: Logs of edits with what is taken back and done again.
+LOG = "select user_id as doc_id, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as seq, case when event_id % 29 = 0 then 'apply' when event_id % 37 = 0 then 'revert' when event_type = 'view' then 'undo' when event_type = 'click' then 'redo' when event_type = 'error' and event_id % 3 = 0 then 'undo' else 'edit' end as kind, concat('n', cast(event_id % 5 as string)) as node_id, case when event_id % 2 = 0 then 'type' else 'text' end as column_name, concat('v', cast(event_id as string)) as value from events"
+#: Trees that aren't: parents that are missing, second or in cycles, and pages out of range.
+BROKEN = f"select doc_id, rn as node_id, case when rn = 1 then null when l_partkey % 11 = 0 then 99 else l_partkey % (rn + 2) + 1 end as parent_id, cast(l_linenumber - 2 as bigint) as page from ({_LINES_OF}) t union all select doc_id, rn, cast(1 as bigint), cast(null as bigint) from ({_LINES_OF}) u where l_suppkey % 13 = 0"
+PAGE_COUNTS = "select distinct cast(floor(l_orderkey / 4) as bigint) as doc_id, cast(4 as bigint) as page_count from lineitem"
+#: Spans of texts with their looks, and notes on pages of texts.
+LOOKED = f"select cast(floor(l_orderkey / 32) as bigint) as doc_id, l_orderkey % 4 as page, l_orderkey as block, cast(l_linenumber as bigint) as line, cast(row_number() over (partition by l_orderkey order by {KEY}) as bigint) as span, case l_partkey % 7 when 0 then '• ' when 1 then '(3) ' when 2 then 'iv. ' when 3 then ' ' else concat('words ', cast(l_partkey as string), ' ') end as text, cast(8 + l_suppkey % 9 as double) as size, case when l_returnflag = 'R' then 'Sans-Bold' else 'Sans' end as font, cast(l_partkey % 2 as int) as flags, cast(10 * (l_orderkey % 8) as double) as y0 from lineitem"
+NOTES = f"select * from ({SWATCHES}) t where kind = 'rect'"
+WORDED = f"select *, concat('t', cast(elem_id as string)) as text from ({SWATCHES}) t where kind = 'text'"
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""
