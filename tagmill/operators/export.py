@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.operators import conformance
+
 ISSUE = "doc_id long, checkpoint string, severity string, description string, fixable boolean, page long"
 
 
@@ -78,3 +80,38 @@ def patches(before: DataFrame, after: DataFrame, key: list[str], columns: list[s
 def versions_kept(history: DataFrame, most: int = 50) -> DataFrame:
     """history (doc_id, version, ..): the latest versions of each document."""
     return history.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("version")))).where(f"k <= {most}").drop("k")
+
+
+def report_lines(issues: DataFrame, examples: int = 3) -> DataFrame:
+    """doc_id, at, line: a text report of each document as its lines, in the order of at.
+
+    What it sums up, its conformance and counts, then every category and checkpoint that
+    failed with a few examples. A report has as many lines as checkpoints failed, whatever
+    the number of issues; write them sorted by doc_id and at.
+    """
+    c, say = F.col, F.concat
+    s = lambda name: c(name).cast("string")
+    sums = issues.groupBy("doc_id").agg(*conformance.severity_counts(), F.count_if("fixable").alias("fixable"))
+    whole = sums.join(conformance.status(issues), "doc_id").join(conformance.maturity(issues), "doc_id")
+    head = [
+        F.lit("RESULTADO DE CONFORMIDAD"), F.lit("-" * 30), say(F.lit("Nivel: "), F.when(c("conformant"), "Conforme").otherwise("No conforme")), say(F.lit("Nivel de madurez: "), s("maturity"), F.lit("%")), say(F.lit("Problemas bloqueantes: "), s("blocking")), F.lit(""),
+        F.lit("ESTADÍSTICAS"), F.lit("-" * 30), say(F.lit("Total problemas: "), s("total")), say(F.lit("Errores: "), s("errors")), say(F.lit("Advertencias: "), s("warnings")), say(F.lit("Informativo: "), s("infos")), say(F.lit("Corregibles automáticamente: "), s("fixable"), F.lit(" ("), F.floor(100 * c("fixable") / F.greatest("total", F.lit(1))).cast("string"), F.lit("%)")), F.lit(""),
+        F.lit("PROBLEMAS POR CATEGORÍA"), F.lit("-" * 30),
+    ]
+    at = lambda *parts: F.concat_ws("|", *parts)
+    top = whole.select("doc_id", F.posexplode(F.array(*head)).alias("k", "line")).select("doc_id", at(F.lit("0"), F.format_string("%02d", "k")).alias("at"), "line")
+    one = issues.withColumn("category", conformance.category(c("checkpoint")))
+    groups = one.groupBy("doc_id", "category").agg(*conformance.severity_counts()).join(conformance.groups(issues.sparkSession), "category", "left")
+    title = say(c("category"), F.lit(": "), F.coalesce("name", F.lit("other")), F.lit(" - "), s("total"), F.lit(" problemas"))
+    detail = say(F.lit("  Errores: "), s("errors"), F.lit(", Advertencias: "), s("warnings"), F.lit(", Info: "), s("infos"))
+    grouped = groups.select("doc_id", "category", F.posexplode(F.array(title, detail)).alias("k", "line")).select("doc_id", at(F.lit("1"), "category", F.lit(" "), s("k")).alias("at"), "line")
+    points = one.groupBy("doc_id", "category", "checkpoint").agg(F.count("*").alias("n"))
+    pointed = points.select("doc_id", at(F.lit("1"), "category", "checkpoint", F.lit("0")).alias("at"), say(F.lit("  "), "checkpoint", F.lit(" - "), s("n"), F.lit(" problemas")).alias("line"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "checkpoint").orderBy(F.asc_nulls_first("page"), "description"))
+    place = F.when(c("page").isNull(), "todo el documento").otherwise(say(F.lit("página "), s("page")))
+    some = one.withColumn("nth", nth).where(c("nth") <= examples).select("doc_id", at(F.lit("1"), "category", "checkpoint", F.format_string("1.%03d", "nth")).alias("at"), say(F.lit("    - "), "description", F.lit(" ("), place, F.lit(")")).alias("line"))
+    more = points.where(c("n") > examples).select("doc_id", at(F.lit("1"), "category", "checkpoint", F.lit("2")).alias("at"), say(F.lit("    - ... y "), (c("n") - examples).cast("string"), F.lit(" problemas más")).alias("line"))
+    out = top
+    for part in (grouped, pointed, some, more):
+        out = out.unionByName(part)
+    return out

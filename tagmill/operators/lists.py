@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
+from tagmill.operators import layout
 
 
 def runs(lines: DataFrame, least: int = 2) -> DataFrame:
@@ -93,3 +94,79 @@ def repeated(texts: DataFrame, least: float = 0.8) -> DataFrame:
     led = led.withColumn("first", F.coalesce(F.get(F.filter("found", lambda x: alike(x, F.col("p"))), F.lit(0))["page"], F.col("page")))
     n = F.count("*").over(Window.partitionBy("doc_id", "first"))
     return led.withColumn("n", n).where("n >= greatest(2, 0.5 * pages)").select("doc_id", "page", "first", "text")
+
+
+#: How items of lists begin on a page.
+PRINTED = [("bullet", r"[•⦿⦾○●◦▪▫]"), ("numbered", r"(?:\p{Nd}+\.|\(\p{Nd}+\)|[a-z]\)|[ivxlcdm]+\.|[IVXLCDM]+\.)")]
+
+
+def printed_lists(lines: DataFrame, gap: float = 5.0) -> DataFrame:
+    """lines (doc_id, page, line_id, x0, y0, x1, y1, text) -> doc_id, page, list, kind, items and box of the lists of two items or more that are seen.
+
+    Items from the top of a page go on a list while they are of its kind and begin less
+    than gap from its first one; other lines don't end a list. A page's items fold to
+    their lists, the open one apart.
+    """
+    kind = F.lit(None).cast("string")
+    for name, sign in reversed(PRINTED):
+        kind = F.when(t.stripped(F.col("text")).rlike(f"^{sign}{t.WS}"), name).otherwise(kind)
+    items = lines.withColumn("kind", kind).where("kind is not null")
+    item = F.struct("y0", "line_id", "x0", "x1", "y1", "kind")
+    pages = items.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(item)).alias("v"))
+    run = lambda x, n=1: F.struct(x["kind"].alias("kind"), x["x0"].alias("indent"), F.lit(n).alias("items"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"))
+
+    def fold(state, x):
+        last = state["last"]
+        grown = F.struct(last["kind"].alias("kind"), last["indent"].alias("indent"), (last["items"] + 1).alias("items"), F.least(last["x0"], x["x0"]).alias("x0"), F.least(last["y0"], x["y0"]).alias("y0"), F.greatest(last["x1"], x["x1"]).alias("x1"), F.greatest(last["y1"], x["y1"]).alias("y1"))
+        return layout._folded(state, (x["kind"] == last["kind"]) & (F.abs(x["x0"] - last["indent"]) < gap), grown, run(x))
+
+    runs = F.aggregate(F.slice("v", F.lit(2), F.size("v")), layout._opened(run(F.element_at("v", 1))), fold, layout._closed)
+    many = F.filter(runs, lambda r: r["items"] >= 2)
+    return pages.select("doc_id", "page", F.posexplode(many).alias("list", "r")).select("doc_id", "page", "list", "r.kind", "r.items", "r.x0", "r.y0", "r.x1", "r.y1")
+
+
+def structure_patches(nodes: DataFrame) -> DataFrame:
+    """nodes (doc_id, node_id, parent_id, sib, type, text) -> patches of lists: doc_id, node_id, action, value.
+
+    What is in a list but no item is wrapped in one (a caption may come first); an item
+    without label gets the one that its first child's text begins with, which goes from
+    there; an item without body gets one around its children that are no labels.
+    """
+    c = F.col
+    up = nodes.select("doc_id", c("node_id").alias("parent_id"), c("type").alias("parent_type"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("sib", "node_id"))
+    kids = nodes.where("parent_id is not null").withColumn("place", place).join(up, ["doc_id", "parent_id"])
+    say = lambda frame, node, action, value: frame.select("doc_id", node.alias("node_id"), F.lit(action).alias("action"), value.cast("string").alias("value"))
+    loose = kids.where("parent_type = 'L' and type <> 'LI' and not (place = 1 and type = 'Caption')")
+    has = lambda kind: F.max(c("type") == kind).over(Window.partitionBy("doc_id", "parent_id"))
+    items = kids.where("parent_type = 'LI'").withColumns({"labelled": has("Lbl"), "bodied": has("LBody")})
+    text = F.coalesce("text", F.lit(""))
+    mark = t.marker(text)
+    bare = items.where("place = 1 and not labelled").withColumn("mark", mark).where("mark <> ''")
+    rest = F.regexp_replace(F.expr("substring(text, length(mark) + 1)"), rf"^{t.WS}+", "")
+    body = items.where("not bodied and type <> 'Lbl'")
+    return say(loose, c("node_id"), "wrap in LI", F.lit(None)).unionByName(say(bare, c("parent_id"), "add Lbl", c("mark"))).unionByName(say(bare, c("node_id"), "set text", rest)).unionByName(say(body, c("node_id"), "wrap in LBody", F.lit(None)))
+
+
+def numbering_patches(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, value: the numbering to write to lists most of whose first three items have a label that counts; the style is the most common of all their labels."""
+    c = F.col
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("sib", "node_id"))
+    lists = nodes.where("type = 'L'").select("doc_id", c("node_id").alias("list"))
+    items = nodes.where("type = 'LI'").withColumn("list", c("parent_id")).join(lists, ["doc_id", "list"]).withColumn("nth", place("doc_id", "list")).select("doc_id", "list", c("node_id").alias("parent_id"), "nth")
+    label = nodes.where("type = 'Lbl'").withColumn("k", place("doc_id", "parent_id")).where("k = 1").select("doc_id", "parent_id", F.coalesce("text", F.lit("")).alias("label"))
+    all_ = items.join(label, ["doc_id", "parent_id"], "left")
+    counts = c("label").rlike(rf"^{t.WS}*(?:\p{{Nd}}+|[a-zA-Z]|[ivxlcdmIVXLCDM]+)[.)]")
+    told = all_.where("nth <= 3").groupBy("doc_id", "list").agg(F.count_if(counts).alias("n"), F.count("*").alias("of")).where("n > of / 2")
+    keyed = all_.where("label is not null").withColumn("key", F.struct("doc_id", "list"))
+    style = numbering_styles(keyed.select(c("key").alias("doc_id"), "label")).select(c("doc_id.doc_id").alias("doc_id"), c("doc_id.list").alias("list"), "style")
+    return told.join(style, ["doc_id", "list"]).select("doc_id", c("list").alias("node_id"), c("style").alias("value"))
+
+
+def item_order(items: DataFrame) -> DataFrame:
+    """items (doc_id, list, node_id, place, y0, y1) that don't stand where their height puts them among those with a position: current and expected, from 0."""
+    centre = (F.col("y0") + F.col("y1")) / 2
+    current = F.row_number().over(Window.partitionBy("doc_id", "list").orderBy("place", "node_id")) - 1
+    placed = items.withColumn("current", current).withColumn("centre", centre).where("centre is not null")
+    expected = F.row_number().over(Window.partitionBy("doc_id", "list").orderBy("centre", "current")) - 1
+    return placed.withColumn("expected", expected).where("current <> expected").select("doc_id", "list", "node_id", "current", "expected")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
+from tagmill.operators import closure
 
 
 def image_figures(images: DataFrame, figures: DataFrame) -> DataFrame:
@@ -75,3 +76,20 @@ def undescribed(annotations: DataFrame) -> DataFrame:
     label = F.coalesce(F.create_map(*[F.lit(x) for kv in ANNOTATION_LABELS.items() for x in kv])[F.col("subtype")], F.concat(F.lit("Anotación de tipo "), "subtype"))
     linked = (F.col("subtype") == "Link") & (F.coalesce("destination", F.lit("")) != "")
     return bare.select("doc_id", "annot_id", F.when(linked, F.concat(F.lit("Enlace a "), "destination")).otherwise(label).alias("description"))
+
+
+#: Elements that may hold the widgets of their page.
+HOMES = ["P", "Div", "TD", "Sect", "Art", "NonStruct"]
+
+
+def widget_homes(widgets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """widgets (doc_id, page, widget_id, name) that aren't in the tree -> doc_id, widget_id, parent_id, type, text: the form element to add, in the last element of their page that may hold them.
+
+    nodes: doc_id, node_id, parent_id, place, type, page; an element without a page is on
+    that of the nearest one above. Widgets of pages without such an element get none.
+    """
+    lines = closure.ancestors(nodes)
+    where = closure.inherited(lines, nodes, "page").join(closure.places(lines, nodes), ["doc_id", "node_id"])
+    homes = nodes.where(F.col("type").isin(HOMES)).select("doc_id", "node_id").join(where, ["doc_id", "node_id"])
+    last = homes.groupBy("doc_id", "page").agg(F.max_by("node_id", F.struct("path", "node_id")).alias("parent_id"))
+    return widgets.join(last, ["doc_id", "page"]).select("doc_id", "widget_id", "parent_id", F.lit("Form").alias("type"), t.readable_field_name(F.coalesce("name", F.lit(""))).alias("text"))

@@ -12,7 +12,7 @@ from tagmill.functions import colour as c
 from tagmill.functions import geometry as g
 from tagmill.functions import text as t
 from tagmill.operators import conformance, editing, export, issues, layout, lists, matching, metadata, repairs, tables, tree
-from tagmill.plans import documents  # noqa: F401 - registers its queries
+from tagmill.plans import documents, marks  # noqa: F401 - they register their queries
 from tagmill.plans import fixtures as fx
 from tagmill.plans import ordering
 from tagmill.plans import sql_values as v
@@ -343,6 +343,13 @@ of_bag("checkpoint_info", f"select checkpoint, count(*) as total, checkpoint in
 # ---- files ---------------------------------------------------------------------------
 
 of_bag("json_roundtrip", "select doc_id, checkpoint, severity, description, fixable, page from {s} x")(lambda i: export.from_json(export.to_json(i)))
+of_bag("report_lines", f"""with b as (select *, {_CAT} as category from {{s}} x), s as (select doc_id, {_CNT}, count(*) filter (where fixable) as fixable, count(distinct case when severity = 'error' then category end) as failing, count(distinct case when severity = 'error' then checkpoint end) as blocking from b group by doc_id), d(category, name) as (values {_DIM}),
+h as (select doc_id, ['RESULTADO DE CONFORMIDAD', repeat('-', 30), concat('Nivel: ', case when errors = 0 then 'Conforme' else 'No conforme' end), concat('Nivel de madurez: ', greatest(cast(floor(100 * (1 - failing / 31)) as bigint), 0), '%'), concat('Problemas bloqueantes: ', blocking), '', 'ESTADÍSTICAS', repeat('-', 30), concat('Total problemas: ', total), concat('Errores: ', errors), concat('Advertencias: ', warnings), concat('Informativo: ', infos), concat('Corregibles automáticamente: ', fixable, ' (', cast(floor(100 * fixable / total) as bigint), '%)'), '', 'PROBLEMAS POR CATEGORÍA', repeat('-', 30)] as ls from s),
+g as (select doc_id, category, {_CNT} from b group by all), c as (select doc_id, category, checkpoint, count(*) as n from b group by all), e as (select *, row_number() over (partition by doc_id, checkpoint order by page nulls first, description) as k from b)
+select doc_id, concat('0|', lpad(cast(unnest(range(0, 16)) as varchar), 2, '0')) as at_line, unnest(ls) as line from h
+union all select doc_id, concat('1|', category, '| |0'), concat(category, ': ', coalesce(name, 'other'), ' - ', total, ' problemas') from g left join d using (category) union all select doc_id, concat('1|', category, '| |1'), concat('  Errores: ', errors, ', Advertencias: ', warnings, ', Info: ', infos) from g
+union all select doc_id, concat('1|', category, '|', checkpoint, '|0'), concat('  ', checkpoint, ' - ', n, ' problemas') from c union all select doc_id, concat('1|', category, '|', checkpoint, '|1.', lpad(cast(k as varchar), 3, '0')), concat('    - ', description, ' (', case when page is null then 'todo el documento' else concat('página ', page) end, ')') from e where k <= 3
+union all select doc_id, concat('1|', category, '|', checkpoint, '|2'), concat('    - ... y ', n - 3, ' problemas más') from c where n > 3""")(lambda i: export.report_lines(i).withColumnRenamed("at", "at_line"))
 _TREE = "recursive n as (select * from {s} x), t as (select doc_id, node_id, [sib] as path from n where parent_id is null union all select n.doc_id, n.node_id, list_append(t.path, n.sib) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id), p as (select n.*, t.path, repeat('  ', len(t.path) - 1) as pad from n join t on t.doc_id = n.doc_id and t.node_id = n.node_id)"
 _ATTRS = " union all ".join(f"select doc_id, list_append(path, cast({-4 + k} as bigint)), concat(pad, '  <attr name=', chr(39), '{a}', chr(39), ' value=', chr(39), {a}, chr(39), ' />') from p where {a} <> ''" for k, a in enumerate(("alt", "scope", "lang")))
 over(fx.NODES, "structure_xml", f"with {_TREE}, l as (select doc_id, path as at_path, concat(pad, '<', type, '>') as line from p union all {_ATTRS} union all select doc_id, list_append(path, cast(-1 as bigint)), concat(pad, '  <text>', trim(text), '</text>') from p where trim(text) <> '' union all select doc_id, list_append(path, 4611686018427387904), concat(pad, '</', type, '>') from p) select doc_id, string_agg(line, chr(10) order by at_path, line) as xml from l group by doc_id")(lambda n: export.structure_xml(n.join(tree.paths(n), ["doc_id", "node_id"])))

@@ -167,6 +167,22 @@ LOOKED = f"select cast(floor(l_orderkey / 32) as bigint) as doc_id, l_orderkey %
 NOTES = f"select * from ({SWATCHES}) t where kind = 'rect'"
 WORDED = f"select *, concat('t', cast(elem_id as string)) as text from ({SWATCHES}) t where kind = 'text'"
 
+#: Spans and shapes of pages of 120 by 60, and texts that run through documents.
+SHEETS = "select distinct l_orderkey as doc_id, cast(0 as bigint) as page, cast(120 as bigint) as width, cast(60 as bigint) as height from lineitem"
+EDGED = f"select *, case color when 0 then ' 12 ' when 1 then 'Page 3' when 2 then 'words of a head' when 3 then '2024-1-30 x' else 'TITLE' end as text, elem_id % 4 = 0 as tagged, case when elem_id % 3 = 0 then 'path' else 'image' end as kind, cast(case when elem_id % 2 = 0 then 1 when elem_id % 5 = 0 then null else 3 end as double) as stroke, cast(case when elem_id % 6 = 0 then 16 else 4 end as int) as flags from ({BOXES}) b"
+RUNNING = "select o_custkey as doc_id, o_orderkey as elem_id, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as bigint) as page, cast(10 + o_orderkey % 3 * 14 as double) as x0, cast(o_orderkey % 4 as double) as y0, cast(60 + o_orderkey % 3 * 14 as double) as x1, cast(o_orderkey % 4 + case when o_orderkey % 9 = 0 then 30 else 4 end as double) as y1, case when o_orderkey % 5 = 0 then concat('Page ', cast(o_orderkey % 13 as string)) when o_orderkey % 7 = 0 then concat('own words ', cast(o_orderkey as string)) else concat('the Report of all the year ', o_orderstatus) end as text from orders"
+RUN_PAGES = "select o_custkey as doc_id, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as bigint) as page, cast(120 as bigint) as width, cast(60 as bigint) as height from orders"
+#: Lines of pages that begin like items, and items of lists with their places.
+PRINTED_ITEMS = f"select doc_id, cast(0 as bigint) as page, rn as line_id, cast(l_suppkey % 3 * 4 as double) as x0, cast(rn * 10 + l_partkey % 3 * 8 as double) as y0, cast(l_suppkey % 3 * 4 + 50 as double) as x1, cast(rn * 10 + l_partkey % 3 * 8 + 9 as double) as y1, concat(case l_partkey % 6 when 0 then '• ' when 1 then '1. ' when 2 then ' ▪ ' when 3 then 'b) ' when 4 then '(4) ' else 'no ' end, 'words') as text from ({_LINES_OF}) t"
+LIST_NODES = f"""
+select doc_id, concat('L', cast(l_orderkey as string)) as node_id, cast(null as string) as parent_id, cast(0 as bigint) as sib, 'L' as type, '' as text from ({_LINES_OF}) a group by doc_id, l_orderkey
+union all select doc_id, concat('I', cast(rn as string)), concat('L', cast(l_orderkey as string)), cast(rn as bigint), case l_partkey % 9 when 0 then 'P' when 1 then 'Caption' else 'LI' end, '' from ({_LINES_OF}) b
+union all select doc_id, concat('K', cast(rn as string)), concat('I', cast(rn as string)), cast(0 as bigint), case l_suppkey % 4 when 0 then 'P' else 'Lbl' end, case l_partkey % 5 when 0 then '1. one' when 1 then 'b) two' when 2 then '- three' when 3 then '2.' else 'four' end from ({_LINES_OF}) c
+union all select doc_id, concat('B', cast(rn as string)), concat('I', cast(rn as string)), cast(1 as bigint), case l_suppkey % 3 when 0 then 'P' else 'LBody' end, 'body' from ({_LINES_OF}) d where l_suppkey % 5 > 0
+"""
+LIST_ITEMS = f"select doc_id, l_orderkey as list_id, rn as node_id, cast(rn as bigint) as place, cast(case when l_partkey % 11 = 0 then null else l_suppkey % 40 end as double) as y0, cast(l_suppkey % 40 + 6 as double) as y1 from ({_LINES_OF}) t"
+WIDGETS = f"select o_custkey as doc_id, o_orderkey % 3 as page, o_orderkey as widget_id, concat('txt', case when o_orderkey % 2 = 0 then 'firstName' else 'ZIPCode' end) as name from orders where o_orderkey % 4 = 1"
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""

@@ -1,0 +1,57 @@
+"""Queries of what is no content, of lists as they are printed and as they should be tagged, of homes for widgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagmill.operators import artifacts, lists, matching
+from tagmill.plans import fixtures as fx
+from tagmill.plans import sql_values as v
+from tagmill.plans.registry import of_many, over
+
+# ---- artifacts -----------------------------------------------------------------------
+
+_ON = "from {spans} s join {pages} p on p.doc_id = s.doc_id and p.page = s.page"
+_AREA = "((x1 - x0) * (y1 - y0))"
+_HEAD = "(greatest(least(x1, width) - greatest(x0, 0), 0) * greatest(least(y1, height * 0.1) - greatest(y0, 0), 0))"
+_FOOT = "(greatest(least(x1, width) - greatest(x0, 0), 0) * greatest(least(y1, height) - greatest(y0, height * 0.9), 0))"
+_EDGED = {"spans": fx.EDGED, "pages": fx.SHEETS}
+_RATIO = lambda o, zone: f"({o} / least({_AREA}, {zone}) >= 0.5)"
+_TOP, _BOTTOM = _RATIO(_HEAD, "(width * height * 0.1)"), _RATIO(_FOOT, "(width * (height - height * 0.9))")
+_NUMBER = "(regexp_full_match(trim(text), '[0-9]+') or (length(trim(text)) <= 10 and regexp_matches(trim(text), 'Pág[.]|Page|Página|-|/')))"
+of_many(_EDGED, "zone_texts", f"select s.doc_id, s.page, s.elem_id, case when {_NUMBER} then 'pagination' when {_TOP} then 'header' else 'footer' end as kind, case when {_NUMBER} then 0.9 else 0.7 end as confidence {_ON} where not tagged and ({_TOP} or {_BOTTOM})")(artifacts.zone_texts)
+_NEAR = "(x0 < width * 0.05 or y0 < height * 0.05 or x1 > width * 0.95 or y1 > height * 0.95)"
+of_many({"shapes": fx.EDGED, "pages": fx.SHEETS}, "edge_shapes", f"select s.doc_id, s.page, s.elem_id, case when kind = 'path' then 'border' else 'decoration' end as kind, case when kind = 'path' then 0.6 else 0.5 end as confidence from {{shapes}} s join {{pages}} p on p.doc_id = s.doc_id and p.page = s.page where {_NEAR} and ((kind = 'path' and coalesce(stroke, 2) < 2) or (kind = 'image' and {_AREA} < width * height * 0.01))")(artifacts.edge_shapes)
+_SIDE = "(greatest(least(x1, {b}) - greatest(x0, {a}), 0) * greatest(least(y1, height) - greatest(y0, 0), 0))"
+_GROUND = f"({_AREA} / (width * height) > 0.8 or ({_AREA} / (width * height) > 0.1 and abs((x0 + x1) / 2 - width / 2) < width * 0.2 and abs((y0 + y1) / 2 - height / 2) < height * 0.2))"
+of_many({"images": fx.EDGED, "pages": fx.SHEETS}, "decorative_images", f"select doc_id, page, elem_id, reason from (select s.doc_id, s.page, s.elem_id, case when {_HEAD} / {_AREA} > 0.5 then 'header' when {_FOOT} / {_AREA} > 0.5 then 'footer' when {_SIDE.format(a='0', b='width * 0.05')} / {_AREA} > 0.5 then 'left margin' when {_SIDE.format(a='width * 0.95', b='width')} / {_AREA} > 0.5 then 'right margin' when {_GROUND} then 'background' end as reason from {{images}} s join {{pages}} p on p.doc_id = s.doc_id and p.page = s.page) y where reason is not null")(artifacts.decorative_images)
+over(fx.EDGED, "running_looks", r"select doc_id, elem_id, (flags & 16 <> 0) or ((y0 < 50 or y1 > 750) and (regexp_matches(trim(text), '(?i)\b(page|página)\s*[0-9]+\b') or regexp_matches(trim(text), '[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}') or (length(trim(text)) < 100 and trim(text) = upper(trim(text)) and trim(text) <> lower(trim(text))))) as running from {s} x")(lambda e: e.select("doc_id", "elem_id", artifacts.looks_running(F.col("text"), F.col("y0"), F.col("y1"), F.col("flags")).alias("running")))
+over(fx.RUNNING, "page_numbers", r"select doc_id, page, elem_id from {s} x where regexp_full_match(trim(text), '[0-9]+|Page\s+[0-9]+|[0-9]+\s+of\s+[0-9]+|Page\s+[0-9]+\s+of\s+[0-9]+|-\s*[0-9]+\s*-|\[\s*[0-9]+\s*\]|Página\s+[0-9]+|[0-9]+\s+de\s+[0-9]+') and len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda n: abs(cast(n as bigint) - page - 1) <= 2 or cast(n as bigint) = page)) > 0")(artifacts.numbered)
+of_many({"texts": fx.RUNNING, "pages": fx.RUN_PAGES}, "running_texts", rf"""with h as (select s.doc_id, s.page, s.elem_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r]+'), lambda w: w <> '')) as w, floor(x0 / 20) as cx, floor(y0 / 20) as cy from {{texts}} s join {{pages}} p on p.doc_id = s.doc_id and p.page = s.page where {_HEAD} / {_AREA} > 0.5 or {_FOOT} / {_AREA} > 0.5)
+select a.doc_id, a.page, a.elem_id from h a join h b on b.doc_id = a.doc_id and abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1 where len(list_intersect(a.w, b.w)) > 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) group by a.doc_id, a.page, a.elem_id having count(distinct b.page) > 2""")(artifacts.running_texts)
+
+# ---- lists ---------------------------------------------------------------------------
+
+_KIND = r"case when regexp_matches(trim(text), '^[•⦿⦾○●◦▪▫]\s') then 'bullet' when regexp_matches(trim(text), '^([0-9]+\.|\([0-9]+\)|[a-z]\)|[ivxlcdm]+\.|[IVXLCDM]+\.)\s') then 'numbered' end"
+over(fx.PRINTED_ITEMS, "printed_lists", f"""with recursive i as (select *, row_number() over (partition by doc_id, page order by y0, line_id) as i from (select *, {_KIND} as kind from {{s}} x) y where kind is not null),
+t as (select doc_id, page, i, kind, x0 as indent, 0 as run, x0, y0, x1, y1 from i where i = 1 union all select i.doc_id, i.page, i.i, i.kind, case when i.kind = t.kind and abs(i.x0 - t.indent) < 5 then t.indent else i.x0 end, case when i.kind = t.kind and abs(i.x0 - t.indent) < 5 then t.run else t.run + 1 end, i.x0, i.y0, i.x1, i.y1 from t join i on i.doc_id = t.doc_id and i.page = t.page and i.i = t.i + 1),
+g as (select doc_id, page, run, kind, count(*) as items, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from t group by all having count(*) >= 2)
+select doc_id, page, cast(row_number() over (partition by doc_id, page order by run) - 1 as integer) as list, kind, cast(items as integer) as items, x0, y0, x1, y1 from g""")(lists.printed_lists)
+_MARK = r"regexp_extract(text, '^(\s*[•⦿⦾⚫◦◆◊▪▫►▻▶▷◉○⚬●■□]+\s|\s*[-–—]\s|\s*[*]\s|\s*[0-9]+[.)]\s|\s*[a-zA-Z][.)]\s|\s*[ivxlcdmIVXLCDM]+[.)]\s)')"
+over(fx.LIST_NODES, "list_patches", rf"""with n as (select * from {{s}} x), k as (select n.*, u.type as up, row_number() over (partition by n.doc_id, n.parent_id order by n.sib, n.node_id) as nth from n join n u on u.doc_id = n.doc_id and u.node_id = n.parent_id),
+i as (select *, bool_or(type = 'Lbl') over (partition by doc_id, parent_id) as labelled, bool_or(type = 'LBody') over (partition by doc_id, parent_id) as bodied, {_MARK} as mark from k where up = 'LI')
+select doc_id, node_id, 'wrap in LI' as action, null as value from k where up = 'L' and type <> 'LI' and not (nth = 1 and type = 'Caption')
+union all select doc_id, parent_id, 'add Lbl', mark from i where nth = 1 and not labelled and mark <> '' union all select doc_id, node_id, 'set text', regexp_replace(substring(text, length(mark) + 1), '^\s+', '') from i where nth = 1 and not labelled and mark <> ''
+union all select doc_id, node_id, 'wrap in LBody', null from i where not bodied and type <> 'Lbl'""")(lists.structure_patches)
+over(fx.LIST_NODES, "numbering_patches", r"""with n as (select * from {s} x), i as (select c.doc_id, c.parent_id as list, c.node_id, row_number() over (partition by c.doc_id, c.parent_id order by c.sib, c.node_id) as nth from n c join n l on l.doc_id = c.doc_id and l.node_id = c.parent_id and l.type = 'L' where c.type = 'LI'),
+b as (select i.*, l.text as label from i left join (select * from (select *, row_number() over (partition by doc_id, parent_id order by sib, node_id) as k from n where type = 'Lbl') y where k = 1) l on l.doc_id = i.doc_id and l.parent_id = i.node_id),
+t as (select doc_id, list from b where nth <= 3 group by all having count(*) filter (where regexp_matches(label, '^\s*([0-9]+|[a-zA-Z]|[ivxlcdmIVXLCDM]+)[.)]')) > count(*) / 2),
+c as (select doc_id, list, """ + ", ".join(f"count(*) filter (where regexp_matches(trim(label), '^{x}[.)]')) as {k}" for k, x in (("d", "[0-9]+"), ("a", "[a-z]"), ("b", "[A-Z]"), ("e", "[ivxlcdm]+"), ("f", "[IVXLCDM]+"))) + """ from b where label is not null group by all)
+select t.doc_id, t.list as node_id, case when greatest(d, a, b, e, f) = 0 then 'None' when d = greatest(d, a, b, e, f) then 'Decimal' when a = greatest(d, a, b, e, f) then 'LowerAlpha' when b = greatest(d, a, b, e, f) then 'UpperAlpha' when e = greatest(d, a, b, e, f) then 'LowerRoman' else 'UpperRoman' end as value from t join c on c.doc_id = t.doc_id and c.list = t.list""")(lists.numbering_patches)
+over(fx.LIST_ITEMS, "list_item_order", "with c as (select *, row_number() over (partition by doc_id, list_id order by place, node_id) - 1 as current_place from {s} x), e as (select *, row_number() over (partition by doc_id, list_id order by (y0 + y1) / 2, current_place) - 1 as expected from c where y0 + y1 is not null) select doc_id, list_id, node_id, current_place, expected from e where current_place <> expected")(lambda i: lists.item_order(i.withColumnRenamed("list_id", "list")).withColumnsRenamed({"list": "list_id", "current": "current_place"}))
+
+# ---- forms ---------------------------------------------------------------------------
+
+of_many({"widgets": fx.WIDGETS, "nodes": fx.TREES}, "widget_additions", f"""with recursive n as (select * from {{nodes}} x), t as (select doc_id, node_id, type, page, [place] as path from n where parent_id is null union all select n.doc_id, n.node_id, n.type, coalesce(n.page, t.page), list_append(t.path, n.place) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id),
+h as (select doc_id, page, node_id, row_number() over (partition by doc_id, page order by path desc, node_id desc) as k from t where type in ('P', 'Div', 'TD', 'Sect', 'Art', 'NonStruct') and page is not null)
+select w.doc_id, w.widget_id, h.node_id as parent_id, 'Form' as type, {v.READABLE} as text from {{widgets}} w join h on h.doc_id = w.doc_id and h.page = w.page and h.k = 1""")(matching.widget_homes)
