@@ -22,6 +22,7 @@ import bisect
 import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,11 +41,15 @@ from tagmill.llm.common import narrow, scratch
 LENGTH, BATCH = 2048, 256
 END = 2
 #: Chunks that a worker remembers, and bytes of the longest.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 1_200_000, 64
 #: Fixed value: a tokenizer that splits by this pattern, drops what it doesn't match and folds white space, never merges across blanks.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _SIGNS = (b".", b",", b";", b":", b"!", b"?")
+#: Words of a to z and the small letters of U+00DF to U+00FF, in UTF-8.
+_LATIN = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+#: The signs that stand for bytes in byte-level vocabularies: those that are visible for themselves, the others from U+0100 on.
+_VISIBLE = str.maketrans({b: chr(256 + k) for k, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))})
 #: A-Z as lower case, which the tokenizer does anyway, and line ends as blanks.
 _SMALL = bytes(k + 32 if 65 <= k <= 90 else 32 if k == 10 else k for k in range(256))
 
@@ -85,13 +90,13 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _learn(self, fresh: list[bytes]) -> None:
-        """A word of ASCII letters is itself after normalising and splitting, so the merges alone are asked; a sign behind letters is a token of its own."""
+        """A word of small Latin letters is itself after normalising and splitting, so the merges alone are asked; a sign behind letters is a token of its own."""
         tokenize, known = self.tokenizer.model.tokenize, self.known
         rest = []
         for c in fresh:
             word = c[:-1] if c[-1:] in _SIGNS else c
-            if word.isalpha():  # of bytes: ASCII letters
-                ids = [t.id for t in tokenize(word.decode())]
+            if word.isalpha() or _LATIN.fullmatch(word):  # isalpha of bytes: ASCII letters
+                ids = [t.id for t in tokenize(word.decode("latin-1").translate(_VISIBLE))]
                 if len(word) < len(c):
                     ids += [t.id for t in tokenize(c[-1:].decode())]
                 known[c] = np.array(ids, self.kind).tobytes()
