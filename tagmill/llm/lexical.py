@@ -6,8 +6,9 @@ impacts, and deals the blocks out by term, hot terms over many places. The three
 are then joins and grouped sums over blocks:
 
 1. the heads of all lists give each query a first lower bound of its k-th best score;
-2. every list gives what reaches that bound over the query's number of lists; what a chunk
-   gathers gives a better bound, and an upper bound for each document it saw;
+2. every list gives what reaches that bound over the query's number of lists, times a
+   factor that keeps what isn't seen small; what a chunk gathers gives a better bound, and
+   an upper bound for each document it saw;
 3. the documents whose upper bound reaches the lower one are looked up in all lists.
 
 Queries are taken in rounds of about a million list entries, which bounds what the driver
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from tagmill.llm.common import cut, load, save, scratch, shared_folder
 
 #: Documents of a chunk, and occurrences of query terms after which it ends.
-CHUNK, FULL = 1 << 16, 1 << 22
+CHUNK, FULL = 1 << 16, 1 << 21
+#: One over the factor of the uniform threshold: the larger, the more is fetched and the less is looked up.
+FINER = 8
 #: List entries of a round of queries, about.
 ROUND = 1 << 20
 #: A term's blocks of so many tasks lie together.
@@ -269,7 +272,7 @@ def _round(docs: DataFrame, lists: list[tuple[int, bytes, int]], documents: int,
 
     # phase 2: a uniform threshold for all lists of a query
     at = np.searchsorted(queries, np.arange(len(bound) + 1))
-    floor = np.maximum(1, -(-bound[queries] // (np.diff(at)[queries] * weight)))
+    floor = np.maximum(1, -(-bound[queries] // (FINER * np.diff(at)[queries] * weight)))
     least = np.full(len(words), np.iinfo(np.int64).max)
     np.minimum.at(least, term, floor)
     save(f"{files}/lists", {"at": at, "term": term, "weight": weight, "floor": floor, "unseen": np.minimum(top[term], floor - 1) * weight, "bound": bound, "least": least})
