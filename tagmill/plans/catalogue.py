@@ -60,15 +60,15 @@ over(fx.CELLS, "scope_repair", f"{_SHAPE}, w as (select *, greatest(coalesce(try
 
 
 
-_COVERED = ", ".join(f"({' + '.join(f'{v.count_of(p)} * {len(p)}' for p in ps.split('|'))}) / {len(ps.split('|'))} as {k}" for k, ps in v.RECOGNISED.items())
+_COVERED = ", ".join(f"({' + '.join(f'{v.count_of(p)} * {len(p)}' for p in ps)}) / {len(ps)} as {k}" for k, ps in v.RECOGNISED.items())
 over("select doc_id, text from documents", "ocr_language", f"select doc_id, case when text is null or length(text) < 20 then 'eng' else case greatest({', '.join(v.RECOGNISED)}) {' '.join(f"when {k} then '{k}'" for k in v.RECOGNISED)} end end as detected from (select doc_id, text, {_COVERED} from (select doc_id, text, lower(text) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.recognised_language(F.col("text")).alias("detected")))
-_SCORES = ", ".join(f"{' + '.join(v.count_of(p) for p in ps.split('|'))} as {k}" for k, ps in v.SPEECH.items())
+_SCORES = ", ".join(f"{' + '.join(v.count_of(p) for p in ps)} as {k}" for k, ps in v.SPEECH.items())
 over("select doc_id, text from documents", "doc_language", f"select doc_id, case greatest(es, en, fr, de, it) when es then 'es-ES' when en then 'en-US' when fr then 'fr-FR' when de then 'de-DE' else 'it-IT' end as detected from (select doc_id, {_SCORES} from (select doc_id, lower(coalesce(text, '')) as lo from {{s}} x) a) b")(lambda d: d.select("doc_id", t.detected_language(F.col("text")).alias("detected")))
 over(fx.META, "lang_code_check", f"select doc_id, language, {v.VALID.format('language')} as valid from {{s}} x")(lambda m: m.select("doc_id", "language", t.valid_language(F.col("language")).alias("valid")))
-over(fx.META, "lang_code_rules", f"select doc_id, case when z = '' then 'blank' when not regexp_full_match(z, '[a-zA-Z]{{2}}(-[a-zA-Z]{{2}})?') then 'format' when lower(z) not in ({v.quoted(v.CODES.lower())}) then 'unknown' end as problem from (select doc_id, trim(language) as z from {{s}} x) y".replace("{{2}}", "{2}"))(lambda m: m.select("doc_id", t.language_problem(F.col("language")).alias("problem")))
+over(fx.META, "lang_code_rules", f"select doc_id, case when z = '' then 'blank' when not regexp_full_match(z, '[a-zA-Z]{{2}}(-[a-zA-Z]{{2}})?') then 'format' when lower(z) not in ({v.quoted(c.lower() for c in v.CODES)}) then 'unknown' end as problem from (select doc_id, trim(language) as z from {{s}} x) y".replace("{{2}}", "{2}"))(lambda m: m.select("doc_id", t.language_problem(F.col("language")).alias("problem")))
 over(fx.CODES, "lang_suggestions", f"select doc_id, case when base in ('en', 'es', 'fr', 'de', 'it', 'pt', 'ru', 'zh', 'ja', 'ko', 'ar', 'hi') then concat(base, ',', base, '-', upper(base), case base when 'en' then ',en-US,en-GB' when 'es' then ',es-ES,es-MX' when 'fr' then ',fr-FR,fr-CA' when 'pt' then ',pt-BR,pt-PT' when 'zh' then ',zh-CN,zh-TW' else '' end) else 'en-US,es-ES,fr-FR,de-DE' end as codes from (select *, split_part(language, '-', 1) as base from {{s}} x) y where not {v.VALID.format('language')}")(metadata.suggestions)
-_REPAIR = "es=es-ES en=en-US fr=fr-FR de=de-DE it=it-IT pt=pt-PT ru=ru-RU zh=zh-CN ja=ja-JP ar=ar-SA ca=ca-ES"
-over(fx.CODES, "lang_repair", f"select doc_id, case {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} else 'es-ES' end as code from {{s}} x")(lambda m: m.select("doc_id", t.repaired_language(F.col("language")).alias("code")))
+_REPAIR = [("es", "es-ES"), ("en", "en-US"), ("fr", "fr-FR"), ("de", "de-DE"), ("it", "it-IT"), ("pt", "pt-PT"), ("ru", "ru-RU"), ("zh", "zh-CN"), ("ja", "ja-JP"), ("ar", "ar-SA"), ("ca", "ca-ES")]
+over(fx.CODES, "lang_repair", f"select doc_id, case {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in _REPAIR)} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in _REPAIR)} else 'es-ES' end as code from {{s}} x")(lambda m: m.select("doc_id", t.repaired_language(F.col("language")).alias("code")))
 over(fx.CODES, "reading_mode", "select doc_id, case when split_part(lower(language), '-', 1) in ('ar', 'he', 'fa', 'ur', 'yi', 'dv', 'ha', 'ps', 'ug') then 'rl-tb' when lower(language) in ('ja-jp', 'ko-kr') then 'tb-lr' when split_part(lower(language), '-', 1) in ('zh', 'ja', 'ko') then 'tb-rl' else 'lr-tb' end as mode from {s} x")(lambda m: m.select("doc_id", t.reading_mode(F.col("language")).alias("mode")))
 over(fx.META, "title_rules", v.title_faults("select * from {s} x", "title"))(metadata.title_problems)
 over(fx.META, "title_score", f"select doc_id, round({v.TITLE_SCORE}, 6) as score from {{s}} x")(lambda m: m.select("doc_id", F.round(t.title_score(F.col("title")), 6).alias("score")))
@@ -79,7 +79,7 @@ _ADVICE = "concat_ws('; ', case when title = '' then 'add a title' end, case whe
 over(fx.META, "metadata_completeness", f"select doc_id, {_FULL} as completeness from {{s}} x")(lambda m: metadata.completeness(m).select("doc_id", F.round("completeness", 6).alias("completeness")))
 over(fx.META, "metadata_ready", f"select doc_id, {_READY} as ready from {{s}} x")(metadata.ready)
 over(fx.META, "metadata_report", f"with c as (select doc_id, count(*) as total, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity = 'info') as infos from ({v.metadata_issues('select * from {s} y')}) i group by doc_id) select doc_id, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, coalesce(errors, 0) = 0 as compliant, {_FULL} as completeness, {_READY} as ready, {_ADVICE} as advice from {{s}} x left join c using (doc_id)")(lambda m: metadata.report(m).withColumn("completeness", F.round("completeness", 6)))
-over(fx.META, "metadata_repair", f"select doc_id, case when {v.TITLE_SCORE} < 0.5 then {v.FILE_TITLE} else title end as title, case when {v.VALID.format('language')} then language else case when lower(language) in ('') then 'es-ES' {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in (x.split('=') for x in _REPAIR.split()))} else 'es-ES' end end as language, true as pdf_ua_flag, true as display_title from {{s}} x")(metadata.repaired)
+over(fx.META, "metadata_repair", f"select doc_id, case when {v.TITLE_SCORE} < 0.5 then {v.FILE_TITLE} else title end as title, case when {v.VALID.format('language')} then language else case when lower(language) in ('') then 'es-ES' {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in _REPAIR)} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in _REPAIR)} else 'es-ES' end end as language, true as pdf_ua_flag, true as display_title from {{s}} x")(metadata.repaired)
 over(fx.META, "metadata_issues", v.metadata_issues("select * from {s} y"))(issues.of_metadata)
 over(fx.META, "metadata_recommendations", f"select doc_id, {_ADVICE} as advice from {{s}} x")(metadata.recommendations)
 over("select doc_id, text from documents", "normalize_text", r"select doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) as digest from {s} x")(lambda d: d.select("doc_id", F.md5(t.normalised(F.col("text"))).alias("digest")))
@@ -322,7 +322,7 @@ over(fx.NODES, "issue_details", f"{_STEPS} select i.*, t.type as element_type, t
 
 _CAT = "case when contains(checkpoint, '-') then split_part(checkpoint, '-', 1) else '00' end"
 _CNT = "count(*) as total, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity not in ('error', 'warning')) as infos"
-_DIM = ", ".join(f"('{k:02d}', '{n}')" for k, n in enumerate(v.CATEGORIES.split("|"), 1))
+_DIM = ", ".join(f"('{k:02d}', '{n}')" for k, n in enumerate(v.CATEGORIES, 1))
 _ROLL = f"with f as (select {_CAT} as category, {_CNT} from {{s}} x group by 1), d(category, name) as (values {_DIM}), z as (select coalesce(f.category, d.category) as category, coalesce(name, 'other') as name, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos from f full join d on f.category = d.category)"
 of_bag("issue_filter", "select doc_id, checkpoint, description from {s} x where severity = 'error' and fixable and contains(lower(description), 'without scope')")(lambda i: conformance.matching(i, severity="error", fixable=True, text="Without Scope").select("doc_id", "checkpoint", "description"))
 of_bag("checkpoint_categories", f"select *, case when errors > 0 then 'error' when warnings > 0 then 'warning' else 'info' end as overall from (select checkpoint, {_CNT} from {{s}} x group by checkpoint) y")(conformance.by_checkpoint)
@@ -337,7 +337,7 @@ _GENERAL = "['semantic tags', 'table headers', 'alternative texts', 'language',
 QUERIES["recommendations"] = lambda s, d: conformance.recommendations(_bag(s, d), frame(s, d, fx.STRUCTURED))
 ORACLES["recommendations"] = f"with f as (select doc_id, list(distinct {_CAT}) as bad from ({_BAG}) x where severity = 'error' group by doc_id), o as (select s.doc_id, list_filter([case when not has_structure then 'structure' end, {', '.join(f"case when list_contains(bad, '{c}') then '{c}' end" for c in _FIRST)}], lambda z: z is not null)[1:5] as own from ({fx.STRUCTURED}) s left join f on f.doc_id = s.doc_id), a as (select doc_id, case when len(own) < 3 then list_concat(own, {_GENERAL})[1:5] else own end as advice from o) select doc_id, cast(unnest(range(1, len(advice) + 1)) as integer) as place, unnest(advice) as advice from a"
 of_bag("issue_stats", f"select {_CNT}, count(*) filter (where fixable) as fixable, round_even(100.0 * count(*) filter (where fixable) / greatest(count(*), 1), 2) as fixable_percent from {{s}} x")(conformance.overview)
-of_bag("checkpoint_info", f"select checkpoint, count(*) as total, checkpoint in ({v.quoted(v.CHECKABLE + ' ' + v.JUDGED)}) as known, checkpoint in ({v.quoted(v.CHECKABLE)}) as checkable, case when checkpoint in ({v.quoted(v.ERRORS)}) then 'error' when checkpoint in ({v.quoted(v.WARNINGS)}) then 'warning' else 'info' end as severity from {{s}} x group by checkpoint")(lambda i: conformance.explained(i.groupBy("checkpoint").agg(F.count("*").alias("total"))).select("checkpoint", "total", "known", "checkable", "severity"))
+of_bag("checkpoint_info", f"select checkpoint, count(*) as total, checkpoint in ({v.quoted(v.CHECKABLE + v.JUDGED)}) as known, checkpoint in ({v.quoted(v.CHECKABLE)}) as checkable, case when checkpoint in ({v.quoted(v.ERRORS)}) then 'error' when checkpoint in ({v.quoted(v.WARNINGS)}) then 'warning' else 'info' end as severity from {{s}} x group by checkpoint")(lambda i: conformance.explained(i.groupBy("checkpoint").agg(F.count("*").alias("total"))).select("checkpoint", "total", "known", "checkable", "severity"))
 
 
 # ---- files ---------------------------------------------------------------------------

@@ -3,60 +3,64 @@
 Fixed values throughout: each list is what the rules prescribe.
 """
 
+from __future__ import annotations
+
+from collections.abc import Iterable
+
 #: Parent types and the children that each may hold.
 MAY_HOLD = {
-    "Document": "Part Art Sect Div P H1 H2 H3 H4 H5 H6 L Table Figure BlockQuote TOC Index",
-    "Part": "Art Sect Div P H1 H2 H3 H4 H5 H6 L Table Figure",
-    "Art": "Sect Div P H1 H2 H3 H4 H5 H6 L Table Figure",
-    "Sect": "Div P H1 H2 H3 H4 H5 H6 L Table Figure",
-    "Div": "P H1 H2 H3 H4 H5 H6 L Table Figure Div",
-    "L": "LI",
-    "LI": "Lbl LBody",
-    "LBody": "P L Table Figure",
-    "Table": "TR THead TBody TFoot Caption",
-    "THead": "TR",
-    "TBody": "TR",
-    "TFoot": "TR",
-    "TR": "TH TD",
-    "TH": "P Span Link",
-    "TD": "P Span Link L Figure",
-    "P": "Span Link Note Reference",
-    "BlockQuote": "P L",
-    "Caption": "P Span",
-    "TOC": "TOCI",
-    "TOCI": "P Span Link",
+    "Document": ["Part", "Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "BlockQuote", "TOC", "Index"],
+    "Part": ["Art", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure"],
+    "Art": ["Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure"],
+    "Sect": ["Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure"],
+    "Div": ["P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Div"],
+    "L": ["LI"],
+    "LI": ["Lbl", "LBody"],
+    "LBody": ["P", "L", "Table", "Figure"],
+    "Table": ["TR", "THead", "TBody", "TFoot", "Caption"],
+    "THead": ["TR"],
+    "TBody": ["TR"],
+    "TFoot": ["TR"],
+    "TR": ["TH", "TD"],
+    "TH": ["P", "Span", "Link"],
+    "TD": ["P", "Span", "Link", "L", "Figure"],
+    "P": ["Span", "Link", "Note", "Reference"],
+    "BlockQuote": ["P", "L"],
+    "Caption": ["P", "Span"],
+    "TOC": ["TOCI"],
+    "TOCI": ["P", "Span", "Link"],
 }
-STANDARD = "Document Part Art Sect Div BlockQuote Caption TOC TOCI Index NonStruct Private P H H1 H2 H3 H4 H5 H6 L LI Lbl LBody Table TR TH TD THead TBody TFoot Span Quote Note Reference BibEntry Code Link Annot Figure Formula Form"
-TERMINAL = f"{STANDARD} Ruby Warichu RB RT RP WT WP TextNode"
+STANDARD = ["Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot", "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Figure", "Formula", "Form"]
+TERMINAL = [*STANDARD, "Ruby", "Warichu", "RB", "RT", "RP", "WT", "WP", "TextNode"]
 SPEECH = {
-    "es": "de la|el |la |que |en |y |por |con |para |es ",
-    "en": "the |and |of |to |in |is |that |for |it |with ",
-    "fr": "le |la |les |de |et |en |que |une |pour |dans ",
-    "de": "der |die |und |den |in |von |zu |das |mit |dem ",
-    "it": "il |la |di |e |che |in |per |un |del |con ",
+    "es": ["de la", "el ", "la ", "que ", "en ", "y ", "por ", "con ", "para ", "es "],
+    "en": ["the ", "and ", "of ", "to ", "in ", "is ", "that ", "for ", "it ", "with "],
+    "fr": ["le ", "la ", "les ", "de ", "et ", "en ", "que ", "une ", "pour ", "dans "],
+    "de": ["der ", "die ", "und ", "den ", "in ", "von ", "zu ", "das ", "mit ", "dem "],
+    "it": ["il ", "la ", "di ", "e ", "che ", "in ", "per ", "un ", "del ", "con "],
 }
 RECOGNISED = {
-    "spa": "de la|el |la |que |en |y |por |con |para |es |ñ|á|é|í|ó|ú|ü",
-    "eng": "the |and |of |to |in |is |that |for |it |with |th|wh",
-    "fra": "le |la |les |de |et |en |que |une |pour |dans |ç|à|è|ê|ë|î|ï|ô|ù|û|ÿ",
-    "deu": "der |die |und |den |in |von |zu |das |mit |dem |ä|ö|ü|ß",
-    "ita": "il |la |di |e |che |in |per |un |del |con |è|à|ò|ù",
+    "spa": ["de la", "el ", "la ", "que ", "en ", "y ", "por ", "con ", "para ", "es ", "ñ", "á", "é", "í", "ó", "ú", "ü"],
+    "eng": ["the ", "and ", "of ", "to ", "in ", "is ", "that ", "for ", "it ", "with ", "th", "wh"],
+    "fra": ["le ", "la ", "les ", "de ", "et ", "en ", "que ", "une ", "pour ", "dans ", "ç", "à", "è", "ê", "ë", "î", "ï", "ô", "ù", "û", "ÿ"],
+    "deu": ["der ", "die ", "und ", "den ", "in ", "von ", "zu ", "das ", "mit ", "dem ", "ä", "ö", "ü", "ß"],
+    "ita": ["il ", "la ", "di ", "e ", "che ", "in ", "per ", "un ", "del ", "con ", "è", "à", "ò", "ù"],
 }
-CODES = "es es-ES es-MX es-AR es-CO es-CL es-PE es-VE en en-US en-GB en-CA en-AU fr fr-FR fr-CA de de-DE de-AT de-CH it it-IT pt pt-PT pt-BR ru ru-RU zh zh-CN zh-TW ja ja-JP ko ko-KR ar ar-SA ca ca-ES eu eu-ES gl gl-ES"
-CATEGORIES = "Real content tagged|Role mapping|Flickering|Color and contrast|Sound|Metadata|Dictionary|OCR validation|Appropriate tags|Character mappings|Declared natural language|Stretchable characters|Graphics|Headings|Tables|Lists|Mathematical expressions|Page headers and footers|Notes and references|Optional content|Embedded files|Article threads|Digital signatures|Non-interactive forms|XFA|Security|Navigation|Annotations|Actions|XObjects|Fonts"
+CODES = ["es", "es-ES", "es-MX", "es-AR", "es-CO", "es-CL", "es-PE", "es-VE", "en", "en-US", "en-GB", "en-CA", "en-AU", "fr", "fr-FR", "fr-CA", "de", "de-DE", "de-AT", "de-CH", "it", "it-IT", "pt", "pt-PT", "pt-BR", "ru", "ru-RU", "zh", "zh-CN", "zh-TW", "ja", "ja-JP", "ko", "ko-KR", "ar", "ar-SA", "ca", "ca-ES", "eu", "eu-ES", "gl", "gl-ES"]
+CATEGORIES = ["Real content tagged", "Role mapping", "Flickering", "Color and contrast", "Sound", "Metadata", "Dictionary", "OCR validation", "Appropriate tags", "Character mappings", "Declared natural language", "Stretchable characters", "Graphics", "Headings", "Tables", "Lists", "Mathematical expressions", "Page headers and footers", "Notes and references", "Optional content", "Embedded files", "Article threads", "Digital signatures", "Non-interactive forms", "XFA", "Security", "Navigation", "Annotations", "Actions", "XObjects", "Fonts"]
 #: Checkpoints that a machine can check, and those of the other kind.
-CHECKABLE = "01-003 01-004 01-005 01-007 02-001 02-003 02-004 28-001 06-001 06-002 06-003 07-001 07-002 11-001 11-002 11-006 13-004 14-003 15-003 28-002 28-004 28-011"
-JUDGED = "01-001 01-002 01-006 02-002 04-001 06-004 09-001 09-002 11-007 13-008 15-005 16-001"
-ERRORS = "01-005 06-001 06-002 06-003 07-001 07-002 13-004 14-003 15-003 28-002 28-004 28-011"
-WARNINGS = "01-006 02-002 04-001 06-004 11-007 13-008 16-001"
+CHECKABLE = ["01-003", "01-004", "01-005", "01-007", "02-001", "02-003", "02-004", "28-001", "06-001", "06-002", "06-003", "07-001", "07-002", "11-001", "11-002", "11-006", "13-004", "14-003", "15-003", "28-002", "28-004", "28-011"]
+JUDGED = ["01-001", "01-002", "01-006", "02-002", "04-001", "06-004", "09-001", "09-002", "11-007", "13-008", "15-005", "16-001"]
+ERRORS = ["01-005", "06-001", "06-002", "06-003", "07-001", "07-002", "13-004", "14-003", "15-003", "28-002", "28-004", "28-011"]
+WARNINGS = ["01-006", "02-002", "04-001", "06-004", "11-007", "13-008", "16-001"]
 
 
-def quoted(words: str, gap: str | None = None) -> str:
-    return ", ".join(f"'{w}'" for w in words.split(gap))
+def quoted(words: Iterable[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
-EDGES = ", ".join(f"('{p}', '{k}')" for p, ks in MAY_HOLD.items() for k in ks.split())
-PARENTS = quoted(" ".join(MAY_HOLD))
+EDGES = ", ".join(f"('{p}', '{k}')" for p, ks in MAY_HOLD.items() for k in ks)
+PARENTS = quoted(MAY_HOLD)
 _HOLDS = f"exists (select 1 from (values {EDGES}) v(p, k) where v.p = u.type and v.k = n.type)"
 _NONE = "cast(null as bigint) as page, cast(null as varchar) as element_id"
 
@@ -151,7 +155,7 @@ def metadata_issues(meta: str) -> str:
         ("not has_lang", _say("11-006", "error", "'no language'")),
         ("has_lang and language = ''", _say("11-006", "error", "'empty language'")),
         (f"has_lang and language <> '' and not regexp_full_match({bare}, '[a-zA-Z]{{2}}(-[a-zA-Z]{{2}})?')", _say("11-007", "error", "'language: format'")),
-        (f"has_lang and regexp_full_match({bare}, '[a-zA-Z]{{2}}(-[a-zA-Z]{{2}})?') and lower({bare}) not in ({quoted(CODES.lower())})", _say("11-007", "warning", "'language: unknown'")),
+        (f"has_lang and regexp_full_match({bare}, '[a-zA-Z]{{2}}(-[a-zA-Z]{{2}})?') and lower({bare}) not in ({quoted(c.lower() for c in CODES)})", _say("11-007", "warning", "'language: unknown'")),
         *[(f"{TRIMMED.format(f)} = ''", _say("metadata-quality", "info", f"'no {f}'")) for f in ("author", "subject", "keywords")],
         ("info_title <> '' and xmp_title <> '' and info_title <> xmp_title", _say("metadata-consistency", "warning", "'titles differ'")),
         *[(f"{f} <> '' and {odd.format(f)}", _say("metadata-quality", "info", f"'generic {f}'")) for f in ("title", "author", "subject")],
@@ -192,8 +196,8 @@ def table_issues(cells: str) -> str:
 
 
 #: Beginnings of names and the types that they suggest.
-NAMES = "h[0-9]=H1 head=H1 title=H1 heading=H1 subtitle=H2 chap=H1 sect=Sect paragraph=P para=P text=P img=Figure pic=Figure fig=Figure table=Table row=TR cell=TD header[a-z0-9_]*cell=TH th=TH td=TD list=L item=LI (bullet|numbered)list=L caption=Caption link=Link note=Note quote=Quote formula=Formula div=Div span=Span annotation=Annot form=Form reference=Reference"
-BY_NAME = f"case {' '.join(f'when regexp_matches(lower(name), {chr(39)}^{p}{chr(39)}) then {chr(39)}{k}{chr(39)}' for p, k in (x.split('=') for x in NAMES.split()))} else 'P' end"
+NAMES = [("h[0-9]", "H1"), ("head", "H1"), ("title", "H1"), ("heading", "H1"), ("subtitle", "H2"), ("chap", "H1"), ("sect", "Sect"), ("paragraph", "P"), ("para", "P"), ("text", "P"), ("img", "Figure"), ("pic", "Figure"), ("fig", "Figure"), ("table", "Table"), ("row", "TR"), ("cell", "TD"), ("header[a-z0-9_]*cell", "TH"), ("th", "TH"), ("td", "TD"), ("list", "L"), ("item", "LI"), ("(bullet|numbered)list", "L"), ("caption", "Caption"), ("link", "Link"), ("note", "Note"), ("quote", "Quote"), ("formula", "Formula"), ("div", "Div"), ("span", "Span"), ("annotation", "Annot"), ("form", "Form"), ("reference", "Reference")]
+BY_NAME = f"case {' '.join(f'when regexp_matches(lower(name), {chr(39)}^{p}{chr(39)}) then {chr(39)}{k}{chr(39)}' for p, k in NAMES)} else 'P' end"
 
 
 def frame_issues(frames: str, cells: str) -> str:
@@ -254,13 +258,13 @@ LOOKS = r"""with n as (select * from {s} x),
    text <> '' and len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 10 and regexp_matches(lower(text), 'fig|figure|imagen|image|ilustración|illustration|foto|photo|gráfico|graph|chart|diagrama|diagram') as like_figure from h1 left join k2 on k2.doc_id = h1.doc_id and k2.parent_id = h1.node_id)"""
 #: What the repairs let the parents of the sample hold.
 REPAIR_EDGES = {
-    "Document": "Part Art Sect Div P H1 L Table Figure Formula Form TOC Index",
-    "Sect": "Part Sect Div P H1 H2 H3 H4 H5 H6 L Table Figure Formula Form",
-    "Div": "P H1 H2 H3 H4 H5 H6 L Table Figure Formula Form Div",
-    "L": "Caption LI",
-    "LI": "Lbl LBody",
-    "Table": "Caption TR THead TBody TFoot",
-    "TR": "TH TD",
+    "Document": ["Part", "Art", "Sect", "Div", "P", "H1", "L", "Table", "Figure", "Formula", "Form", "TOC", "Index"],
+    "Sect": ["Part", "Sect", "Div", "P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Formula", "Form"],
+    "Div": ["P", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Formula", "Form", "Div"],
+    "L": ["Caption", "LI"],
+    "LI": ["Lbl", "LBody"],
+    "Table": ["Caption", "TR", "THead", "TBody", "TFoot"],
+    "TR": ["TH", "TD"],
 }
 _MAY = "case parent_type " + " ".join(f"when '{p}' then [{quoted(ks)}]" for p, ks in REPAIR_EDGES.items()) + " end"
 FITTING = rf"""g0 as (select *, {_MAY} as may, case when text = '' and kids = 0 then 'Div' when like_heading then case when parent_type in ('Document', 'Part', 'Art') then 'H1' when parent_type = 'Sect' then 'H2' else 'H3' end when like_figure then 'Figure' when like_table then 'Table' when like_list then 'L' when like_item then 'LI' when parent_type = 'Table' then 'TR' when parent_type = 'TR' then 'TD' when parent_type = 'L' then 'LI' when parent_type = 'LI' then case when like_label then 'Lbl' else 'LBody' end else 'P' end as fitting from f),
