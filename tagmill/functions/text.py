@@ -238,3 +238,30 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of the lower-case word sets; 0 if either is empty."""
     x, y = (F.array_distinct(words_of(F.lower(c))) for c in (a, b))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+
+def shortened(t: Column, most: int) -> Column:
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
+
+
+#: How types are called where they are shown, and how much of their text is.
+SHOWN = {"P": ("Paragraph", 60, "empty"), "LI": ("List Item", 40, "empty"), "Link": ("Link", 30, "no text"), "TextContent": ("Text", 50, "empty")}
+
+
+def display_text(kind: Column, text: Column, kids: Column, given: dict[str, Column]) -> Column:
+    """What stands for an element in a list of elements: its kind with the beginning of its text, or what else it has; given are its alt, scope, headers, lang, listnumbering and mcid."""
+    bare, has = stripped(F.coalesce(text, F.lit(""))), {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in given.items()}
+    say = lambda name, most: F.concat(name, F.lit(": "), shortened(bare, most))
+    some, n = bare != "", kids.cast("string")
+    heading = F.when(some, say(kind, 50)).otherwise(F.concat(kind, F.lit(" (empty)")))
+    figure = F.when(has["alt"] != "", F.concat(F.lit("Figure: "), shortened(has["alt"], 40))).when(some, say(F.lit("Figure"), 40)).otherwise("Figure (no alt text)")
+    cell = F.when(some, say(kind, 30)).when(has["scope"] != "", F.concat(kind, F.lit(" (scope: "), has["scope"], F.lit(")"))).when(has["headers"] != "", F.concat(kind, F.lit(" (headers: "), F.substring(has["headers"], 1, 20), F.lit("...)"))).otherwise(F.concat(kind, F.lit(" (empty)")))
+    items = F.when(has["listnumbering"] != "", F.concat(F.lit("List ("), has["listnumbering"], F.lit(", "), n, F.lit(" items)"))).otherwise(F.concat(F.lit("List ("), n, F.lit(" items)")))
+    mark = F.concat(F.lit("MCID "), F.when(has["mcid"] == "", "?").otherwise(has["mcid"]))
+    span = F.when(some, say(F.lit("Span"), 40)).when(has["lang"] != "", F.concat(F.lit("Span (lang: "), has["lang"], F.lit(")"))).otherwise("Span (empty)")
+    told = F.concat_ws(", ", *[F.when(has[k] != "", F.concat(F.lit(f"{k}: "), F.substring(has[k], 1, 15), F.lit("..."))) for k in ("alt", "lang", "scope", "headers")])
+    other = F.when(some, say(kind, 40)).when(kids > 0, F.concat(kind, F.lit(" ("), n, F.lit(" children)"))).when(told != "", F.concat(kind, F.lit(" ("), told, F.lit(")"))).otherwise(kind)
+    out = F.when(kind == "StructTreeRoot", F.concat(F.lit("Document Root ("), n, F.lit(" children)"))).when(kind.rlike("^H[1-6]$"), heading).when(kind == "Figure", figure).when(kind == "Table", F.concat(F.lit("Table ("), n, F.lit(" rows)"))).when(kind.isin("TH", "TD"), cell).when(kind == "L", items)
+    for name, (shown, most, none) in SHOWN.items():
+        out = out.when(kind == name, F.when(some, say(F.lit(shown), most)).otherwise(f"{shown} ({none})"))
+    return out.when(kind == "MCID", F.when(some, say(mark, 40)).otherwise(F.concat(mark, F.lit(" (no text)")))).when(kind == "Span", span).otherwise(other)

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import colour
 from tagmill.functions import text as t
-from tagmill.operators import layout, metadata, tables, tree
+from tagmill.operators import closure, layout, metadata, tables, tree
 
 COLUMNS = ["doc_id", "checkpoint", "severity", "description", "fixable", "page", "element_id"]
 #: Types that are real content, and types whose text needs a language.
@@ -230,3 +230,21 @@ def of_tables(cells: DataFrame, captioned: DataFrame | None = None, frames: Data
     bare = filled.where("has is null").groupBy("table_id").agg(F.count("*").alias("n"))
     none = frames.groupBy("table_id").agg(F.count("row_id").alias("n")).where("n = 0")
     return union(out, named(bare, [_when(F.lit(True), "table-structure", "warning", F.concat(c("n").cast("string"), F.lit(" rows without cells")))]), named(none, [_when(F.lit(True), "table-structure", "error", "table without any row")]))
+
+
+def of_order(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, kind: headings that skip a level after the one before them in reading order, lists with what is no item, tables without a row right below.
+
+    nodes: doc_id, node_id, parent_id, place, type.
+    """
+    c = F.col
+    lines = closure.ancestors(nodes)
+    ranks = closure.ranked(closure.places(lines, nodes))
+    level = F.regexp_extract("type", r"^H(\p{Nd}+)$", 1).try_cast("int")
+    heads = nodes.withColumn("level", level).where("level is not null").join(ranks, ["doc_id", "node_id"])
+    before = F.lag("level").over(Window.partitionBy("doc_id").orderBy("rank"))
+    skips = heads.withColumn("before", before).where("level > before + 1")
+    kids = nodes.where("parent_id is not null").groupBy("doc_id", c("parent_id").alias("node_id")).agg(F.count_if(c("type") != "LI").alias("others"), F.count_if(c("type") == "TR").alias("rows"))
+    held = nodes.join(kids, ["doc_id", "node_id"], "left").fillna(0, ["others", "rows"])
+    say = lambda frame, kind: frame.select("doc_id", "node_id", F.lit(kind).alias("kind"))
+    return say(skips, "heading_level_skip").unionByName(say(held.where("type = 'L' and others > 0"), "invalid_list_content")).unionByName(say(held.where("type = 'Table' and rows = 0"), "empty_table"))

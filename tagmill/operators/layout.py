@@ -73,7 +73,7 @@ def overlaps(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     return meeting(_sided(solid, "a_"), _sided(solid, "b_")).where("a_elem_id < b_elem_id").withColumn("ratio", ratio).where(F.col("ratio") >= least)
 
 
-def lines(boxes: DataFrame, tolerance: float) -> DataFrame:
+def lines(boxes: DataFrame, tolerance: float | Column) -> DataFrame:
     """Numbered lines: a box begins one if it starts below all before it by more than tolerance."""
     w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "elem_id")
     reach = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))

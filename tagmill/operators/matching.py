@@ -93,3 +93,12 @@ def widget_homes(widgets: DataFrame, nodes: DataFrame) -> DataFrame:
     homes = nodes.where(F.col("type").isin(HOMES)).select("doc_id", "node_id").join(where, ["doc_id", "node_id"])
     last = homes.groupBy("doc_id", "page").agg(F.max_by("node_id", F.struct("path", "node_id")).alias("parent_id"))
     return widgets.join(last, ["doc_id", "page"]).select("doc_id", "widget_id", "parent_id", F.lit("Form").alias("type"), t.readable_field_name(F.coalesce("name", F.lit(""))).alias("text"))
+
+
+def clearer_links(links: DataFrame) -> DataFrame:
+    """links (doc_id, link_id, text, alt, dest) whose text leads to more than one destination in their document -> doc_id, link_id, value: a description that names theirs."""
+    bare = t.stripped(F.coalesce("text", F.lit("")))
+    twice = ambiguous_links(links).select("doc_id", F.col("text").alias("said"))
+    some = links.withColumn("said", bare).join(twice, ["doc_id", "said"], "left_semi").where(F.coalesce("dest", F.lit("")) != "")
+    name = F.when(F.coalesce("alt", F.lit("")) != "", F.col("alt")).otherwise(F.coalesce("text", F.lit("Enlace")))
+    return some.select("doc_id", "link_id", F.concat(name, F.lit(" (destino: "), "dest", F.lit(")")).alias("value"))

@@ -99,3 +99,25 @@ def repaired(rows: DataFrame) -> DataFrame:
     title = F.when(t.title_score(_text("title")) < 0.5, t.title_of_filename(F.col("filename"))).otherwise(F.col("title"))
     lang = F.when(t.valid_language(F.col("language")), F.col("language")).otherwise(t.repaired_language(F.col("language")))
     return rows.select("doc_id", title.alias("title"), lang.alias("language"), F.lit(True).alias("pdf_ua_flag"), F.lit(True).alias("display_title"))
+
+
+#: What names a maker that isn't given, a title that isn't, and the namespace of the identifier.
+MAKERS = {"producer": "PDF/UA Editor v1.0", "creator": "PDF/UA Editor"}
+UNTITLED, NAMESPACE = "Documento PDF", "http://www.aiim.org/pdfua/ns/id/"
+
+
+def patches(rows: DataFrame) -> DataFrame:
+    """doc_id, column, old, new: what repaired() changes, as patches."""
+    after = repaired(rows)
+    names = ["title", "language", "pdf_ua_flag", "display_title"]
+    both = rows.select("doc_id", *[F.col(n).cast("string").alias(f"o_{n}") for n in names]).join(after.select("doc_id", *[F.col(n).cast("string").alias(f"n_{n}") for n in names]), "doc_id")
+    pairs = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"o_{n}").alias("old"), F.col(f"n_{n}").alias("new")) for n in names])
+    return both.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.*").where("not (old <=> new)")
+
+
+def conforming(rows: DataFrame) -> DataFrame:
+    """doc_id, title, language, creator, producer, xmp: metadata that conform, whatever is missing, and the XML that says so."""
+    title = F.when(_text("title") == "", UNTITLED).otherwise(F.col("title"))
+    lang = F.when(t.valid_language(F.col("language")), F.col("language")).otherwise("es-ES")
+    xml = F.lit(f'<rdf:Description rdf:about="" xmlns:pdfuaid="{NAMESPACE}"><pdfuaid:part>1</pdfuaid:part></rdf:Description>')
+    return rows.select("doc_id", title.alias("title"), lang.alias("language"), F.lit(MAKERS["creator"]).alias("creator"), F.lit(MAKERS["producer"]).alias("producer"), xml.alias("xmp"))

@@ -6,7 +6,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.operators import layout
@@ -39,7 +39,7 @@ def line_columns(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     return sums.withColumn("key", key).withColumn("k", F.row_number().over(Window.partitionBy(*PAGE, "line").orderBy("key", "column"))).where("k = 1").select(*PAGE, "line", "column")
 
 
-def column_order(boxes: DataFrame, bounds: DataFrame, tolerance: float = 3.0) -> DataFrame:
+def column_order(boxes: DataFrame, bounds: DataFrame, tolerance: float | Column = 3.0) -> DataFrame:
     """boxes with line, column and visual: column by column, each from the top, each line from the left."""
     lined = layout.lines(boxes, tolerance)
     placed = lined.join(line_columns(lined, bounds), [*PAGE, "line"])
@@ -113,3 +113,9 @@ def move_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """by, elements, moved: how many elements a group has and how many of them must move."""
     moved = moves(rows, by).groupBy(*by).agg(F.count("*").alias("moved"))
     return rows.groupBy(*by).agg(F.count("*").alias("elements")).join(moved, by, "left").fillna(0, ["moved"])
+
+
+def detected_order(boxes: DataFrame) -> DataFrame:
+    """boxes (with kind) with line, column and visual: lines by the tolerance of their page, columns by the left margins found on it."""
+    near = boxes.join(layout.line_tolerance(boxes), PAGE)
+    return column_order(near, layout.detected_columns(boxes), F.col("tolerance")).drop("tolerance")

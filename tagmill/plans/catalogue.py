@@ -80,6 +80,7 @@ over(fx.META, "metadata_completeness", f"select doc_id, {_FULL} as completeness
 over(fx.META, "metadata_ready", f"select doc_id, {_READY} as ready from {{s}} x")(metadata.ready)
 over(fx.META, "metadata_report", f"with c as (select doc_id, count(*) as total, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warning') as warnings, count(*) filter (where severity = 'info') as infos from ({v.metadata_issues('select * from {s} y')}) i group by doc_id) select doc_id, coalesce(total, 0) as total, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, coalesce(infos, 0) as infos, coalesce(errors, 0) = 0 as compliant, {_FULL} as completeness, {_READY} as ready, {_ADVICE} as advice from {{s}} x left join c using (doc_id)")(lambda m: metadata.report(m).withColumn("completeness", F.round("completeness", 6)))
 over(fx.META, "metadata_repair", f"select doc_id, case when {v.TITLE_SCORE} < 0.5 then {v.FILE_TITLE} else title end as title, case when {v.VALID.format('language')} then language else case when lower(language) in ('') then 'es-ES' {' '.join(f"when lower(language) = '{a}' then '{b}'" for a, b in _REPAIR)} {' '.join(f"when contains(lower(language), '{a}') then '{b}'" for a, b in _REPAIR)} else 'es-ES' end end as language, true as pdf_ua_flag, true as display_title from {{s}} x")(metadata.repaired)
+over(fx.META, "metadata_patches", f"with r as ({ORACLES['metadata_repair']}), m as (select * from {{s}} x), u as (select m.doc_id, 'title' as column_name, m.title as old, r.title as new from m join r using (doc_id) union all select m.doc_id, 'language', m.language, r.language from m join r using (doc_id) union all select m.doc_id, 'pdf_ua_flag', cast(m.pdf_ua_flag as varchar), 'true' from m union all select m.doc_id, 'display_title', cast(m.display_title as varchar), 'true' from m) select * from u where old is distinct from new")(lambda m: metadata.patches(m).withColumnRenamed("column", "column_name"))
 over(fx.META, "metadata_issues", v.metadata_issues("select * from {s} y"))(issues.of_metadata)
 over(fx.META, "metadata_recommendations", f"select doc_id, {_ADVICE} as advice from {{s}} x")(metadata.recommendations)
 over("select doc_id, text from documents", "normalize_text", r"select doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) as digest from {s} x")(lambda d: d.select("doc_id", F.md5(t.normalised(F.col("text"))).alias("digest")))

@@ -183,6 +183,13 @@ union all select doc_id, concat('B', cast(rn as string)), concat('I', cast(rn as
 LIST_ITEMS = f"select doc_id, l_orderkey as list_id, rn as node_id, cast(rn as bigint) as place, cast(case when l_partkey % 11 = 0 then null else l_suppkey % 40 end as double) as y0, cast(l_suppkey % 40 + 6 as double) as y1 from ({_LINES_OF}) t"
 WIDGETS = f"select o_custkey as doc_id, o_orderkey % 3 as page, o_orderkey as widget_id, concat('txt', case when o_orderkey % 2 = 0 then 'firstName' else 'ZIPCode' end) as name from orders where o_orderkey % 4 = 1"
 
+#: Images with the figures that they stand in, and figures in all kinds of places.
+PICTURES = "select p_partkey % 300 as doc_id, cast(p_partkey % 9 as bigint) as page, p_partkey as image_id, concat('n', cast(p_partkey as string)) as node_id, case p_size % 6 when 0 then 'jpeg' when 1 then 'png' when 2 then 'tiff' when 3 then 'gif' when 4 then 'svg+xml' else 'bmp' end as kind, p_size as width, cast(p_partkey % 50 as int) as height, p_partkey % 7 = 0 as has_text, case when p_partkey % 14 = 0 then '' else p_name end as content, p_partkey % 5 = 0 as decorative, case p_partkey % 6 when 0 then '' when 1 then 'foto' when 2 then 'imagen 12' when 3 then 'abc' when 4 then 'page 3' else concat('a description of ', p_name) end as alt, case when p_partkey % 4 = 0 then 'x' else '' end as actual from part"
+DRAWINGS = NODES.replace("case c_custkey % 5 when 0 then 'Div' when 1 then 'LI' when 2 then 'Span'", "case c_custkey % 5 when 0 then 'Link' when 1 then 'Annot' when 2 then 'Form'").replace("'a description'", "case o_orderkey % 3 when 0 then 'Un Diagrama' when 1 then 'a description' else 'gráfico 1' end")
+NAMED_LINKS = f"select *, dense_rank() over (partition by doc_id order by text, dest) as link_id, case when doc_id % 3 = 0 then 'alt' else '' end as alt from (select distinct doc_id, text, dest from ({ADDRESSES}) t) u"
+SHOWN = f"select doc_id, node_id, type, text, alt, scope, lang, case when node_id like '%4' then 'a b c' else '' end as headers, case when node_id like '%2' then 'Decimal' else '' end as listnumbering, case when node_id like '%8' then 7 else null end as mcid, length(node_id) - 2 as kids from ({NODES.replace("when 9 then 'TextContent'", "when 9 then case when o_orderkey % 5 = 0 then 'MCID' else 'TextContent' end")}) t"
+ORDERED = f"select doc_id, node_id, parent_id, sib as place, type from ({NODES}) t"
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""

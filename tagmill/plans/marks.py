@@ -1,10 +1,11 @@
-"""Queries of what is no content, of lists as they are printed and as they should be tagged, of homes for widgets."""
+"""Queries of what is no content, and of repairs: lists as they are printed and should be tagged, homes of widgets, figures, links, metadata; what stands for elements."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagmill.operators import artifacts, lists, matching
+from tagmill.functions import text as t
+from tagmill.operators import artifacts, figures, issues, lists, matching, metadata
 from tagmill.plans import fixtures as fx
 from tagmill.plans import sql_values as v
 from tagmill.plans.registry import of_many, over
@@ -55,3 +56,30 @@ over(fx.LIST_ITEMS, "list_item_order", "with c as (select *, row_number() over (
 of_many({"widgets": fx.WIDGETS, "nodes": fx.TREES}, "widget_additions", f"""with recursive n as (select * from {{nodes}} x), t as (select doc_id, node_id, type, page, [place] as path from n where parent_id is null union all select n.doc_id, n.node_id, n.type, coalesce(n.page, t.page), list_append(t.path, n.place) from n join t on n.doc_id = t.doc_id and n.parent_id = t.node_id),
 h as (select doc_id, page, node_id, row_number() over (partition by doc_id, page order by path desc, node_id desc) as k from t where type in ('P', 'Div', 'TD', 'Sect', 'Art', 'NonStruct') and page is not null)
 select w.doc_id, w.widget_id, h.node_id as parent_id, 'Form' as type, {v.READABLE} as text from {{widgets}} w join h on h.doc_id = w.doc_id and h.page = w.page and h.k = 1""")(matching.widget_homes)
+
+# ---- figures and links ---------------------------------------------------------------
+
+_NAME = "case kind when 'jpeg' then 'fotografía' when 'png' then 'gráfico' when 'tiff' then 'imagen escaneada' when 'gif' then 'imagen animada' when 'svg+xml' then 'gráfico vectorial' else 'imagen' end"
+_BIG = f"concat(upper(left({_NAME}, 1)), lower(substring({_NAME}, 2)))"
+_TYPED = f"case when regexp_matches(lower(alt), 'imagen|figura|gráfico|foto|image|picture') then alt else concat({_BIG}, ': ', alt) end"
+_MADE = f"case when has_text and content <> '' then concat('Imagen con texto: ', content) when alt <> '' then case when {v.GENERIC_ALT} then case when regexp_matches(lower(alt), 'página|page') then {_TYPED} else concat({_TYPED}, ' (página ', page + 1, ')') end else alt end else concat({_BIG}, ' ', case when width > height * 1.5 then 'horizontal' when height > width * 1.5 then 'vertical' else 'cuadrada' end, ' en página ', page + 1) end"
+over(fx.PICTURES, "figure_descriptions", f"with p as (select *, {_MADE} as made, {v.GENERIC_ALT} as generic from {{s}} x) select doc_id, node_id, 'Alt' as attribute, made as value from p where alt = '' union all select doc_id, node_id, 'ActualText', content from p where has_text and actual = '' union all select doc_id, node_id, 'Alt', made from p where not (has_text and actual = '') and alt <> '' and generic and made <> alt")(figures.paired_patches)
+over(fx.PICTURES, "untagged_images", f"select doc_id, image_id, case when decorative then 'artifact' else 'figure' end as action, case when not decorative then {_MADE.replace('alt', chr(39) * 2)} end as alt, case when not decorative and has_text then content end as actual from {{s}} x")(lambda p: figures.untagged_images(p.drop("alt", "actual")))
+of_many({"nodes": fx.DRAWINGS, "paired": f"select doc_id, node_id from ({fx.DRAWINGS}) q where node_id like '%6'"}, "figure_patches", "with f as (select n.*, u.type as up from {nodes} n left join {nodes} u on u.doc_id = n.doc_id and u.node_id = n.parent_id where n.type = 'Figure') select doc_id, node_id, 'context' as reason, concat('Imagen en ', lower(up)) as value from f where up in ('Annot', 'Link', 'Form') and alt = '' union all select doc_id, node_id, 'complex', concat(alt, ' [Para obtener una descripción más detallada, contacte con el autor o administrador del documento]') from f where regexp_matches(lower(alt), 'gráfico|diagrama|esquema') and length(alt) < 100 union all select doc_id, node_id, 'orphan', 'Elemento gráfico (no hay imagen detectable)' from f where alt = '' and (doc_id, node_id) not in (select (doc_id, node_id) from {paired} p)")(figures.figure_patches)
+over(fx.NAMED_LINKS, "clearer_links", "with l as (select *, trim(text) as said from {s} x), m as (select doc_id, said from l where said <> '' group by all having count(distinct dest) > 1) select l.doc_id, link_id, concat(case when alt <> '' then alt else text end, ' (destino: ', dest, ')') as value from l join m on m.doc_id = l.doc_id and m.said = l.said where dest <> ''")(matching.clearer_links)
+_CUT = "case when length({t}) > {n} then concat(left({t}, {n}), '...') else {t} end"
+_SAY = lambda name, n, t="trim(text)": f"concat({name}, ': ', {_CUT.format(t=t, n=n)})"
+_REST = "concat_ws(', ', case when alt <> '' then concat('alt: ', left(alt, 15), '...') end, case when lang <> '' then concat('lang: ', left(lang, 15), '...') end, case when scope <> '' then concat('scope: ', left(scope, 15), '...') end, case when headers <> '' then concat('headers: ', left(headers, 15), '...') end)"
+over(fx.SHOWN, "display_texts", f"""select doc_id, node_id, case when regexp_full_match(type, 'H[1-6]') then case when trim(text) <> '' then {_SAY('type', 50)} else concat(type, ' (empty)') end
+ when type = 'P' then case when trim(text) <> '' then {_SAY("'Paragraph'", 60)} else 'Paragraph (empty)' end when type = 'Figure' then case when alt <> '' then {_SAY("'Figure'", 40, 'alt')} when trim(text) <> '' then {_SAY("'Figure'", 40)} else 'Figure (no alt text)' end
+ when type = 'Table' then concat('Table (', kids, ' rows)') when type in ('TH', 'TD') then case when trim(text) <> '' then {_SAY('type', 30)} when scope <> '' then concat(type, ' (scope: ', scope, ')') when headers <> '' then concat(type, ' (headers: ', left(headers, 20), '...)') else concat(type, ' (empty)') end
+ when type = 'L' then case when listnumbering <> '' then concat('List (', listnumbering, ', ', kids, ' items)') else concat('List (', kids, ' items)') end when type = 'LI' then case when trim(text) <> '' then {_SAY("'List Item'", 40)} else 'List Item (empty)' end
+ when type = 'Link' then case when trim(text) <> '' then {_SAY("'Link'", 30)} else 'Link (no text)' end when type = 'TextContent' then case when trim(text) <> '' then {_SAY("'Text'", 50)} else 'Text (empty)' end
+ when type = 'MCID' then case when trim(text) <> '' then {_SAY("concat('MCID ', coalesce(cast(mcid as varchar), '?'))", 40)} else concat('MCID ', coalesce(cast(mcid as varchar), '?'), ' (no text)') end
+ when type = 'Span' then case when trim(text) <> '' then {_SAY("'Span'", 40)} when lang <> '' then concat('Span (lang: ', lang, ')') else 'Span (empty)' end
+ when trim(text) <> '' then {_SAY('type', 40)} when kids > 0 then concat(type, ' (', kids, ' children)') when {_REST} <> '' then concat(type, ' (', {_REST}, ')') else type end as shown from {{s}} x""")(lambda n: n.select("doc_id", "node_id", t.display_text(F.col("type"), F.col("text"), F.col("kids"), {k: F.col(k) for k in ("alt", "scope", "headers", "lang", "listnumbering", "mcid")}).alias("shown")))
+over(fx.ORDERED, "order_issues", "with recursive n as (select * from {s} x), w as (select doc_id, node_id, type, [place] as path from n where parent_id is null union all select n.doc_id, n.node_id, n.type, list_append(w.path, n.place) from n join w on n.doc_id = w.doc_id and n.parent_id = w.node_id), h as (select *, cast(substring(type, 2) as integer) as level, lag(cast(substring(type, 2) as integer)) over (partition by doc_id order by path, node_id) as before from w where regexp_full_match(type, 'H[0-9]+')) select doc_id, node_id, 'heading_level_skip' as kind from h where level > before + 1 union all select distinct l.doc_id, l.node_id, 'invalid_list_content' from n l join n k on k.doc_id = l.doc_id and k.parent_id = l.node_id where l.type = 'L' and k.type <> 'LI' union all select doc_id, node_id, 'empty_table' from n where type = 'Table' and not exists (select 1 from n k where k.doc_id = n.doc_id and k.parent_id = n.node_id and k.type = 'TR')")(issues.of_order)
+
+# ---- metadata ------------------------------------------------------------------------
+
+over(fx.META, "conforming_metadata", f"select doc_id, case when coalesce(title, '') = '' then 'Documento PDF' else title end as title, case when {v.VALID.format('language')} then language else 'es-ES' end as language, 'PDF/UA Editor' as creator, 'PDF/UA Editor v1.0' as producer, '<rdf:Description rdf:about=\"\" xmlns:pdfuaid=\"http://www.aiim.org/pdfua/ns/id/\"><pdfuaid:part>1</pdfuaid:part></rdf:Description>' as xmp from {{s}} x")(metadata.conforming)
