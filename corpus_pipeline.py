@@ -1,4 +1,13 @@
-"""Documents to token ids in five stages, each written and read again as the next one's input."""
+"""Documents to token ids in five stages, each written and read again as the next one's input.
+
+Edge cases, alike in all stages: empty tables give empty tables; texts of any length are
+read whole; extra columns, whatever their names, pass through the first four stages as
+they are. A null or empty text is rejected by the first stage, as it has too few words;
+given to a later one it is a class of its own, has no personal data, counts no words and
+has no ids. Null ids, sources and languages are values like others. Rows that repeat are
+one document for the second stage, and ties there go to the least id, null last; the
+mixture draws by id, so rows of one id share their draw.
+"""
 
 from __future__ import annotations
 

@@ -1,10 +1,10 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles.
 
 MinHash bands bring texts together, and a star per bucket and connected components make
-groups of candidates. Groups of up to BANDS * BLOCK texts are compared whole, in tiles of
-blocks; beyond that, where template texts chain together, the buckets of the group are,
-each pair in the first bucket that it shares, so work follows the buckets and not the
-square of the group. Within a tile pairs compare MinHash values a few at a time: a pair
+groups of candidates. A pair is compared if it shares a bucket, in groups of every size:
+groups of up to CHAINED texts in tiles of blocks, and larger ones, where template
+texts chain together, bucket by bucket, each pair in the first that it shares, so work
+follows the buckets and not the square of the group. Within a tile pairs compare MinHash values a few at a time: a pair
 goes on only while the posterior probability that its similarity reaches the threshold is
 above a tolerance. What is left is verified on the exact shingle sets. A tile returns link
 counts and a spanning forest, never pairs, so the rows that move stay in proportion to the
@@ -38,6 +38,8 @@ BANDS, ROWS = 24, 4
 STEP, VALUES, TOLERANCE = 32, 128, 1e-9
 #: Texts of a block; groups of more than two blocks are compared tile by tile.
 BLOCK = 128
+#: Texts of a group beyond which its buckets are compared, not the group.
+CHAINED = BANDS * BLOCK
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -123,14 +125,20 @@ def candidate_groups(rows: DataFrame) -> DataFrame:
 
 
 def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, need: list[int], band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which of left and right are alike; both may be the same places of sets, then each pair once; with a band's key only pairs that share no band before it."""
+    """Which of left and right share a bucket and are alike; both may be the same places of sets, then each pair once; with a band's key only pairs that share no band before it."""
     same = left is right
     a_sig = signatures([sets[i] for i in left], VALUES)
     b_sig = a_sig if same else signatures([sets[i] for i in right], VALUES)
     equal = np.zeros((len(left), len(right)), np.int16)
     alive = np.triu(np.ones(equal.shape, bool), 1) if same else np.ones(equal.shape, bool)
-    if band is not None:
-        a_keys, b_keys = band_keys(a_sig), band_keys(b_sig)
+    a_keys = band_keys(a_sig)
+    b_keys = a_keys if same else band_keys(b_sig)
+    if band is None:
+        shared = np.zeros(equal.shape, bool)
+        for k in range(BANDS):
+            shared |= a_keys[:, k, None] == b_keys[None, :, k]
+        alive &= shared
+    else:
         own = int(np.flatnonzero(a_keys[0] == np.array(band, np.int64).view(np.uint64))[0])
         for k in range(own):
             alive &= a_keys[:, k, None] != b_keys[None, :, k]
@@ -235,9 +243,9 @@ def links(docs: DataFrame) -> DataFrame:
     some = members.select("size", "node", F.hex("comp").alias("comp"), "n", F.lit(None).cast("long").alias("band"))
     bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // (4 * BLOCK)))
     small = some.where(f"size <= {2 * BLOCK}").select(F.lit(None).cast("string").alias("big"), F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", "comp", "n", "band")
-    whole = _tiled(some.where(f"size between {2 * BLOCK + 1} and {BANDS * BLOCK}"), "comp")
+    whole = _tiled(some.where(f"size between {2 * BLOCK + 1} and {CHAINED}"), "comp")
     out = small.unionByName(whole)
-    chained = members.where(f"size > {BANDS * BLOCK}").select("node", "n")
+    chained = members.where(f"size > {CHAINED}").select("node", "n")
     if not chained.isEmpty():
         wide = cut(rows.join(chained, "node").distinct())
         full = cut(wide.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"))

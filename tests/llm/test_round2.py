@@ -147,18 +147,23 @@ def near_texts(n: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("by_bucket", [False, True])
-def test_ngram_recall(spark, monkeypatch, by_bucket):
-    """Every link of brute force, no other: whole groups, and, with groups taken for chained ones, bucket by bucket."""
-    texts = near_texts(400)
+def chained_texts(n):
+    """Texts that each share most of their words with the next ones: one group, however many."""
+    words = [f"c{k}" for k in range(5 * n + 100)]
+    return [" ".join(words[5 * k : 5 * k + 100 - 2 * (k % 3)]) for k in range(n)]
+
+
+@pytest.mark.parametrize(("make", "n", "chained", "block"), [(near_texts, 400, 3072, 128), (chained_texts, 110, 3072, 128), (near_texts, 40, 10, 8)])
+def test_ngram_recall(spark, monkeypatch, make, n, chained, block):
+    """Every link of brute force, no other: groups in tiles, and, with groups of more than ten taken for chained ones, bucket by bucket in tiles of their own."""
+    texts = make(n)
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
     alike = [[j for j in range(len(texts)) if j != i and 5 * len(a & sets[j]) >= 4 * len(a | sets[j])] for i, a in enumerate(sets)]
-    if by_bucket:
-        monkeypatch.setattr(ngram_join, "BLOCK", 0.2)  # groups of 5 and more go by their buckets; blocks stay whole in the workers
-        monkeypatch.setattr(ngram_join, "_tiled", lambda rows, key: rows.select(F.col(key).cast("string").alias("big"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "comp", "n", "band"))
+    monkeypatch.setattr(ngram_join, "CHAINED", chained)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     got = {r["doc_id"]: r["n_links"] for r in ngram_join.op8_ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = {i: len(x) for i, x in enumerate(alike)}
-    assert sum(want.values()) > 1000 and got == want
+    assert sum(want.values()) >= 2 * n and got == want
 
 
 def plain_rake(words, goals, rounds=60):
