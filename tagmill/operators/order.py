@@ -87,23 +87,28 @@ def moves(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     schema = {n: rows.schema[n].dataType.simpleString() for n in [*by, "elem_id"]}
 
-    def done(group: pd.DataFrame) -> pd.DataFrame:
-        stay = staying(group["wanted"].tolist())
-        group = group.assign(moves=[k not in stay for k in range(len(group))]).sort_values("wanted")
-        group = group.assign(after_id=group["elem_id"].astype(object).shift().where(lambda x: x.notna(), None))
-        out = group[group["moves"]]
-        return out.assign(step=range(len(out)))[[*schema, "after_id", "step"]]
+    def done(key: tuple, ids: list, wanted: list[int]) -> Iterator[tuple]:
+        stay, last, step = staying(wanted), None, 0
+        for i in sorted(range(len(ids)), key=wanted.__getitem__):
+            if i not in stay:
+                yield *key, ids[i], last, step
+                step += 1
+            last = ids[i]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        key, ids, wanted = None, [], []
+        table = lambda out: pd.DataFrame(out, columns=[*schema, "after_id", "step"], dtype=object)
         for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            group = f.groupby(by, sort=False, dropna=False).ngroup()
-            for _, part in f[group < group.max()].groupby(by, sort=False, dropna=False):
-                yield done(part)
-            held = f[group == group.max()]
-        if held is not None and len(held):
-            yield done(held)
+            out: list[tuple] = []
+            keys = zip(*[[None if x != x else x for x in f[n].tolist()] for n in by], strict=True)
+            for k, e, w in zip(keys, f["elem_id"].tolist(), f["wanted"].tolist(), strict=True):
+                if k != key:
+                    out += done(key, ids, wanted) if ids else []
+                    key, ids, wanted = k, [], []
+                ids.append(e)
+                wanted.append(w)
+            yield table(out)
+        yield table(list(done(key, ids, wanted)) if ids else [])
 
     whole = rows.select(*by, "elem_id", "current", "wanted").repartition(*by).sortWithinPartitions(*by, "current", "elem_id")
     return whole.mapInPandas(run, ", ".join(f"{n} {k}" for n, k in schema.items()) + f", after_id {schema['elem_id']}, step long")
@@ -118,4 +123,5 @@ def move_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 def detected_order(boxes: DataFrame) -> DataFrame:
     """boxes (with kind) with line, column and visual: lines by the tolerance of their page, columns by the left margins found on it."""
     near = boxes.join(layout.line_tolerance(boxes), PAGE)
-    return column_order(near, layout.detected_columns(boxes), F.col("tolerance")).drop("tolerance")
+    bounds = layout.detected_columns(boxes).withColumn("low", F.round("low", 6))
+    return column_order(near, bounds, F.col("tolerance")).drop("tolerance")

@@ -190,6 +190,9 @@ NAMED_LINKS = f"select *, dense_rank() over (partition by doc_id order by text,
 SHOWN = f"select doc_id, node_id, type, text, alt, scope, lang, case when node_id like '%4' then 'a b c' else '' end as headers, case when node_id like '%2' then 'Decimal' else '' end as listnumbering, case when node_id like '%8' then 7 else null end as mcid, length(node_id) - 2 as kids from ({NODES.replace("when 9 then 'TextContent'", "when 9 then case when o_orderkey % 5 = 0 then 'MCID' else 'TextContent' end")}) t"
 ORDERED = f"select doc_id, node_id, parent_id, sib as place, type from ({NODES}) t"
 
+#: Boxes with their kinds.
+SHAPED = f"select *, case when elem_id % 5 = 0 then 'image' else 'text' end as kind from ({BOXES}) b"
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""

@@ -24,6 +24,10 @@ def columned(detected: str, lines: str) -> None:
         return order.column_order(b, bounds).select("doc_id", "elem_id", F.col("column").alias("column_no"), "visual")
 
     over(fx.BOXES, "column_reading_order", sql)(run)
+    own = sql
+    for old, new in ((f"({fx.BOXES})", f"({fx.SHAPED})"), ("select *, max(y1) over", "select *, (select greatest(coalesce(avg(b.y1 - b.y0) filter (where b.kind = 'text' and b.y1 > b.y0) * 0.67, 10), 3) from s b where b.doc_id = s.doc_id and b.page = s.page) as tolerance, max(y1) over"), ("y0 > reach + 3 ", "y0 > reach + tolerance ")):
+        own = own.replace(old, new)
+    over(fx.SHAPED, "detected_reading_order", own)(lambda b: order.detected_order(b).select("doc_id", "elem_id", F.col("column").alias("column_no"), "visual"))
 
 
 over(fx.PLACED, "column_interleaving", "with p as (select * from {s} x) select b.doc_id, b.page, b.parent_id, b.elem_id, b.column_no, b.place as current_place, max(a.place) + 1 as expected, count(*) as passed from p b join p a on a.doc_id = b.doc_id and a.page = b.page and a.parent_id = b.parent_id and a.column_no = b.column_no - 1 and a.place > b.place group by all")(lambda p: order.interleaved(p.withColumnRenamed("column_no", "column")).withColumnsRenamed({"column": "column_no", "current": "current_place"}))
