@@ -17,6 +17,7 @@ their names.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 #: Rows of the cell table that one task rakes, and that a join may broadcast; beyond, both are spread.
 FEW_CELLS = 50_000
+#: Rounds of fitting that are tried in turn, and how near to its target a marginal's share must come.
+ROUNDS, CLOSE = (60, 240, 960), 1e-6
 
 
 def markers() -> Column:
@@ -177,10 +180,19 @@ def draw(key: Column, seed: int) -> Column:
 def probabilities(docs: DataFrame, keep: float, powers: dict[str, float], targets: Targets | None = None) -> DataFrame:
     """Cells with weight and probability, where keep is the share of all words to expect in the sample.
 
+    Fitting goes on, with more rounds, until every marginal is within CLOSE of its target;
+    where no weights meet all of them it ends with a warning that says how far they are off.
     The share is lowered to 1 over the largest weight of a cell with words, so that each
     probability is at most 1 and the words expected meet the targets.
     """
-    fitted = cut(rake(cells(docs), powers, targets=targets))
+    counts = cut(cells(docs))
+    for rounds in ROUNDS:
+        fitted = cut(rake(counts, powers, rounds=rounds, targets=targets))
+        off = residuals(fitted.withColumn("probability", F.col("weight")), powers, targets).agg(F.max(F.abs(F.col("target") - F.col("reached")))).first()[0]
+        if off is None or off <= CLOSE:
+            break
+    else:
+        warnings.warn(f"after {ROUNDS[-1]} rounds a marginal is off its target by {off:.2g}; no weights may meet all of them", stacklevel=2)
     top = fitted.where("words > 0").agg(F.max("weight")).first()[0]
     share = min(keep, 1.0 / top) if top else keep
     return fitted.select(*DIMENSIONS, "words", "docs", "weight", F.least(F.col("weight") * share, F.lit(1.0)).alias("probability"))

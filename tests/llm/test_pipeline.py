@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline
-from tagmill.llm import pieces, quality_rules
+from tagmill.llm import mixing, pieces, quality_rules
 from tagmill.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, topic string, row string, weight double"
@@ -121,6 +121,13 @@ def test_verdicts_of_a_table(spark, folder):
     assert failed == {d for d, t, *_ in ROWS if base_failed(t)}
 
 
+def test_targets_that_cannot_be_met_are_told(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "w " * 30, "en", "a", "x"), (2, "w " * 30, "de", "b", "x")], "doc_id long, text string, lang string, source string, topic string")
+    monkeypatch.setattr(mixing, "ROUNDS", (3, 6))
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.probabilities(docs, 0.75, mixing.POWERS, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}})
+
+
 def test_pieces_model_is_the_file():
     import public_tokenizers
 
