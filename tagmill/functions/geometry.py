@@ -74,3 +74,8 @@ def is_background(a: Rect, width: Column, height: Column) -> Column:
     cover = area(a) / (width * height)
     near = (F.abs((a[0] + a[2]) / 2 - width / 2) < 0.2 * width) & (F.abs((a[1] + a[3]) / 2 - height / 2) < 0.2 * height)
     return (cover > 0.8) | (near & (cover > 0.1))
+
+
+def denormalised(a: Rect, width: Column, height: Column) -> list[Column]:
+    """A box in shares of a page as one in its units."""
+    return [a[0] * width, a[1] * height, a[2] * width, a[3] * height]

@@ -121,3 +121,34 @@ def tables(lines: DataFrame, spans: DataFrame, least: float = 0.7) -> tuple[Data
     twice = layout.meeting(side(text, "a_", "number"), side(ruled, "b_")).where(_covers(least)).select(*PAGE, "number").distinct()
     fresh, fresh_cells = (x.join(twice, [*PAGE, "number"], "left_anti") for x in (text, text_cells))
     return ruled.unionByName(fresh.select(*TABLE)), ruled_cells.unionByName(fresh_cells.select(*CELL))
+
+
+def bordered_tables(lines: DataFrame, spans: DataFrame, least: float = 0.7) -> DataFrame:
+    """doc_id, page, kind, x0, y0, x1, y1, n_rows, n_cols, cells, confidence: tables by their borders as drawn, and grids of texts without.
+
+    A page has a bordered table if its lines cross four times and texts within fill half of
+    the cells between the distinct heights and sides of its lines. A grid has three rows of
+    texts or more (by centres, to the nearest five), of at most three different numbers of
+    texts; one that a bordered table covers for more than a share is left out.
+    """
+    c = F.col
+    across = F.abs(c("y1") - c("y0")) < 2
+    named = lines.withColumn("across", across).withColumn("down", ~across & (F.abs(c("x1") - c("x0")) < 2))
+    h = named.where("across").select(*PAGE, c("line_id").alias("h_id"), F.least("x0", "x1").alias("x0"), F.greatest("x0", "x1").alias("x1"), c("y0").alias("y"), c("y1").alias("low"))
+    v = named.where("down").select(*PAGE, c("line_id").alias("v_id"), F.least("y0", "y1").alias("y0"), F.greatest("y0", "y1").alias("y1"), c("x0").alias("x"), c("x1").alias("right"))
+    met = layout.crossings(h.drop("low"), v.drop("right"), 0.0).groupBy(*PAGE).agg(F.count("*").alias("n")).where("n >= 4").select(*PAGE)
+    heights = h.groupBy(*PAGE).agg(F.array_sort(F.collect_set("y")).alias("ys"), F.min("y").alias("ty0"), F.max("low").alias("ty1"))
+    sides = v.groupBy(*PAGE).agg(F.array_sort(F.collect_set("x")).alias("xs"), F.min("x").alias("tx0"), F.max("right").alias("tx1"))
+    frames = _cut(heights.join(sides, PAGE).join(met, PAGE, "left_semi").where("size(ys) > 1 and size(xs) > 1"))
+    table = (c("tx0"), c("ty0"), c("tx1"), c("ty1"))
+    cx, cy = g.centre(g.rect())
+    inside = spans.join(frames, PAGE).where(g.contained(g.rect(), table, 0.8)).where(cy.between(F.element_at("ys", 1), F.element_at("ys", -1)) & cx.between(F.element_at("xs", 1), F.element_at("xs", -1)))
+    filled = inside.groupBy(*PAGE).agg(F.count("*").alias("cells"))
+    rows, cols = (F.size("ys") - 1).cast("long"), (F.size("xs") - 1).cast("long")
+    bordered = _cut(frames.join(filled, PAGE).where(c("cells") >= rows * cols / 2).select(*PAGE, F.lit("bordered").alias("kind"), *[s.alias(n) for s, n in zip(table, ("x0", "y0", "x1", "y1"), strict=True)], rows.alias("n_rows"), cols.alias("n_cols"), "cells", F.lit(0.8).alias("confidence")))
+    line = spans.groupBy(*PAGE, (F.bround(cy / 5) * 5).alias("at")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    grid = line.groupBy(*PAGE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_rows"), F.max("n").alias("n_cols"), F.sum("n").alias("cells"), F.count_distinct("n").alias("kinds")).where("n_rows >= 3 and kinds <= 3 and n_cols >= 2")
+    side = lambda frame, p: frame.select(*PAGE, *[c(x).alias(f"{p}{x}") for x in ("x0", "y0", "x1", "y1")])
+    twice = side(grid, "a_").join(side(bordered, "b_"), PAGE).where(_covers(least)).select(*PAGE)  # one of each on a page
+    bare = grid.join(twice, PAGE, "left_anti").select(*PAGE, F.lit("grid").alias("kind"), "x0", "y0", "x1", "y1", "n_rows", "n_cols", "cells", F.lit(0.6).alias("confidence"))
+    return bordered.unionByName(bare)

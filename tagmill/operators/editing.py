@@ -49,3 +49,14 @@ def meaningless(nodes: DataFrame) -> DataFrame:
     blank = lambda c: t.stripped(F.coalesce(F.col(c), F.lit(""))) == ""
     bare = nodes.where(blank("text") & blank("alt") & ~F.col("type").isin(IMPORTANT) & F.col("parent_id").isNotNull())
     return bare.join(parents, ["doc_id", "node_id"], "left_anti")
+
+
+def applied(nodes: DataFrame, patches: DataFrame, columns: list[str]) -> DataFrame:
+    """nodes with the last new value of each of columns that patches (doc_id, node_id, column, new, and seq if some are later than others) set; nothing else changes."""
+    seq = F.col("seq") if "seq" in patches.columns else F.lit(0)
+    known = patches.where(F.col("column").isin(columns)).withColumn("seq", seq)
+    last = known.groupBy("doc_id", "node_id", "column").agg(F.max_by("new", F.struct("seq", "new")).alias("new"))
+    wide = last.groupBy("doc_id", "node_id").pivot("column", columns).agg(F.struct(F.first("new").alias("new")))
+    wide = wide.select("doc_id", "node_id", *[F.col(c).alias(f"_{c}") for c in columns])
+    out = nodes.join(wide, ["doc_id", "node_id"], "left")
+    return out.withColumns({c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.new").cast(nodes.schema[c].dataType)).otherwise(F.col(c)) for c in columns}).select(*nodes.columns)

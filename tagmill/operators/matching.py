@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
-from tagmill.operators import closure
+from tagmill.operators import closure, layout
 
 
 def image_figures(images: DataFrame, figures: DataFrame) -> DataFrame:
@@ -102,3 +102,17 @@ def clearer_links(links: DataFrame) -> DataFrame:
     some = links.withColumn("said", bare).join(twice, ["doc_id", "said"], "left_semi").where(F.coalesce("dest", F.lit("")) != "")
     name = F.when(F.coalesce("alt", F.lit("")) != "", F.col("alt")).otherwise(F.coalesce("text", F.lit("Enlace")))
     return some.select("doc_id", "link_id", F.concat(name, F.lit(" (destino: "), "dest", F.lit(")")).alias("value"))
+
+
+def missing_links(annotations: DataFrame, texts: DataFrame) -> DataFrame:
+    """annotations (boxes with destination) without a link in the tree -> doc_id, page, elem_id, parent_id, type, text, alt: the links to add, each in the element of the text that it covers or that is nearest.
+
+    texts: boxes with text and node_id. The description is the text with the destination,
+    unless the text holds it.
+    """
+    near = layout.near_content(annotations, texts).join(texts.select("doc_id", "page", F.col("elem_id").alias("near_id"), F.col("node_id").alias("parent_id")), ["doc_id", "page", "near_id"])
+    one = near.join(annotations.select("doc_id", "page", "elem_id", "destination"), ["doc_id", "page", "elem_id"])
+    text, dest = F.coalesce("text", F.lit("")), F.coalesce("destination", F.lit(""))
+    more = F.when(text == "", F.concat(F.lit("Enlace a "), dest)).otherwise(F.concat(text, F.lit(" (destino: "), dest, F.lit(")")))
+    alt = F.when((dest == "") | F.contains(text, dest), text).otherwise(more)
+    return one.select("doc_id", "page", "elem_id", "parent_id", F.lit("Link").alias("type"), "text", alt.alias("alt"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.operators import closure
+
 
 def rows_of(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id", "row_id").agg(F.count("*").alias("cells"), F.count_if(F.col("kind") == "TH").alias("heads"))
@@ -113,3 +115,31 @@ def row_order(rows: DataFrame) -> DataFrame:
     placed = rows.withColumn("current", current).withColumn("_centre", centre).where("_centre is not null")
     expected = F.row_number().over(Window.partitionBy("table_id").orderBy(rank, "_centre", "current")) - 1
     return placed.withColumn("expected", expected).where("current <> expected").drop("_centre")
+
+
+#: What may stand right below a table.
+TABLE_CHILDREN = ["TR", "THead", "TBody", "TFoot", "Caption"]
+
+
+def child_patches(nodes: DataFrame) -> DataFrame:
+    """nodes (doc_id, node_id, parent_id, type) -> doc_id, node_id, action: what isn't allowed right below a table but holds something becomes a cell; a table without anything gets a row with one."""
+    up = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("type").alias("parent_type"))
+    parents = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id")).distinct()
+    bad = nodes.where(~F.col("type").isin(TABLE_CHILDREN)).join(up, ["doc_id", "parent_id"]).where("parent_type = 'Table'").join(parents, ["doc_id", "node_id"], "left_semi")
+    bare = nodes.where("type = 'Table'").join(parents, ["doc_id", "node_id"], "left_anti")
+    return bad.select("doc_id", "node_id", F.lit("set type TD").alias("action")).unionByName(bare.select("doc_id", "node_id", F.lit("add TR > TD").alias("action")))
+
+
+def repeated_heads(nodes: DataFrame) -> DataFrame:
+    """nodes (doc_id, node_id, parent_id, type, page) -> doc_id, table_id, node_id, page: heads of tables over several pages that stand on a page after the first, so repeat those before.
+
+    A head is a THead, or a row with more header cells than others.
+    """
+    c = F.col
+    lines = closure.ancestors(nodes)
+    of_tables = nodes.where("type = 'Table'").select("doc_id", c("node_id").alias("above"))
+    below = lines.join(of_tables, ["doc_id", "above"]).select("doc_id", c("above").alias("table_id"), "node_id")
+    pages = below.join(nodes.where("page is not null").select("doc_id", "node_id", "page"), ["doc_id", "node_id"]).groupBy("doc_id", "table_id").agg(F.min("page").alias("first"), F.count_distinct("page").alias("n")).where("n > 1")
+    cells = nodes.where("type in ('TH', 'TD')").groupBy("doc_id", c("parent_id").alias("node_id")).agg((F.count_if(c("type") == "TH") > 0.5 * F.count("*")).alias("head"))
+    heads = nodes.join(cells, ["doc_id", "node_id"], "left").where("page is not null and (type = 'THead' or (type = 'TR' and head))").select("doc_id", "node_id", "page")
+    return heads.join(below, ["doc_id", "node_id"]).join(pages, ["doc_id", "table_id"]).where("page <> first").select("doc_id", "table_id", "node_id", "page")

@@ -193,6 +193,15 @@ ORDERED = f"select doc_id, node_id, parent_id, sib as place, type from ({NODES})
 #: Boxes with their kinds.
 SHAPED = f"select *, case when elem_id % 5 = 0 then 'image' else 'text' end as kind from ({BOXES}) b"
 
+#: Tables over pages, as trees, and links to add with the texts around them.
+TABLE_TREES = f"""
+select distinct doc_id, concat('T', cast(l_orderkey as string)) as node_id, cast(null as string) as parent_id, 'Table' as type, cast(null as bigint) as page from ({_LINES_OF}) a
+union all select distinct doc_id, concat('R', cast(l_orderkey as string), '-', cast(l_suppkey % 3 as string)), concat('T', cast(l_orderkey as string)), case when l_orderkey % 5 = 0 then 'THead' else 'TR' end, cast(l_suppkey % 3 as bigint) from ({_LINES_OF}) b
+union all select doc_id, concat('C', cast(rn as string)), concat('R', cast(l_orderkey as string), '-', cast(l_suppkey % 3 as string)), case when l_partkey % 2 = 0 then 'TH' else 'TD' end, cast(null as bigint) from ({_LINES_OF}) c
+"""
+LINKED = f"select *, case when elem_id % 3 = 0 then '' when elem_id % 3 = 1 then 't' else concat('#', cast(elem_id as string)) end as destination from ({SWATCHES}) t where kind = 'rect'"
+HELD = f"select *, concat('t', cast(elem_id as string)) as text, concat('n', cast(elem_id as string)) as node_id from ({SWATCHES}) t where kind = 'text'"
+
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables that it names."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
-from tagmill.operators import artifacts, figures, issues, lists, matching, metadata
+from tagmill.operators import artifacts, detect, editing, figures, issues, lists, matching, metadata, repairs, tables
 from tagmill.plans import fixtures as fx
 from tagmill.plans import sql_values as v
 from tagmill.plans.registry import of_many, over
@@ -83,3 +83,28 @@ over(fx.ORDERED, "order_issues", "with recursive n as (select * from {s} x), w a
 # ---- metadata ------------------------------------------------------------------------
 
 over(fx.META, "conforming_metadata", f"select doc_id, case when coalesce(title, '') = '' then 'Documento PDF' else title end as title, case when {v.VALID.format('language')} then language else 'es-ES' end as language, 'PDF/UA Editor' as creator, 'PDF/UA Editor v1.0' as producer, '<rdf:Description rdf:about=\"\" xmlns:pdfuaid=\"http://www.aiim.org/pdfua/ns/id/\"><pdfuaid:part>1</pdfuaid:part></rdf:Description>' as xmp from {{s}} x")(metadata.conforming)
+
+# ---- tables, links and patches -------------------------------------------------------
+
+over(fx.TABLE_TREES, "repeated_table_heads", "with recursive n as (select * from {s} x), b as (select doc_id, node_id as table_id, node_id from n where type = 'Table' union all select b.doc_id, b.table_id, n.node_id from b join n on n.doc_id = b.doc_id and n.parent_id = b.node_id), p as (select b.doc_id, b.table_id, min(page) as first from b join n on n.doc_id = b.doc_id and n.node_id = b.node_id where page is not null group by all having count(distinct page) > 1), k as (select doc_id, parent_id from n where type in ('TH', 'TD') group by all having count(*) filter (where type = 'TH') > 0.5 * count(*)) select b.doc_id, b.table_id, n.node_id, n.page from b join p on p.doc_id = b.doc_id and p.table_id = b.table_id join n on n.doc_id = b.doc_id and n.node_id = b.node_id where n.page <> p.first and (n.type = 'THead' or (n.type = 'TR' and (n.doc_id, n.node_id) in (select (doc_id, parent_id) from k)))")(tables.repeated_heads)
+over(fx.NODES, "table_child_patches", "with n as (select * from {s} x) select n.doc_id, n.node_id, 'set type TD' as action from n join n u on u.doc_id = n.doc_id and u.node_id = n.parent_id and u.type = 'Table' where n.type not in ('TR', 'THead', 'TBody', 'TFoot', 'Caption') and exists (select 1 from n k where k.doc_id = n.doc_id and k.parent_id = n.node_id) union all select doc_id, node_id, 'add TR > TD' from n where type = 'Table' and not exists (select 1 from n k where k.doc_id = n.doc_id and k.parent_id = n.node_id)")(tables.child_patches)
+of_many({"annotations": fx.LINKED, "texts": fx.HELD}, "missing_links", """with p as (select a.doc_id, a.page, a.elem_id, a.destination, t.elem_id as near_id, t.text, t.node_id, a.x0 <= t.x1 and t.x0 <= a.x1 and a.y0 <= t.y1 and t.y0 <= a.y1 as over, sqrt(pow(greatest(a.x0 - t.x1, t.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - t.y1, t.y0 - a.y1, 0), 2)) as away from {annotations} a join {texts} t on t.doc_id = a.doc_id and t.page = a.page),
+c as (select doc_id, page, elem_id, destination, string_agg(text, ' ' order by near_id) as text, min_by(node_id, near_id) as node_id from p where over group by all),
+n as (select doc_id, page, elem_id, destination, text, node_id from (select *, row_number() over (partition by doc_id, page, elem_id order by away, near_id) as k from p where (doc_id, page, elem_id) not in (select (doc_id, page, elem_id) from c)) y where k = 1)
+select doc_id, page, elem_id, node_id as parent_id, 'Link' as type, text, case when destination = '' or contains(text, destination) then text else concat(text, ' (destino: ', destination, ')') end as alt from (select * from c union all select * from n) u""")(matching.missing_links)
+
+
+def _retyped(nodes):
+    patches = repairs.fitting_types(nodes).where("child_type <> type").select("doc_id", "node_id", F.lit("type").alias("column"), F.col("child_type").alias("new"))
+    return editing.applied(nodes, patches, ["type"]).select("doc_id", "node_id", "parent_id", "type", "text")
+
+
+over(fx.LOOKS, "patched_nodes", f"{v.LOOKS}, {v.FITTING} select doc_id, node_id, parent_id, child_type as type, text from g")(_retyped)
+of_many({"drawn": fx.DRAWN, "printed": fx.PRINTED}, "bordered_tables", """with h as (select doc_id, page, least(x0, x1) as a, y0 as y, greatest(x0, x1) as b, y1 as low from {drawn} d where abs(y1 - y0) < 2), v as (select doc_id, page, x0 as x, least(y0, y1) as a, x1 as r, greatest(y0, y1) as b from {drawn} d where abs(y1 - y0) >= 2 and abs(x1 - x0) < 2),
+m as (select h.doc_id, h.page from h join v on v.doc_id = h.doc_id and v.page = h.page and v.x between h.a and h.b and h.y between v.a and v.b group by all having count(*) >= 4),
+f as (select m.doc_id, m.page, ys, xs, x0, y0, x1, y1 from m join (select doc_id, page, list_sort(list_distinct(list(y))) as ys, min(y) as y0, max(low) as y1 from h group by all) hh on hh.doc_id = m.doc_id and hh.page = m.page join (select doc_id, page, list_sort(list_distinct(list(x))) as xs, min(x) as x0, max(r) as x1 from v group by all) vv on vv.doc_id = m.doc_id and vv.page = m.page where len(ys) > 1 and len(xs) > 1),
+i as (select f.doc_id, f.page, count(*) as cells from f join {printed} s on s.doc_id = f.doc_id and s.page = f.page where greatest(least(s.x1, f.x1) - greatest(s.x0, f.x0), 0) * greatest(least(s.y1, f.y1) - greatest(s.y0, f.y0), 0) >= 0.8 * ((s.x1 - s.x0) * (s.y1 - s.y0)) and (s.y0 + s.y1) / 2 between ys[1] and ys[-1] and (s.x0 + s.x1) / 2 between xs[1] and xs[-1] group by all),
+t as (select f.doc_id, f.page, 'bordered' as kind, x0, y0, x1, y1, len(ys) - 1 as n_rows, len(xs) - 1 as n_cols, cells, cast(0.8 as double) as confidence from f join i on i.doc_id = f.doc_id and i.page = f.page where cells >= (len(ys) - 1) * (len(xs) - 1) / 2),
+l as (select doc_id, page, round_even((y0 + y1) / 2 / 5, 0) * 5 as spot, count(*) as n, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from {printed} s group by all),
+g as (select doc_id, page, 'grid' as kind, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*) as n_rows, max(n) as n_cols, cast(sum(n) as bigint) as cells, cast(0.6 as double) as confidence from l group by doc_id, page having count(*) >= 3 and count(distinct n) <= 3 and max(n) >= 2)
+select * from t union all select * from g where not exists (select 1 from t where t.doc_id = g.doc_id and t.page = g.page and (t.x1 - t.x0) * (t.y1 - t.y0) > 0 and (g.x1 - g.x0) * (g.y1 - g.y0) > 0 and greatest(least(t.x1, g.x1) - greatest(t.x0, g.x0), 0) * greatest(least(t.y1, g.y1) - greatest(t.y0, g.y0), 0) / least((t.x1 - t.x0) * (t.y1 - t.y0), (g.x1 - g.x0) * (g.y1 - g.y0)) > 0.7)""")(lambda drawn, printed: detect.bordered_tables(drawn, printed))
