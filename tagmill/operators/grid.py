@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.operators import tables
+from tagmill.operators.tree import _cut
 
 #: Where a cell lies.
 PLACE = ["row", "column"]
@@ -62,7 +63,7 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def placed(cells: DataFrame) -> DataFrame:
     """cells with row, column (both from 0), high and wide."""
     one = _spanned(cells)
-    banded = one.join(_bands(one), ["table_id", "row"])
+    banded = _cut(one.join(_bands(one), ["table_id", "row"]))
     before = Window.partitionBy("table_id", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
     flat = banded.where("not tied").withColumn("column", F.coalesce(F.sum("wide").over(before), F.lit(0)))
     key = {n: cells.schema[n].dataType.simpleString() for n in ("table_id", "row_id", "col")}
@@ -82,7 +83,7 @@ def relations(cells: DataFrame) -> DataFrame:
     header row has more than half header cells, a header column likewise.
     """
     c = F.col
-    grid = placed(cells)
+    grid = _cut(placed(cells))
     rows = grid.groupBy("table_id", "row").agg(F.count("*").alias("n"), F.count_if(c("kind") == "TH").alias("heads"), F.max((c("high") > 1) | (c("wide") > 1)).alias("spans"))
     head_rows = rows.where("heads > 0.5 * n").select("table_id", "row")
     covers = F.sequence("column", c("column") + c("wide") - 1)
@@ -93,7 +94,7 @@ def relations(cells: DataFrame) -> DataFrame:
     given = F.trim(F.coalesce("cell_id", F.lit("")))
     named = tied.withColumn("name", F.when(given != "", given).otherwise(F.format_string("th_r%d_c%d", "row", "column")))
     ids = named.where(c("kind") == "TH").where(given == "").select("table_id", "row_id", "col", F.lit("id").alias("attribute"), c("name").alias("value"))
-    marked = named.join(head_rows.withColumn("in_head", F.lit(True)), ["table_id", "row"], "left").withColumn("in_head", F.coalesce("in_head", F.lit(False)))
+    marked = _cut(named.join(head_rows.withColumn("in_head", F.lit(True)), ["table_id", "row"], "left").withColumn("in_head", F.coalesce("in_head", F.lit(False))))
     data = marked.where("kind = 'TD' and not in_head").select("table_id", "row_id", "col", "row", "column", "high", "wide")
     heads = marked.where("kind = 'TH'").select("table_id", "name", c("row").alias("hr"), c("column").alias("hc"), c("high").alias("hh"), c("wide").alias("hw"), "in_head")
     # met through the rows and the columns that both cover, so no cell is compared with all heads
@@ -113,7 +114,7 @@ def missing_cells(cells: DataFrame) -> DataFrame:
 
 def header_repairs(cells: DataFrame) -> DataFrame:
     """table_id, row_id, col, old, new: data cells in header rows, and those in header columns of other rows, as header cells."""
-    grid = placed(cells)
+    grid = _cut(placed(cells))
     rows = tables.rows_of(cells).where("heads > 0.5 * cells").select("table_id", "row_id", F.lit(True).alias("in_row"))
     columns = grid.select("table_id", "kind", F.explode(F.sequence("column", F.col("column") + F.col("wide") - 1)).alias("column")).groupBy("table_id", "column").agg(F.count_if(F.col("kind") == "TH").alias("heads"), F.count("*").alias("n")).where("heads > 0.5 * n").select("table_id", "column", F.lit(True).alias("in_column"))
     bad = grid.where("kind = 'TD'").join(rows, ["table_id", "row_id"], "left").join(columns, ["table_id", "column"], "left").where("in_row or in_column")
