@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions import text as t
 from tagmill.operators import closure
-from tagmill.operators.tree import _cut
+from tagmill.operators.tree import _cut, dropped, written
 
 #: Types whose text becomes a leaf of its own if they hold no element.
 LEAFY = ["P", "Span", "H1", "H2", "H3", "H4", "H5", "H6", "TH", "TD", "LI"]
@@ -43,33 +43,42 @@ def pages_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left").fillna(0, ["page"])
 
 
-def element_texts(nodes: DataFrame, items: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, node_id, page, text of every element; white space is folded, and what says nothing is empty."""
-    lines = _cut(closure.ancestors(nodes))
+def element_texts(nodes: DataFrame, items: DataFrame, spans: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, page, text of every element; white space is folded, and what says nothing is empty. nodes are read often, and lines are their ancestors() if they are known."""
+    if lines is None:
+        nodes = _cut(nodes)
+        lines = closure.ancestors(nodes)
     own = nodes.select("doc_id", "node_id", _said().alias("said")).where("said is not null")
-    paths = closure.places(lines, nodes)
+    paths, paths_at = written(closure.places(lines, nodes))
     pages = _cut(pages_of(lines, nodes))
-    climbs = closure.below_stops(lines, own)
+    climbs, climbs_at = written(closure.below_stops(lines, own).select("doc_id", "node_id", "above"))
     loose = items.join(own, ["doc_id", "node_id"], "left_anti")
     pieces = (
         loose.join(paths, ["doc_id", "node_id"])
         .select("doc_id", "node_id", F.concat("path", F.array(F.col("place").cast("long"))).alias("path"), "text", "mcid")
         .unionByName(own.join(paths, ["doc_id", "node_id"]).select("doc_id", "node_id", "path", F.col("said").alias("text"), F.lit(None).cast("long").alias("mcid")))
     )
-    risen = pieces.join(climbs, ["doc_id", "node_id"]).select("doc_id", F.col("above").alias("node_id"), "path", "text", "mcid").join(pages, ["doc_id", "node_id"])
+    pieces, pieces_at = written(pieces)
+    dropped(nodes.sparkSession, paths_at)
+    risen = lambda some: some.join(climbs, ["doc_id", "node_id"]).drop("node_id").withColumnRenamed("above", "node_id")
     marks = marked_texts(spans).withColumnRenamed("text", "marked")
-    told = risen.where("mcid is null").select("doc_id", "node_id", "path", "text")
-    drawn = risen.where("mcid is not null").drop("text").join(marks, ["doc_id", "page", "mcid"]).select("doc_id", "node_id", "path", F.col("marked").alias("text"))
-    words = told.unionByName(drawn).where("text is not null and text <> ''")
+    told = risen(pieces.where("mcid is null and text <> ''").drop("mcid")).select("doc_id", "node_id", "path", "text")
+    marked, marked_at = written(risen(pieces.where("mcid is not null").drop("text")).join(pages, ["doc_id", "node_id"]))
+    drawn = marked.join(marks, ["doc_id", "page", "mcid"]).select("doc_id", "node_id", "path", F.col("marked").alias("text"))
+    words = _cut(told.unionByName(drawn.where("text <> ''")))
+    dropped(nodes.sparkSession, climbs_at, pieces_at, marked_at)
     joined = words.groupBy("doc_id", "node_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), " ").alias("text"))
     return pages.join(joined, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "page", t.normalised(F.col("text")).alias("text"))
 
 
-def shown_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, node_id, text, leaf: an element without text shows that of the nearest elements below that have some, in order; leaf, if its text is shown as a leaf of its own."""
-    lines = _cut(closure.ancestors(nodes))
-    some = texts.where("text <> ''").select("doc_id", "node_id", "text")
-    risen = some.join(closure.places(lines, nodes), ["doc_id", "node_id"]).join(closure.below_stops(lines, some), ["doc_id", "node_id"])
+def shown_texts(nodes: DataFrame, texts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, text, leaf: an element without text shows that of the nearest elements below that have some, in order; leaf, if its text is shown as a leaf of its own. nodes are read often, and lines are their ancestors() if they are known."""
+    if lines is None:
+        nodes = _cut(nodes)
+        lines = closure.ancestors(nodes)
+    some = _cut(texts.where("text <> ''").select("doc_id", "node_id", "text"))
+    climbs = _cut(closure.below_stops(lines, some.select("doc_id", "node_id")).select("doc_id", "node_id", "above"))
+    risen = some.join(_cut(closure.places(lines, nodes)), ["doc_id", "node_id"]).join(climbs, ["doc_id", "node_id"])
     below = risen.groupBy("doc_id", F.col("above").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), " ").alias("text"))
     parents = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("holds", F.lit(True))
     out = nodes.select("doc_id", "node_id", "type").join(below, ["doc_id", "node_id"], "left").join(parents, ["doc_id", "node_id"], "left")
