@@ -5,6 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tagmill.operators import closure, tree
+from tagmill.plans import catalogue
 
 
 def size(folder):
@@ -46,3 +47,20 @@ def test_dropped_tables_are_gone(spark):
     assert frame.count() == 1000
     tree.dropped(spark, path)
     assert not Path(path.removeprefix("file:")).exists()
+
+
+def test_rules_write_one_after_another(spark, monkeypatch):
+    """The shuffles of a rule are gone before the next one runs."""
+    data, files, left = "/root/testdata/sf0.001", shuffles(spark), []
+
+    def found(spark, d):
+        for k in range(3):
+            left.append(shuffles(spark) - files)
+            rows = spark.range(5000).select((F.col("id") % 9).alias("doc_id")).repartition("doc_id")
+            yield rows.select("doc_id", F.lit(f"0{k + 1}-001").alias("checkpoint"))
+
+    monkeypatch.setattr(catalogue, "_found", found)
+    monkeypatch.setattr(catalogue, "_BAGS", {})
+    bag = catalogue._bag(spark, data)
+    assert bag.count() == 15_000 and left == [set()] * 3
+    assert {r["checkpoint"]: r["count"] for r in bag.groupBy("checkpoint").count().collect()} == {f"0{k}-001": 5000 for k in (1, 2, 3)}
