@@ -62,7 +62,7 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def placed(cells: DataFrame) -> DataFrame:
     """cells with row, column (both from 0), high and wide."""
-    one = _spanned(cells)
+    one = _cut(_spanned(cells))
     banded = _cut(one.join(_bands(one), ["table_id", "row"]))
     before = Window.partitionBy("table_id", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
     flat = banded.where("not tied").withColumn("column", F.coalesce(F.sum("wide").over(before), F.lit(0)))
