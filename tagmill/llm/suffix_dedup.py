@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import CHUNK, cut, mix, narrow, powers, prefix_hashes, span_hashes, text_parts
+from tagmill.llm.common import CHUNK, mix, narrow, powers, prefix_hashes, span_hashes, text_parts
+from tagmill.operators.tree import written
 
 _U = np.uint64
 LENGTH, GRAM = 200, 16
@@ -309,7 +310,9 @@ def repeats(texts: DataFrame, bits: int = 64) -> DataFrame:
     block = F.col("block") if bits == 64 else F.col("block").bitwiseAND((1 << bits) - 1)
     hashes = texts.select("text").mapInArrow(_cut_hashes, "gram long, block long").withColumn("block", block)
     cut_up = texts.mapInArrow(_cut_blocks, BLOCK.format(kind)).withColumn("block", block)
-    # written out, so that the join shuffles both sides itself and a hot gram can be split
+    # each step is written as a compressed table, after which its shuffles are gone; and so the
+    # join shuffles both sides itself and a hot gram can be split
+    cut = lambda frame: written(frame)[0]
     again = cut(hashes.groupBy("gram").agg(F.count("*").alias("k"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("k > 1").select("gram", (F.col("lo") == F.col("hi")).alias("alike")))
     some = cut(cut_up.join(again, "gram"))
     # grams with one hash whose digests differ: their blocks go the way of different ones
@@ -322,7 +325,7 @@ def repeats(texts: DataFrame, bits: int = 64) -> DataFrame:
     wanted = one.select("at.doc_id", "at.tag", F.struct(*key, "n", "at.place").alias("w")).groupBy("doc_id", "tag").agg(F.collect_list("w").alias("wanted"))
     bodies = texts.join(wanted, _same(texts, wanted)).select("text", "wanted").mapInArrow(_bring, "gram long, block long, proof long, n long, shape long, bytes binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = bodies.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_compare, "gram long, block long, proof long, bits binary")
+    told = cut(bodies.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_compare, "gram long, block long, proof long, bits binary"))
     found = mixed.join(told, key).select("doc_id", "tag", "place", "bits").union(some.where("alike").select("doc_id", "tag", "place", F.lit(None).cast("binary").alias("bits")))
     return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
 

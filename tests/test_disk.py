@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagmill.operators import closure, tree
@@ -64,3 +65,14 @@ def test_rules_write_one_after_another(spark, monkeypatch):
     bag = catalogue._bag(spark, data)
     assert bag.count() == 15_000 and left == [set()] * 3
     assert {r["checkpoint"]: r["count"] for r in bag.groupBy("checkpoint").count().collect()} == {f"0{k}-001": 5000 for k in (1, 2, 3)}
+
+
+def test_steps_of_repeats_leave_no_shuffle(spark):
+    """What op6 reads last are written tables; the shuffles of the steps before are gone by then."""
+    suffix_dedup = pytest.importorskip("tagmill.llm.suffix_dedup")
+    passage = " ".join(f"word{k * k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{k} starts {passage} and ends {k * 7}") for k in range(40)], "doc_id long, text string")
+    files = shuffles(spark)
+    out = suffix_dedup.op6_suffix_dedup(docs)
+    assert not shuffles(spark) - files
+    assert out.where("n_removed >= 400").count() == 40
