@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.operators import closure, tree
+from tagmill.operators import closure, layout, tree
 from tagmill.plans import catalogue
 
 
@@ -76,3 +76,47 @@ def test_steps_of_repeats_leave_no_shuffle(spark):
     out = suffix_dedup.op6_suffix_dedup(docs)
     assert not shuffles(spark) - files
     assert out.where("n_removed >= 400").count() == 40
+
+
+def test_bag_by_slices_is_whole_and_leaves_nothing_else(spark, monkeypatch):
+    """Documents slice by slice give the bag that they give at once; tables of rules that are done don't stay."""
+    data, bags = "/root/testdata/sf0.001", []
+    size = sum(length for _, length, _ in catalogue._stamps(spark, data))
+    for most in (size, size // 2):
+        monkeypatch.setattr(catalogue, "SLICE", most)
+        monkeypatch.setattr(catalogue, "_BAGS", {})
+        before = {p.name for p in Path(shared(spark)).iterdir()}
+        bags.append((catalogue._slices(spark, data), catalogue._bag(spark, data)))
+        assert len({p.name for p in Path(shared(spark)).iterdir()} - before) == 1
+    (one, whole), (many, sliced) = bags
+    assert one == 1 and many >= 2 and whole.count() > 10_000
+    assert whole.exceptAll(sliced).isEmpty() and sliced.exceptAll(whole).isEmpty()
+
+
+def test_legends_shuffle_few_bytes(spark):
+    """With joins as large inputs have them: boxes go once to their pages; only centres of groups that may be legends meet texts, in one cell each."""
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsc.sc().statusStore().executorList(False)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    k = F.col("id")
+    place = lambda salt, most: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most))).cast("double")
+    boxes = spark.range(60_000).select(F.floor(k / 60).alias("doc_id"), F.lit(0).cast("long").alias("page"), k.alias("elem_id"), F.when(k % 9 == 0, "text").otherwise("rect").alias("kind"), (k % 5).alias("color"), place(1, 600).alias("x0"), place(2, 800).alias("y0"))
+    boxes = tree.written(boxes.withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8}))[0]
+    before, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert layout.color_legends(boxes).count() > 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert written() - before < 6_000_000
+
+
+def test_legends_of_boxes_without_a_place(spark):
+    """A box whose centre isn't known leads a group of its own and meets no text."""
+    side = "x0 double, y0 double, x1 double, y1 double"
+    rows = [(1, 0, k, "rect", k, 10.0 * k, 0.0, 10.0 * k + 5, 5.0) for k in range(3)] + [(1, 0, 3, "rect", 3, None, 0.0, None, 5.0), (1, 0, 4, "text", 0, None, 0.0, 9.0, 9.0)]
+    got = layout.color_legends(spark.createDataFrame(rows, f"doc_id long, page long, elem_id long, kind string, color long, {side}")).collect()
+    assert [(r["legend"], r["members"], r["colours"], r["x0"], r["x1"]) for r in got] == [(0, 3, 3, 0.0, 25.0)]
