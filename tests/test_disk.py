@@ -120,3 +120,21 @@ def test_legends_of_boxes_without_a_place(spark):
     rows = [(1, 0, k, "rect", k, 10.0 * k, 0.0, 10.0 * k + 5, 5.0) for k in range(3)] + [(1, 0, 3, "rect", 3, None, 0.0, None, 5.0), (1, 0, 4, "text", 0, None, 0.0, 9.0, 9.0)]
     got = layout.color_legends(spark.createDataFrame(rows, f"doc_id long, page long, elem_id long, kind string, color long, {side}")).collect()
     assert [(r["legend"], r["members"], r["colours"], r["x0"], r["x1"]) for r in got] == [(0, 3, 3, 0.0, 25.0)]
+
+
+def test_slices_filter_before_they_shuffle(spark, monkeypatch):
+    """Cells of a slice go through their window without the lines of other slices."""
+    data, plans, written = "/root/testdata/sf0.001", [], tree.written
+    monkeypatch.setattr(catalogue, "_slices", lambda spark, d: 3)
+
+    def noted(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return written(rows)
+
+    monkeypatch.setattr(tree, "written", noted)
+    found = catalogue._found(spark, data)
+    while not any("rowspan" in p for p in plans):
+        next(found)
+    found.close()
+    cells = next(p for p in plans if "rowspan" in p)
+    assert 0 < cells.index("Window") < cells.index("pmod(")  # what stands below in the plan comes first
