@@ -6,7 +6,8 @@ gram occurs again go on. Blocks of one gram and one polynomial hash of all their
 shape are copies if a second digest of those (BLAKE2, 64 bits) confirms it, and repeat as a
 whole; blocks that the digest tells apart count as different. Of blocks that differ under a gram
 one of each is brought to where its gram is, and there the windows are sorted as
-suffixes: prefix polynomial hashes and binary search give the common extension of two, a
+suffixes, but for those whose first and last eight bytes no other has that holds the gram
+at the same offset, since they can't repeat: prefix polynomial hashes and binary search give the common extension of two, a
 merge sort orders them with it, and neighbours that share LENGTH bytes repeat, which their
 bytes must confirm. Texts never meet as a whole; a task holds the different blocks of one
 gram (some 400 bytes each) at least.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,28 +112,40 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(block.view(np.int64)), b.column("doc_id").take(take), b.column("tag").take(take), pa.array(place), pa.array(digests(data, start, start + count - 1 + LENGTH, offset))], names=["gram", "block", "doc_id", "tag", "place", "proof"])
 
 
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts or byte strings, none of them null, and the bounds of its rows within them."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _listed(column: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+    """The structs in the lists of a column, a null one being empty, and the row of each."""
+    return column.flatten(), np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+
+
 def _bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text with the blocks wanted of it -> the blocks with their bytes."""
     for b in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        size = 0
-        for text, wanted in zip(b.column("text"), b.column("wanted"), strict=True):
-            data = text.as_py().encode()
-            for w in wanted.as_py():
-                start, count = w["place"] >> 16, (w["place"] >> 8) & 255
-                own = data[start : start + count - 1 + LENGTH]
-                for x, v in zip(out, (w["gram"], w["block"], w["proof"], w["n"], w["place"] & 0xFFFF, own), strict=True):
-                    x.append(v)
-                size += len(own)
-            if size > 4 * CHUNK:
-                yield _packed(out)
-                out, size = [[], [], [], [], [], []], 0
-        yield _packed(out)
-
-
-def _packed(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["gram", "block", "proof", "n", "shape", "bytes"])
+        data, bounds = _texts(b.column("text"))
+        wanted, row = _listed(b.column("wanted"))
+        place = np.asarray(wanted.field("place"))
+        start, size = bounds[row] + (place >> 16), ((place >> 8) & 255) - 1 + LENGTH
+        stop = np.cumsum(size)
+        view = memoryview(data)
+        a = 0
+        while a < len(stop):
+            z = max(a + 1, int(np.searchsorted(stop, stop[a] - size[a] + 4 * CHUNK, "right")))
+            own = b"".join([view[f : f + k] for f, k in zip(start[a:z].tolist(), size[a:z].tolist(), strict=True)])
+            offsets = np.concatenate([[0], stop[a:z] - (stop[a] - size[a])]).astype(np.int32)
+            columns = [wanted.field(c).slice(a, z - a) for c in ("gram", "block", "proof", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place[a:z] & 0xFFFF), pa.BinaryArray.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(offsets), pa.py_buffer(own)])], names=["gram", "block", "proof", "n", "shape", "bytes"])
+            a = z
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number; a view."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,))
 
 
 class Suffixes:
@@ -140,16 +154,21 @@ class Suffixes:
     def __init__(self, data: np.ndarray) -> None:
         self.data, self.sums = data, prefix_hashes(data)
         self.inverse = powers(_INVERSE, len(self.sums))
+        self.words = eights(data)
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many bytes from x and y agree, LENGTH at most: halves by prefix hashes."""
-        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), LENGTH)
+        """How many bytes from x and y agree, LENGTH at most: halves by prefix hashes, where not all agree."""
+        far = np.full(len(x), LENGTH)
         sx, sy, ix, iy = self.sums[x], self.sums[y], self.inverse[x], self.inverse[y]
-        for _ in range(LENGTH.bit_length()):
+        part = np.flatnonzero((self.sums[x + LENGTH] - sx) * ix != (self.sums[y + LENGTH] - sy) * iy)
+        x, y, sx, sy, ix, iy = (v[part] for v in (x, y, sx, sy, ix, iy))
+        lo, hi = np.zeros(len(part), np.int64), np.full(len(part), LENGTH - 1)
+        for _ in range((LENGTH - 1).bit_length()):
             mid = (lo + hi + 1) >> 1
             same = (self.sums[x + mid] - sx) * ix == (self.sums[y + mid] - sy) * iy
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        far[part] = lo
+        return far
 
     def below(self, x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
         """Whether x comes before y, and where they are equal, ties."""
@@ -160,9 +179,9 @@ class Suffixes:
     def equal_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
         for a in range(0, len(x), 1 << 14):
-            steps = np.arange(LENGTH)
+            steps = np.arange(0, LENGTH, 8)
             part = slice(a, a + (1 << 14))
-            out[part] = (self.data[x[part, None] + steps] == self.data[y[part, None] + steps]).all(1)
+            out[part] = (self.words[x[part, None] + steps] == self.words[y[part, None] + steps]).all(1)
         return out
 
     def sort(self, places: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -205,8 +224,12 @@ def repeated_windows(gram: np.ndarray, copies: np.ndarray, shape: np.ndarray, da
     step = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
     place = bounds[:-1][block] + step
     found = copies[block] > 1
-    key = np.unique(gram, return_inverse=True)[1][block] * 256 + offset[block] - step
-    order = np.argsort(key, kind="stable")
+    # equal windows have one gram at one offset, and the same eight bytes at both ends; who has them alone isn't
+    # sorted. A hash of all that which two share by chance makes a larger segment and nothing else
+    suffixes = Suffixes(data)
+    key = (np.unique(gram, return_inverse=True)[1][block] * 256 + offset[block] - step).astype(np.uint64)
+    key = mix(mix(mix(key) ^ suffixes.words[place]) ^ suffixes.words[place + LENGTH - 8])
+    order = np.argsort(key)
     key = key[order]
     alone = np.ones(total, bool)
     alone[1:] &= key[1:] != key[:-1]
@@ -214,7 +237,6 @@ def repeated_windows(gram: np.ndarray, copies: np.ndarray, shape: np.ndarray, da
     order, key = order[~alone], key[~alone]
     if not len(order):
         return found
-    suffixes = Suffixes(data)
     ranked = suffixes.sort(place[order], key)
     window_at = np.full(len(data), -1, np.int64)
     window_at[place] = np.arange(total)
@@ -272,29 +294,52 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(pa.Table.from_batches(held))
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, texts of about CHUNK bytes at a time."""
+    for _, bounds, row in text_parts(batch.column("text")):
+        yield batch.slice(row, len(bounds) - 1)
+
+
+def _windows(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of blocks that repeat, as first bytes within their row, and which block each is of."""
+    place, bits = np.asarray(found.field("place")), found.field("bits")
+    first, count = place >> 16, (place >> 8) & 255
+    packed, bounds = _texts(pc.fill_null(bits, b""))
+    block = np.repeat(np.arange(len(place)), count)
+    step = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    hit = np.asarray(bits.is_null())[block]
+    told = np.flatnonzero(~hit)
+    hit[told] = np.unpackbits(packed)[8 * bounds[block[told]] + step[told]]
+    return (first[block] + step)[hit], block[hit]
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text, found in zip(b.column("text"), b.column("found"), strict=True):
-            data = text.as_py().encode()
-            starts = []
-            for f in found.as_py() or []:
-                first, count = f["place"] >> 16, (f["place"] >> 8) & 255
-                own = np.arange(count) if f["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=count))
-                starts.append(own + first)
-            at = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-            opens = np.flatnonzero(np.concatenate([[True], np.diff(at) > LENGTH])) if len(at) else at
+    for whole in batches:
+        for b in _portions(whole):
+            data, bounds = _texts(b.column("text"))
+            found, row = _listed(b.column("found"))
+            begins = np.zeros(len(data), bool)
+            for a in range(0, len(found), 1 << 12):
+                first, block = _windows(found.slice(a, 1 << 12))
+                begins[first + bounds[row[a : a + (1 << 12)]][block]] = True
+            at = np.flatnonzero(begins)
+            own = np.searchsorted(bounds, at, "right") - 1
+            # a removed run ends where no window begins within LENGTH, or with its text
+            opens = np.flatnonzero(np.concatenate([[True], (np.diff(at) > LENGTH) | (own[1:] != own[:-1])])) if len(at) else at
             a, z = at[opens], at[np.append(opens[1:], len(at)) - 1] + LENGTH if len(at) else at
-            kept = hashlib.sha256()
-            last = 0
-            for s, e in zip(a.tolist(), z.tolist(), strict=True):
-                kept.update(data[last:s])
-                last = e
-            kept.update(data[last:])
-            rows.append((len(data), int((z - a).sum()), len(a), kept.hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            spans = np.bincount(own[opens], minlength=len(b))
+            gone = np.zeros(len(b), np.int64)
+            np.add.at(gone, own[opens], z - a)
+            view, last = memoryview(data), np.searchsorted(own[opens], np.arange(len(b) + 1))
+            a, z, kept = a.tolist(), z.tolist(), []
+            for begin, end, i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), last[:-1].tolist(), last[1:].tolist(), strict=True):
+                digest = hashlib.sha256()
+                for k in range(i, j):
+                    digest.update(view[begin : a[k]])
+                    begin = z[k]
+                digest.update(view[begin:end])
+                kept.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in (np.diff(bounds), gone, spans)], pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
