@@ -138,3 +138,16 @@ def test_slices_filter_before_they_shuffle(spark, monkeypatch):
     found.close()
     cells = next(p for p in plans if "rowspan" in p)
     assert 0 < cells.index("Window") < cells.index("pmod(")  # what stands below in the plan comes first
+
+
+def test_small_files_of_many_rows_stay(spark):
+    """A written table of little more than some bytes a row isn't broadcast within tidied, and settings come back."""
+    rows = spark.range(400_000).select("id", F.lit("a text that comes again and again").alias("text"))
+    small, path = tree.written(rows)
+    assert size(path.removeprefix("file:")) < 10_000_000
+    plan = lambda: spark.range(9_000_000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+    before = spark.conf.get(tree.BY_FILES)
+    assert "BroadcastHashJoin" in plan()
+    with tree.tidied(spark):
+        assert "BroadcastHashJoin" not in plan()
+    assert spark.conf.get(tree.BY_FILES) == before and spark.conf.get(tree.BY_ROWS, None) is None
