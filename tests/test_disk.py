@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.operators import closure, layout, tree
+from tagmill.operators import closure, layout, tables, tree
 from tagmill.plans import catalogue
 
 
@@ -151,3 +151,23 @@ def test_small_files_of_many_rows_stay(spark):
     with tree.tidied(spark):
         assert "BroadcastHashJoin" not in plan()
     assert spark.conf.get(tree.BY_FILES) == before and spark.conf.get(tree.BY_ROWS, None) is None
+
+
+def test_cells_know_their_tables(spark):
+    """As shape and uses_ids say by joins, with one shuffle."""
+    lines = catalogue.table(spark, "/root/testdata/sf0.001", "lineitem")
+    cells = tree.written(catalogue._cells(spark, "/root/testdata/sf0.001", lines))[0]
+    one = tables.in_tables(cells)
+    want = tables.shape(cells).join(tables.uses_ids(cells), "table_id")
+    got = one.where("at = 1").select(want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 1000
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_one_walk_for_all(spark):
+    nodes = catalogue.frame(spark, "/root/testdata/sf0.001", catalogue.fx.TALKING)
+    got, key = tree.walked(nodes), ["doc_id", "node_id"]
+    for want in (tree.depths(nodes), tree.paths(nodes), tree.effective_languages(nodes)):
+        same = got.select(want.columns)
+        assert same.exceptAll(want).isEmpty() and want.exceptAll(same).isEmpty()
+    assert got.select(key).count() == nodes.count()

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +292,43 @@ def test_accessible_pairs(spark):
         near += same
         assert same or abs(r["x"]["ratio"] - want[0]) < 0.2  # a half rounds to the other side
     assert near > 280
+
+
+def test_leaders_by_rounds():
+    """Many pages at a time give the leaders that a fold over each page's points gives."""
+    rng, reach = np.random.default_rng(7), 100.0
+    pages = [[(None if rng.random() < 0.05 else float(rng.integers(0, 600)), float(rng.integers(0, 800))) for _ in range(n)] for n in (1, 40, 0, 3, 90)]
+    near = lambda p, q: None not in (p[0], q[0]) and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 < reach * reach
+    want = []
+    for points in pages:
+        found, own = [], []
+        for k, p in enumerate(points):
+            own.append(next((i for i in found if near(points[i], p)), k))
+            found += [k] if own[-1] == k else []
+        want.append(own)
+    got = layout._leaders(pa.array([[p[0] for p in ps] for ps in pages], pa.list_(pa.float64())), pa.array([[p[1] for p in ps] for ps in pages], pa.list_(pa.float64())), reach)
+    assert got.to_pylist() == want
+
+
+def test_contrast_of_many(spark):
+    """As in plain code, with nulls left out; and a filter on it takes a luminance once."""
+
+    def plain(rgb):
+        r, g, b = (x / 255 / 12.92 if x / 255 <= 0.03928 else ((x / 255 + 0.055) / 1.055) ** 2.4 for x in rgb)
+        return 0.2126 * r + 0.7152 * g + 0.0722 * b
+
+    rows = [tuple(k * m % 256 for m in (1, 7, 37, 11, 5, 3)) for k in range(300)]
+    frame = spark.createDataFrame(rows, "r int, g int, b int, br int, bg int, bb int")
+    ratio = colour.contrast_ratio((F.col("r"), F.col("g"), F.col("b")), (F.col("br"), F.col("bg"), F.col("bb")))
+    for row in frame.withColumn("q", ratio).collect():
+        x, y = plain(row[:3]), plain(row[3:6])
+        assert row["q"] == pytest.approx((max(x, y) + 0.05) / (min(x, y) + 0.05), abs=1e-12)
+    plan = frame.where(ratio < 4.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("POWER(") + plan.count("pow(") <= 6
+
+
+def test_blank_is_what_strips_to_nothing(spark):
+    """For every sign up to U+3100 and some with line ends, and nulls."""
+    signs = [chr(k) for k in range(1, 0x3101)] + ["", " \n", "\n\n", "a\n", "\r\n", " \n", " x ", None]
+    both = spark.createDataFrame([(x,) for x in signs], "s string").select("s", issues._blank(F.col("s")).alias("blank"), (text.stripped(F.coalesce("s", F.lit(""))) == "").alias("bare"))
+    assert both.where("blank <> bare").isEmpty() and both.where("blank").count() > 20
