@@ -43,13 +43,16 @@ def pages_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left").fillna(0, ["page"])
 
 
-def element_texts(nodes: DataFrame, items: DataFrame, spans: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """doc_id, node_id, page, text of every element; white space is folded, and what says nothing is empty. nodes are read often, and lines are their ancestors() if they are known."""
+def element_texts(nodes: DataFrame, items: DataFrame, spans: DataFrame, lines: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, page, text of every element; white space is folded, and what says nothing is empty. nodes are read often; lines are their ancestors() and paths their places(), if they are known."""
     if lines is None:
         nodes = _cut(nodes)
         lines = closure.ancestors(nodes)
     own = nodes.select("doc_id", "node_id", _said().alias("said")).where("said is not null")
-    paths, paths_at = written(closure.places(lines, nodes))
+    paths_at = []
+    if paths is None:
+        paths, at = written(closure.places(lines, nodes))
+        paths_at = [at]
     pages = _cut(pages_of(lines, nodes))
     climbs, climbs_at = written(closure.below_stops(lines, own).select("doc_id", "node_id", "above"))
     loose = items.join(own, ["doc_id", "node_id"], "left_anti")
@@ -59,7 +62,7 @@ def element_texts(nodes: DataFrame, items: DataFrame, spans: DataFrame, lines: D
         .unionByName(own.join(paths, ["doc_id", "node_id"]).select("doc_id", "node_id", "path", F.col("said").alias("text"), F.lit(None).cast("long").alias("mcid")))
     )
     pieces, pieces_at = written(pieces)
-    dropped(nodes.sparkSession, paths_at)
+    dropped(nodes.sparkSession, *paths_at)
     risen = lambda some: some.join(climbs, ["doc_id", "node_id"]).drop("node_id").withColumnRenamed("above", "node_id")
     marks = marked_texts(spans).withColumnRenamed("text", "marked")
     told = risen(pieces.where("mcid is null and text <> ''").drop("mcid")).select("doc_id", "node_id", "path", "text")
@@ -71,14 +74,14 @@ def element_texts(nodes: DataFrame, items: DataFrame, spans: DataFrame, lines: D
     return pages.join(joined, ["doc_id", "node_id"], "left").select("doc_id", "node_id", "page", t.normalised(F.col("text")).alias("text"))
 
 
-def shown_texts(nodes: DataFrame, texts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """doc_id, node_id, text, leaf: an element without text shows that of the nearest elements below that have some, in order; leaf, if its text is shown as a leaf of its own. nodes are read often, and lines are their ancestors() if they are known."""
+def shown_texts(nodes: DataFrame, texts: DataFrame, lines: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, text, leaf: an element without text shows that of the nearest elements below that have some, in order; leaf, if its text is shown as a leaf of its own. nodes are read often; lines are their ancestors() and paths their places(), if they are known."""
     if lines is None:
         nodes = _cut(nodes)
         lines = closure.ancestors(nodes)
     some = _cut(texts.where("text <> ''").select("doc_id", "node_id", "text"))
     climbs = _cut(closure.below_stops(lines, some.select("doc_id", "node_id")).select("doc_id", "node_id", "above"))
-    risen = some.join(_cut(closure.places(lines, nodes)), ["doc_id", "node_id"]).join(climbs, ["doc_id", "node_id"])
+    risen = some.join(_cut(closure.places(lines, nodes)) if paths is None else paths, ["doc_id", "node_id"]).join(climbs, ["doc_id", "node_id"])
     below = risen.groupBy("doc_id", F.col("above").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), " ").alias("text"))
     parents = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("holds", F.lit(True))
     out = nodes.select("doc_id", "node_id", "type").join(below, ["doc_id", "node_id"], "left").join(parents, ["doc_id", "node_id"], "left")

@@ -30,7 +30,8 @@ of_many(_TREE, "element_text", f"with recursive {_TEXTS} select * from e")(conte
 def _shown(nodes: DataFrame, items: DataFrame, spans: DataFrame) -> DataFrame:
     nodes = _cut(nodes)
     lines = closure.ancestors(nodes)
-    return content.shown_texts(nodes, content.element_texts(nodes, items, spans, lines), lines)
+    paths = _cut(closure.places(lines, nodes))
+    return content.shown_texts(nodes, content.element_texts(nodes, items, spans, lines, paths), lines, paths)
 
 
 of_many(_TREE, "shown_text", f"with recursive {_TEXTS}, t as (select e.doc_id, e.node_id, p.path, e.text from e join p on p.doc_id = e.doc_id and p.node_id = e.node_id where e.text <> ''), k as (select * from t union all select k.doc_id, u.node_id, k.path, k.text from k join n on n.doc_id = k.doc_id and n.node_id = k.node_id join e u on u.doc_id = n.doc_id and u.node_id = n.parent_id and u.text = ''), g as (select doc_id, node_id, string_agg(text, ' ' order by path, text) as text from k group by all) select n.doc_id, n.node_id, coalesce(g.text, '') as text, coalesce(g.text, '') <> '' and n.type in ('P', 'Span', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'TH', 'TD', 'LI') and not exists (select 1 from n x where x.doc_id = n.doc_id and x.parent_id = n.node_id) as leaf from n left join g on g.doc_id = n.doc_id and g.node_id = n.node_id")(_shown)

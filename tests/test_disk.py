@@ -171,3 +171,11 @@ def test_one_walk_for_all(spark):
         same = got.select(want.columns)
         assert same.exceptAll(want).isEmpty() and want.exceptAll(same).isEmpty()
     assert got.select(key).count() == nodes.count()
+
+
+def test_shown_text_places_once(spark, monkeypatch):
+    """The paths of nodes are worked out once for both steps."""
+    asked, places = [], closure.places
+    monkeypatch.setattr(closure, "places", lambda *a: asked.append(a) or places(*a))
+    assert catalogue.QUERIES["shown_text"](spark, "/root/testdata/sf0.001").count() > 1000
+    assert len(asked) == 1
